@@ -54,7 +54,7 @@ def repo_name(source) -> Column:
     """Repository name from a URL or path: last path segment with ``.git`` removed."""
     path = F.regexp_replace(url_path(source), r";[^/]*$", "")
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
-    last = F.coalesce(F.element_at(parts, -1), F.lit(""))
+    last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
     return F.regexp_replace(last, r"\.git$", "")
 
 

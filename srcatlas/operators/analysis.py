@@ -121,6 +121,7 @@ def repo_facts(chunks: DataFrame, documents: DataFrame | None = None) -> DataFra
         F.col("has_langchain") == 1, F.col("has_ollama") == 1, any_of(K.ML_FRAMEWORKS),
         F.col("has_cli_word") == 1, F.col("n_classes"), F.col("has_main") == 1)
     out = agg.select("repo_id", "n_chunks", "n_classes", "n_functions", "n_endpoints",
+                     (F.col("has_main") == 1).alias("has_main"),
                      frameworks.alias("frameworks"), arch.alias("architecture_type"))
     if documents is not None:
         out = out.join(repo_languages(documents), "repo_id", "left")

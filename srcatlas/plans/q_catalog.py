@@ -214,13 +214,14 @@ def delete_repos_q(spark, sf):
 
 @query("fk_orphans", lambda: _ctes() + """
 SELECT 'documents.repo_id' AS "check", count(*) AS n_orphans FROM docs WHERE repo_id NOT IN (SELECT id FROM stored_repos)
-UNION ALL SELECT 'chunks.doc_id', count(*) FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM stored_docs)
+UNION ALL SELECT 'chunks.doc_id', count(*) FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM docs)
 UNION ALL SELECT 'chunks.repo_id', count(*) FROM chunks WHERE repo_id NOT IN (SELECT id FROM stored_repos)""")
 def fk_orphans_q(spark, sf):
-    """Today's documents/chunks audited against yesterday's parents."""
+    """Today's documents and chunks audited against yesterday's repositories
+    (rows written before their parent row shows up as orphans)."""
     st = stored_tables(spark, sf)
     return cat.fk_orphans(I.documents(spark, sf), I.chunks(spark, sf).select("doc_id", "repo_id"),
-                          st["repositories"]).withColumnRenamed("check", "check")
+                          st["repositories"])
 
 
 @query("upsert_repos", lambda: _ctes() + """
