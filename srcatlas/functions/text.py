@@ -21,9 +21,15 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# Every character ``str.isspace()`` accepts, for trimming without a regex.
+WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                    + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(text) -> Column:
-    """``str.strip()``: remove leading and trailing white space."""
-    return F.regexp_replace(_c(text), rf"^{SPACE}+|{SPACE}+$", "")
+    """``str.strip()``: remove leading and trailing white space (a linear
+    trim of a fixed character set, no regular expression)."""
+    return F.trim(_c(text), F.lit(WHITESPACE_CHARS))
 
 
 def content_hash(text) -> Column:

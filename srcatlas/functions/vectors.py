@@ -18,7 +18,11 @@ def to_vector(values) -> Column:
 def vector_status(vector, dim: int) -> Column:
     """First failing check of a vector, or ``ok``: null, empty, non-finite, wrong dimension."""
     v = _c(vector)
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    # No lambda: these array functions stay in generated code.
+    bad = ((F.size(F.array_compact(v)) < F.size(v))
+           | F.array_contains(v, F.lit(float("nan")).cast("float"))
+           | F.array_contains(v, F.lit(float("inf")).cast("float"))
+           | F.array_contains(v, F.lit(float("-inf")).cast("float")))
     return (F.when(v.isNull(), F.lit("null"))
             .when(F.size(v) == 0, F.lit("empty"))
             .when(bad, F.lit("non_finite"))

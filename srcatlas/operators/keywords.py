@@ -9,8 +9,9 @@
   result back to every copy.
 
 Tokens are runs of two or more word characters, lower-cased; stop words
-are removed before bigrams are formed. Everything is built-in Spark
-expressions plus group-bys; the top-``n`` ranking uses a constant limit.
+are removed before bigrams are formed. Tokenising uses Spark ML feature
+transformers (JVM), counting and scoring are group-bys and windows; the
+top-``n`` ranking uses a constant limit.
 """
 
 from __future__ import annotations
@@ -26,25 +27,26 @@ from ..functions import text as tx
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 
 
-def tokens(text: Column, stop_words: list[str]) -> Column:
-    toks = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_RE), 0)
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(toks, lambda t: ~F.array_contains(stop, t))
-
-
-def ngrams(toks: Column) -> Column:
-    """Unigrams followed by bigrams of adjacent tokens."""
-    bigrams = F.transform(F.arrays_zip(F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0))).alias("a"),
-                                       F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0))).alias("b")),
-                          lambda p: F.concat(p["a"], F.lit(" "), p["b"]))
-    return F.when(F.size(toks) > 1, F.concat(toks, bigrams)).otherwise(toks)
+def _tokenize(df: DataFrame, text: Column, stop_words: list[str], min_len: int = 2, out: str = "_t") -> DataFrame:
+    """Adds ``out``: lower-cased word runs of ``min_len``+ chars without stop
+    words, in order. Spark ML transformers (JVM, hash-set stop lookup)."""
+    from pyspark.ml.feature import RegexTokenizer, StopWordsRemover
+    src = df.withColumn("_text", text)
+    tok = RegexTokenizer(inputCol="_text", outputCol="_tok", pattern=TOKEN_RE, gaps=False,
+                         toLowercase=True, minTokenLength=min_len)
+    swr = StopWordsRemover(inputCol="_tok", outputCol=out, stopWords=list(stop_words), caseSensitive=True)
+    return swr.transform(tok.transform(src)).drop("_text", "_tok")
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 stop_words: list[str] | None = None) -> DataFrame:
-    """(id, term, n): n-gram counts per text (a partial aggregate)."""
+    """(id, term, n): unigram and bigram counts per text (bigrams are formed
+    after stop-word removal); a partial aggregate."""
+    from pyspark.ml.feature import NGram
     sw = K.default_stop_words() if stop_words is None else stop_words
-    ex = docs.select(F.col(id_col).alias("doc_id"), F.explode(ngrams(tokens(F.col(text_col), sw))).alias("term"))
+    t = _tokenize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), F.col("text"), sw)
+    g = NGram(n=2, inputCol="_t", outputCol="_bg").transform(t)
+    ex = g.select("doc_id", F.explode(F.concat("_t", "_bg")).alias("term"))
     return ex.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -53,10 +55,9 @@ def candidate_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Distinct (id, term): words of the preprocessed text longer than two
     characters that are not stop words (the part-of-speech rule is not built)."""
     sw = K.default_stop_words() if stop_words is None else stop_words
-    toks = F.regexp_extract_all(F.lower(tx.preprocess(F.col(text_col))), F.lit(TOKEN_RE), 0)
-    stop = F.array(*[F.lit(w) for w in sw])
-    keep = F.filter(toks, lambda t: (F.length(t) >= min_len) & ~F.array_contains(stop, t))
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(keep).alias("term")).distinct()
+    t = _tokenize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
+                  tx.preprocess(F.col("text")), sw, min_len=min_len)
+    return t.select("doc_id", F.explode("_t").alias("term")).distinct()
 
 
 def _top(scored: DataFrame, n: int) -> DataFrame:

@@ -42,6 +42,11 @@ def strip(c: str) -> str:
     return f"regexp_replace({c}, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
+def strip_fast(c: str) -> str:
+    from ..functions.text import WHITESPACE_CHARS
+    return f"trim({c}, {q(WHITESPACE_CHARS)})"
+
+
 def repo_id(src: str) -> str:
     return f"('repo_' || substring(md5({src}), 1, 12))"
 
