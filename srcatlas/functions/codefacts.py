@@ -59,6 +59,19 @@ def frameworks(text, patterns: dict[str, str] = K.FRAMEWORKS) -> Column:
     return F.array_compact(F.array(*[F.when(F.instr(lc, p) > 0, F.lit(label)) for p, label in patterns.items()]))
 
 
+def framework_flags(lower_text: Column, patterns: dict[str, str] = K.FRAMEWORKS) -> list[Column]:
+    """One 0/1 column per framework pattern over already lower-cased text
+    (no arrays, no lambdas: stays in generated code)."""
+    return [(F.instr(lower_text, p) > 0).cast("int").alias(f"fw_{i}") for i, p in enumerate(patterns)]
+
+
+def endpoint_count(text) -> Column:
+    t = _c(text)
+    return (F.size(F.regexp_extract_all(t, F.lit(K.ROUTE_RE), 1))
+            + F.size(F.regexp_extract_all(t, F.lit(K.ROUTER_RE), 1))
+            + F.size(F.regexp_extract_all(t, F.lit(K.APP_METHOD_RE), 1)))
+
+
 def language(path, table: dict[str, str] = K.LANGUAGES) -> Column:
     """Language of a file from its lower-case extension (NULL when unknown)."""
     m = F.create_map(*[x for kv in table.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])

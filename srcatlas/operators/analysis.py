@@ -19,25 +19,23 @@ from ..functions import codefacts as cf
 
 
 def chunk_facts(chunks: DataFrame) -> DataFrame:
-    """One row per chunk with its extracted facts (arrays stay per chunk)."""
+    """One row per chunk with its extracted facts. Framework presence is one
+    0/1 column per pattern and endpoints are counted by array sizes, so the
+    projection has no lambda functions and stays in generated code."""
     lc = F.lower(F.col("content"))
-    return chunks.select(
+    base = chunks.select("repo_id", "chunk_id", "doc_id", "chunk_num", "source_file", "content", lc.alias("_lc"))
+    return base.select(
         "repo_id", "chunk_id", "doc_id", "chunk_num", "source_file",
         cf.functions("content").alias("functions"),
         cf.classes("content").alias("classes"),
-        cf.imports("content").alias("imports"),
-        cf.endpoints("content").alias("endpoints"),
-        cf.frameworks("content").alias("frameworks"),
-        (F.instr(lc, "langchain") > 0).alias("has_langchain"),
-        (F.instr(lc, "ollama") > 0).alias("has_ollama"),
-        ((F.instr(lc, "cli") > 0) | (F.instr(lc, "command") > 0)).alias("has_cli_word"),
+        cf.endpoint_count("content").alias("n_endpoints"),
+        *cf.framework_flags(F.col("_lc")),
+        (F.instr("_lc", "langchain") > 0).alias("has_langchain"),
+        (F.instr("_lc", "ollama") > 0).alias("has_ollama"),
+        ((F.instr("_lc", "cli") > 0) | (F.instr("_lc", "command") > 0)).alias("has_cli_word"),
     )
 
 
-def _label_flags(values: Column, labels: list[str]) -> list[Column]:
-    return [F.max(F.array_contains(values, F.lit(l)).cast("int")).alias(f"has_{i}") for i, l in enumerate(labels)]
-
-
 def _sorted_set(labels: list[str], unknown: str = "Unknown") -> Column:
     """Joined sorted label set from the ``has_i`` flags (``Unknown`` when empty)."""
     order = sorted(range(len(labels)), key=lambda i: labels[i])
@@ -55,8 +53,9 @@ def repo_languages(documents: DataFrame, table: dict[str, str] = K.LANGUAGES) ->
 
 def repo_frameworks(chunks: DataFrame, patterns: dict[str, str] = K.FRAMEWORKS) -> DataFrame:
     labels = list(patterns.values())
-    fw = cf.frameworks("content", patterns)
-    flags = chunks.select("repo_id", fw.alias("fw")).groupBy("repo_id").agg(*_label_flags(F.col("fw"), labels))
+    lc = chunks.select("repo_id", F.lower("content").alias("_lc"))
+    flags = lc.select("repo_id", *cf.framework_flags(F.col("_lc"), patterns)) \
+        .groupBy("repo_id").agg(*[F.max(f"fw_{i}").alias(f"has_{i}") for i in range(len(labels))])
     return flags.select("repo_id", _sorted_set(labels).alias("frameworks"))
 
 
@@ -72,15 +71,31 @@ def key_classes(chunks: DataFrame) -> DataFrame:
 
 
 def repo_imports(chunks: DataFrame) -> DataFrame:
-    """Distinct (repo_id, import)."""
-    return chunks.select("repo_id", F.explode(cf.imports("content")).alias("import_name")).distinct()
+    """Distinct (repo_id, import): the ``from`` module when present and the
+    first comma part of the imported names, stripped."""
+    from ..functions.text import strip
+    t = F.col("content")
+    pairs = chunks.select("repo_id", F.explode(F.arrays_zip(
+        F.regexp_extract_all(t, F.lit(K.IMPORT_RE), 1).alias("m"),
+        F.regexp_extract_all(t, F.lit(K.IMPORT_RE), 2).alias("n"))).alias("p"))
+    items = pairs.select("repo_id", F.explode(F.array(
+        F.when(F.col("p.m") != "", F.col("p.m")), strip(F.split(F.col("p.n"), ",", 2)[0]))).alias("import_name"))
+    return items.where(F.col("import_name").isNotNull()).distinct()
 
 
 def api_endpoints(chunks: DataFrame) -> DataFrame:
     """(repo_id, method, path, n); method is NULL for plain routes."""
-    e = chunks.select("repo_id", F.explode(cf.endpoints("content")).alias("e"))
-    return e.groupBy("repo_id", F.col("e.method").alias("method"), F.col("e.path").alias("path")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+    t = F.col("content")
+    routes = chunks.select("repo_id", F.lit(None).cast("string").alias("method"),
+                           F.explode(F.regexp_extract_all(t, F.lit(K.ROUTE_RE), 1)).alias("path"))
+    parts = [routes]
+    for pattern in (K.ROUTER_RE, K.APP_METHOD_RE):
+        z = chunks.select("repo_id", F.explode(F.arrays_zip(
+            F.regexp_extract_all(t, F.lit(pattern), 1).alias("m"),
+            F.regexp_extract_all(t, F.lit(pattern), 2).alias("p"))).alias("z"))
+        parts.append(z.select("repo_id", F.col("z.m").alias("method"), F.col("z.p").alias("path")))
+    e = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return e.groupBy("repo_id", "method", "path").agg(F.count(F.lit(1)).alias("n"))
 
 
 def first_items(facts: DataFrame, array_col: str, n: int, out: str) -> DataFrame:
@@ -95,34 +110,44 @@ def first_items(facts: DataFrame, array_col: str, n: int, out: str) -> DataFrame
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rk", "item"))), lambda x: x["item"]), ", ").alias(out))
 
 
-def repo_facts(chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
-    """One row per repository: counts, flags, framework/language sets, architecture."""
-    facts = chunk_facts(chunks)
-    fw_labels = list(K.FRAMEWORKS.values())
-    agg = facts.groupBy("repo_id").agg(
+def _facts_aggs(fw_labels: list[str]) -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("n_chunks"),
         F.sum(F.size("classes")).cast("bigint").alias("n_classes"),
         F.sum(F.size("functions")).cast("bigint").alias("n_functions"),
-        F.sum(F.size("endpoints")).cast("bigint").alias("n_endpoints"),
+        F.sum("n_endpoints").cast("bigint").alias("n_endpoints"),
         F.max(F.array_contains("functions", F.lit("main")).cast("int")).alias("has_main"),
         F.max(F.col("has_langchain").cast("int")).alias("has_langchain"),
         F.max(F.col("has_ollama").cast("int")).alias("has_ollama"),
         F.max(F.col("has_cli_word").cast("int")).alias("has_cli_word"),
-        *_label_flags(F.col("frameworks"), fw_labels),
-    )
+        *[F.max(f"fw_{i}").alias(f"has_{i}") for i in range(len(fw_labels))],
+    ]
+
+
+def _facts_select(agg: DataFrame, fw_labels: list[str], extra: list[str] = ()) -> DataFrame:
     frameworks = _sorted_set(fw_labels)
+    idx = {l: i for i, l in enumerate(fw_labels)}
 
     def any_of(names: list[str]) -> Column:
-        return F.array_contains(frameworks, names[0]) if len(names) == 1 else \
-            F.exists(frameworks, lambda x: x.isin(*names))
+        out = F.lit(False)
+        for n in names:
+            out = out | (F.col(f"has_{idx[n]}") == 1)
+        return out
 
     arch = cf.architecture(
         any_of(K.WEB_FRAMEWORKS), any_of(K.FRONTEND_FRAMEWORKS),
         F.col("has_langchain") == 1, F.col("has_ollama") == 1, any_of(K.ML_FRAMEWORKS),
         F.col("has_cli_word") == 1, F.col("n_classes"), F.col("has_main") == 1)
-    out = agg.select("repo_id", "n_chunks", "n_classes", "n_functions", "n_endpoints",
-                     (F.col("has_main") == 1).alias("has_main"),
-                     frameworks.alias("frameworks"), arch.alias("architecture_type"))
+    return agg.select("repo_id", "n_chunks", "n_classes", "n_functions", "n_endpoints",
+                      (F.col("has_main") == 1).alias("has_main"),
+                      frameworks.alias("frameworks"), arch.alias("architecture_type"), *extra)
+
+
+def repo_facts(chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """One row per repository: counts, flags, framework/language sets, architecture."""
+    fw_labels = list(K.FRAMEWORKS.values())
+    agg = chunk_facts(chunks).groupBy("repo_id").agg(*_facts_aggs(fw_labels))
+    out = _facts_select(agg, fw_labels)
     if documents is not None:
         out = out.join(repo_languages(documents), "repo_id", "left")
         out = out.withColumn("languages", F.coalesce("languages", F.array(F.lit("Unknown"))))
@@ -136,7 +161,7 @@ def analysis_summary(chunks: DataFrame) -> DataFrame:
     counts = facts.groupBy("repo_id").agg(
         F.sum(F.size("classes")).cast("bigint").alias("key_classes_count"),
         F.sum(F.size("functions")).cast("bigint").alias("key_functions_count"),
-        F.sum(F.size("endpoints")).cast("bigint").alias("api_endpoints_count"))
+        F.sum("n_endpoints").cast("bigint").alias("api_endpoints_count"))
     imps = repo_imports(chunks).groupBy("repo_id").agg(F.count(F.lit(1)).alias("imports_count"))
     return counts.join(imps, "repo_id", "left").select(
         "repo_id", "key_classes_count", "key_functions_count", "api_endpoints_count",
