@@ -71,31 +71,57 @@ def top_samples(chunks: DataFrame, limits: dict[str, int] = K.SAMPLE_LIMITS) ->
     return ranked.where(F.col("rank") <= F.element_at(lim, F.col("category")))
 
 
-def _first_items(chunks: DataFrame, extract, n: int, out: str) -> DataFrame:
-    ex = chunks.select("repo_id", "chunk_id", F.posexplode(extract("content")).alias("pos", "item"))
-    w = Window.partitionBy("repo_id").orderBy("chunk_id", "pos")
-    top = ex.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= n)
-    return top.groupBy("repo_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("rk", "item"))), lambda x: x["item"]), ", ").alias(out))
+def first_items(chunks: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """repo_id -> the first classes and functions in chunk order (chunk id,
+    then position), joined by ', '. One pass over the chunks: each chunk
+    yields a (kind, names) row per kind, and one window per (repo, kind)
+    with a constant cap keeps at most that many rows per map task."""
+    from ..functions import codefacts as cf
+    lim = limits or {"key_classes": K.REPORT_MAX_CLASSES, "key_functions": K.REPORT_MAX_FUNCTIONS}
+    kinds = F.array(F.struct(F.lit("key_classes").alias("kind"), cf.classes("content").alias("names")),
+                    F.struct(F.lit("key_functions").alias("kind"), cf.functions("content").alias("names")))
+    per_kind = chunks.select("repo_id", "chunk_id", F.explode(kinds).alias("k"))
+    ex = per_kind.select("repo_id", "chunk_id", F.col("k.kind").alias("kind"),
+                         F.posexplode("k.names").alias("pos", "item"))
+    w = Window.partitionBy("repo_id", "kind").orderBy("chunk_id", "pos")
+    cap = max(lim.values())
+    lim_map = F.create_map(*[x for kv in lim.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+    top = ex.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= cap) \
+        .where(F.col("rk") <= F.element_at(lim_map, F.col("kind")))
+    got = top.groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("kind", "rk", "item"))).alias("_l"))
+    def of_kind(k: str) -> Column:
+        # ≤ sum(limits) elements per repository: the lambdas here are cheap.
+        return F.array_join(F.transform(F.filter("_l", lambda x: x["kind"] == F.lit(k)), lambda x: x["item"]), ", ").alias(k)
+
+    return got.select("repo_id", *[of_kind(k) for k in lim])
 
 
 def repo_context(repositories: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One context row per repository with chunks: names, counts, analysis."""
+    """One context row per repository with chunks: names, counts, analysis.
+
+    Three passes over the chunks (facts + config files in one aggregate,
+    first names, and, in the report, samples) and one over the documents."""
     from ..functions import codefacts as cf
     info = repo_info(repositories)
-    ndocs = documents.groupBy("repo_id").agg(F.count(F.lit(1)).cast("bigint").alias("total_documents"))
-    facts = an.repo_facts(chunks, documents)
-    cfg = an.categorize(chunks).where(F.col("category") == "config") \
-        .groupBy("repo_id").agg(F.count_distinct("source_file").cast("bigint").alias("n_config_files"))
-    classes = _first_items(chunks, cf.classes, K.REPORT_MAX_CLASSES, "key_classes")
-    functions = _first_items(chunks, cf.functions, K.REPORT_MAX_FUNCTIONS, "key_functions")
-    ctx = info.join(facts, "repo_id").join(ndocs, "repo_id", "left") \
-        .join(cfg, "repo_id", "left").join(classes, "repo_id", "left").join(functions, "repo_id", "left")
+    fw_labels = list(K.FRAMEWORKS.values())
+    lang_labels = sorted(set(K.LANGUAGES.values()))
+    lang = cf.language("file_path")
+    dagg = documents.groupBy("repo_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("total_documents"),
+        *[F.max((lang == F.lit(l)).cast("int")).alias(f"has_{i}") for i, l in enumerate(lang_labels)])
+    dinfo = dagg.select("repo_id", "total_documents", an._sorted_set(lang_labels).alias("languages"))
+    facts = an.chunk_facts(chunks).withColumn(
+        "_cfg", F.when(cf.category("source_file") == "config", F.col("source_file")))
+    cagg = facts.groupBy("repo_id").agg(*an._facts_aggs(fw_labels),
+                                        F.count_distinct("_cfg").cast("bigint").alias("n_config_files"))
+    cinfo = an._facts_select(cagg, fw_labels, ["n_config_files"])
+    names = first_items(chunks)
+    ctx = info.join(cinfo, "repo_id").join(dinfo, "repo_id", "left").join(names, "repo_id", "left")
     return ctx.select(
         "repo_id", "repo_name", "repo_source",
         F.coalesce("total_documents", F.lit(0)).cast("bigint").alias("total_documents"),
         F.col("n_chunks").cast("bigint").alias("total_chunks"),
-        "languages", "frameworks", "architecture_type",
+        F.coalesce("languages", F.array(F.lit("Unknown"))).alias("languages"), "frameworks", "architecture_type",
         F.col("n_classes").alias("key_classes_count"), F.col("n_functions").alias("key_functions_count"),
         F.col("n_endpoints").alias("api_endpoints_count"),
         F.coalesce("n_config_files", F.lit(0)).cast("bigint").alias("n_config_files"),
