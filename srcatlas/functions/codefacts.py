@@ -56,13 +56,13 @@ def endpoints(text) -> Column:
 def frameworks(text, patterns: dict[str, str] = K.FRAMEWORKS) -> Column:
     """Framework labels whose lower-case pattern occurs in the text."""
     lc = F.lower(_c(text))
-    return F.array_compact(F.array(*[F.when(F.instr(lc, p) > 0, F.lit(label)) for p, label in patterns.items()]))
+    return F.array_compact(F.array(*[F.when(lc.contains(p), F.lit(label)) for p, label in patterns.items()]))
 
 
 def framework_flags(lower_text: Column, patterns: dict[str, str] = K.FRAMEWORKS) -> list[Column]:
     """One 0/1 column per framework pattern over already lower-cased text
     (no arrays, no lambdas: stays in generated code)."""
-    return [(F.instr(lower_text, p) > 0).cast("int").alias(f"fw_{i}") for i, p in enumerate(patterns)]
+    return [lower_text.contains(p).cast("int").alias(f"fw_{i}") for i, p in enumerate(patterns)]
 
 
 def endpoint_count(text) -> Column:
@@ -84,9 +84,9 @@ def category(path) -> Column:
     name = F.lower(paths.base_name(p))
     e = paths.ext(p)
     return (F.when(p == "", F.lit("other"))
-            .when((F.instr(name, "test") > 0) | (F.instr(name, "spec") > 0), F.lit("tests"))
+            .when(name.contains("test") | name.contains("spec"), F.lit("tests"))
             .when(name.isin(*K.REQUIREMENT_FILES), F.lit("requirements"))
-            .when(e.isin(*K.DOCS_EXT) | (F.instr(name, "readme") > 0), F.lit("docs"))
+            .when(e.isin(*K.DOCS_EXT) | name.contains("readme"), F.lit("docs"))
             .when(e.isin(*K.CONFIG_EXT), F.lit("config"))
             .when(e.isin(*K.CODE_EXT), F.lit("code"))
             .otherwise(F.lit("other")))

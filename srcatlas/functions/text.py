@@ -86,7 +86,7 @@ def has_placeholder(text) -> Column:
     t = _c(text)
     hit = F.lit(False)
     for phrase in K.PLACEHOLDER_PHRASES:
-        hit = hit | (F.instr(t, phrase) > 0)
+        hit = hit | t.contains(phrase)
     return hit
 
 
@@ -94,8 +94,8 @@ def _py_repr(s: Column) -> Column:
     """``repr()`` of a one-line string, as Python prints it inside a list."""
     esc = F.regexp_replace(s, r"\\", r"\\\\")
     esc = F.regexp_replace(F.regexp_replace(esc, "\t", r"\\t"), "\r", r"\\r")
-    dq = F.instr(s, "'") > 0
-    return (F.when(dq & (F.instr(s, '"') == 0), F.concat(F.lit('"'), esc, F.lit('"')))
+    dq = s.contains("'")
+    return (F.when(dq & (~s.contains('"')), F.concat(F.lit('"'), esc, F.lit('"')))
             .otherwise(F.concat(F.lit("'"), F.regexp_replace(esc, "'", r"\\'"), F.lit("'"))))
 
 
@@ -110,7 +110,7 @@ def placeholder_report(text) -> Column:
     n = F.size(found)
     shown = F.concat(F.lit("["), F.array_join(F.transform(F.slice(found, 1, K.PLACEHOLDER_REPORT_LIMIT), _py_repr), ", "), F.lit("]"))
     first = F.when(n > 0, F.concat(F.lit("Found "), n.cast("string"), F.lit(" template placeholders: "), shown))
-    issues = F.array_compact(F.array(first, *[F.when(F.instr(t, phrase) > 0, F.lit(desc)) for phrase, desc in K.PLACEHOLDER_ISSUES]))
+    issues = F.array_compact(F.array(first, *[F.when(t.contains(phrase), F.lit(desc)) for phrase, desc in K.PLACEHOLDER_ISSUES]))
     body = F.array_join(F.transform(issues, lambda x: F.concat(F.lit("- "), x)), "\n")
     return F.when(F.size(issues) > 0, F.concat(F.lit(K.PLACEHOLDER_REPORT_HEADER + "\n"), body)).otherwise(F.lit(K.PLACEHOLDER_REPORT_OK))
 

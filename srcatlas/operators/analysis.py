@@ -30,9 +30,9 @@ def chunk_facts(chunks: DataFrame) -> DataFrame:
         cf.classes("content").alias("classes"),
         cf.endpoint_count("content").alias("n_endpoints"),
         *cf.framework_flags(F.col("_lc")),
-        (F.instr("_lc", "langchain") > 0).alias("has_langchain"),
-        (F.instr("_lc", "ollama") > 0).alias("has_ollama"),
-        ((F.instr("_lc", "cli") > 0) | (F.instr("_lc", "command") > 0)).alias("has_cli_word"),
+        F.col("_lc").contains("langchain").alias("has_langchain"),
+        F.col("_lc").contains("ollama").alias("has_ollama"),
+        (F.col("_lc").contains("cli") | F.col("_lc").contains("command")).alias("has_cli_word"),
     )
 
 

@@ -250,7 +250,7 @@ def rubric_review(draft: Column) -> Column:
     n_ph = F.size(text.placeholders(draft))
     instr = F.lit(0)
     for phrase, _ in K.PLACEHOLDER_ISSUES[1:3]:
-        instr = instr + (F.instr(draft, phrase) > 0).cast("int")
+        instr = instr + draft.contains(phrase).cast("int")
     heading = F.exists(F.split(draft, "\n", -1), lambda x: x.startswith("#")).cast("int")
     score = F.greatest(F.lit(0), F.lit(100) - F.least(n_ph, F.lit(4)) * 15 - instr * 10 - (1 - heading) * 20)
     return F.concat(F.lit("SCORE: "), score.cast("string"), F.lit("\n"), text.placeholder_report(draft))

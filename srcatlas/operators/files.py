@@ -27,7 +27,7 @@ def _sniff_reasons(head: Column, size: Column, min_share: float) -> list[tuple[s
     printable = F.length(F.regexp_replace(latin, r"[^\x20-\x7e\t\n\r]", ""))
     n = F.length(head)
     return [
-        ("nul_byte", F.instr(latin, "\u0000") > 0),
+        ("nul_byte", latin.contains("\u0000")),
         ("not_text", (n > 0) & (printable / n < F.lit(min_share))),
     ]
 

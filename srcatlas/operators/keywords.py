@@ -77,7 +77,7 @@ def keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     w = Window.partitionBy("doc_id")
     scored = counts.withColumn("score", F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(w)))
     if candidates is None:
-        scored = scored.where((F.instr("term", " ") == 0) & (F.length("term") > 2))
+        scored = scored.where((~F.col("term").contains(" ")) & (F.length("term") > 2))
     else:
         scored = scored.join(candidates.select("doc_id", "term"), ["doc_id", "term"], "left_semi")
     return _top(scored, top_n).select("doc_id", "term", "score", "rank")
