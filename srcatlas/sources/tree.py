@@ -3,9 +3,10 @@
 ``spark.read.format("source_tree").option("paths", "/repos/a,/repos/b")``
 lists every regular file under the roots (dotfiles, ``__init__.py``,
 ``_private/`` dirs and empty files included). The driver lists only the
-first level of each root; each input partition walks its share of those
-subtrees on an executor, so listing a corpus of millions of files is
-spread over the cluster. ``size_bytes`` bounds are pushed into the scan
+top directory levels (names, breadth-first, until there are enough
+shards); each input partition walks its share of those subtrees on an
+executor, so listing a corpus of millions of files is spread over the
+cluster. ``size_bytes`` bounds are pushed into the scan
 (no bytes are read for files outside them), and ``content=false`` gives a
 listing pass without bytes: filter the listing, then ``read_contents``.
 """
@@ -30,7 +31,7 @@ TREE_SCHEMA = ("repo string, repo_source string, rel_path string, size_bytes big
 
 
 class _Shard(InputPartition):
-    def __init__(self, index: int, items: list[tuple[str, str]]):
+    def __init__(self, index: int, items: list[tuple[str, str, bool]]):
         super().__init__(index)
         self.items = items
 
@@ -62,17 +63,37 @@ class _TreeReader(DataSourceReader):
             yield f
 
     def partitions(self):
-        items: list[tuple[str, str]] = []
-        for root in self.roots:
-            try:
-                names = sorted(os.listdir(root))
-            except OSError:
-                continue
-            items += [(root, n) for n in names]
+        """Shards of the tree. Directories are expanded breadth-first on the
+        driver (names only, no file stats) until there are ``shards * 8``
+        items or four levels, so a repository with everything under one
+        folder is still spread over many tasks. An item is a file, a
+        directory walked whole, or a directory's own files only."""
+        target = self.shards * 8
+        items: list[tuple[str, str, bool]] = []   # (root, rel, recursive)
+        frontier: list[tuple[str, str]] = [(root, "") for root in self.roots]
+        for depth in range(4):
+            nxt: list[tuple[str, str]] = []
+            for root, rel in frontier:
+                base = os.path.join(root, rel) if rel else root
+                try:
+                    names = sorted(os.listdir(base))
+                except OSError:
+                    continue
+                for n in names:
+                    r = f"{rel}/{n}" if rel else n
+                    full = os.path.join(root, r)
+                    if os.path.isdir(full) and not os.path.islink(full):
+                        nxt.append((root, r))
+                    else:
+                        items.append((root, r, False))
+            if len(items) + len(nxt) >= target or depth == 3:
+                items += [(root, r, True) for root, r in nxt]
+                break
+            frontier = nxt
         n = max(1, min(self.shards, len(items)))
-        buckets: list[list[tuple[str, str]]] = [[] for _ in range(n)]
-        for root, name in items:
-            buckets[zlib.crc32(f"{root}/{name}".encode()) % n].append((root, name))
+        buckets: list[list[tuple[str, str, bool]]] = [[] for _ in range(n)]
+        for it in items:
+            buckets[zlib.crc32(f"{it[0]}/{it[1]}".encode()) % n].append(it)
         return [_Shard(i, b) for i, b in enumerate(buckets)]
 
     def _row(self, root: str, path: str):
@@ -97,9 +118,9 @@ class _TreeReader(DataSourceReader):
                 datetime.fromtimestamp(st.st_mtime, tz=timezone.utc).replace(tzinfo=None), data)
 
     def read(self, partition: _Shard):
-        for root, name in partition.items:
-            top = os.path.join(root, name)
-            if os.path.isdir(top) and not os.path.islink(top):
+        for root, rel, recursive in partition.items:
+            top = os.path.join(root, rel)
+            if recursive:
                 for d, dirs, files in os.walk(top):
                     dirs.sort()
                     for fname in sorted(files):
@@ -134,23 +155,30 @@ def scan_tree(spark: SparkSession, roots: list[str], content: bool = True, shard
             .option("content", str(content).lower()).option("shards", str(shards)).load())
 
 
-def read_contents(listing: DataFrame) -> DataFrame:
+def read_contents(listing: DataFrame, max_batch_bytes: int = 64 << 20) -> DataFrame:
     """Second pass: bytes of the listed (already filtered) files, read in
-    executor batches."""
+    executor batches; an output batch is flushed once it holds
+    ``max_batch_bytes`` of file content, so memory stays bounded however
+    many files a listing batch names."""
     schema = listing.drop("content").schema.add("content", "binary")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf.drop(columns=["content"], errors="ignore")
-            data = []
-            for root, rel in zip(pdf["repo_source"], pdf["rel_path"]):
+            pdf = pdf.drop(columns=["content"], errors="ignore").reset_index(drop=True)
+            start, data, held = 0, [], 0
+            for i, (root, rel) in enumerate(zip(pdf["repo_source"], pdf["rel_path"])):
                 try:
                     with open(os.path.join(root, rel), "rb") as fh:
-                        data.append(fh.read())
+                        b = fh.read()
                 except OSError:
-                    data.append(None)
-            pdf["content"] = data
-            yield pdf
+                    b = None
+                data.append(b)
+                held += len(b) if b else 0
+                if held >= max_batch_bytes:
+                    yield pdf.iloc[start:i + 1].assign(content=data)
+                    start, data, held = i + 1, [], 0
+            if start < len(pdf):
+                yield pdf.iloc[start:].assign(content=data)
     return listing.drop("content").mapInPandas(run, schema)
 
 

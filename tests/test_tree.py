@@ -82,3 +82,21 @@ def test_documents_and_chunks_from_tree(spark, repo):
     docs = fo.build_documents(files, modified_col="modified")
     assert docs.count() == files.where(fo.min_content(F.col("content"))).count()
     assert chunk(docs, mode="auto", threshold=5).count() >= docs.count()
+
+
+def test_one_folder_repo_is_split_into_shards(spark, tmp_path):
+    root = tmp_path / "deep"
+    for i in range(40):
+        p = root / "src" / f"pkg{i}" / "mod.py"
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(f"def f{i}():\n    return {i}\n")
+    df = tree.scan_tree(spark, [str(root)], shards=8)
+    assert df.rdd.getNumPartitions() > 1
+    assert df.count() == 40
+
+
+def test_read_contents_small_batches(spark, repo):
+    listing = tree.scan_tree(spark, [repo], content=False)
+    full = {r.rel_path: r.content for r in tree.scan_tree(spark, [repo]).collect()}
+    got = {r.rel_path: r.content for r in tree.read_contents(listing, max_batch_bytes=16).collect()}
+    assert got == full
