@@ -143,6 +143,15 @@ def read_repo(table: DataFrame, sources: list[str] | None = None, repo_ids: list
     return out.orderBy(order) if order else out
 
 
+def read_table(spark, path: str, repo_ids: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """A stored table (parquet partitioned by ``repo_id``); with ``repo_ids``
+    only those partitions are listed and read (partition pruning)."""
+    t = spark.read.parquet(path)
+    if repo_ids:
+        t = t.where(F.col("repo_id").isin(*repo_ids))
+    return t.orderBy(order) if order else t
+
+
 def _repo_id_str(source: str) -> str:
     import hashlib
     return "repo_" + hashlib.md5(source.encode("utf-8")).hexdigest()[:12]

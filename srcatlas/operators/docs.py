@@ -242,6 +242,14 @@ def doc_metadata(ctx: DataFrame, scores: DataFrame | None = None) -> DataFrame:
                      F.to_json(meta).alias("metadata_json"))
 
 
+def write_docs(docs: DataFrame, path: str) -> None:
+    """Document sink: ``docs(repo_id, file_name, body, metadata_json)`` as
+    parquet partitioned by repository (dynamic overwrite: re-runs replace
+    only the repositories present)."""
+    (docs.select("repo_id", "file_name", "body", "metadata_json").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(path))
+
+
 # --- review rounds -------------------------------------------------------------------------
 
 def rubric_review(draft: Column) -> Column:

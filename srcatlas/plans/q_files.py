@@ -9,6 +9,7 @@ from .. import constants as K
 from ..functions import paths, text
 from ..operators import chunking, files as fo
 from ..operators.catalog import chunk_distribution, repo_totals, read_repo
+from ..sources import fixtures as fx
 from . import duck as D
 from . import inputs as I
 from .registry import query
@@ -197,3 +198,36 @@ def metadata_path(spark, sf):
     js = F.to_json(F.struct("source_file", "chunk_num", "repo"))
     repr_ = F.concat(F.lit("{'source_file': '"), F.col("source_file"), F.lit("', 'chunk_num': "), F.col("chunk_num").cast("string"), F.lit("}"))
     return c.select("chunk_id", text.metadata_path(js).alias("path_from_json"), text.metadata_path(repr_).alias("path_from_repr"))
+
+
+# --- O05, O15, O16: bytes -> sniff -> text ---------------------------------------------------
+
+def _doc_bytes(spark, sf):
+    """documents as raw bytes: UTF-8 for most rows, Latin-1 (lossy) for every
+    seventh row, with CR LF line ends in every fifth row."""
+    d = fx.table(spark, sf, "documents")
+    txt = F.when(F.col("doc_id") % 5 == 0, F.regexp_replace("text", "\n", "\r\n")).otherwise(F.col("text"))
+    enc = F.when(F.col("doc_id") % 7 == 0, F.encode(txt, "ISO-8859-1")).otherwise(F.encode(txt, "UTF-8"))
+    return d.select("doc_id", "text", enc.alias("bytes"))
+
+
+@query("decode_text")
+def decode_text(spark, sf):
+    """Bytes decoded as UTF-8, else Latin-1, newlines normalised (never raises)."""
+    from ..sources.tree import decode_text as dec
+    b = _doc_bytes(spark, sf)
+    out = b.select("doc_id", dec(F.col("bytes")).alias("content"))
+    return out.select("doc_id", F.length("content").cast("bigint").alias("n_chars"),
+                      F.md5("content").alias("content_md5"))
+
+
+@query("sniff_binary")
+def sniff_binary(spark, sf):
+    """NUL byte / printable-ASCII share of the first KB, at the stricter 0.9
+    share so the multilingual rows exercise the rule."""
+    from ..sources.tree import head
+    b = _doc_bytes(spark, sf).select("doc_id", F.col("bytes").alias("content"),
+                                     F.concat(F.lit("f/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel_path"),
+                                     F.octet_length("bytes").cast("bigint").alias("size_bytes"))
+    b = b.withColumn("head", head(F.col("content")))
+    return b.select("doc_id", fo.policy_reason(b, "ingest", head_col="head", min_printable=0.9).alias("reason"))
