@@ -43,7 +43,9 @@ def chunk_fixed(documents: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K
     stride = size - overlap
     n = F.length("content")
     last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(stride)).cast("int"))
-    exploded = documents.select(
+    from .partitioning import spread
+    docs = spread(documents.select("doc_id", "repo_id", "repo", "file_path", "content"))
+    exploded = docs.select(
         "doc_id", "repo_id", "repo", F.col("file_path").alias("source_file"), "content",
         F.posexplode(F.sequence(F.lit(0), last)).alias("chunk_num", "k"))
     raw = exploded.select(
@@ -166,7 +168,8 @@ def chunk(documents: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK
         raise ValueError(f"unknown chunk mode {mode!r}")
     nbytes = F.coalesce(F.col("metadata.file_size"), F.octet_length("content")) \
         if "metadata" in documents.columns else F.octet_length("content")
-    src = documents.select("doc_id", "repo_id", "repo", "file_path", "content", nbytes.cast("bigint").alias("nbytes"))
+    from .partitioning import spread
+    src = spread(documents.select("doc_id", "repo_id", "repo", "file_path", "content", nbytes.cast("bigint").alias("nbytes")))
     raw = src.mapInPandas(_chunker(size, overlap, mode, threshold), _RAW_SCHEMA)
     return _finish(raw)
 

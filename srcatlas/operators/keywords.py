@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as tx
+from .partitioning import spread
 
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 
@@ -44,7 +45,7 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     after stop-word removal); a partial aggregate."""
     from pyspark.ml.feature import NGram
     sw = K.default_stop_words() if stop_words is None else stop_words
-    t = _tokenize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), F.col("text"), sw)
+    t = _tokenize(spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), F.col("text"), sw)
     g = NGram(n=2, inputCol="_t", outputCol="_bg").transform(t)
     ex = g.select("doc_id", F.explode(F.concat("_t", "_bg")).alias("term"))
     return ex.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
@@ -55,7 +56,7 @@ def candidate_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Distinct (id, term): words of the preprocessed text longer than two
     characters that are not stop words (the part-of-speech rule is not built)."""
     sw = K.default_stop_words() if stop_words is None else stop_words
-    t = _tokenize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
+    t = _tokenize(spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))),
                   tx.preprocess(F.col("text")), sw, min_len=min_len)
     return t.select("doc_id", F.explode("_t").alias("term")).distinct()
 

@@ -1,0 +1,18 @@
+"""Partitioning helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, target: int | None = None) -> DataFrame:
+    """Round-robin repartition before CPU-heavy per-row work (tokenising,
+    embedding, Python chunking), only when ``df`` has fewer partitions than
+    the cluster's parallelism, e.g. one small file with a single row group.
+    Inputs that already arrive in many splits are returned unchanged, so at
+    scale this adds no shuffle. Round-robin output is deterministic on
+    retry (rows are sorted before the split)."""
+    n = target or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n)

@@ -69,6 +69,8 @@ def _hashing_embedder(df: DataFrame, dim: int, text_col: str) -> DataFrame:
 def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]] | None = None,
           dim: int = K.EMBEDDING_DIM, text_col: str = "content", batch_size: int = 50) -> DataFrame:
     """Adds ``vector``; rows whose vector fails validation are dropped."""
+    from .partitioning import spread
+    chunks = spread(chunks)
     if embedder is None:
         out = _hashing_embedder(chunks, dim, text_col)
     else:

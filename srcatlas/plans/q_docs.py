@@ -30,7 +30,8 @@ NL = "chr(10)"
 def corpus(spark, sf):
     docs = I.documents(spark, sf).unionByName(I.code_documents(spark, sf))
     chunks = chunking.chunk_fixed(docs)
-    repos = cat.build_repositories(docs, chunks, cat.repo_digest(I.files(spark, sf)))
+    # Only id and source of each repository are needed here (no digest pass).
+    repos = docs.select(F.col("repo_id").alias("id"), F.col("repo_source").alias("source")).distinct()
     return repos, docs, chunks
 
 

@@ -2,8 +2,8 @@
 
 Each statement is valid unchanged in Spark SQL and DuckDB. ``{documents}``,
 ``{pages}``, ``{embeddings}`` and ``{fx_files}`` are table slots: Spark fills
-them with DataFrames over the parquet files (see ``spread``), the oracle
-with the registered views.
+them with direct parquet references, the oracle with the registered
+views.
 Every view is a per-row projection of a driver table, so its size grows with
 the table.
 """
@@ -94,31 +94,15 @@ def _fill(sql: str, slots: dict[str, str]) -> str:
     return sql
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition to the cluster's parallelism, only when the
-    scan has fewer input partitions than that (e.g. one small file with a
-    single row group). Large inputs already arrive in many splits and are
-    returned unchanged, so this never adds a shuffle at scale."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view as a lazy DataFrame over the parquet tables of ``sf_dir``."""
-    sql = SPARK_VIEWS[name]
-    slots = [t for t in BASE_TABLES + ["fx_files"] if "{" + t + "}" in sql]
-    frames = {t: (view(spark, sf_dir, t) if t == "fx_files" else table(spark, sf_dir, t)) for t in slots}
-    # spark.sql formats ``{name}`` slots with DataFrames: escape every other brace.
-    text = sql.replace("{", "{{").replace("}", "}}")
-    for t in slots:
-        text = text.replace("{{" + t + "}}", "{" + t + "}")
-    return spark.sql(text, **frames)
+    slots = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in BASE_TABLES}
+    slots["fx_files"] = "(" + _fill(FX_FILES, slots) + ") AS fx_files_src"
+    return spark.sql(_fill(SPARK_VIEWS[name], slots))
 
 
 def duckdb_cte(*names: str) -> str:
