@@ -90,10 +90,10 @@ def keywords_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sw = K.default_stop_words() if stop_words is None else stop_words
     counts = term_counts(docs, id_col, text_col, sw)
     df_ = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # Exactly one row, so broadcasting it is bounded; joined on a constant key.
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs")).withColumn("_k", F.lit(1))
-    idf = df_.withColumn("_k", F.lit(1)).join(F.broadcast(n_docs), "_k") \
-        .select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    # The document count is a scalar subquery: computed once, inlined as a
+    # value, no join.
+    n_docs = docs.agg(F.count(F.lit(1))).scalar()
+    idf = df_.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
     tfidf = counts.join(idf, "term").withColumn("w", F.col("n") * F.col("idf"))
     wd = Window.partitionBy("doc_id")
     scored = tfidf.withColumn("score", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(wd)))
