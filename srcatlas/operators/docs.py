@@ -194,10 +194,11 @@ def reviewer_prompts(drafts: DataFrame, template: str | None = None) -> DataFram
     return drafts.select("repo_id", fill_template(t, vals).alias("prompt"))
 
 
-def revision_prompts(drafts: DataFrame, template: str | None = None) -> DataFrame:
+def revision_prompts(drafts: DataFrame, template: str | None = None, key: str = "repo_id") -> DataFrame:
+    """Prompt to revise ``draft`` given its ``review`` and the context report."""
     t = template if template is not None else load_template("revision_template.md")
     vals = dict(_context_values(drafts), previous=F.col("draft"), review=F.col("review"))
-    return drafts.select("repo_id", fill_template(t, vals).alias("prompt"))
+    return drafts.select(key, fill_template(t, vals).alias("prompt"))
 
 
 def render_doc(ctx: DataFrame) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import catalog as cat
 from ..operators import chunking, docs as dc
+from ..sources import fixtures as fx
 from . import duck as D
 from . import inputs as I
 from .q_analysis import _arch_sql, _category_sql, _fw_flags_sql, _fw_set_sql, _functions_sql, _lang_case, _lang_set_sql
@@ -218,8 +219,7 @@ def _rounds_sql() -> str:
 
     def rewrite(d):
         return fill_sql(clean_sql(d), vals)
-    return draft_context_sql().replace("WITH fx_drafts AS", "WITH fx_reviews AS (" + __import__(
-        "srcatlas.sources.fixtures", fromlist=["x"]).FX_REVIEWS.replace("{documents}", "documents").strip() + "),\nfx_drafts AS", 1).rstrip("\n") + f""",
+    return draft_context_sql().replace("WITH fx_drafts AS", "WITH fx_reviews AS (" + fx.FX_REVIEWS.replace("{documents}", "documents").strip() + "),\nfx_drafts AS", 1).rstrip("\n") + f""",
 r1 AS (SELECT x.*, {score_sql('v.review')} AS s1 FROM dctx x JOIN fx_reviews v ON v.doc_id = x.doc_id),
 r2 AS (SELECT *, CASE WHEN s1 >= {K.TARGET_SCORE} THEN draft ELSE {rewrite('draft')} END AS d2 FROM r1),
 r3 AS (SELECT *, {_rubric_sql('d2')} AS s2 FROM r2),
@@ -288,3 +288,18 @@ def generation_summary(spark, sf):
 SELECT CASE WHEN success THEN 'ok' ELSE 'failed' END AS status, count(*) AS n FROM res GROUP BY 1""")
 def run_outcomes(spark, sf):
     return dc.run_outcomes(results(spark, sf))
+
+
+@query("revision_prompts", lambda: docs_ctes([
+    ("rv", "SELECT doc_id, repo AS draft_repo, draft FROM (" + fx.FX_DRAFTS.replace("{documents}", "documents") + ")"),
+    ("rw", "SELECT doc_id, review FROM (" + fx.FX_REVIEWS.replace("{documents}", "documents") + ")"),
+]) + f"""
+SELECT d.doc_id, {_template_sql(dc.load_template('revision_template.md'), dict(_sql_vals(), previous='d.draft', review='w.review'))} AS prompt
+FROM rv d JOIN rw w ON w.doc_id = d.doc_id JOIN rep ON rep.repo_id = {D.repo_id("'/data/' || d.draft_repo")}""")
+def revision_prompts(spark, sf):
+    """Each draft with its review and its repository's analysis report."""
+    from ..functions import paths
+    drafts = fx.view(spark, sf, "fx_drafts").join(fx.view(spark, sf, "fx_reviews"), "doc_id")
+    drafts = drafts.withColumn("repo_id", paths.repo_id(F.concat(F.lit("/data/"), F.col("repo")))).drop("repo")
+    d = drafts.join(report(spark, sf), "repo_id")
+    return dc.revision_prompts(d, key="doc_id")
