@@ -131,15 +131,18 @@ def build_repositories(documents: DataFrame, chunks: DataFrame, digests: DataFra
                       "content_hash", ts.alias("processed_at"))
 
 
-def read_repo(table: DataFrame, sources: list[str] | None = None, repo_ids: list[str] | None = None,
+def read_repo(table: DataFrame, sources: list[str] | None = None, repo_ids: list[str] | DataFrame | None = None,
               order: str | None = None) -> DataFrame:
-    """Rows of the given repositories (a partition filter when the table is
-    stored partitioned by ``repo_id``), ordered by ``order`` when given."""
-    ids = list(repo_ids or [])
-    cond = F.col("repo_id").isin(*ids) if ids else F.lit(False)
-    if sources:
-        cond = cond | F.col("repo_id").isin(*[_repo_id_str(s) for s in sources])
-    out = table.where(cond)
+    """Rows of the given repositories, ordered by ``order`` when given.
+
+    ``repo_ids`` may be a short literal list (a partition filter on a table
+    stored partitioned by ``repo_id``) or a DataFrame of ids computed by
+    another job (a left-semi join; AQE broadcasts it when it is small)."""
+    if isinstance(repo_ids, DataFrame):
+        out = table.join(repo_ids.select("repo_id").distinct(), "repo_id", "left_semi")
+    else:
+        ids = list(repo_ids or []) + [_repo_id_str(s) for s in (sources or [])]
+        out = table.where(F.col("repo_id").isin(*ids)) if ids else table.limit(0)
     return out.orderBy(order) if order else out
 
 

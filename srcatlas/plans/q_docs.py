@@ -12,7 +12,7 @@ import re
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..operators import catalog as cat
+from ..functions import paths
 from ..operators import chunking, docs as dc
 from ..sources import fixtures as fx
 from . import duck as D
@@ -263,7 +263,7 @@ FROM srcs s LEFT JOIN (SELECT repo_id, count(*) AS n FROM cchunks GROUP BY 1) n
 
 def results(spark, sf):
     _, _, chunks = corpus(spark, sf)
-    repos = sources(spark, sf).select(cat.paths.repo_id("source").alias("id"), "source").distinct()
+    repos = sources(spark, sf).select(paths.repo_id("source").alias("id"), "source").distinct()
     return dc.generation_results(repos, chunks)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -168,20 +167,32 @@ def chunk_distribution_ext_q(spark, sf):
 
 # --- O07, O99: table reads for one repository ---------------------------------------------
 
-SAMPLE_SOURCE = "/data/src3"
+def _needs_update(spark, sf):
+    """Repositories whose digest changed since the stored tables (O70)."""
+    from .q_catalog import current_digests, sources, stored_tables
+    from ..operators.catalog import repo_changes
+    ch = repo_changes(sources(spark, sf), current_digests(spark, sf), stored_tables(spark, sf)["repositories"])
+    return ch.where(F.col("action") != "unchanged").select("repo_id")
 
 
-@query("repo_chunks", lambda: D.std_ctes() + f"""
-SELECT chunk_id, chunk_num, size FROM chunks WHERE repo_id = {D.repo_id(R(SAMPLE_SOURCE))}""")
+def _needs_update_sql() -> str:
+    from .q_catalog import _ctes
+    return _ctes([("todo", "SELECT DISTINCT repo_id FROM changes WHERE action <> 'unchanged'")])
+
+
+@query("repo_chunks", lambda: _needs_update_sql() + """
+SELECT chunk_id, chunk_num, size FROM chunks WHERE repo_id IN (SELECT repo_id FROM todo)""")
 def repo_chunks(spark, sf):
-    c = read_repo(I.chunks(spark, sf), [SAMPLE_SOURCE], order="chunk_id")
+    """Chunks of every repository that needs an update, in chunk-id order."""
+    c = read_repo(I.chunks(spark, sf), repo_ids=_needs_update(spark, sf), order="chunk_id")
     return c.select("chunk_id", F.col("chunk_num").cast("bigint").alias("chunk_num"), F.col("size").cast("bigint").alias("size"))
 
 
-@query("repo_documents", lambda: D.std_ctes() + f"""
-SELECT file_path, content_preview FROM docs WHERE repo_id = {D.repo_id(R(SAMPLE_SOURCE))}""")
+@query("repo_documents", lambda: _needs_update_sql() + """
+SELECT file_path, content_preview FROM docs WHERE repo_id IN (SELECT repo_id FROM todo)""")
 def repo_documents(spark, sf):
-    d = read_repo(I.documents(spark, sf), [SAMPLE_SOURCE], order="file_path")
+    """Documents of every repository that needs an update, in path order."""
+    d = read_repo(I.documents(spark, sf), repo_ids=_needs_update(spark, sf), order="file_path")
     return d.select("file_path", "content_preview")
 
 

@@ -38,20 +38,19 @@ def _file_no(col: str) -> F.Column:
     return F.regexp_extract(col, r"([0-9]+)", 1).cast("bigint")
 
 
-def _first_chunks(spark, sf):
-    c = I.chunks(spark, sf).where(F.col("chunk_num") == 0)
-    return c.withColumn("vec_id", _file_no("source_file"))
+def _keyed_chunks(spark, sf):
+    """Every chunk, keyed by the number in its file name (the vector key)."""
+    return I.chunks(spark, sf).withColumn("vec_id", _file_no("source_file"))
 
 
 @query("chunk_vectors", lambda: D.std_ctes(extra=[("fx_vectors_", "SELECT 1")]).replace(
     "WITH fx_files AS", "WITH fx_vectors AS (" + fx.FX_VECTORS_DUCKDB.replace("{embeddings}", "embeddings").strip() + "),\nfx_files AS", 1) + f"""
 SELECT c.chunk_id, v.vec_id, CASE WHEN v.vec_id IS NULL THEN 'missing' ELSE {_status_sql('v.vector')} END AS status
-FROM chunks c LEFT JOIN fx_vectors v ON v.vec_id = CAST(regexp_extract(c.source_file, '([0-9]+)', 1) AS BIGINT)
-WHERE c.chunk_num = 0""")
+FROM chunks c LEFT JOIN fx_vectors v ON v.vec_id = CAST(regexp_extract(c.source_file, '([0-9]+)', 1) AS BIGINT)""")
 def chunk_vectors(spark, sf):
-    """First chunk of every file paired with the vector of the same number;
-    chunks without a vector are reported, not dropped with their batch."""
-    chunks = _first_chunks(spark, sf)
+    """Every chunk paired with the vector of its file's number; chunks
+    without a vector are reported, not dropped with their batch."""
+    chunks = _keyed_chunks(spark, sf)
     vectors = fx.view(spark, sf, "fx_vectors")
     matched, unmatched = vec.join_vectors(chunks, vectors, key="vec_id")
     m = matched.select("chunk_id", "vec_id", vf.vector_status("vector", DIM).alias("status"))
@@ -62,7 +61,7 @@ def chunk_vectors(spark, sf):
 @query("embedding_points")
 def embedding_points(spark, sf):
     """Vector-store rows for the valid matched vectors (point ids are xxhash64)."""
-    chunks = _first_chunks(spark, sf)
+    chunks = _keyed_chunks(spark, sf)
     vectors = vec.valid_vectors(fx.view(spark, sf, "fx_vectors"), DIM)
     matched, _ = vec.join_vectors(chunks, vectors, key="vec_id")
     pts = vec.embedding_points(matched, model="fixture-64")

@@ -10,8 +10,8 @@ partition overwrite, so a retried batch rewrites the same partitions
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..operators import catalog as cat
 from ..operators import chunking, files as fo
 
@@ -22,7 +22,7 @@ def refresh(tables: dict[str, DataFrame], files: DataFrame, to_rebuild: DataFram
     rebuild -> new tables, and the rebuilt repo ids."""
     ids = to_rebuild.select("repo_id").distinct()
     kept, _ = cat.delete_repos(tables, ids)
-    f = files.withColumn("repo_id", cat.paths.repo_id("repo_source")).join(ids, "repo_id", "left_semi").drop("repo_id")
+    f = files.withColumn("repo_id", paths.repo_id("repo_source")).join(ids, "repo_id", "left_semi").drop("repo_id")
     docs = fo.load_documents(f)
     chunks = chunking.chunk(docs, mode=chunk_mode)
     repos = cat.build_repositories(docs, chunks, cat.repo_digest(f))
