@@ -266,13 +266,17 @@ def rubric_review(draft: Column) -> Column:
 
 
 def revise(drafts: DataFrame, values: dict[str, Column] | None = None, target: int = K.TARGET_SCORE,
-           rounds: int = K.MAX_ROUNDS, first_review: str | None = None) -> DataFrame:
+           rounds: int = K.MAX_ROUNDS, first_review: str | None = None,
+           checkpoint_every: int | None = None) -> DataFrame:
     """Score-gated rounds, unrolled: review; stop at ``target``; otherwise
     rewrite (clean preamble, fill placeholders) unless it was the last round.
 
     ``drafts`` has ``draft`` plus the context columns named in ``values``;
     ``first_review`` optionally names a column holding round one's review.
-    Adds ``final_draft``, ``final_score``, ``rounds``.
+    With ``checkpoint_every=k`` the plan is cut every k rounds by a
+    checkpoint in the folder named by ``spark.checkpoint.dir`` (for many
+    rounds; the default three need none). Adds ``final_draft``,
+    ``final_score``, ``rounds``.
     """
     df = drafts.withColumn("_d", F.col("draft")).withColumn("_done", F.lit(False)) \
         .withColumn("_score", F.lit(K.DEFAULT_SCORE)).withColumn("_rounds", F.lit(0))
@@ -287,6 +291,10 @@ def revise(drafts: DataFrame, values: dict[str, Column] | None = None, target: i
             rewrite = text.fill_placeholders(text.clean_response(F.col("_d")), values or {})
             df = df.withColumn("_d", F.when(active & ~reached, rewrite).otherwise(F.col("_d")))
         df = df.withColumn("_done", F.col("_done") | reached)
+        if checkpoint_every and i % checkpoint_every == 0 and i < rounds:
+            from ..session import ensure_checkpoint_dir
+            ensure_checkpoint_dir(df.sparkSession)
+            df = df.checkpoint(eager=True)
     return df.withColumnRenamed("_d", "final_draft").withColumnRenamed("_score", "final_score") \
         .withColumnRenamed("_rounds", "rounds").drop("_done")
 

@@ -74,3 +74,14 @@ def test_recursive_spark_matches_python(spark):
                                "doc_id string, repo_id string, repo string, file_path string, content string")
     got = [r.content for r in chunk(df, mode="recursive").orderBy("chunk_num").collect()]
     assert got == split_recursive(text)
+
+
+def test_revise_with_checkpoint_matches(spark):
+    from pyspark.sql import functions as F
+    from srcatlas.operators.docs import revise
+    df = spark.createDataFrame([(1, "Here\n# {{Project Name}}\nDescribe the x", "r"), (2, "# fine", "r")],
+                               "id int, draft string, repo_name string")
+    vals = {k: F.col("repo_name") for k in ["repo_name", "languages", "frameworks", "repo_source", "project_dir"]}
+    a = sorted(map(tuple, revise(df, vals, rounds=5).select("id", "final_score", "rounds", "final_draft").collect()))
+    b = sorted(map(tuple, revise(df, vals, rounds=5, checkpoint_every=2).select("id", "final_score", "rounds", "final_draft").collect()))
+    assert a == b and a[0][1] >= 85
