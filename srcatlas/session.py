@@ -60,3 +60,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark)
+
+
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a cluster run over ``input_bytes`` of raw input.
+
+    Scan splits and shuffle partitions are sized so a task handles about
+    ``target_partition_bytes`` (fits executor memory, spills rarely); the
+    shuffle partition count is at least two waves of the cluster's cores.
+    AQE then coalesces small partitions and splits skewed ones (a key holding
+    a large share of the rows is cut into several tasks)."""
+    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
+    }

@@ -89,3 +89,10 @@ def test_metadata_path(spark):
     assert one(spark, text.metadata_path, '{"source_file": "a/b.py"}') == "a/b.py"
     assert one(spark, text.metadata_path, "{'source_file': 'a/b.py'}") == ""
     assert one(spark, text.metadata_path, "garbage") == ""
+
+
+def test_scale_conf():
+    from srcatlas.session import scale_conf
+    c = scale_conf(100 * 2**40, 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert int(scale_conf(10, 16)["spark.sql.shuffle.partitions"]) == 32
