@@ -53,12 +53,15 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def candidate_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     stop_words: list[str] | None = None, min_len: int = 3) -> DataFrame:
-    """Distinct (id, term): words of the preprocessed text longer than two
-    characters that are not stop words (the part-of-speech rule is not built)."""
+    """(id, term): distinct words of each text's preprocessed form, longer
+    than two characters and not stop words (the part-of-speech rule is not
+    built). Words are de-duplicated inside each row, so with one row per id
+    the pairs are distinct without a shuffle (and a semi join against them
+    does not care about repeats)."""
     sw = K.default_stop_words() if stop_words is None else stop_words
     t = _tokenize(spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))),
                   tx.preprocess(F.col("text")), sw, min_len=min_len)
-    return t.select("doc_id", F.explode("_t").alias("term")).distinct()
+    return t.select("doc_id", F.explode(F.array_distinct("_t")).alias("term"))
 
 
 def _top(scored: DataFrame, n: int) -> DataFrame:
@@ -75,12 +78,18 @@ def keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     ``(doc_id, term)`` the features are intersected with it by a join."""
     sw = K.default_stop_words() if stop_words is None else stop_words
     counts = term_counts(docs, id_col, text_col, sw)
-    w = Window.partitionBy("doc_id")
-    scored = counts.withColumn("score", F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(w)))
     if candidates is None:
+        # L2 norm over all of a text's terms by a window, then the rule filter.
+        w = Window.partitionBy("doc_id")
+        scored = counts.withColumn("score", F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(w)))
         scored = scored.where((~F.col("term").contains(" ")) & (F.length("term") > 2))
     else:
-        scored = scored.join(candidates.select("doc_id", "term"), ["doc_id", "term"], "left_semi")
+        # The counts are already partitioned by (doc_id, term), so only the
+        # candidate side moves for the semi join; the norms are a small
+        # per-document aggregate joined to the (fewer) surviving rows.
+        norms = counts.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("_norm"))
+        kept = counts.join(candidates.select("doc_id", "term"), ["doc_id", "term"], "left_semi")
+        scored = kept.join(norms, "doc_id").select("doc_id", "term", (F.col("n") / F.col("_norm")).alias("score"))
     return _top(scored, top_n).select("doc_id", "term", "score", "rank")
 
 
