@@ -189,9 +189,10 @@ def repo_status_q(spark, sf):
 
 
 @query("repo_status_totals", lambda: _ctes() + """
-SELECT count(*) AS total, count_if(type = 'online') AS online, count_if(type = 'local') AS local,
-  count_if(stored_hash IS NOT NULL) AS has_stored_hash, count_if(repo_id IN (SELECT id FROM stored_repos)) AS exists_in_db,
-  count_if(action <> 'unchanged') AS needs_update FROM changes""")
+SELECT count(*) AS total, CAST(count_if(type = 'online') AS BIGINT) AS online, CAST(count_if(type = 'local') AS BIGINT) AS local,
+  CAST(count_if(stored_hash IS NOT NULL) AS BIGINT) AS has_stored_hash,
+  CAST(count_if(repo_id IN (SELECT id FROM stored_repos)) AS BIGINT) AS exists_in_db,
+  CAST(count_if(action <> 'unchanged') AS BIGINT) AS needs_update FROM changes""")
 def repo_status_totals_q(spark, sf):
     return cat.status_totals(repo_status_q(spark, sf))
 

@@ -277,7 +277,7 @@ def generation_results(spark, sf):
 
 
 @query("generation_summary", lambda: _results_sql() + f"""
-SELECT count_if(success) AS successful, count(*) AS total,
+SELECT CAST(count_if(success) AS BIGINT) AS successful, count(*) AS total,
   round(avg(CASE WHEN success THEN {K.DEFAULT_SCORE} END), 2) AS avg_score, CAST(sum(total_chunks_analyzed) AS BIGINT) AS total_chunks
 FROM res""")
 def generation_summary(spark, sf):

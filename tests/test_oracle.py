@@ -11,6 +11,8 @@ import __spark_entry__ as E
 
 ORACLES = E.oracle_sql()
 QUERIES = E.queries()
+_TYPE = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
+         "float": "FLOAT", "timestamp": "TIMESTAMP"}
 TABLES = ["documents", "embeddings", "pages", "events", "conversations", "labels", "benchmark"]
 
 
@@ -48,9 +50,12 @@ def test_every_query_has_a_callable():
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF_SMALL)
     s_cols, s_rows = _rows(df.columns, [tuple(r) for r in df.collect()])
-    res = con.execute(ORACLES[name])
-    d_cols, d_rows = _rows([d[0] for d in res.description], res.fetchall())
+    rel = con.sql(ORACLES[name])
+    d_cols, d_rows = _rows(rel.columns, rel.fetchall())
     assert s_cols == d_cols
+    s_types = {f.name: _TYPE.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    d_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert s_types == d_types
     assert len(s_rows) == len(d_rows)
     assert s_rows == d_rows
 
