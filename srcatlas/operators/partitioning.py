@@ -12,7 +12,9 @@ def spread(df: DataFrame, target: int | None = None) -> DataFrame:
     Inputs that already arrive in many splits are returned unchanged, so at
     scale this adds no shuffle. Round-robin output is deterministic on
     retry (rows are sorted before the split)."""
-    n = target or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
+    try:
+        n = target or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): leave as is
         return df
-    return df.repartition(n)
+    return df if have >= n else df.repartition(n)
