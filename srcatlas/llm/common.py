@@ -14,7 +14,7 @@ from ..session import checkpoint_dir
 
 #: Bytes of one Arrow batch handed to a Python task: bounds a task's memory
 #: whatever the number of rows (a longer text is one batch of its own).
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -198,20 +198,17 @@ def document_digests(files: DataFrame) -> DataFrame:
             for row in b.to_pylist():
                 with open_file(row["path"], False) as source:
                     r = FrameReader(source)
-                    out, before = [], 0
+                    out, before = [], row["before"]
                     for i in range(len(r)):
                         ids = r.ids(i)
-                        out.append((row["file_no"], r.doc_id(i), before, len(ids), ids_crc32(ids)))
+                        out.append((r.doc_id(i), before, len(ids), ids_crc32(ids)))
                         before += len(ids)
-                    yield transposed(out, 5)
+                    yield transposed(out, 4)
 
+    numbered = files.select("path", "n_tokens", F.col("file_no").cast("long").alias("place"))
+    placed = exclusive_prefix(numbered, [], "place", {"before": "n_tokens"}).select("path", "before")
     n = max(1, files.count())
-    spread = files.select("file_no", "path").repartition(n, "file_no")
-    rows = map_batches(spread, "file_no int, doc_id long, inside long, n_tokens long, ids_crc32 long", run)
-    numbered = files.select("file_no", "n_tokens").withColumn("place", F.col("file_no").cast("long"))
-    before = exclusive_prefix(numbered, [], "place", {"before": "n_tokens"}).select("file_no", "before")
-    return rows.join(before, "file_no").select(
-        "doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    return map_batches(placed.repartition(n), "doc_id long, start long, n_tokens long, ids_crc32 long", run)
 
 
 def documents_as_frames(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:

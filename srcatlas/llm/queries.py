@@ -44,3 +44,23 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     from .op10_license_scan import scan_licenses
     return scan_licenses(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
+
+
+@_query
+def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    from .op06_quality_rules import judge, quality_rules
+    docs = table(spark, sf, "documents")
+    return judge(docs, quality_rules(docs, table(spark, sf, "labels")))
+
+
+@_query
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    from .op09_toxicity import fit, score_documents
+    docs = table(spark, sf, "documents")
+    return score_documents(docs, fit(docs, table(spark, sf, "labels")))
+
+
+@_query
+def op7_token_groups(spark: SparkSession, sf: str) -> DataFrame:
+    from .op07_token_groups import linked_components
+    return linked_components(table(spark, sf, "documents"))

@@ -7,7 +7,7 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import islice, pairwise
+from itertools import islice
 
 import numpy as np
 
@@ -15,11 +15,11 @@ import numpy as np
 #: two non-space characters. None of the supported pre-tokenizers has a token
 #: over such a place, so ids of chunks concatenate to the ids of the text.
 _CUT = re.compile(r"(?<=[^\s]) (?=[^\s])")
-#: Texts in which some space does not stand between two non-space characters.
-_ODD = re.compile(r"\A | \s|\s | \Z")
+#: A word of letters with marks at its end.
+_MARKED = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
 #: Distinct chunks a Python worker remembers; further ones are encoded once a
 #: batch. It changes the time taken only.
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 300_000
 #: Chunks longer than this are encoded each time, not remembered.
 MEMO_CHARS = 64
 
@@ -115,24 +115,47 @@ class Encoder:
         self._ids = np.zeros(1 << 16, np.uint32)
         self._starts = np.zeros(1 << 14, np.int64)
         self._lens = np.zeros(1 << 14, np.int64)
+        self._odd = np.zeros(1 << 14, bool)
         self._used = 0
 
     def _learn(self) -> None:
-        new, memo = self._memo.new, self._memo
-        if not new:
+        """Encode the new chunks. Marks at the end of a word are tokens of
+        their own in every supported tokenizer, so the word's ids, often
+        known already, are followed by theirs."""
+        memo = self._memo
+        if not memo.new:
             return
-        first = len(memo) - len(new)
-        found = self._encode([" " + c for c in new])
-        lens = np.fromiter(map(len, found), np.int64, len(found))
+        first = len(memo) - len(memo.new)
+        marked = {}
+        for c in memo.new.copy():
+            m = _MARKED.fullmatch(c)
+            if m is not None:
+                marked[c] = (memo[m[1]], m[2])
+        new = memo.new
+        plain = [c for c in new if c not in marked]
+        of = dict(zip(plain, self._encode([" " + c for c in plain])))
+        tails = sorted({t for _, t in marked.values()})
+        tail_ids = dict(zip(tails, self._encode(tails)))
+        lens = np.fromiter((len(of[c]) if c in of else -1 for c in new), np.int64, len(new))
+        ids: list = [of.get(c) for c in new]
+        for i, c in enumerate(new):
+            if lens[i] < 0:
+                n, tail = marked[c]
+                at = n - first
+                word = ids[at] if at >= 0 else self._ids[self._starts[n]:self._starts[n] + self._lens[n]]
+                ids[i] = [*word, *tail_ids[tail]]
+                lens[i] = len(ids[i])
         total = int(lens.sum())
         while self._used + total > len(self._ids):
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
         while len(memo) > len(self._starts):
             self._starts = np.concatenate([self._starts, np.zeros_like(self._starts)])
             self._lens = np.concatenate([self._lens, np.zeros_like(self._lens)])
+            self._odd = np.concatenate([self._odd, np.zeros_like(self._odd)])
         if total:
-            self._ids[self._used:self._used + total] = np.concatenate([np.asarray(f, np.uint32) for f in found])
+            self._ids[self._used:self._used + total] = np.concatenate([np.asarray(f, np.uint32) for f in ids])
         self._lens[first:len(memo)] = lens
+        self._odd[first:len(memo)] = [self._edged(c) for c in new]
         self._starts[first:len(memo)] = self._used + np.cumsum(lens) - lens
         self._used += total
         memo.new = []
@@ -151,32 +174,45 @@ class Encoder:
     def batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """uint32 ids of each text in turn (null or empty: none)."""
         self._trim()
-        memo, known = self._memo, self._memo.__getitem__
-        plan, heads = [], []
-        for text in texts:
-            if not text:
-                plan.append(None)
-                continue
-            chunks = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-            heads.append(chunks[0])
-            del chunks[0]
-            if chunks and len(max(chunks, key=len)) > MEMO_CHARS:
-                cut, pieces = [-1, *(i for i, c in enumerate(chunks) if len(c) > MEMO_CHARS), len(chunks)], []
-                for a, b in pairwise(cut):
-                    pieces.append(np.array([known(c) for c in chunks[a + 1:b]], np.int64))
-                    if b < len(chunks):
-                        pieces.append(np.asarray(self._encode([" " + chunks[b]])[0], np.uint32))
-                plan.append(pieces)
-            else:
-                plan.append([np.fromiter(map(known, chunks), np.int64, len(chunks))])
+        plan: list = [text and self._numbers(text.split(" ")) for text in texts]
         self._learn()
-        first = iter(self._encode(heads))
-        for pieces in plan:
-            if pieces is None:
+        for i, found in enumerate(plan):
+            # some space is not between two non-space characters: cut again
+            if found and (found[0] != found[0].strip() or not found[0] or self._odd[found[1]].any()
+                          or any(self._edged(c) for _, c in found[2])):
+                plan[i] = self._numbers(_CUT.split(texts[i]))
+        self._learn()
+        first = iter(self._encode([found[0] for found in plan if found]))
+        for found in plan:
+            if not found:
                 yield np.zeros(0, np.uint32)
-            else:
-                yield np.concatenate([np.asarray(next(first), np.uint32),
-                                      *(p if p.dtype == np.uint32 else self._gather(p) for p in pieces)])
+                continue
+            _, numbers, long = found
+            parts, at = [np.asarray(next(first), np.uint32)], 0
+            for place, chunk in long:
+                parts += [self._gather(numbers[at:place]), np.asarray(self._encode([" " + chunk])[0], np.uint32)]
+                at = place
+            yield np.concatenate([*parts, self._gather(numbers[at:])])
+
+    @staticmethod
+    def _edged(chunk: str) -> bool:
+        return not chunk or chunk[0].isspace() or chunk[-1].isspace()
+
+    def _numbers(self, chunks: list[str]) -> tuple[str, np.ndarray, list[tuple[int, str]]]:
+        """First chunk, numbers of the short chunks after it, and the long
+        chunks with the place among the numbers where each one stands."""
+        head = chunks[0]
+        del chunks[0]
+        long: list[tuple[int, str]] = []
+        if chunks and len(max(chunks, key=len)) > MEMO_CHARS:
+            short = []
+            for c in chunks:
+                if len(c) > MEMO_CHARS:
+                    long.append((len(short), c))
+                else:
+                    short.append(c)
+            chunks = short
+        return head, np.fromiter(map(self._memo.__getitem__, chunks), np.int32, len(chunks)), long
 
     def _gather(self, which: np.ndarray) -> np.ndarray:
         lens = self._lens[which]
