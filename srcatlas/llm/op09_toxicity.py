@@ -35,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
+from .common import gram_hashes, hash_words, map_batches, stored, text_bytes, word_bounds
 
 #: Labelled rows that the lexicon and the model are fitted on, at most.
 FIT_ROWS = 20_000
 #: Entries of the lexicon, at most: the best by documents they mark.
 LEXICON_TERMS = 2_000
-#: A term must stand in this many toxic training texts, and in toxic ones for
-#: this share of the texts that hold it.
-MIN_TEXTS, MIN_SHARE = 5, 0.9
+#: A term must stand in this many toxic training texts, and in this share of
+#: them; and toxic ones must be this share of the texts that hold it.
+MIN_TEXTS, MIN_SPREAD, MIN_SHARE = 5, 0.01, 0.9
 #: Lengths of stems; a stem joins this many different words, none of which
 #: makes up more than this share of it.
 STEM_LENGTHS, STEM_WORDS, STEM_TOP = range(3, 8), 4, 0.6
@@ -59,7 +59,7 @@ ADDRESS = frozenset("you your youre u du ihr dein tu toi vous tus eres".split())
 
 
 def edits_for(term: str) -> int:
-    """Edits allowed for a lexicon word of this length."""
+    """Most edits for a lexicon word of this length."""
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
@@ -69,18 +69,21 @@ class FuzzyLexicon:
 
     STATES = 100_000
 
-    def __init__(self, words: list[str], stems: list[str]):
+    def __init__(self, words: dict[str, int], stems: list[str]):
+        """words: lexicon words with the edits that each one allows."""
         self._kids: list[dict[str, int]] = [{}]
         self._word: list[str | None] = [None]
         self._stem: list[bool] = [False]
         self._most = [0]                                # edits allowed below a node
-        for terms, stem in ((words, False), (stems, True)):
-            for t in terms:
-                self._add(t, stem)
+        self._edits = words
+        for t, k in words.items():
+            self._add(t, False, k)
+        for t in stems:
+            self._add(t, True, 0)
         self._start_over()
 
-    def _add(self, term: str, stem: bool) -> None:
-        at, k = 0, 0 if stem else edits_for(term)
+    def _add(self, term: str, stem: bool, k: int) -> None:
+        at = 0
         self._most[0] = max(self._most[0], k)
         for c in term:
             if c not in self._kids[at]:
@@ -122,7 +125,7 @@ class FuzzyLexicon:
             self._number[pairs] = len(self._sets)
             self._sets.append(pairs)
             self._next.append({})
-            hits = [(e, self._word[n]) for n, e in pairs if self._word[n] is not None and e <= edits_for(self._word[n])]
+            hits = [(e, self._word[n]) for n, e in pairs if self._word[n] is not None and e <= self._edits[self._word[n]]]
             # 3: by a stem; else the number of edits
             stems = [(3, "*") for n, e in pairs if self._stem[n] and e == 0]
             self._hit.append(min(hits + stems)[::-1] if hits or stems else None)
@@ -169,12 +172,16 @@ class _Known(dict):
         return hit
 
 
-N_FEATURES = 10
+#: What a hit of 0, 1 or 2 edits counts.
+HIT_WORTH = (1.0, 0.9, 0.8)
+#: Where the weights are drawn to while the labels say nothing else: plain
+#: hits, quoted hits, hits by a stem, any plain hit, plain hits a 100 words.
+PRIOR = np.array([2.0, -0.5, 1.0, 1.0, 0.2])
 
 
 @dataclass
 class ToxicityModel:
-    words: list[str]
+    words: dict[str, int]
     stems: list[str]
     weights: np.ndarray
     bias: float
@@ -197,11 +204,12 @@ class ToxicityModel:
 
     def features(self, text: str | None, hits: list | None = None) -> list[float]:
         hits = (self.hits(text) if text else []) if hits is None else hits
-        counts = np.zeros(8)
-        for _, _, edits, _, context in hits:
-            counts[edits * 2 + (context > 0)] += 1
-        plain, n = float(counts[::2].sum()), len(WORD.findall(text)) if hits else 0
-        return [*np.log1p(counts).tolist(), min(1.0, plain), min(5.0, 100 * plain / n if n else 0.0)]
+        plain = sum(HIT_WORTH[e] for *_, e, _, context in hits if e < 3 and context <= 0)
+        quoted = sum(HIT_WORTH[min(e, 2)] for *_, e, _, context in hits if context > 0)
+        stem = sum(e == 3 and context <= 0 for *_, e, _, context in hits)
+        n = len(WORD.findall(text)) if hits else 0
+        return [math.log1p(plain), math.log1p(quoted), math.log1p(stem), min(1.0, plain + stem),
+                min(5.0, 100 * (plain + stem) / n if n else 0.0)]
 
     def score(self, text: str | None, hits: list | None = None) -> float:
         x = self.features(text, hits)
@@ -223,15 +231,32 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The sample that the model is fitted on: (text, toxic)."""
+    """The sample that the model is fitted on: (text, toxic). Of copies and
+    near copies (equal smallest hash of the three-word runs) one row teaches."""
     known = labels.select("doc_id", F.col("toxic").alias("__toxic")).where("__toxic is not null") \
         .where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     rows = docs.select("doc_id", "text").join(sample, "doc_id")
-    return stored(rows.select("text", F.col("__toxic").cast("int").alias("toxic")), "toxic-sample").repartition(
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for b in batches:
+            yield [b.column(0), b.column(1), b.column(2), [_smallest_run(t) for t in b.column(1).to_pylist()]]
+
+    marked = stored(map_batches(rows.select(F.col("doc_id").cast("long"), "text", F.col("__toxic").cast("int")),
+                                "doc_id long, text string, toxic int, run long", run), "toxic-sample")
+    first = stored(marked.groupBy("run", "toxic").agg(F.min("doc_id").alias("doc_id")), "toxic-first")
+    return marked.join(first, ["run", "toxic", "doc_id"], "left_semi").select("text", "toxic").repartition(
         max(2, docs.sparkSession.sparkContext.defaultParallelism))
 
 
+def _smallest_run(text: str | None) -> int:
+    raw, off = text_bytes(pa.array([text], pa.string()))
+    starts, ends, _ = word_bounds(raw, off)
+    words = hash_words(raw, starts, ends)
+    runs = gram_hashes(words, 3) if len(words) >= 3 else words
+    return int(runs.min().astype(np.uint64).view(np.int64)) if len(runs) else 0
+
+
 def learn_lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
     """Words and stems that mark toxic texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -245,8 +270,10 @@ def learn_lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
     by_word = stored(map_batches(rows.select("text", "toxic"), "word string, bad long, good long", run).groupBy("word").agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good")), "toxic-words")
 
+    toxic = rows.where("toxic = 1").count()
+
     def chosen(counts: DataFrame) -> DataFrame:
-        return counts.where(F.col("bad") >= MIN_TEXTS).where(F.col("bad") >= MIN_SHARE * (F.col("bad") + F.col("good")))
+        return counts.where(F.col("bad") >= max(MIN_TEXTS, MIN_SPREAD * toxic)).where(F.col("bad") >= MIN_SHARE * (F.col("bad") + F.col("good")))
 
     stems = by_word.where(F.length("word") >= min(STEM_LENGTHS)).select(
         F.explode(F.array(*[F.substring("word", 1, n) for n in STEM_LENGTHS])).alias("stem"), "word", "bad", "good")
@@ -266,9 +293,27 @@ def learn_lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
     return [w for w in words if not any(w.startswith(k) for k in kept)], kept
 
 
-#: Where the weights are drawn to while the labels say nothing else: plain
-#: and quoted hits of 0, 1, 2 edits and stems; any plain hit; hits a 100 words.
-PRIOR = np.array([2.0, -0.5, 0.5, -0.5, 0.3, -0.5, 1.0, -0.5, 1.0, 0.2])
+def _checked_edits(rows: DataFrame, words: list[str]) -> dict[str, int]:
+    """The edits each lexicon word may allow: as many as its length does, but
+    fewer where what they find in the training rows is not toxic."""
+    trial = ToxicityModel({w: edits_for(w) for w in words}, [], PRIOR, 0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for b in batches:
+            seen: Counter = Counter()
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for term, edits in {(t, e) for _, t, e, _, _ in trial.hits(text or "") if e}:
+                    seen[term, edits, y] += 1
+            yield [[k[0] for k in seen], [k[1] for k in seen], [n * k[2] for k, n in seen.items()],
+                   [n * (1 - k[2]) for k, n in seen.items()]]
+
+    got = map_batches(rows.select("text", "toxic"), "term string, edits int, bad long, good long", run).groupBy(
+        "term", "edits").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect()
+    out = dict(trial.words)
+    for r in got:
+        if r["good"] and r["bad"] < MIN_SHARE * (r["bad"] + r["good"]):
+            out[r["term"]] = min(out[r["term"]], r["edits"] - 1)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -277,9 +322,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     counts = {r["toxic"]: r["count"] for r in n}
     if not counts.get(0) or not counts.get(1):
         share = 1 - 1e-9 if counts.get(1) else 1e-9
-        return ToxicityModel([], [], np.zeros(N_FEATURES), math.log(share / (1 - share)))
+        return ToxicityModel({}, [], np.zeros(len(PRIOR)), math.log(share / (1 - share)))
     words, stems = learn_lexicon(rows)
-    model = ToxicityModel(words, stems, PRIOR.copy(), -3.0)
+    model = ToxicityModel(_checked_edits(rows, words), stems, PRIOR.copy(), -3.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for b in batches:

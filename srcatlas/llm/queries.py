@@ -64,3 +64,9 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op7_token_groups(spark: SparkSession, sf: str) -> DataFrame:
     from .op07_token_groups import linked_components
     return linked_components(table(spark, sf, "documents"))
+
+
+@_query
+def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    from .op05_decontamination import contaminated_pairs
+    return contaminated_pairs(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
