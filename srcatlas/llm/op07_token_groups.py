@@ -11,15 +11,16 @@ Steps (links are exact; the first steps only save work):
 1. Documents with equal sets form a class; one of them stands for it.
 2. Buckets of equal min-hashes propose stars (the bucket's smallest document
    and every other one); pairs are compared exactly, links give components.
-3. Each component is cut by size into groups of at most ``GROUP`` documents.
-   A document's row of the matrix needs its rarest shingles only: two
+3. Similar documents (a component's, or those that share a large bucket) are
+   cut by size into groups of ``GROUP`` documents on average. A document's row of the matrix needs its rarest shingles only: two
    documents that link share a shingle among the ``prefix`` rarest of either,
    and of a document's prefix all but ``n - overlap`` shingles stand in the
    other one. Rarity is the count of a shingle's bucket among ``BUCKETS``;
    any fixed order is right, so nothing depends on the counts being exact.
-4. Groups of different components that share matrix entries are counted; where
-   the count reaches the bound, the two groups are opened. One link joins the
-   components, so a pair of groups is left at its first link.
+4. Matrix entries that two groups share are counted, unless both are of one
+   component. Where the count reaches the bound, the two groups are opened, as
+   is each group of several components by itself: all overlaps of a block are
+   one product of membership matrices.
 5. Components of both kinds of links are the result.
 
 Copies never meet pairwise: a hot group of copies is one class, one of near
@@ -77,11 +78,6 @@ def shingle_sets(texts, k: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def overlap_needed(n: int, m: int, percent: int = PERCENT) -> int:
-    """Smallest intersection with which sets of n and m shingles link."""
-    return -(-percent * (n + m) // (100 + percent))
-
-
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     """Rarest shingles among which a linked document shares one."""
     return n - -(-percent * n // 100) + 1 if n else 0
@@ -181,81 +177,124 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _opened(blocks: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Open blocks (k1, k2, side, first, doc_id): compare the documents of
-    side 0 (the queries) with those of side 1 (the group). Returns links (a, b).
-
-    The union of the group's shingles bounds each query first. With one
-    component on either side, the first link is enough (``first`` true)."""
+    """Open blocks (k1, k2, side, unit, doc_id): compare the documents of side
+    0 (the queries) with those of side 1 (the group), or all of side 0 where
+    there is no side 1. Returns links (a, b), enough to join every two units
+    (components) that some link joins."""
     def run(table: pa.Table) -> pa.Table:
         sides = table.column("side").to_numpy()
-        first = bool(table.column("first")[0].as_py())
-        ids = table.column("doc_id").to_pylist()
-        sets = list(shingle_sets(table.column("text")))
-        group = [i for i in range(len(ids)) if sides[i] == 1 and len(sets[i])]
-        links = []
-        if group:
-            union = np.unique(np.concatenate([sets[i] for i in group]))
-            smallest = min(len(sets[i]) for i in group)
-            for q in (i for i in range(len(ids)) if sides[i] == 0 and len(sets[i])):
-                n = len(sets[q])
-                least = overlap_needed(n, max(smallest, -(-percent * n // 100)), percent)
-                if len(np.intersect1d(sets[q], union, assume_unique=True)) < least:
-                    continue
-                for m in group:
-                    both = _links(sets[q], sets[m], percent)
-                    if both and ids[q] != ids[m]:
-                        links.append((ids[q], ids[m]))
-                        if first:
-                            break
-                if links and first:
-                    break
+        links = block_links(list(shingle_sets(table.column("text"))), sides, table.column("doc_id").to_pylist(),
+                            table.column("unit").to_pylist(), percent)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()),
                          "b": pa.array([b for _, b in links], pa.int64())})
 
     blocks = stored(blocks, "blocks")
     bounded_batches(docs.sparkSession)
-    texts = _texts_of(docs, blocks)
-    full = blocks.join(texts, "doc_id").select("k1", "k2", "side", "first", "doc_id", "text")
+    full = blocks.join(_texts_of(docs, blocks), "doc_id").select("k1", "k2", "side", "unit", "doc_id", "text")
     return stored(full.groupBy("k1", "k2").applyInArrow(run, "a long, b long"), "links")
 
 
-def _links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    n, m = len(x), len(y)
-    if 100 * min(n, m) < percent * max(n, m):
-        return False
-    inter = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * inter >= percent * (n + m - inter)
+def block_links(sets: list[np.ndarray], sides: np.ndarray, ids: list[int], units: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links of one block that join units not joined before."""
+    q = [i for i in range(len(ids)) if sides[i] == 0 and len(sets[i])]
+    g = [i for i in range(len(ids)) if sides[i] == 1 and len(sets[i])] if 1 in sides else q
+    if not q or not g:
+        return []
+    nq, ng = np.array([len(sets[i]) for i in q]), np.array([len(sets[i]) for i in g])
+    # the union of the group bounds each query
+    union = np.unique(np.concatenate([sets[i] for i in g]))
+    within = np.array([np.isin(sets[i], union, assume_unique=True, kind="sort").sum() for i in q])
+    smallest = np.maximum(ng.min(), -(-percent * nq // 100))
+    least = -(-percent * (nq + smallest) // (100 + percent))
+    reach = np.flatnonzero(within >= least)
+    if not len(reach):
+        return []
+    q, nq = [q[i] for i in reach], nq[reach]
+    both = overlaps([sets[i] for i in q], [sets[i] for i in g])
+    linked = 100 * both >= percent * (nq[:, None] + ng[None, :] - both)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked)):
+        a, b = find(units[q[i]]), find(units[g[j]])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((ids[q[i]], ids[g[j]]))
+    return out
 
 
-def _star_blocks(reps: DataFrame) -> DataFrame:
-    """Blocks of a bucket's smallest document and up to GROUP others."""
+def overlaps(rows: list[np.ndarray], cols: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
+    """Sizes of all intersections, as products of membership matrices over
+    slices of the shingles that both sides have."""
+    a, b = np.concatenate(rows), np.concatenate(cols)
+    ra, rb = np.repeat(np.arange(len(rows)), list(map(len, rows))), np.repeat(np.arange(len(cols)), list(map(len, cols)))
+    shared = np.intersect1d(a, b)
+    out = np.zeros((len(rows), len(cols)), np.int64)
+    ia, ib = (np.searchsorted(shared, x) for x in (a, b))
+    ka, kb = (np.flatnonzero((i < len(shared)) & (shared[np.minimum(i, len(shared) - 1)] == x)) if len(shared) else np.zeros(0, int)
+              for i, x in ((ia, a), (ib, b)))
+    ia, ra, ib, rb = ia[ka], ra[ka], ib[kb], rb[kb]
+    oa, ob = np.argsort(ia, kind="stable"), np.argsort(ib, kind="stable")
+    ia, ra, ib, rb = ia[oa], ra[oa], ib[ob], rb[ob]
+    for lo in range(0, len(shared), chunk):
+        x, y = np.zeros((len(rows), chunk), np.float32), np.zeros((len(cols), chunk), np.float32)
+        sa = slice(*np.searchsorted(ia, (lo, lo + chunk)))
+        sb = slice(*np.searchsorted(ib, (lo, lo + chunk)))
+        x[ra[sa], ia[sa] - lo] = 1
+        y[rb[sb], ib[sb] - lo] = 1
+        out += (x @ y.T).astype(np.int64)
+    return out
+
+
+def _buckets(reps: DataFrame) -> DataFrame:
+    """(doc_id, leader, size) for each min-hash bucket of more than one
+    document that a document is in; the leader is its smallest document."""
     keyed = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     leader = keyed.groupBy("band", "key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    pairs = keyed.join(stored(leader, "leaders"), ["band", "key"]).where("doc_id <> leader").select("leader", "doc_id").distinct()
-    pairs = stored(pairs, "stars")
+    return stored(keyed.join(stored(leader, "leaders"), ["band", "key"]).select("doc_id", "leader", "size"), "buckets")
+
+
+def _star_blocks(buckets: DataFrame) -> DataFrame:
+    """Blocks of a bucket's smallest document and up to GROUP others."""
+    pairs = stored(buckets.where("doc_id <> leader").select("leader", "doc_id").distinct(), "stars")
     sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
     dealt = pairs.join(stored(sizes, "star-sizes"), "leader").withColumn(
         "part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
     block = (F.col("leader").alias("k1"), F.col("part").alias("k2"))
-    first = F.lit(False).alias("first")
-    return dealt.select(*block, F.lit(1).alias("side"), first, "doc_id").unionByName(
-        dealt.select(*block, F.lit(0).alias("side"), first, F.col("leader").alias("doc_id")).distinct())
-
-
-def _grouped(reps: DataFrame, comp: DataFrame) -> DataFrame:
-    """(doc_id, component, group, lo, hi): components cut by size into groups
-    (named by their smallest document) whose sizes run from lo to hi."""
-    d = stored(reps.select("doc_id", "n").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "component", F.coalesce("component", "doc_id")).withColumn(
+    return dealt.select(*block, F.lit(1).alias("side"), F.col("doc_id").alias("unit"), "doc_id").unionByName(
+        dealt.select(*block, F.lit(0).alias("side"), F.col("leader").alias("unit"), F.col("leader").alias("doc_id")).distinct())
+
+
+def _grouped(reps: DataFrame, comp: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(doc_id, component, group, unit, lo, hi): similar documents in groups
+    (named by their smallest document) whose sizes run from lo to hi.
+
+    A component's documents go together, and so do the other documents whose
+    largest bucket has the same leader: they are alike, though not linked.
+    ``unit`` is the component where a group has one only, else the group."""
+    family = buckets.groupBy("doc_id").agg(F.max(F.struct("size", -F.col("leader"))).alias("top")).select(
+        "doc_id", (-F.col("top.col2")).alias("family"))
+    d = reps.select("doc_id", "n").join(family, "doc_id", "left").join(
+        comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    d = stored(d.select(
+        "doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.col("component").isNotNull().alias("joined"),
+        F.coalesce("component", "family", "doc_id").alias("family"),
         # sizes that may link lie close together
-        "scale", F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(PERCENT / 100)))), "grouped")
-    sizes = d.groupBy("component", "scale").agg(F.ceil(F.count("*") / GROUP).alias("parts")).where("parts > 1")
-    cut = d.join(stored(sizes, "component-sizes"), ["component", "scale"], "left").withColumn(
+        F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(PERCENT / 100))).alias("scale")), "grouped")
+    keys = ["family", "joined", "scale"]
+    sizes = d.groupBy(*keys).agg(F.ceil(F.count("*") / GROUP).alias("parts")).where("parts > 1")
+    cut = d.join(stored(sizes, "family-sizes"), keys, "left").withColumn(
         "part", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))))
-    named = cut.groupBy("component", "scale", "part").agg(
-        F.min("doc_id").alias("group"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    return stored(cut.join(stored(named, "group-names"), ["component", "scale", "part"]).select(
-        "doc_id", "component", "group", "lo", "hi"), "groups")
+    named = cut.groupBy(*keys, "part").agg(
+        F.min("doc_id").alias("group"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("size"))
+    return stored(cut.join(stored(named, "group-names"), [*keys, "part"]).select(
+        "doc_id", "component", "group", F.when(F.col("joined"), F.col("component")).otherwise(F.col("group")).alias("unit"),
+        "lo", "hi", "size"), "groups")
 
 
 def _need(hi: Column, lo_other: Column) -> Column:
@@ -269,29 +308,32 @@ def _need(hi: Column, lo_other: Column) -> Column:
 
 
 def _candidate_groups(signed: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of groups (g1, g2) of different components whose shared matrix
-    entries reach the bound."""
-    entries = signed.where("n > 0").select("doc_id", "prefix").join(groups, "doc_id").select(
-        "group", "component", "lo", "hi", F.explode("prefix").alias("token"))
-    # a shingle that one component has only cannot join two
-    kept = stored(entries.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where(
-        "c0 <> c1").select("token"), "matrix-shingles")
-    matrix = stored(entries.join(kept, "token", "left_semi").distinct(), "matrix")
-    side = lambda i: matrix.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("group", "component", "lo", "hi")])
+    """Pairs of groups (group1, group2) of different units whose shared matrix
+    entries reach the bound, and groups of several documents with themselves."""
+    entries = signed.where("n > 0").select("doc_id", "prefix").join(groups.select("doc_id", "group", "unit"), "doc_id").select(
+        "group", "unit", F.explode("prefix").alias("token"))
+    # a shingle that one unit has only cannot join two
+    kept = stored(entries.groupBy("token").agg(F.min("unit").alias("u0"), F.max("unit").alias("u1")).where(
+        "u0 <> u1").select("token"), "matrix-shingles")
+    sizes = stored(groups.select("group", "unit", "lo", "hi", "size").distinct(), "group-sizes")
+    matrix = stored(entries.join(kept, "token", "left_semi").distinct().join(sizes.select("group", "lo", "hi"), "group"), "matrix")
+    side = lambda i: matrix.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("group", "unit", "lo", "hi")])
     met = side(1).join(side(2), "token").where(
-        "group1 < group2 and component1 <> component2"
+        "group1 < group2 and unit1 <> unit2"
         f" and 100 * hi2 >= {PERCENT} * lo1 and 100 * hi1 >= {PERCENT} * lo2")
     shared = met.groupBy("group1", "group2").agg(
         F.count("*").alias("shared"), *[F.first(c).alias(c) for c in ("lo1", "hi1", "lo2", "hi2")])
-    return stored(shared.where(F.col("shared") >= F.least(
-        _need(F.col("hi1"), F.col("lo2")), _need(F.col("hi2"), F.col("lo1")))).select("group1", "group2"), "candidates")
+    pairs = shared.where(F.col("shared") >= F.least(
+        _need(F.col("hi1"), F.col("lo2")), _need(F.col("hi2"), F.col("lo1")))).select("group1", "group2")
+    mixed = sizes.where("unit = group and size > 1").select(F.col("group").alias("group1"), F.col("group").alias("group2"))
+    return stored(pairs.unionByName(mixed), "candidates")
 
 
 def _group_blocks(groups: DataFrame, pairs: DataFrame) -> DataFrame:
-    of = groups.select("doc_id", "group")
-    sides = [pairs.join(of.withColumnRenamed("group", g), g).select(
-        F.col("group1").alias("k1"), F.col("group2").alias("k2"), F.lit(side).alias("side"),
-        F.lit(True).alias("first"), "doc_id") for side, g in enumerate(("group1", "group2"))]
+    of = groups.select("doc_id", "group", F.col("component").alias("unit"))
+    sides = [(pairs if side == 0 else pairs.where("group1 <> group2")).join(of.withColumnRenamed("group", g), g).select(
+        F.col("group1").alias("k1"), F.col("group2").alias("k2"), F.lit(side).alias("side"), "unit", "doc_id")
+        for side, g in enumerate(("group1", "group2"))]
     return sides[0].unionByName(sides[1])
 
 
@@ -310,8 +352,9 @@ def linked_components(docs: DataFrame) -> DataFrame:
     classes = stored(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = stored(signed.where("n > 0").select("doc_id", "n", "f1", "f2", "bands").join(
         classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "n", "f1", "f2"]), "reps")
-    edges = _opened(_star_blocks(reps), docs).unionByName(_shared_ids(known, classes))
-    groups = _grouped(reps, components(edges))
+    buckets = _buckets(reps)
+    edges = _opened(_star_blocks(buckets), docs).unionByName(_shared_ids(known, classes))
+    groups = _grouped(reps, components(edges), buckets)
     links = _opened(_group_blocks(groups, _candidate_groups(signed, groups)), docs)
     comp = components(edges.unionByName(links))
     placed = stored(classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(

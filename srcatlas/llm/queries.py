@@ -70,3 +70,10 @@ def op7_token_groups(spark: SparkSession, sf: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     from .op05_decontamination import contaminated_pairs
     return contaminated_pairs(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@_query
+def op4_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    from .op04_main_text import fit_pages, main_texts
+    pages = table(spark, sf, "pages")
+    return main_texts(pages, fit_pages(pages))
