@@ -44,7 +44,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> Dat
             if not b.num_rows:
                 continue
             out = out or open_file(path, True)
-            for ids in encoder(tokenizer).batch(b.column(1).to_pylist()):
+            for ids in encoder(tokenizer).batch(b.column(1)):
                 if len(ids) and int(ids.max()) >= end_id:
                     raise ValueError("an id of the text is not below the end-of-document id")
                 out.write(np.append(ids, np.uint32(end_id)).astype(ID).tobytes())

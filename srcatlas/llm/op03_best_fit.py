@@ -48,7 +48,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: in
         row = whole = TaskContext.get().partitionId() << 40
         for b in batches:
             out = []
-            for d, ids in zip(b.column(0).to_pylist(), encoder(tokenizer).batch(b.column(1).to_pylist())):
+            for d, ids in zip(b.column(0).to_pylist(), encoder(tokenizer).batch(b.column(1))):
                 ids = np.append(ids, np.uint32(end_id))
                 for p, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at:at + capacity]

@@ -141,7 +141,7 @@ def write_frames(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
                 path = f"{folder}/{part:06d}-{uuid.uuid4().hex}.zst"
                 out = open_file(path, True)
                 writer = FrameWriter(out)
-            for d, ids in zip(b.column(0).to_pylist(), encoder(tokenizer).batch(b.column(1).to_pylist())):
+            for d, ids in zip(b.column(0).to_pylist(), encoder(tokenizer).batch(b.column(1))):
                 writer.add(d, np.append(ids, np.uint32(end_id)))
                 n_docs += 1
         if writer is not None:

@@ -7,19 +7,19 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A cut between two of these chunks lies before one space that stands between
 #: two non-space characters. None of the supported pre-tokenizers has a token
 #: over such a place, so ids of chunks concatenate to the ids of the text.
 _CUT = re.compile(r"(?<=[^\s]) (?=[^\s])")
-#: A word of letters with marks at its end.
-_MARKED = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
 #: Distinct chunks a Python worker remembers; further ones are encoded once a
 #: batch. It changes the time taken only.
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 600_000
 #: Chunks longer than this are encoded each time, not remembered.
 MEMO_CHARS = 64
 
@@ -103,11 +103,16 @@ class _Memo(dict):
         return n
 
 
+def _edged(chunk: str) -> bool:
+    return not chunk or chunk[0].isspace() or chunk[-1].isspace()
+
+
 class Encoder:
     """Ids of texts by a tokenizer file, exact, in bounded memory.
 
     Chunks are kept with the space before them left off; the first chunk of
-    a text has none and is encoded by itself."""
+    a text has none and is encoded by itself. Each distinct chunk of a batch
+    is looked up once."""
 
     def __init__(self, path: str):
         self._encode = _encoder(path)
@@ -118,107 +123,87 @@ class Encoder:
         self._odd = np.zeros(1 << 14, bool)
         self._used = 0
 
-    def _learn(self) -> None:
-        """Encode the new chunks. Marks at the end of a word are tokens of
-        their own in every supported tokenizer, so the word's ids, often
-        known already, are followed by theirs."""
-        memo = self._memo
-        if not memo.new:
-            return
-        first = len(memo) - len(memo.new)
-        marked = {}
-        for c in memo.new.copy():
-            m = _MARKED.fullmatch(c)
-            if m is not None:
-                marked[c] = (memo[m[1]], m[2])
-        new = memo.new
-        plain = [c for c in new if c not in marked]
-        of = dict(zip(plain, self._encode([" " + c for c in plain])))
-        tails = sorted({t for _, t in marked.values()})
-        tail_ids = dict(zip(tails, self._encode(tails)))
-        lens = np.fromiter((len(of[c]) if c in of else -1 for c in new), np.int64, len(new))
-        ids: list = [of.get(c) for c in new]
-        for i, c in enumerate(new):
-            if lens[i] < 0:
-                n, tail = marked[c]
-                at = n - first
-                word = ids[at] if at >= 0 else self._ids[self._starts[n]:self._starts[n] + self._lens[n]]
-                ids[i] = [*word, *tail_ids[tail]]
-                lens[i] = len(ids[i])
+    def _append(self, found: list) -> tuple[np.ndarray, np.ndarray]:
+        """Store ids of chunks; their starts and lengths."""
+        lens = np.fromiter(map(len, found), np.int64, len(found))
         total = int(lens.sum())
         while self._used + total > len(self._ids):
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-        while len(memo) > len(self._starts):
-            self._starts = np.concatenate([self._starts, np.zeros_like(self._starts)])
-            self._lens = np.concatenate([self._lens, np.zeros_like(self._lens)])
-            self._odd = np.concatenate([self._odd, np.zeros_like(self._odd)])
         if total:
-            self._ids[self._used:self._used + total] = np.concatenate([np.asarray(f, np.uint32) for f in ids])
-        self._lens[first:len(memo)] = lens
-        self._odd[first:len(memo)] = [self._edged(c) for c in new]
-        self._starts[first:len(memo)] = self._used + np.cumsum(lens) - lens
+            self._ids[self._used:self._used + total] = np.concatenate([np.asarray(f, np.uint32) for f in found])
+        starts = self._used + np.cumsum(lens) - lens
         self._used += total
+        return starts, lens
+
+    def _learn(self) -> None:
+        """Encode the new chunks."""
+        memo, new = self._memo, self._memo.new
+        if not new:
+            return
+        first = len(memo) - len(new)
+        while len(memo) > len(self._starts):
+            for name in ("_starts", "_lens", "_odd"):
+                now = getattr(self, name)
+                setattr(self, name, np.concatenate([now, np.zeros_like(now)]))
+        self._starts[first:len(memo)], self._lens[first:len(memo)] = self._append(self._encode([" " + c for c in new]))
+        self._odd[first:len(memo)] = [_edged(c) for c in new]
         memo.new = []
 
     def _trim(self) -> None:
-        """Forget the chunks past the first MEMO_CHUNKS."""
+        """Forget the chunks past the first MEMO_CHUNKS, and all long ones."""
         memo = self._memo
         if len(memo) > MEMO_CHUNKS:
             for c in list(islice(memo, MEMO_CHUNKS, None)):
                 del memo[c]
-            self._used = int(self._starts[MEMO_CHUNKS])
+        n = len(memo)
+        self._used = int(self._starts[n - 1] + self._lens[n - 1]) if n else 0
 
     def ids(self, text: str | None) -> np.ndarray:
         return next(self.batch([text]))
 
-    def batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """uint32 ids of each text in turn (null or empty: none)."""
+    def batch(self, texts) -> Iterator[np.ndarray]:
+        """uint32 ids of each text in turn (null or empty: none); ``texts`` is
+        an Arrow string column or a list."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        texts = texts.cast(pa.large_string()).fill_null("")
         self._trim()
-        plan: list = [text and self._numbers(text.split(" ")) for text in texts]
-        self._learn()
-        for i, found in enumerate(plan):
-            # some space is not between two non-space characters: cut again
-            if found and (found[0] != found[0].strip() or not found[0] or self._odd[found[1]].any()
-                          or any(self._edged(c) for _, c in found[2])):
-                plan[i] = self._numbers(_CUT.split(texts[i]))
+        split = pc.split_pattern(texts, " ")
+        edges = split.offsets.to_numpy()
+        coded = split.values.dictionary_encode()
+        which, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        short = [c for c in distinct if len(c) <= MEMO_CHARS]
+        numbers = np.fromiter(map(self._memo.__getitem__, short), np.int64, len(short))
         self._learn()
-        first = iter(self._encode([found[0] for found in plan if found]))
-        for found in plan:
-            if not found:
-                yield np.zeros(0, np.uint32)
-                continue
-            _, numbers, long = found
-            parts, at = [np.asarray(next(first), np.uint32)], 0
-            for place, chunk in long:
-                parts += [self._gather(numbers[at:place]), np.asarray(self._encode([" " + chunk])[0], np.uint32)]
-                at = place
-            yield np.concatenate([*parts, self._gather(numbers[at:])])
-
-    @staticmethod
-    def _edged(chunk: str) -> bool:
-        return not chunk or chunk[0].isspace() or chunk[-1].isspace()
-
-    def _numbers(self, chunks: list[str]) -> tuple[str, np.ndarray, list[tuple[int, str]]]:
-        """First chunk, numbers of the short chunks after it, and the long
-        chunks with the place among the numbers where each one stands."""
-        head = chunks[0]
-        del chunks[0]
-        long: list[tuple[int, str]] = []
-        if chunks and len(max(chunks, key=len)) > MEMO_CHARS:
-            short = []
-            for c in chunks:
-                if len(c) > MEMO_CHARS:
-                    long.append((len(short), c))
-                else:
-                    short.append(c)
-            chunks = short
-        return head, np.fromiter(map(self._memo.__getitem__, chunks), np.int32, len(chunks)), long
-
-    def _gather(self, which: np.ndarray) -> np.ndarray:
-        lens = self._lens[which]
-        total = int(lens.sum())
-        at = np.repeat(self._starts[which] - (np.cumsum(lens) - lens), lens)
-        return self._ids[at + np.arange(total)]
+        if len(short) == len(distinct):
+            starts, lens, odd = self._starts[numbers], self._lens[numbers], self._odd[numbers]
+        else:
+            is_short = np.fromiter((len(c) <= MEMO_CHARS for c in distinct), bool, len(distinct))
+            long = [c for c in distinct if len(c) > MEMO_CHARS]
+            starts, lens, odd = (np.zeros(len(distinct), t) for t in (np.int64, np.int64, bool))
+            starts[is_short], lens[is_short], odd[is_short] = self._starts[numbers], self._lens[numbers], self._odd[numbers]
+            starts[~is_short], lens[~is_short] = self._append(self._encode([" " + c for c in long]))
+            odd[~is_short] = [_edged(c) for c in long]
+        # some space is not between two non-space characters: cut elsewhere
+        odd_before = np.concatenate([[0], np.cumsum(odd[which])])
+        n_ids = lens[which]
+        before = np.concatenate([[0], np.cumsum(n_ids)])
+        at = np.repeat(starts[which] - before[:-1], n_ids)
+        at += np.arange(len(at))
+        every = self._ids[at]
+        heads = iter(self._encode([distinct[which[a]] for a in edges[:-1]]))
+        for i, (a, b) in enumerate(pairwise(edges.tolist())):
+            head = next(heads)
+            if odd_before[b] > odd_before[a]:
+                yield self._cut_again(texts[i].as_py())
+            else:
+                yield np.concatenate([np.asarray(head, np.uint32), every[before[a + 1]:before[b]]])
+
+    def _cut_again(self, text: str) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.uint32)
+        head, *rest = _CUT.split(text)
+        return np.concatenate([np.asarray(f, np.uint32) for f in self._encode([head, *[" " + c for c in rest]])])
 
 
 _ENCODERS: dict[str, Encoder] = {}
