@@ -77,3 +77,9 @@ def op4_main_text(spark: SparkSession, sf: str) -> DataFrame:
     from .op04_main_text import fit_pages, main_texts
     pages = table(spark, sf, "pages")
     return main_texts(pages, fit_pages(pages))
+
+
+@_query
+def op2_ctw_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    from .op02_ctw_scoring import score_documents
+    return score_documents(table(spark, sf, "documents"))
