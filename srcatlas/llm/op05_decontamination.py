@@ -33,6 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -275,17 +276,20 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out
 
 
+def _leaks(shared: Broadcast):
+    """A pandas UDF from texts to whether they hold an item of the shard."""
+    @F.pandas_udf("boolean")
+    def leaks(texts: pd.Series) -> pd.Series:
+        got = shared.value.matches(word_hashes(pa.array(texts, pa.string(), from_pandas=True)))
+        bad = np.zeros(len(texts), bool)
+        bad[[d for d, _ in got]] = True
+        return pd.Series(bad)
+
+    return leaks
+
+
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no test item; no shuffle."""
     for shard in build_index(items):
-        shared = docs.sparkSession.sparkContext.broadcast(shard)
-
-        @F.pandas_udf("boolean")
-        def leaks(texts: pd.Series, shared=shared) -> pd.Series:
-            got = shared.value.matches(word_hashes(pa.array(texts, pa.string(), from_pandas=True)))
-            bad = np.zeros(len(texts), bool)
-            bad[[d for d, _ in got]] = True
-            return pd.Series(bad)
-
-        docs = docs.where(~leaks(F.col("text")))
+        docs = docs.where(~_leaks(docs.sparkSession.sparkContext.broadcast(shard))(F.col("text")))
     return docs

@@ -179,16 +179,25 @@ def rejects(rules: list[Rule], of) -> Column:
     return out
 
 
-def labelled_measures(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """Measures of the labelled rows, ``bad`` 1 where the label is 0, and
-    ``grow`` for the two thirds of rows that rules are grown on."""
+#: Counts that the report returns.
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id and the measures of every row, written once: what follows reads
+    these few numbers, and no text moves."""
+    d = with_measures(docs.select("doc_id", "text"))
+    return stored(d.select("doc_id", *[F.col(MEASURES)[m].alias(m) for m in dict.fromkeys(REPORTED + RULE_MEASURES)]), "quality-measures")
+
+
+def labelled(measures_of: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """Measures of the labelled rows that pass the base rule, ``bad`` 1 where
+    the label is 0, and ``grow`` for the two thirds that rules are grown on."""
     known = labels.select("doc_id", F.col(label).alias("__label")).where(F.col("__label").isNotNull()).dropDuplicates(["doc_id"])
-    d = with_measures(docs.select("doc_id", "text").join(known, "doc_id"))
+    d = measures_of.where("not base_failed").join(known, "doc_id")
     return stored(d.select(
-        *[F.col(MEASURES)[m].cast("double").alias(m) for m in RULE_MEASURES],
-        (F.col("__label") == 0).cast("int").alias("bad"),
-        (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 0).alias("grow"),
-        F.col(MEASURES)["base_failed"].alias("base_failed")), "quality-labelled").where("not base_failed")
+        *[F.col(m).cast("double").alias(m) for m in RULE_MEASURES], (F.col("__label") == 0).cast("int").alias("bad"),
+        (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 0).alias("grow")), "quality-labelled")
 
 
 def _cuts(rows: DataFrame) -> dict[str, list[float]]:
@@ -203,7 +212,7 @@ def _cuts(rows: DataFrame) -> dict[str, list[float]]:
 
 
 def learn(rows: DataFrame) -> list[Rule]:
-    """Sequential covering over labelled measures (see ``labelled_measures``)."""
+    """Sequential covering over labelled measures (see ``labelled``)."""
     cuts = _cuts(rows)
     # bin of a row: how many cuts lie below its value; counts of bins give
     # the counts of every threshold by adding up
@@ -292,18 +301,20 @@ def _pruned(rows: DataFrame, grown: list[Condition]) -> Rule | None:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> list[Rule]:
-    return learn(labelled_measures(docs, labels))
+    return learn(labelled(measured(docs), labels))
 
 
-def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+def judge(measures_of: DataFrame, rules: list[Rule]) -> DataFrame:
     """doc_id, the counts, ``base_failed``, the first ``rule`` that rejects
-    (0: none) and ``kept``, for every row."""
-    d = with_measures(docs.select("doc_id", "text"))
-    of = lambda m: F.col(MEASURES)[m]
-    d = d.withColumn("rule", rejects(rules, of))
-    return d.select("doc_id", *[of(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
-                                                         "n_repeat_words", "base_failed")],
-                    "rule", (~of("base_failed") & (F.col("rule") == 0)).alias("kept"))
+    (0: none) and ``kept``, for every row of ``measured``."""
+    d = measures_of.withColumn("rule", rejects(rules, F.col))
+    return d.select("doc_id", *REPORTED, "rule", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"))
+
+
+def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Learn from the labelled rows of ``docs`` and judge all of them."""
+    m = measured(docs)
+    return judge(m, learn(labelled(m, labels)))
 
 
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:

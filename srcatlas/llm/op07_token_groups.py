@@ -362,3 +362,11 @@ def linked_components(docs: DataFrame) -> DataFrame:
     return sets.join(placed, ["n", "f1", "f2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those that are linked to a smaller
+    ``doc_id``. Documents without shingles or without an id stay."""
+    linked = linked_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__dropped")).distinct()
+    dropped = stored(linked, "near-duplicates")
+    return docs.join(dropped, docs["doc_id"] == dropped["__dropped"], "left_anti")

@@ -48,9 +48,8 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
-    from .op06_quality_rules import judge, quality_rules
-    docs = table(spark, sf, "documents")
-    return judge(docs, quality_rules(docs, table(spark, sf, "labels")))
+    from .op06_quality_rules import report
+    return report(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
 @_query
@@ -83,3 +82,10 @@ def op4_main_text(spark: SparkSession, sf: str) -> DataFrame:
 def op2_ctw_scoring(spark: SparkSession, sf: str) -> DataFrame:
     from .op02_ctw_scoring import score_documents
     return score_documents(table(spark, sf, "documents"))
+
+
+@_query
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, one after the other."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf)
