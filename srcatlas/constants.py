@@ -83,7 +83,6 @@ BYTES_PER_ESTIMATED_CHUNK = 2000
 
 CHUNK_SIZE = 2000
 CHUNK_OVERLAP = 200
-LARGE_FILE_THRESHOLD = 10_000_000
 RECURSIVE_SEPARATORS = ["\n\n", "\n", " ", ""]
 
 # --- fixed values: chunk categories ------------------------------------------

@@ -73,10 +73,6 @@ def valid_url(source) -> Column:
 
 
 def point_id(repo, chunk_id) -> Column:
-    """Deterministic vector point id (non-negative 63-bit)."""
-    return F.abs(F.xxhash64(_c(repo), _c(chunk_id))) % F.lit(1 << 62)
-
-
-def digest_sort_key(path) -> Column:
-    """Sort key equal to ordering paths by their parts (``a/x`` < ``a-b/x``)."""
-    return path_parts(path)
+    """Id of a vector-store point: md5 of repository and chunk, wide enough
+    that no two of any number of chunks share one."""
+    return F.md5(F.concat(_c(repo), F.lit("/"), _c(chunk_id)))

@@ -41,10 +41,6 @@ def preview(text, n: int = K.PREVIEW_CHARS) -> Column:
     return F.when(F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit("..."))).otherwise(t)
 
 
-def normalize_newlines(text) -> Column:
-    return F.regexp_replace(_c(text), r"\r\n?", "\n")
-
-
 def preprocess(text) -> Column:
     """Drop ``<...>`` tags, then turn every char that is not word, space or '-' into a space."""
     no_tags = F.regexp_replace(_c(text), r"<[^>]+>", "")

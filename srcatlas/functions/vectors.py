@@ -16,7 +16,8 @@ def to_vector(values) -> Column:
 
 
 def vector_status(vector, dim: int) -> Column:
-    """First failing check of a vector, or ``ok``: null, empty, non-finite, wrong dimension."""
+    """First failing check of a vector, or ``ok``: null, empty, non-finite,
+    wrong dimension, zero (it has no direction, so no cosine)."""
     v = _c(vector)
     # One ascending sort, no lambda (stays in generated code): nulls sort
     # first, NaN last, +inf just before NaN, -inf first among the values.
@@ -28,12 +29,10 @@ def vector_status(vector, dim: int) -> Column:
             .when(F.size(v) == 0, F.lit("empty"))
             .when(bad, F.lit("non_finite"))
             .when(F.size(v) != dim, F.lit("wrong_dim"))
+            .when((first == 0) & (last == 0), F.lit("zero"))
             .otherwise(F.lit("ok")))
 
 
 def is_valid_vector(vector, dim: int) -> Column:
     return vector_status(vector, dim) == "ok"
 
-
-def l2_norm(vector) -> Column:
-    return F.sqrt(F.aggregate(_c(vector), F.lit(0.0).cast("double"), lambda acc, x: acc + x * x))

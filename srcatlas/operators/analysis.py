@@ -98,18 +98,6 @@ def api_endpoints(chunks: DataFrame) -> DataFrame:
     return e.groupBy("repo_id", "method", "path").agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_items(facts: DataFrame, array_col: str, n: int, out: str) -> DataFrame:
-    """repo_id -> first ``n`` items of ``array_col`` in chunk order (by
-    chunk_id, then position), joined by ', '. Ranked with a constant limit so
-    the engine keeps at most ``n`` rows per repo before the shuffle."""
-    from pyspark.sql import Window
-    ex = facts.select("repo_id", "chunk_id", F.posexplode(array_col).alias("pos", "item"))
-    w = Window.partitionBy("repo_id").orderBy("chunk_id", "pos")
-    top = ex.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= n)
-    return top.groupBy("repo_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rk", "item"))), lambda x: x["item"]), ", ").alias(out))
-
-
 def _facts_aggs(fw_labels: list[str]) -> list[Column]:
     return [
         F.count(F.lit(1)).alias("n_chunks"),

@@ -20,8 +20,6 @@ from .. import constants as K
 from ..functions import paths
 from . import files as fo
 
-DIGEST_BUCKET_HEX = 3  # 16**3 = 4096 digest buckets per repository
-
 
 # --- sources --------------------------------------------------------------------
 
@@ -69,36 +67,30 @@ def all_sources(online: DataFrame, local: DataFrame) -> DataFrame:
 
 # --- digests --------------------------------------------------------------------
 
-def file_digests(files: DataFrame, content_col: str = "content") -> DataFrame:
-    """Per-file ``rel_path:md5`` entries of the files the digest policy keeps."""
-    kept = fo.keep_files(files, "digest")
+def file_digests(files: DataFrame, content_col: str = "content", max_bytes: int | None = None) -> DataFrame:
+    """(repo_source, rel_path, entry) of the files the digest policy keeps;
+    ``entry`` is the md5 of the path and of the file's bytes (or text)."""
+    kept = fo.keep_files(files, "digest", max_bytes=max_bytes)
     return kept.select(
         F.col("repo_source"), F.col("rel_path"),
-        F.concat(F.col("rel_path"), F.lit(":"), F.md5(F.col(content_col))).alias("entry"))
+        F.md5(F.concat(F.col("rel_path"), F.lit(":"), F.md5(F.col(content_col)))).alias("entry"))
 
 
-def repo_digest(files: DataFrame, bucket_hex: int = DIGEST_BUCKET_HEX, content_col: str = "content") -> DataFrame:
+def repo_digest(files: DataFrame, content_col: str = "content", max_bytes: int | None = None) -> DataFrame:
     """repo_source -> (repo_id, content_hash, n_files).
 
-    Two-level digest: files go to one of ``16**bucket_hex`` buckets by the
-    md5 prefix of their path; each bucket
-    digests its entries in path-part order, the repository digests its
-    bucket digests in bucket order. Any changed, added or removed file
-    changes the result, and no group holds more than about
-    ``files / 16**bucket_hex`` entries, so a repository with a billion files
-    still spreads over thousands of tasks.
-    """
-    fd = file_digests(files, content_col).withColumn(
-        "bucket", F.substring(F.md5("rel_path"), 1, bucket_hex))
-    level1 = fd.groupBy("repo_source", "bucket").agg(
-        F.md5(F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct(F.split("rel_path", "/").alias("k"), F.col("entry").alias("e")))),
-            lambda x: x["e"]), "|")).alias("h"),
-        F.count(F.lit(1)).alias("n"))
-    level2 = level1.groupBy("repo_source").agg(
-        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), "|")).alias("content_hash"),
-        F.sum("n").cast("bigint").alias("n_files"))
-    return level2.select("repo_source", paths.repo_id("repo_source").alias("repo_id"), "content_hash", "n_files")
+    A repository's digest is the md5 of the sums of its files' entries, taken
+    as four 32-bit numbers each. Sums do not depend on order and add up in
+    every task before the shuffle, so one row for each task and repository
+    moves, however many files it has. Any changed, added, removed or renamed
+    file changes the sums. Pass the raw bytes as ``content_col`` to see
+    changes of encoding and line ends too."""
+    fd = file_digests(files, content_col, max_bytes)
+    word = lambda i: F.conv(F.substring("entry", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")
+    sums = fd.groupBy("repo_source").agg(
+        *[F.sum(word(i)).alias(f"s{i}") for i in range(4)], F.count(F.lit(1)).cast("bigint").alias("n_files"))
+    text = F.concat_ws(":", *[F.col(f"s{i}").cast("string") for i in range(4)], F.col("n_files").cast("string"))
+    return sums.select("repo_source", paths.repo_id("repo_source").alias("repo_id"), F.md5(text).alias("content_hash"), "n_files")
 
 
 # --- tables -----------------------------------------------------------------------
@@ -116,19 +108,17 @@ def repo_totals(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def build_repositories(documents: DataFrame, chunks: DataFrame, digests: DataFrame,
-                       processed_at: Column | None = None, type_: str = "local") -> DataFrame:
+                       processed_at: Column, type_: str = "local") -> DataFrame:
     """repositories rows from ingested tables and digests. ``processed_at``
-    is a parameter (an expression over the row), never the wall clock, so
-    a re-run gives the same table."""
+    is the caller's expression over the row (``id``, totals, digest), never
+    the wall clock, so a re-run gives the same table."""
     tot = repo_totals(documents, chunks)
     src = documents.select("repo_id", F.col("repo_source").alias("source")).distinct()
     rep = src.join(tot, "repo_id").join(digests.select("repo_id", "content_hash"), "repo_id", "left")
-    ts = processed_at if processed_at is not None else \
-        F.timestamp_seconds(F.lit(1735689600) + F.col("total_chunks"))
-    return rep.select(F.col("repo_id").alias("id"), "source", F.lit(type_).alias("type"),
+    rows = rep.select(F.col("repo_id").alias("id"), "source", F.lit(type_).alias("type"),
                       F.col("total_files").cast("bigint").alias("total_files"),
-                      F.col("total_chunks").cast("bigint").alias("total_chunks"),
-                      "content_hash", ts.alias("processed_at"))
+                      F.col("total_chunks").cast("bigint").alias("total_chunks"), "content_hash")
+    return rows.withColumn("processed_at", processed_at)
 
 
 def read_repo(table: DataFrame, sources: list[str] | None = None, repo_ids: list[str] | DataFrame | None = None,
@@ -241,8 +231,10 @@ def dedup_last(df: DataFrame, key: list[str], order: str) -> DataFrame:
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
     """INSERT OR REPLACE on ``key``: new rows win, old rows without a new
-    row stay."""
-    fresh = dedup_last(new, key, order) if order else new
+    row stay. Of several new rows with one key the greatest by ``order`` wins
+    (without ``order``: the greatest by its other columns)."""
+    others = [c for c in new.columns if c not in key]
+    fresh = dedup_last(new, key, order or others[0]) if others else new.dropDuplicates(key)
     return old.join(fresh.select(*key), key, "left_anti").unionByName(fresh.select(*old.columns))
 
 

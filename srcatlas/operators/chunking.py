@@ -1,14 +1,16 @@
 """Chunking: documents -> chunks.
 
-* ``fixed``: stride ``size - overlap`` windows computed by Catalyst
-  (``posexplode(sequence(...))`` + ``substring``); no Python, no shuffle.
+* ``fixed``: stride ``size - overlap`` windows computed by Catalyst: one pass
+  cuts the text into stride-long pieces, a chunk is a piece and the start of
+  the next; linear in the text's length, no Python, no shuffle.
 * ``recursive``: separator-aware splitting (paragraph, line, word,
   character), greedy merge up to ``size`` with up to ``overlap`` characters
   carried over. Sequential within one document, so it runs as
   ``mapInPandas`` over document batches: parallel across documents.
-* ``buffered``: for files above a size threshold, line-aligned buffers of at
-  least ``2 * size`` characters, each split recursively, no overlap across
-  buffers, running chunk numbers.
+* ``buffered``: line-aligned buffers of at least ``2 * size`` characters,
+  each split recursively, no overlap across buffers, running chunk numbers.
+
+The mode is the caller's choice, never a matter of a document's size.
 
 Chunk rows: ``chunk_id = doc_id || ':' || md5(content)``, ``size = length``.
 """
@@ -18,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -39,78 +41,92 @@ def _finish(raw: DataFrame) -> DataFrame:
     )
 
 
-def chunk_fixed(documents: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fixed_pieces(content: Column, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> Column:
+    """The windows of a text as an array, in one pass over it."""
     stride = size - overlap
-    n = F.length("content")
-    last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(stride)).cast("int"))
-    from .partitioning import spread
-    docs = spread(documents.select("doc_id", "repo_id", "repo", "file_path", "content"))
-    exploded = docs.select(
-        "doc_id", "repo_id", "repo", F.col("file_path").alias("source_file"), "content",
-        F.posexplode(F.sequence(F.lit(0), last)).alias("chunk_num", "k"))
-    raw = exploded.select(
-        "doc_id", "repo_id", "repo", "source_file", "chunk_num",
-        F.substring("content", F.col("k") * stride + 1, size).alias("content"))
-    return _finish(raw.where(F.length("content") > 0))
+    if stride <= 0:
+        raise ValueError("the overlap must be shorter than a chunk")
+    more = -(-overlap // stride)
+    n = F.greatest(F.lit(1), F.ceil((F.length(content) - size) / F.lit(stride)).cast("int") + 1)
 
+    def windows(pieces: Column) -> Column:
+        return F.transform(F.slice(pieces, F.lit(1), n), lambda piece, i: F.concat(
+            piece, F.substring(F.array_join(F.slice(pieces, i + 2, F.lit(more)), ""), 1, overlap)))
 
-# --- recursive splitter (pure Python helper, one document at a time) -------
+    cut = F.regexp_extract_all(content, F.lit(f"(?s).{{1,{stride}}}"), F.lit(0))
+    return _let(cut, windows) if overlap else F.slice(cut, F.lit(1), n)
 
-def _split_keep_start(text: str, sep: str) -> list[str]:
-    if sep == "":
-        return list(text)
-    parts = text.split(sep)
-    pieces = [parts[0]] + [sep + p for p in parts[1:]]
-    return [p for p in pieces if p != ""]
 
+def chunk_fixed(documents: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
+    raw = documents.select(
+        "doc_id", "repo_id", "repo", F.col("file_path").alias("source_file"),
+        F.posexplode(fixed_pieces(F.col("content"), size, overlap)).alias("chunk_num", "content"))
+    return _finish(raw)
 
-def _merge(pieces: list[str], size: int, overlap: int) -> list[str]:
-    out: list[str] = []
-    window: list[str] = []
-    total = 0
-    for piece in pieces:
-        n = len(piece)
-        if total + n > size and window:
-            joined = "".join(window).strip()
-            if joined:
-                out.append(joined)
-            while total > overlap or (total + n > size and total > 0):
-                total -= len(window[0])
-                window.pop(0)
-        window.append(piece)
-        total += n
-    joined = "".join(window).strip()
-    if joined:
-        out.append(joined)
+
+# --- recursive splitter (pure Python helper, one document at a time) -------
+
+def _cuts(text: str, sep: str) -> list[int]:
+    """Where the pieces of ``text`` begin and end: a piece begins with the
+    separator before it; the empty separator cuts after every character."""
+    if sep == "":
+        return list(range(len(text) + 1))
+    at, cuts = text.find(sep), [0]
+    while at >= 0:
+        if at > cuts[-1]:
+            cuts.append(at)
+        at = text.find(sep, at + len(sep))
+    if cuts[-1] < len(text):
+        cuts.append(len(text))
+    return cuts
+
+
+def _windows(text: str, cuts: list[int], size: int, overlap: int) -> list[str]:
+    """Runs of consecutive pieces of up to ``size`` characters: each begins
+    as early as ``overlap`` characters before the end of the last one allow."""
+    out, first = [], 0
+    for last in range(1, len(cuts)):
+        end = cuts[last]
+        if end - cuts[first] > size and cuts[last - 1] > cuts[first]:
+            done = text[cuts[first]:cuts[last - 1]].strip()
+            if done:
+                out.append(done)
+            while cuts[last - 1] - cuts[first] > overlap or (end - cuts[first] > size and first < last - 1):
+                first += 1
+    rest = text[cuts[first]:cuts[-1]].strip() if cuts else ""
+    if rest:
+        out.append(rest)
     return out
 
 
 def split_recursive(text: str, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP,
                     separators: list[str] | None = None) -> list[str]:
-    seps = list(K.RECURSIVE_SEPARATORS if separators is None else separators)
-    sep, rest = seps[-1], []
-    for i, s in enumerate(seps):
-        if s == "":
-            sep = s
-            break
-        if s in text:
-            sep, rest = s, seps[i + 1:]
-            break
-    out: list[str] = []
-    good: list[str] = []
-    for piece in _split_keep_start(text, sep):
-        if len(piece) < size:
-            good.append(piece)
+    """Cut at the first separator that the text holds; join short pieces to
+    windows, and cut pieces of ``size`` characters or more by the next
+    separators. Without any left, a long piece stays whole."""
+    left = list(K.RECURSIVE_SEPARATORS if separators is None else separators)
+    here = next((i for i, sep in enumerate(left) if sep == "" or sep in text), len(left) - 1)
+    sep, finer = left[here], [] if left[here] == "" else left[here + 1:] if left[here] in text else []
+    cuts, out, run = _cuts(text, sep), [], []
+
+    def close() -> None:
+        if len(run) > 1:
+            out.extend(_windows(text, run, size, overlap))
+        run.clear()
+
+    for a, b in zip(cuts, cuts[1:]):
+        if b - a < size:
+            run[:] = run or [a]
+            run.append(b)
             continue
-        if good:
-            out.extend(_merge(good, size, overlap))
-            good = []
-        if rest:
-            out.extend(split_recursive(piece, size, overlap, rest))
-        else:
-            out.append(piece)
-    if good:
-        out.extend(_merge(good, size, overlap))
+        close()
+        out.extend(split_recursive(text[a:b], size, overlap, finer) if finer else [text[a:b]])
+    close()
     return out
 
 
@@ -138,17 +154,15 @@ def split_buffered(text: str, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_O
 _RAW_SCHEMA = "doc_id string, repo_id string, repo string, source_file string, chunk_num int, content string"
 
 
-def _chunker(size: int, overlap: int, mode: str, threshold: int):
+def _chunker(size: int, overlap: int, split):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
         for pdf in batches:
-            for doc_id, repo_id, repo, path, content, nbytes in zip(
-                    pdf["doc_id"], pdf["repo_id"], pdf["repo"], pdf["file_path"], pdf["content"], pdf["nbytes"]):
+            for doc_id, repo_id, repo, path, content in zip(
+                    pdf["doc_id"], pdf["repo_id"], pdf["repo"], pdf["file_path"], pdf["content"]):
                 if content is None:
                     continue
-                buffered = mode == "buffered" or (mode == "auto" and nbytes is not None and nbytes > threshold)
-                pieces = split_buffered(content, size, overlap) if buffered else split_recursive(content, size, overlap)
-                for i, piece in enumerate(pieces):
+                for i, piece in enumerate(split(content, size, overlap)):
                     rows.append((doc_id, repo_id, repo, path, i, piece))
                     if len(rows) >= 1024:
                         yield pd.DataFrame(rows, columns=["doc_id", "repo_id", "repo", "source_file", "chunk_num", "content"])
@@ -159,27 +173,23 @@ def _chunker(size: int, overlap: int, mode: str, threshold: int):
 
 
 def chunk(documents: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP,
-          mode: str = "fixed", threshold: int = K.LARGE_FILE_THRESHOLD) -> DataFrame:
-    """documents -> chunks. ``mode``: fixed | recursive | buffered | auto
-    (auto = buffered above ``threshold`` bytes, recursive below)."""
+          mode: str = "fixed") -> DataFrame:
+    """documents -> chunks. ``mode``: fixed | recursive | buffered."""
     if mode == "fixed":
         return chunk_fixed(documents, size, overlap)
-    if mode not in ("recursive", "buffered", "auto"):
+    if mode not in ("recursive", "buffered"):
         raise ValueError(f"unknown chunk mode {mode!r}")
-    nbytes = F.coalesce(F.col("metadata.file_size"), F.octet_length("content")) \
-        if "metadata" in documents.columns else F.octet_length("content")
-    from .partitioning import spread
-    src = spread(documents.select("doc_id", "repo_id", "repo", "file_path", "content", nbytes.cast("bigint").alias("nbytes")))
-    raw = src.mapInPandas(_chunker(size, overlap, mode, threshold), _RAW_SCHEMA)
-    return _finish(raw)
+    src = documents.select("doc_id", "repo_id", "repo", "file_path", "content")
+    split = split_recursive if mode == "recursive" else split_buffered
+    return _finish(src.mapInPandas(_chunker(size, overlap, split), _RAW_SCHEMA))
 
 
 def dedup_chunks(chunks: DataFrame) -> DataFrame:
     """Identical text within a document is stored once, keeping the last
-    occurrence (highest ``chunk_num``). An aggregate, so duplicates collapse
-    map-side before the shuffle."""
-    cols = [c for c in chunks.columns if c not in ("doc_id", "chunk_hash")]
-    best = F.max(F.struct(F.col("chunk_num"), *[F.col(c) for c in cols if c != "chunk_num"])).alias("b")
-    agg = chunks.groupBy("doc_id", "chunk_hash").agg(best)
-    return agg.select(*[F.col(f"b.{c}").alias(c) if c not in ("doc_id", "chunk_hash") else F.col(c)
-                        for c in chunks.columns])
+    occurrence (highest ``chunk_num``).
+
+    The last numbers are found on (doc_id, chunk_hash, chunk_num) alone, a
+    hash aggregate that collapses map-side; the rows themselves are then kept
+    by a semi join, so no content goes through the aggregate."""
+    last = chunks.groupBy("doc_id", "chunk_hash").agg(F.max("chunk_num").alias("chunk_num"))
+    return chunks.join(last, ["doc_id", "chunk_hash", "chunk_num"], "left_semi")

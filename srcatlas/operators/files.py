@@ -14,6 +14,9 @@ from .. import constants as K
 from ..functions import paths, text
 
 POLICIES = ("ingest", "digest", "lenient")
+#: ``max_bytes`` that stands for the original tool's limit of each policy.
+REFERENCE = "reference"
+_REFERENCE_BYTES = {"ingest": K.INGEST_MAX_BYTES, "digest": K.DIGEST_MAX_BYTES, "lenient": K.LENIENT_MAX_BYTES}
 
 
 def _ends_dot_ext(path: Column) -> Column:
@@ -35,8 +38,9 @@ def _sniff_reasons(head: Column, size: Column, min_share: float) -> list[tuple[s
 def policy_reason(files: DataFrame, policy: str = "ingest", strict_reference: bool = False,
                   path_col: str = "rel_path", size_col: str = "size_bytes",
                   head_col: str | None = None, min_printable: float = K.MIN_PRINTABLE_SHARE,
-                  max_bytes: int | None = None) -> Column:
+                  max_bytes: int | str | None = REFERENCE) -> Column:
     """First failing rule of ``policy`` as a string, NULL when the file is kept.
+    Files above ``max_bytes`` fail; None sets no limit.
 
     Cheap path/name/size rules come first so the engine can skip reading
     content for rejected files; content sniffing needs ``head_col`` (bytes).
@@ -48,6 +52,8 @@ def policy_reason(files: DataFrame, policy: str = "ingest", strict_reference: bo
     name = paths.base_name(p)
     e = paths.ext(p)
     parts = paths.path_parts(p)
+    limit = _REFERENCE_BYTES[policy] if max_bytes == REFERENCE else max_bytes
+    too_large = [] if limit is None else [("too_large", size > limit)]
     rules: list[tuple[str, Column]] = []
     if policy == "ingest":
         names = K.INGEST_SKIP_NAMES if strict_reference else [n.lower() for n in K.INGEST_SKIP_NAMES]
@@ -56,7 +62,7 @@ def policy_reason(files: DataFrame, policy: str = "ingest", strict_reference: bo
             ("binary_ext", e.isin(*K.INGEST_BINARY_EXT)),
             ("skip_name", F.lower(name).isin(*names)),
             ("dotfile", name.startswith(".") & ~_ends_dot_ext(p).isin(*K.DOTFILE_ALLOWED_EXT)),
-            ("too_large", size > (max_bytes or K.INGEST_MAX_BYTES)),
+            *too_large,
             ("empty", size == 0),
         ]
         if head_col:
@@ -66,12 +72,12 @@ def policy_reason(files: DataFrame, policy: str = "ingest", strict_reference: bo
             ("skip_dir", F.arrays_overlap(parts, F.array(*[F.lit(d) for d in K.DIGEST_SKIP_DIRS]))),
             ("binary_ext", e.isin(*K.DIGEST_BINARY_EXT)),
             ("dotfile", name.startswith(".")),
-            ("too_large", size > (max_bytes or K.DIGEST_MAX_BYTES)),
+            *too_large,
         ]
     else:  # lenient loader
         rules += [
             ("binary_ext", e.isin(*K.LENIENT_BINARY_EXT)),
-            ("too_large", size > (max_bytes or K.LENIENT_MAX_BYTES)),
+            *too_large,
         ]
     out = None
     for reason, failed in rules:
@@ -157,7 +163,7 @@ def build_documents(files: DataFrame, repo_source_col: str = "repo_source",
     ).where(F.length(F.col("file_hash")) > 0)
 
 
-def load_documents(files: DataFrame, policy: str = "ingest", **kw) -> DataFrame:
+def load_documents(files: DataFrame, policy: str = "ingest", max_bytes: int | str | None = REFERENCE, **kw) -> DataFrame:
     """Policy filter + documents in one lazy plan (``lenient`` keeps any non-blank file)."""
-    kept = keep_files(files, policy)
+    kept = keep_files(files, policy, max_bytes=max_bytes)
     return build_documents(kept, min_chars=None if policy == "lenient" else K.MIN_CONTENT_CHARS, **kw)

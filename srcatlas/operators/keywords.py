@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as tx
-from .partitioning import spread
 
+#: Parts that a term's rows are dealt to in the idf join.
+SALTS = 8
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -42,10 +43,15 @@ def _tokenize(df: DataFrame, text: Column, stop_words: list[str], min_len: int =
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 stop_words: list[str] | None = None) -> DataFrame:
     """(id, term, n): unigram and bigram counts per text (bigrams are formed
-    after stop-word removal); a partial aggregate."""
+    after stop-word removal).
+
+    Rows are first dealt out by id: one shuffle of the texts then serves the
+    counts and every later grouping or window by id, and no exploded term
+    moves."""
     from pyspark.ml.feature import NGram
     sw = K.default_stop_words() if stop_words is None else stop_words
-    t = _tokenize(spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), F.col("text"), sw)
+    docs = docs.repartition(id_col)
+    t = _tokenize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), F.col("text"), sw)
     g = NGram(n=2, inputCol="_t", outputCol="_bg").transform(t)
     ex = g.select("doc_id", F.explode(F.concat("_t", "_bg")).alias("term"))
     return ex.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
@@ -59,7 +65,7 @@ def candidate_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the pairs are distinct without a shuffle (and a semi join against them
     does not care about repeats)."""
     sw = K.default_stop_words() if stop_words is None else stop_words
-    t = _tokenize(spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))),
+    t = _tokenize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
                   tx.preprocess(F.col("text")), sw, min_len=min_len)
     return t.select("doc_id", F.explode(F.array_distinct("_t")).alias("term"))
 
@@ -98,12 +104,17 @@ def keywords_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, term, score, rank) with smooth corpus idf and L2 norm."""
     sw = K.default_stop_words() if stop_words is None else stop_words
     counts = term_counts(docs, id_col, text_col, sw)
-    df_ = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # n is kept on both sides, so both read one and the same exchange
+    df_ = counts.groupBy("term").agg(F.count_if(F.col("n") > 0).alias("df"))
     # The document count is a scalar subquery: computed once, inlined as a
     # value, no join.
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     idf = df_.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
-    tfidf = counts.join(idf, "term").withColumn("w", F.col("n") * F.col("idf"))
+    # A term may be in a third of all texts: its rows are dealt to SALTS
+    # parts, and each part gets the term's one idf row.
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    tfidf = counts.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(
+        idf.select("*", parts), ["term", "_salt"]).withColumn("w", F.col("n") * F.col("idf"))
     wd = Window.partitionBy("doc_id")
     scored = tfidf.withColumn("score", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(wd)))
     return _top(scored, top_n).select("doc_id", "term", "score", "rank")
@@ -114,7 +125,14 @@ def memoize_by_text(docs: DataFrame, fn: Callable[[DataFrame], DataFrame], id_co
     """Run ``fn`` (keyed by ``doc_id``) once per distinct text, then give
     every copy the result. Copies collapse map-side before the shuffle."""
     h = F.md5(F.col(text_col))
-    uniq = docs.groupBy(h.alias("text_hash")).agg(F.first(text_col).alias("text"))
-    res = fn(uniq.select(F.col("text_hash").alias("doc_id"), "text")).withColumnRenamed("doc_id", "text_hash")
     ids = docs.select(F.col(id_col).alias("doc_id"), h.alias("text_hash"))
-    return ids.join(res, "text_hash").drop("text_hash")
+    # the smallest id stands for its copies: only ids are aggregated, and the
+    # text comes from the one row that is kept
+    first = ids.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"))
+    uniq = docs.select(F.col(id_col).alias("doc_id"), h.alias("text_hash"), F.col(text_col).alias("text")).join(
+        first, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    res = fn(uniq.select(F.col("text_hash").alias("doc_id"), "text")).withColumnRenamed("doc_id", "text_hash")
+    # a text may be a third of all rows: its copies are dealt to SALTS parts
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    return ids.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(
+        res.select("*", parts), ["text_hash", "_salt"]).drop("text_hash", "_salt")

@@ -36,13 +36,12 @@ def embedding_dim(vectors: DataFrame, col: str = "vector", default: int = K.EMBE
     return best.select(F.coalesce(-F.col("b.neg"), F.lit(default)).cast("bigint").alias("dim"))
 
 
-def join_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> tuple[DataFrame, DataFrame]:
-    """Pair chunks with their vectors by key. Returns (matched, unmatched
-    chunks). Keyed instead of positional, so one bad vector never drops a
+def pair_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Every chunk with its vector by key, or with ``has_vector`` false: one
+    left join. Keyed instead of positional, so one bad vector never drops a
     whole batch."""
-    matched = chunks.join(vectors, key, "inner")
-    unmatched = chunks.join(vectors.select(key), key, "left_anti")
-    return matched, unmatched
+    marked = vectors.withColumn("_has", F.lit(True))
+    return chunks.join(marked, key, "left").withColumn("has_vector", F.coalesce("_has", F.lit(False))).drop("_has")
 
 
 def embedding_points(matched: DataFrame, model: str, repo_source_col: str = "repo_source") -> DataFrame:
@@ -69,8 +68,6 @@ def _hashing_embedder(df: DataFrame, dim: int, text_col: str) -> DataFrame:
 def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]] | None = None,
           dim: int = K.EMBEDDING_DIM, text_col: str = "content", batch_size: int = 50) -> DataFrame:
     """Adds ``vector``; rows whose vector fails validation are dropped."""
-    from .partitioning import spread
-    chunks = spread(chunks)
     if embedder is None:
         out = _hashing_embedder(chunks, dim, text_col)
     else:

@@ -59,7 +59,7 @@ def preview(c: str, n: int = K.PREVIEW_CHARS) -> str:
     return f"CASE WHEN length({c}) > {n} THEN substring({c}, 1, {n}) || '...' ELSE {c} END"
 
 
-def policy_reason(policy: str = "ingest", p: str = "rel_path", size: str = "size_bytes") -> str:
+def policy_reason(policy: str = "ingest", p: str = "rel_path", size: str = "size_bytes", sized: bool = True) -> str:
     parts = f"string_split({p}, '/')"
     name = base_name(p)
     if policy == "ingest":
@@ -76,7 +76,7 @@ def policy_reason(policy: str = "ingest", p: str = "rel_path", size: str = "size
             ("skip_dir", f"list_has_any({parts}, {lst(K.DIGEST_SKIP_DIRS)})"),
             ("binary_ext", f"{ext(p)} IN {inlist(K.DIGEST_BINARY_EXT)}"),
             ("dotfile", f"starts_with({name}, '.')"),
-            ("too_large", f"{size} > {K.DIGEST_MAX_BYTES}"),
+            *([("too_large", f"{size} > {K.DIGEST_MAX_BYTES}")] if sized else []),
         ]
     else:
         rules = [

@@ -19,6 +19,15 @@ R = D.q
 
 # --- Spark-side inputs ---------------------------------------------------------
 
+#: Fixture times: a day of 2025 that follows from the repository's id and
+#: not from its size.
+PROCESSED_SQL = "make_timestamp((1735689600 + (('0x' || substring(md5(d.repo_id), 1, 6))::BIGINT)) * 1000000)"
+
+
+def processed_at():
+    return F.timestamp_seconds(F.lit(1735689600) + F.conv(F.substring(F.md5("id"), 1, 6), 16, 10).cast("bigint"))
+
+
 def classified(spark, sf):
     known = I.files(spark, sf).select(F.col("repo_source").alias("path"))
     return cat.classify_sources(fx.view(spark, sf, "fx_sources"), known)
@@ -36,14 +45,14 @@ def stored_tables(spark, sf):
     """Yesterday's tables, ingested from fx_stored_files."""
     docs = fo.load_documents(I.stored_files(spark, sf))
     chunks = chunking.chunk_fixed(docs)
-    repos = cat.build_repositories(docs, chunks, cat.repo_digest(I.stored_files(spark, sf)))
+    repos = cat.build_repositories(docs, chunks, cat.repo_digest(I.stored_files(spark, sf)), processed_at())
     return {"repositories": repos, "documents": docs, "chunks": chunks}
 
 
 def current_tables(spark, sf):
     docs = I.documents(spark, sf)
     chunks = chunking.chunk_fixed(docs)
-    repos = cat.build_repositories(docs, chunks, current_digests(spark, sf))
+    repos = cat.build_repositories(docs, chunks, current_digests(spark, sf), processed_at())
     return {"repositories": repos, "documents": docs, "chunks": chunks}
 
 
@@ -74,19 +83,18 @@ FROM ({_classify_sql()})"""
 
 
 def _digest_sql(src):
+    word = lambda i: f"sum(('0x' || substring(entry, {8 * i + 1}, 8))::BIGINT)"
+    sums = " || ':' || ".join(f"CAST({word(i)} AS VARCHAR)" for i in range(4))
     return f"""SELECT repo_source, {D.repo_id('repo_source')} AS repo_id,
-  md5(string_agg(h, '|' ORDER BY bucket)) AS content_hash, CAST(sum(n) AS BIGINT) AS n_files
-FROM (SELECT repo_source, bucket, md5(string_agg(entry, '|' ORDER BY string_split(rel_path, '/'))) AS h, count(*) AS n
-      FROM (SELECT repo_source, rel_path, rel_path || ':' || md5(content) AS entry,
-                   substring(md5(rel_path), 1, {cat.DIGEST_BUCKET_HEX}) AS bucket
-            FROM {src} WHERE ({D.policy_reason('digest')}) IS NULL)
-      GROUP BY repo_source, bucket)
+  md5({sums} || ':' || CAST(count(*) AS VARCHAR)) AS content_hash, count(*) AS n_files
+FROM (SELECT repo_source, md5(rel_path || ':' || md5(content)) AS entry
+      FROM {src} WHERE ({D.policy_reason('digest', sized=False)}) IS NULL)
 GROUP BY repo_source"""
 
 
 def _repos_sql(docs, chunks, digests):
     return f"""SELECT d.repo_id AS id, d.source, 'local' AS type, d.total_files, coalesce(c.total_chunks, 0) AS total_chunks,
-  g.content_hash, make_timestamp((1735689600 + coalesce(c.total_chunks, 0)) * 1000000) AS processed_at
+  g.content_hash, {PROCESSED_SQL} AS processed_at
 FROM (SELECT repo_id, any_value(repo_source) AS source, count(*) AS total_files FROM {docs} GROUP BY 1) d
 LEFT JOIN (SELECT repo_id, count(*) AS total_chunks FROM {chunks} GROUP BY 1) c ON d.repo_id = c.repo_id
 LEFT JOIN {digests} g ON g.repo_id = d.repo_id"""
@@ -261,7 +269,7 @@ def incremental_plan_q(spark, sf):
     """O125: changed repositories are deleted and rebuilt from today's
     files; unchanged ones keep yesterday's rows."""
     from ..streaming.ingest import refresh
-    tables, rebuilt = refresh(stored_tables(spark, sf), I.files(spark, sf), _to_delete(spark, sf))
+    tables, rebuilt = refresh(stored_tables(spark, sf), I.files(spark, sf), _to_delete(spark, sf), processed_at())
     d = tables["documents"].groupBy("repo_id").agg(F.count(F.lit(1)).alias("total_files"))
     c = tables["chunks"].groupBy("repo_id").agg(F.count(F.lit(1)).alias("total_chunks"))
     flag = rebuilt.select("repo_id", F.lit("rebuilt").alias("_a"))

@@ -126,9 +126,8 @@ def chunks_recursive(spark, sf):
 
 @query("chunks_buffered")
 def chunks_buffered(spark, sf):
-    """O57: buffered chunking for files above the threshold (lowered to 5,000
-    bytes here so the sf tables reach it); smaller files go recursive."""
-    c = chunking.chunk(I.documents(spark, sf), mode="auto", threshold=5000)
+    """O57: buffered chunking of every document, whatever its size."""
+    c = chunking.chunk(I.documents(spark, sf), mode="buffered")
     return c.select("chunk_id", "doc_id", F.col("chunk_num").cast("bigint").alias("chunk_num"),
                     F.col("size").cast("bigint").alias("size"))
 

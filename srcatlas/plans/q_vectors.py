@@ -17,7 +17,7 @@ DIM = 64  # dimension of the driver's embeddings table (a parameter; the default
 def _status_sql(v: str = "vector", dim: int = DIM) -> str:
     return (f"CASE WHEN {v} IS NULL THEN 'null' WHEN len({v}) = 0 THEN 'empty' "
             f"WHEN list_bool_or(list_transform({v}, lambda x: x IS NULL OR isnan(x) OR isinf(x))) THEN 'non_finite' "
-            f"WHEN len({v}) <> {dim} THEN 'wrong_dim' ELSE 'ok' END")
+            f"WHEN len({v}) <> {dim} THEN 'wrong_dim' WHEN list_min({v}) = 0 AND list_max({v}) = 0 THEN 'zero' ELSE 'ok' END")
 
 
 @query("embedding_validity", lambda: D.with_ctes(["fx_vectors"], []) + f"""
@@ -50,20 +50,20 @@ FROM chunks c LEFT JOIN fx_vectors v ON v.vec_id = CAST(regexp_extract(c.source_
 def chunk_vectors(spark, sf):
     """Every chunk paired with the vector of its file's number; chunks
     without a vector are reported, not dropped with their batch."""
-    chunks = _keyed_chunks(spark, sf)
-    vectors = fx.view(spark, sf, "fx_vectors")
-    matched, unmatched = vec.join_vectors(chunks, vectors, key="vec_id")
-    m = matched.select("chunk_id", "vec_id", vf.vector_status("vector", DIM).alias("status"))
-    u = unmatched.select("chunk_id", F.lit(None).cast("bigint").alias("vec_id"), F.lit("missing").alias("status"))
-    return m.unionByName(u)
+    paired = vec.pair_vectors(_keyed_chunks(spark, sf), fx.view(spark, sf, "fx_vectors"), key="vec_id")
+    return paired.select("chunk_id", F.when(F.col("has_vector"), F.col("vec_id")).alias("vec_id"),
+                         F.when(F.col("has_vector"), vf.vector_status("vector", DIM)).otherwise(F.lit("missing")).alias("status"))
 
 
-@query("embedding_points")
+@query("embedding_points", lambda: D.std_ctes(extra=[("fx_vectors_", "SELECT 1")]).replace(
+    "WITH fx_files AS", "WITH fx_vectors AS (" + fx.FX_VECTORS_DUCKDB.replace("{embeddings}", "embeddings").strip() + "),\nfx_files AS", 1) + f"""
+SELECT md5(c.repo_id || '/' || c.chunk_id) AS point_id, c.chunk_id, CAST(len(v.vector) AS INTEGER) AS dim
+FROM chunks c JOIN fx_vectors v ON v.vec_id = CAST(regexp_extract(c.source_file, '([0-9]+)', 1) AS BIGINT)
+WHERE {_status_sql('v.vector')} = 'ok'""")
 def embedding_points(spark, sf):
-    """Vector-store rows for the valid matched vectors (point ids are xxhash64)."""
-    chunks = _keyed_chunks(spark, sf)
+    """Vector-store rows for the valid matched vectors."""
     vectors = vec.valid_vectors(fx.view(spark, sf, "fx_vectors"), DIM)
-    matched, _ = vec.join_vectors(chunks, vectors, key="vec_id")
+    matched = vec.pair_vectors(_keyed_chunks(spark, sf), vectors, key="vec_id").where("has_vector")
     pts = vec.embedding_points(matched, model="fixture-64")
     return pts.select("point_id", F.col("payload.chunk_id").alias("chunk_id"), F.col("payload.dim").alias("dim"))
 

@@ -95,12 +95,22 @@ def _fill(sql: str, slots: dict[str, str]) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. A file of one row group is a single split, so it is
+    dealt out here, at the scan; a table in enough splits is left alone.
+    (The number of splits of a bare scan is known without any job.)"""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= min(cores, 4) else df.repartition(cores)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view as a lazy DataFrame over the parquet tables of ``sf_dir``."""
-    slots = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in BASE_TABLES}
+    text = SPARK_VIEWS[name] + (FX_FILES if "{fx_files}" in SPARK_VIEWS[name] else "")
+    slots = {}
+    for t in BASE_TABLES:
+        if "{" + t + "}" in text:
+            slots[t] = f"driver_{t}"
+            table(spark, sf_dir, t).createOrReplaceTempView(slots[t])
     slots["fx_files"] = "(" + _fill(FX_FILES, slots) + ") AS fx_files_src"
     return spark.sql(_fill(SPARK_VIEWS[name], slots))
 

@@ -9,11 +9,16 @@ executor, so listing a corpus of millions of files is spread over the
 cluster. ``size_bytes`` bounds are pushed into the scan
 (no bytes are read for files outside them), and ``content=false`` gives a
 listing pass without bytes: filter the listing, then ``read_contents``.
+
+Nothing is skipped unseen: a root that does not exist raises, and what cannot
+be listed or read is a row with ``error``. Roots must be mounted at the same
+path on the driver and all executors.
 """
 
 from __future__ import annotations
 
 import os
+import stat
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -27,7 +32,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceReader, GreaterThan, G
 from .. import constants as K
 
 TREE_SCHEMA = ("repo string, repo_source string, rel_path string, size_bytes bigint, "
-               "modified timestamp, content binary")
+               "modified timestamp, content binary, error string")
 
 
 class _Shard(InputPartition):
@@ -40,7 +45,7 @@ class _TreeReader(DataSourceReader):
     def __init__(self, options: dict, schema):
         paths = options.get("paths") or options.get("path") or ""
         self.roots = [p.rstrip("/") or "/" for p in paths.split(",") if p]
-        self.shards = int(options.get("shards", "64"))
+        self.shards = int(options.get("shards") or 64)
         self.with_content = str(options.get("content", "true")).lower() == "true"
         self.lo: int | None = None   # size_bytes >= lo
         self.hi: int | None = None   # size_bytes <= hi
@@ -65,19 +70,23 @@ class _TreeReader(DataSourceReader):
     def partitions(self):
         """Shards of the tree. Directories are expanded breadth-first on the
         driver (names only, no file stats) until there are ``shards * 8``
-        items or four levels, so a repository with everything under one
+        items, so a repository with everything under one
         folder is still spread over many tasks. An item is a file, a
         directory walked whole, or a directory's own files only."""
         target = self.shards * 8
         items: list[tuple[str, str, bool]] = []   # (root, rel, recursive)
+        for root in self.roots:
+            if not os.path.isdir(root):
+                raise FileNotFoundError(f"no such folder: {root}")
         frontier: list[tuple[str, str]] = [(root, "") for root in self.roots]
-        for depth in range(4):
+        while frontier:
             nxt: list[tuple[str, str]] = []
             for root, rel in frontier:
                 base = os.path.join(root, rel) if rel else root
                 try:
                     names = sorted(os.listdir(base))
                 except OSError:
+                    items.append((root, rel, True))     # the task reports it
                     continue
                 for n in names:
                     r = f"{rel}/{n}" if rel else n
@@ -86,7 +95,7 @@ class _TreeReader(DataSourceReader):
                         nxt.append((root, r))
                     else:
                         items.append((root, r, False))
-            if len(items) + len(nxt) >= target or depth == 3:
+            if len(items) + len(nxt) >= target:
                 items += [(root, r, True) for root, r in nxt]
                 break
             frontier = nxt
@@ -96,37 +105,41 @@ class _TreeReader(DataSourceReader):
             buckets[zlib.crc32(f"{it[0]}/{it[1]}".encode()) % n].append(it)
         return [_Shard(i, b) for i, b in enumerate(buckets)]
 
+    @staticmethod
+    def _failed(root: str, path: str, error: OSError):
+        rel = os.path.relpath(path, root).replace(os.sep, "/")
+        return (os.path.basename(root), root, rel, None, None, None, f"{type(error).__name__}: {error.strerror}")
+
     def _row(self, root: str, path: str):
         try:
             st = os.lstat(path)
-        except OSError:
-            return None
-        import stat
-        if not stat.S_ISREG(st.st_mode):
-            return None
-        if (self.lo is not None and st.st_size < self.lo) or (self.hi is not None and st.st_size > self.hi):
-            return None
-        data = None
-        if self.with_content:
-            try:
+            if not stat.S_ISREG(st.st_mode):
+                return None
+            if (self.lo is not None and st.st_size < self.lo) or (self.hi is not None and st.st_size > self.hi):
+                return None
+            data = None
+            if self.with_content:
                 with open(path, "rb") as fh:
                     data = fh.read()
-            except OSError:
-                return None
+        except OSError as e:
+            return self._failed(root, path, e)
         rel = os.path.relpath(path, root).replace(os.sep, "/")
         return (os.path.basename(root), root, rel, st.st_size,
-                datetime.fromtimestamp(st.st_mtime, tz=timezone.utc).replace(tzinfo=None), data)
+                datetime.fromtimestamp(st.st_mtime, tz=timezone.utc).replace(tzinfo=None), data, None)
 
     def read(self, partition: _Shard):
         for root, rel, recursive in partition.items:
             top = os.path.join(root, rel)
             if recursive:
-                for d, dirs, files in os.walk(top):
+                failed: list[OSError] = []
+                for d, dirs, files in os.walk(top, onerror=failed.append):
                     dirs.sort()
                     for fname in sorted(files):
                         r = self._row(root, os.path.join(d, fname))
                         if r is not None:
                             yield r
+                for e in failed:
+                    yield self._failed(root, e.filename, e)
             else:
                 r = self._row(root, top)
                 if r is not None:
@@ -149,12 +162,25 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SourceTreeDataSource)
 
 
-def scan_tree(spark: SparkSession, roots: list[str], content: bool = True, shards: int = 64) -> DataFrame:
+def scan_tree(spark: SparkSession, roots: list[str], content: bool = True, shards: int | None = None) -> DataFrame:
+    """All files below ``roots``; by default in four tasks for each core."""
     register(spark)
+    shards = shards or 4 * spark.sparkContext.defaultParallelism
     return (spark.read.format("source_tree").option("paths", ",".join(roots))
             .option("content", str(content).lower()).option("shards", str(shards)).load())
 
 
+def readable(listing: DataFrame, on_error: str = "raise") -> DataFrame:
+    """The rows without ``error``. With ``on_error`` "raise" (the default) an
+    unreadable item fails the job; "skip" leaves it out (see it in the listing)."""
+    if on_error not in ("raise", "skip"):
+        raise ValueError(f"unknown on_error {on_error!r}")
+    failed = F.col("error").isNotNull()
+    if on_error == "raise":
+        failed = F.when(failed, F.raise_error(F.concat_ws(" ", "repo_source", "rel_path", "error"))).otherwise(F.lit(False)).cast("boolean")
+    return listing.where(~failed)
+
+
 def read_contents(listing: DataFrame, max_batch_bytes: int = 64 << 20) -> DataFrame:
     """Second pass: bytes of the listed (already filtered) files, read in
     executor batches; an output batch is flushed once it holds
@@ -167,13 +193,9 @@ def read_contents(listing: DataFrame, max_batch_bytes: int = 64 << 20) -> DataFr
             pdf = pdf.drop(columns=["content"], errors="ignore").reset_index(drop=True)
             start, data, held = 0, [], 0
             for i, (root, rel) in enumerate(zip(pdf["repo_source"], pdf["rel_path"])):
-                try:
-                    with open(os.path.join(root, rel), "rb") as fh:
-                        b = fh.read()
-                except OSError:
-                    b = None
-                data.append(b)
-                held += len(b) if b else 0
+                with open(os.path.join(root, rel), "rb") as fh:
+                    data.append(fh.read())
+                held += len(data[-1])
                 if held >= max_batch_bytes:
                     yield pdf.iloc[start:i + 1].assign(content=data)
                     start, data, held = i + 1, [], 0
@@ -195,11 +217,11 @@ def decode_text(bytes_col: Column) -> Column:
 
 
 def ingest_files(spark: SparkSession, roots: list[str], policy: str = "ingest", strict_reference: bool = False,
-                 max_bytes: int | None = None) -> DataFrame:
+                 max_bytes: int | str | None = "reference", on_error: str = "raise") -> DataFrame:
     """Listing -> cheap path/size rules -> read bytes -> content sniff ->
     decoded ``content``. Returns the kept files with text content."""
     from ..operators import files as fo
-    listing = scan_tree(spark, roots, content=False)
+    listing = readable(scan_tree(spark, roots, content=False), on_error)
     cheap = listing.where(fo.policy_reason(listing, policy, strict_reference=strict_reference, max_bytes=max_bytes).isNull())
     with_bytes = read_contents(cheap).withColumn("head", head(F.col("content")))
     sniffed = fo.keep_files(with_bytes, policy, strict_reference=strict_reference, head_col="head", max_bytes=max_bytes)

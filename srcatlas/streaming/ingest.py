@@ -1,32 +1,44 @@
-"""Incremental ingest: only changed repositories are deleted and rebuilt.
+"""Incremental ingest: only touched repositories are deleted and rebuilt.
 
-``refresh`` is the batch form (one lazy plan). ``ingest_stream`` runs the
-same function on every micro-batch of a file stream of new file rows
-with ``foreachBatch``; each batch writes whole repositories with dynamic
-partition overwrite, so a retried batch rewrites the same partitions
-(idempotent by ``repo_id``).
+``refresh`` is the batch form (one lazy plan). ``ingest_stream`` reads a
+stream of file events and treats each micro-batch as the list of repositories
+that it touches: each of those is rebuilt from the full inventory (the latest
+event of every file), so a repository whose files come in several batches, a
+removed file and a replayed batch all end in the same tables as one batch of
+everything. Tables are Parquet, partitioned by repository; a rebuilt
+repository replaces its partition, and one without files loses it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import catalog as cat
 from ..operators import chunking, files as fo
 
+#: Partition column of each stored table.
+TABLES = {"repositories": "id", "documents": "repo_id", "chunks": "repo_id", "vectors": "repo_id"}
 
-def refresh(tables: dict[str, DataFrame], files: DataFrame, to_rebuild: DataFrame,
+
+def rebuilt(files: DataFrame, processed_at: Column, chunk_mode: str = "fixed") -> dict[str, DataFrame]:
+    """The tables of the repositories in ``files``. The digest is taken over
+    every listed file, also those that become no document."""
+    docs = fo.load_documents(files)
+    chunks = chunking.chunk(docs, mode=chunk_mode)
+    repos = cat.build_repositories(docs, chunks, cat.repo_digest(files), processed_at)
+    return {"repositories": repos, "documents": docs, "chunks": chunks}
+
+
+def refresh(tables: dict[str, DataFrame], files: DataFrame, to_rebuild: DataFrame, processed_at: Column,
             chunk_mode: str = "fixed") -> tuple[dict[str, DataFrame], DataFrame]:
     """tables(repositories, documents, chunks) + today's files + repo ids to
     rebuild -> new tables, and the rebuilt repo ids."""
     ids = to_rebuild.select("repo_id").distinct()
     kept, _ = cat.delete_repos(tables, ids)
     f = files.withColumn("repo_id", paths.repo_id("repo_source")).join(ids, "repo_id", "left_semi").drop("repo_id")
-    docs = fo.load_documents(f)
-    chunks = chunking.chunk(docs, mode=chunk_mode)
-    repos = cat.build_repositories(docs, chunks, cat.repo_digest(f))
-    new = {"repositories": repos, "documents": docs, "chunks": chunks}
+    new = rebuilt(f, processed_at, chunk_mode)
     out = {name: kept[name].unionByName(new[name].select(*kept[name].columns)) for name in kept}
     return out, ids
 
@@ -38,22 +50,57 @@ def write_table(df: DataFrame, path: str, partition_col: str = "repo_id", mode:
        .partitionBy(partition_col).parquet(path))
 
 
-def ingest_batch(batch: DataFrame, out_dir: str, chunk_mode: str = "fixed") -> None:
-    """One micro-batch of file rows -> documents and chunks tables."""
-    docs = fo.load_documents(batch)
-    docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("repo_id").parquet(f"{out_dir}/documents")
-    chunks = chunking.chunk(docs, mode=chunk_mode)
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("repo_id").parquet(f"{out_dir}/chunks")
+def drop_partitions(spark: SparkSession, path: str, partition_col: str, ids: DataFrame) -> None:
+    """Remove the partitions of ``ids`` (one column), one after the other."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in ids.toLocalIterator():
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"{partition_col}={row[0]}"), True)
+
+
+def delete_stored(spark: SparkSession, out_dir: str, repo_ids: DataFrame, tables: list[str] | None = None) -> None:
+    """Delete repositories from the stored tables, vectors included."""
+    ids = repo_ids.select("repo_id").distinct()
+    for name in tables or TABLES:
+        drop_partitions(spark, f"{out_dir}/{name}", TABLES[name], ids)
+
+
+def inventory(events: DataFrame, order_col: str = "modified") -> DataFrame:
+    """Files as they are now: the latest event of each (repo_source,
+    rel_path); an event without content and size is a removal."""
+    return cat.dedup_last(events, ["repo_source", "rel_path"], order_col).where(
+        "content is not null or size_bytes is not null")
+
+
+def ingest_batch(batch: DataFrame, events: DataFrame, out_dir: str, chunk_mode: str = "fixed",
+                 order_col: str = "modified") -> None:
+    """Rebuild the repositories that ``batch`` touches from all ``events`` so
+    far. Running it again, with the same or later events, is harmless."""
+    spark = batch.sparkSession
+    touched = batch.select(paths.repo_id("repo_source").alias("repo_id")).distinct()
+    mine = events.withColumn("repo_id", paths.repo_id("repo_source")).join(touched, "repo_id", "left_semi")
+    latest = mine.groupBy("repo_id").agg(F.max(order_col).alias("processed"))
+    files = inventory(mine.drop("repo_id"), order_col)
+    new = rebuilt(files, F.lit(None).cast("timestamp"), chunk_mode)
+    repos = new["repositories"].drop("processed_at").join(
+        latest.select(F.col("repo_id").alias("id"), F.col("processed").cast("timestamp").alias("processed_at")), "id")
+    write_table(new["documents"], f"{out_dir}/documents")
+    write_table(new["chunks"], f"{out_dir}/chunks")
+    write_table(repos.withColumn("repo_id", F.col("id")), f"{out_dir}/repositories", "id")
+    empty = touched.join(spark.read.parquet(f"{out_dir}/repositories").select(F.col("id").alias("repo_id")), "repo_id", "left_anti")
+    gone = touched.join(new["documents"].select("repo_id").distinct(), "repo_id", "left_anti").unionByName(empty).distinct()
+    delete_stored(spark, out_dir, gone, ["repositories", "documents", "chunks"])
 
 
 def ingest_stream(spark: SparkSession, in_dir: str, schema, out_dir: str, checkpoint: str,
-                  chunk_mode: str = "fixed"):
-    """Start an ``availableNow`` stream of file rows (parquet) into the tables."""
+                  chunk_mode: str = "fixed", order_col: str = "modified"):
+    """Start an ``availableNow`` stream of file events (parquet) into the
+    tables. The events stay in ``in_dir``; they are the inventory's source."""
     stream = spark.readStream.schema(schema).parquet(in_dir)
-    return (stream.writeStream
-            .foreachBatch(lambda df, _epoch: ingest_batch(df, out_dir, chunk_mode))
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start())
+
+    def each(batch: DataFrame, _epoch: int) -> None:
+        ingest_batch(batch, spark.read.schema(schema).parquet(in_dir), out_dir, chunk_mode, order_col)
+
+    return (stream.writeStream.foreachBatch(each)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

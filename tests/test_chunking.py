@@ -85,3 +85,42 @@ def test_revise_with_checkpoint_matches(spark):
     a = sorted(map(tuple, revise(df, vals, rounds=5).select("id", "final_score", "rounds", "final_draft").collect()))
     b = sorted(map(tuple, revise(df, vals, rounds=5, checkpoint_every=2).select("id", "final_score", "rounds", "final_draft").collect()))
     assert a == b and a[0][1] >= 85
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "é", "\U0001f600", "\n", " "]), min_size=1, max_size=120).map("".join),
+       st.integers(min_value=2, max_value=20), st.integers(min_value=0, max_value=19))
+def test_fixed_pieces_are_windows(spark, text, size, overlap):
+    from pyspark.sql import functions as F
+    from srcatlas.operators.chunking import fixed_pieces
+    if overlap >= size:
+        return
+    stride = size - overlap
+    n = max(0, -(-(len(text) - size) // stride)) + 1
+    got = spark.createDataFrame([(text,)], "t string").select(fixed_pieces(F.col("t"), size, overlap)).first()[0]
+    assert got == [text[i * stride:i * stride + size] for i in range(n)]
+
+
+def test_fixed_chunks_cost_in_proportion(spark):
+    import time
+
+    from pyspark.sql import functions as F
+    from srcatlas.operators.chunking import chunk_fixed
+
+    def cost(millions):
+        d = spark.range(1).select(F.lit("d").alias("doc_id"), F.lit("r").alias("repo_id"), F.lit("r").alias("repo"),
+                                  F.lit("f").alias("file_path"), F.expr(f"repeat('0123456789', {millions * 100_000})").alias("content"))
+        t0 = time.perf_counter()
+        chunk_fixed(d).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - t0
+
+    cost(1)
+    assert cost(16) < 8 * cost(4) + 1
+
+
+def test_dedup_carries_no_content_through_the_aggregate(spark):
+    from srcatlas.operators.chunking import dedup_chunks
+    df = spark.createDataFrame([("d", "h", 0, "x"), ("d", "h", 2, "x"), ("d", "g", 1, "y")], "doc_id string, chunk_hash string, chunk_num int, content string")
+    out = dedup_chunks(df)
+    assert sorted((r.chunk_hash, r.chunk_num) for r in out.collect()) == [("g", 1), ("h", 2)]
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()

@@ -35,3 +35,41 @@ def test_no_python_udf_in_sql_expressible_queries(spark):
     for name in oracles:
         plan = _plan(QUERIES[name](spark, SF_SMALL))
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+
+
+def test_building_a_query_starts_no_job(spark):
+    from srcatlas.plans import registry
+    registry.load_all()
+    sc = spark.sparkContext
+    for name, build in registry.QUERIES.items():
+        sc.setJobGroup(f"build-{name}", name)
+        build(spark, SF_SMALL).schema
+        started = sc.statusTracker().getJobIdsForGroup(f"build-{name}")
+        # reading a table's schema from its footer is a job of one stage
+        assert all(len(sc.statusTracker().getJobInfo(j).stageIds) == 1 for j in started), name
+        assert not any(sc.statusTracker().getStageInfo(s) and sc.statusTracker().getStageInfo(s).numTasks > 1
+                       for j in started for s in sc.statusTracker().getJobInfo(j).stageIds), name
+
+
+def test_hot_terms_and_texts_are_dealt_to_parts(spark):
+    """Half of all rows on one key, broadcasts off: no task of the join holds
+    them all, and the results are those of the unsplit data."""
+    from pyspark.sql import functions as F
+    from srcatlas.operators import keywords as kw
+    rows = [(i, "alpha beta gamma" if i % 2 else f"word{i} alpha delta{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (kw.keywords_corpus(docs), kw.memoize_by_text(docs, lambda d: kw.keywords(d))):
+            assert "_salt" in _plan(df)
+            assert df.select("doc_id").distinct().count() == 400
+        salted = docs.where("text like '%alpha%'").select(F.pmod(F.xxhash64("doc_id"), F.lit(kw.SALTS)).alias("s")).groupBy("s").count().collect()
+        assert len(salted) == kw.SALTS and max(r["count"] for r in salted) < 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_one_tokenising_pass_over_the_corpus(spark):
+    plan = _plan(QUERIES["keywords_corpus"](spark, SF_SMALL))
+    assert "SortAggregate" not in plan

@@ -1,13 +1,11 @@
 """Incremental refresh, stream ingest and partition invariance."""
-import tempfile
-
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from srcatlas.operators import catalog as cat
 from srcatlas.plans import inputs as I
-from srcatlas.plans.q_catalog import current_tables, stored_tables
-from srcatlas.streaming.ingest import ingest_stream, refresh
+from srcatlas.plans.q_catalog import current_tables, processed_at, stored_tables
+from srcatlas.streaming.ingest import TABLES, delete_stored, ingest_stream, rebuilt, refresh, write_table
 
 
 def _digest_rows(df):
@@ -20,29 +18,104 @@ def test_refresh_rebuilds_only_changed(spark):
     srcs = I.files(spark, SF_SMALL).select(F.col("repo_source").alias("source")).distinct().withColumn("type", F.lit("local"))
     ch = cat.repo_changes(srcs, cur, stored["repositories"])
     todo = ch.where(F.col("action") != "unchanged").select("repo_id")
-    tables, rebuilt = refresh(stored, I.files(spark, SF_SMALL), todo)
+    tables, rebuilt = refresh(stored, I.files(spark, SF_SMALL), todo, processed_at())
     assert {r.repo_id for r in rebuilt.collect()} == {r.repo_id for r in todo.collect()}
     # after the refresh, every repository's digest equals today's
     now = current_tables(spark, SF_SMALL)["repositories"]
     assert _digest_rows(tables["repositories"].select(F.col("id").alias("repo_id"), "content_hash")) == \
         _digest_rows(now.select(F.col("id").alias("repo_id"), "content_hash"))
     # a second refresh with nothing to do changes nothing
-    again, _ = refresh(tables, I.files(spark, SF_SMALL), todo.limit(0))
+    again, _ = refresh(tables, I.files(spark, SF_SMALL), todo.limit(0), processed_at())
     assert again["documents"].count() == tables["documents"].count()
 
 
-def test_stream_ingest_is_idempotent(spark):
-    src = tempfile.mkdtemp(prefix="sa-src-", dir="/tmp")
-    out = tempfile.mkdtemp(prefix="sa-out-", dir="/tmp")
-    files = I.files(spark, SF_SMALL)
-    files.write.mode("overwrite").parquet(src)
-    for _ in range(2):
-        ck = tempfile.mkdtemp(prefix="sa-ck-", dir="/tmp")
-        q = ingest_stream(spark, src, files.schema, out, ck)
-        q.awaitTermination(120)
-    docs = spark.read.parquet(f"{out}/documents")
-    assert docs.count() == I.documents(spark, SF_SMALL).count()
-    assert spark.read.parquet(f"{out}/chunks").count() == I.chunks(spark, SF_SMALL).count()
+def _events(spark, when):
+    return I.files(spark, SF_SMALL).withColumn("modified", F.to_timestamp(F.lit(when)))
+
+
+def _write(df, src, name):
+    df.coalesce(1).write.parquet(f"{src}/{name}")
+
+
+def _stream(spark, src, out, ck, schema):
+    q = ingest_stream(spark, f"{src}/*", schema, out, ck)
+    q.awaitTermination(180)
+    assert q.exception() is None
+
+
+def _stored(spark, out):
+    docs, chunks, repos = (spark.read.parquet(f"{out}/{t}") for t in ("documents", "chunks", "repositories"))
+    return (sorted((r.doc_id, r.file_hash) for r in docs.collect()), sorted((r.chunk_id, r.chunk_num) for r in chunks.collect()),
+            sorted((r.id, r.total_files, r.total_chunks, r.content_hash) for r in repos.collect()))
+
+
+def _expected(spark, files):
+    t = rebuilt(files, F.lit(None).cast("timestamp"))
+    return (sorted((r.doc_id, r.file_hash) for r in t["documents"].collect()), sorted((r.chunk_id, r.chunk_num) for r in t["chunks"].collect()),
+            sorted((r.id, r.total_files, r.total_chunks, r.content_hash) for r in t["repositories"].collect()))
+
+
+def test_stream_split_replayed_and_removed(spark, tmp_path):
+    """A repository split over two batches, a replayed batch, a removed file
+    and a removed repository all end as one batch of what is left."""
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    first = _events(spark, "2025-01-01 00:00:00")
+    schema = first.schema
+    _write(first.where("doc_id % 2 = 0"), src, "a")
+    _stream(spark, src, out, str(tmp_path / "ck"), schema)
+    _write(first.where("doc_id % 2 = 1"), src, "b")
+    _stream(spark, src, out, str(tmp_path / "ck"), schema)
+    whole = _expected(spark, first)
+    assert _stored(spark, out) == whole
+    # replay from the beginning
+    _stream(spark, src, out, str(tmp_path / "ck2"), schema)
+    assert _stored(spark, out) == whole
+    # a file of src1 goes, all of src2 goes, a file of src3 changes
+    gone = (F.col("repo") == "src2") | ((F.col("repo") == "src1") & (F.col("doc_id") == F.lit(
+        first.where("repo = 'src1'").agg(F.min("doc_id")).first()[0])))
+    later = _events(spark, "2025-02-01 00:00:00")
+    removed = later.where(gone).withColumn("content", F.lit(None).cast("string")).withColumn("size_bytes", F.lit(None).cast("long"))
+    changed = later.where("repo = 'src3' and doc_id % 40 = 3").withColumn("content", F.concat("content", F.lit(" and some more")))
+    _write(removed.unionByName(changed), src, "c")
+    _stream(spark, src, out, str(tmp_path / "ck"), schema)
+    now = first.where(~gone).join(changed.select("rel_path", "repo"), ["rel_path", "repo"], "left_anti").unionByName(changed)
+    assert _stored(spark, out) == _expected(spark, now)
+
+
+def test_stored_tables_upsert_and_delete(spark, tmp_path):
+    out = str(tmp_path)
+    t = stored_tables(spark, SF_SMALL)
+    vectors = t["chunks"].select("chunk_id", "repo_id", F.array(F.lit(1.0)).alias("vector"))
+    for name, df in (*t.items(), ("vectors", vectors)):
+        write_table(df.withColumn("repo_id", F.col("id")) if name == "repositories" else df, f"{out}/{name}", TABLES[name])
+    some = t["repositories"].orderBy("id").limit(2).select(F.col("id").alias("repo_id"))
+    ids = [r.repo_id for r in some.collect()]
+    pruned = cat.read_table(spark, f"{out}/documents", ids)
+    assert pruned.count() == t["documents"].where(F.col("repo_id").isin(*ids)).count()
+    assert "PartitionFilters: [isnotnull(repo_id" in pruned._jdf.queryExecution().executedPlan().toString() or \
+        "PartitionFilters: [repo_id" in pruned._jdf.queryExecution().executedPlan().toString()
+    # replace one repository's chunks
+    one = t["chunks"].where(F.col("repo_id") == ids[0]).limit(1)
+    before = spark.read.parquet(f"{out}/chunks").count()
+    n = t["chunks"].where(F.col("repo_id") == ids[0]).count()
+    write_table(one, f"{out}/chunks")
+    assert spark.read.parquet(f"{out}/chunks").count() == before - n + 1
+    delete_stored(spark, out, some)
+    for name, col in TABLES.items():
+        left = spark.read.parquet(f"{out}/{name}")
+        assert left.where(F.col(col).isin(*ids)).isEmpty() and not left.isEmpty()
+
+
+def test_upsert_of_every_table(spark):
+    for name, key in (("documents", "doc_id"), ("chunks", "chunk_id")):
+        old = stored_tables(spark, SF_SMALL)[name]
+        old = cat.dedup_last(old, [key], "chunk_num") if name == "chunks" else old
+        new = old.limit(5).withColumn("content", F.lit("new"))
+        out = cat.upsert(old, new.unionByName(new), [key])
+        assert out.count() == old.count() and out.where("content = 'new'").count() == 5
+    vectors = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "chunk_id string, vector array<double>")
+    out = cat.upsert(vectors, spark.createDataFrame([("b", [3.0]), ("c", [4.0])], vectors.schema), ["chunk_id"])
+    assert sorted((r.chunk_id, r.vector) for r in out.collect()) == [("a", [1.0]), ("b", [3.0]), ("c", [4.0])]
 
 
 def test_partition_invariance(spark):

@@ -81,7 +81,9 @@ def test_documents_and_chunks_from_tree(spark, repo):
     files = tree.ingest_files(spark, [repo])
     docs = fo.build_documents(files, modified_col="modified")
     assert docs.count() == files.where(fo.min_content(F.col("content"))).count()
-    assert chunk(docs, mode="auto", threshold=5).count() >= docs.count()
+    assert chunk(docs, mode="buffered").count() >= docs.count()
+    with pytest.raises(ValueError):
+        chunk(docs, mode="auto")
 
 
 def test_one_folder_repo_is_split_into_shards(spark, tmp_path):
@@ -100,3 +102,37 @@ def test_read_contents_small_batches(spark, repo):
     full = {r.rel_path: r.content for r in tree.scan_tree(spark, [repo]).collect()}
     got = {r.rel_path: r.content for r in tree.read_contents(listing, max_batch_bytes=16).collect()}
     assert got == full
+
+
+def test_missing_root_raises(spark, tmp_path):
+    with pytest.raises(Exception, match="no such folder"):
+        tree.scan_tree(spark, [str(tmp_path / "nowhere")]).count()
+
+
+def test_unreadable_items_are_rows_and_raise(spark, monkeypatch):
+    row = tree._TreeReader({"paths": "/nowhere"}, None)._row("/nowhere", "/nowhere/gone.txt")
+    assert row[2] == "gone.txt" and row[3] is None and "FileNotFoundError" in row[-1]
+    df = spark.createDataFrame([row, ("r", "/r", "ok.txt", 2, None, b"ok", None)], tree.TREE_SCHEMA)
+    assert [r.rel_path for r in tree.readable(df, "skip").collect()] == ["ok.txt"]
+    with pytest.raises(Exception, match="gone.txt"):
+        tree.readable(df).collect()
+
+
+def test_caps_can_be_off(spark):
+    big = spark.createDataFrame([("big.py", 1 << 40, "some text here")], "rel_path string, size_bytes long, content string")
+    for policy in fo.POLICIES:
+        assert fo.keep_files(big, policy).count() == 0
+        assert fo.keep_files(big, policy, max_bytes=None).count() == 1
+        assert fo.keep_files(big, policy, max_bytes=1 << 41).count() == 1
+    files = big.withColumn("repo_source", F.lit("/r"))
+    other = files.withColumn("content", F.lit("other text here"))
+    assert cat.repo_digest(files).first().content_hash != cat.repo_digest(other).first().content_hash
+
+
+def test_digest_of_bytes_sees_line_ends(spark):
+    rows = spark.createDataFrame([("/r", "a.py", 3, bytearray(b"a\r\nb")), ("/r", "b.py", 3, bytearray(b"x"))], "repo_source string, rel_path string, size_bytes long, content binary")
+    unix = rows.withColumn("content", F.when(F.col("rel_path") == "a.py", F.lit(bytearray(b"a\nb"))).otherwise(F.col("content")))
+    one, two = cat.repo_digest(rows).first(), cat.repo_digest(unix).first()
+    assert one.n_files == two.n_files == 2 and one.content_hash != two.content_hash
+    assert cat.repo_digest(rows.repartition(7)).first().content_hash == one.content_hash
+    assert "collect_list" not in cat.repo_digest(rows)._jdf.queryExecution().executedPlan().toString()
