@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, map_batches, mix64, stored, text_bytes, word_bounds
+from .common import hash_words, map_batches, mix64, pack, stored, text_bytes, unpack, word_bounds
 from .ctw import LOG_HALF, Subtree, level_of, log_kt, shorten
 
 #: Bytes of context, and those by which grams are dealt.
@@ -58,18 +58,6 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-def pack(x: np.ndarray) -> bytes:
-    """An integer array, compressed byte plane by byte plane."""
-    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpack(data: bytes, dtype) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(dtype) if len(raw) else np.zeros(0, dtype)
-
-
 def pack_sorted(keys: np.ndarray) -> bytes:
     return pack(np.diff(keys, prepend=np.uint64(0)))
 

@@ -45,6 +45,14 @@ MIN_COVERED = 8
 MEASURES = "__measures"
 
 
+def _free_name(df: DataFrame) -> str:
+    """A column name that ``df`` does not have."""
+    name, taken = MEASURES, {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of ``value``, which is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -113,10 +121,10 @@ def measures(text: Column) -> Column:
         (chars - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long").alias("n_capitals"))
 
 
-def with_measures(docs: DataFrame) -> DataFrame:
-    """``docs`` with one struct column of counts and shares."""
-    d = docs.withColumn(MEASURES, measures(F.col("text")))
-    m = F.col(MEASURES)
+def with_measures(docs: DataFrame, name: str = MEASURES) -> DataFrame:
+    """``docs`` with one struct column more, of counts and shares."""
+    d = docs.withColumn(name, measures(F.col("text")))
+    m = F.col(name)
     n = m["w"]["n_words"]
     per_word = lambda c: F.when(n > 0, c / n)
     per_char = lambda c: F.when(m["word_chars"] > 0, c / m["word_chars"])
@@ -134,7 +142,7 @@ def with_measures(docs: DataFrame) -> DataFrame:
         per_char(m["n_capitals"]).alias("capital_share"),
         F.when(m["l"]["n_lines"] > 0, n / m["l"]["n_lines"]).alias("words_per_line"),
         n.cast("double").alias("words"))
-    return d.withColumn(MEASURES, flat)
+    return d.withColumn(name, flat)
 
 
 #: Measures that rules may test.
@@ -319,6 +327,7 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns; no shuffle."""
-    d = with_measures(docs)
-    of = lambda m: F.col(MEASURES)[m]
-    return d.where(~of("base_failed") & (rejects(rules, of) == 0)).drop(MEASURES)
+    name = _free_name(docs)
+    of = lambda m: F.col(name)[m]
+    d = with_measures(docs, name)
+    return d.where(~of("base_failed") & (rejects(rules, of) == 0)).drop(name)

@@ -42,10 +42,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, gram_hashes, hash_words, map_batches, mix64, stored, text_bytes, word_bounds
+from .common import bounded_batches, gram_hashes, hash_words, map_batches, mix64, pack, stored, text_bytes, unpack, word_bounds
 
 SHINGLE_WORDS = 4
 #: Two documents link when 100 * intersection >= PERCENT * union.
@@ -53,7 +53,7 @@ PERCENT = 85
 #: Most documents of a group.
 GROUP = 64
 #: Buckets of the rarity counts: the only thing broadcast, 4 bytes each.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 22
 #: Min-hash keys of a document (each of two hashes) that propose stars.
 BANDS = 6
 #: Buckets of document ids by which rows without any candidate are left out
@@ -99,21 +99,21 @@ def rarity(docs: DataFrame) -> np.ndarray:
             if got:
                 total += np.bincount(np.concatenate(got), minlength=BUCKETS)
         if total.any():
-            yield [range(parts), [total[i * width:(i + 1) * width].astype("<u4").tobytes() for i in range(parts)]]
+            yield [range(parts), [pack(total[i * width:(i + 1) * width].astype("<u4")) for i in range(parts)]]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for part, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
+                sums[part] = sums.get(part, 0) + unpack(counts, "<u4").astype(np.int64)
         if sums:
-            yield [list(sums), [np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes() for v in sums.values()]]
+            yield [list(sums), [pack(np.minimum(v, 0xFFFFFFFF).astype("<u4")) for v in sums.values()]]
 
     ddl = "part int, counts binary"
     summed = map_batches(map_batches(docs.select("text"), ddl, count).repartition(parts, "part"), ddl, add)
     out = np.zeros(BUCKETS, "<u4")
     for r in summed.collect():
-        out[r["part"] * width:(r["part"] + 1) * width] = np.frombuffer(r["counts"], "<u4")
+        out[r["part"] * width:(r["part"] + 1) * width] = unpack(r["counts"], "<u4")
     return out
 
 
@@ -190,7 +190,8 @@ def _opened(blocks: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
 
     blocks = stored(blocks, "blocks")
     bounded_batches(docs.sparkSession)
-    full = blocks.join(_texts_of(docs, blocks), "doc_id").select("k1", "k2", "side", "unit", "doc_id", "text")
+    # merged whatever the size: the blocks grow with the documents
+    full = _texts_of(docs, blocks).join(blocks.hint("merge"), "doc_id").select("k1", "k2", "side", "unit", "doc_id", "text")
     return stored(full.groupBy("k1", "k2").applyInArrow(run, "a long, b long"), "links")
 
 
@@ -256,7 +257,7 @@ def _buckets(reps: DataFrame) -> DataFrame:
     document that a document is in; the leader is its smallest document."""
     keyed = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     leader = keyed.groupBy("band", "key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    return stored(keyed.join(stored(leader, "leaders"), ["band", "key"]).select("doc_id", "leader", "size"), "buckets")
+    return stored(keyed.join(stored(leader, "leaders").hint("merge"), ["band", "key"]).select("doc_id", "leader", "size"), "buckets")
 
 
 def _star_blocks(buckets: DataFrame) -> DataFrame:
@@ -310,13 +311,17 @@ def _need(hi: Column, lo_other: Column) -> Column:
 def _candidate_groups(signed: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs of groups (group1, group2) of different units whose shared matrix
     entries reach the bound, and groups of several documents with themselves."""
-    entries = signed.where("n > 0").select("doc_id", "prefix").join(groups.select("doc_id", "group", "unit"), "doc_id").select(
+    # a unit that is the group itself is left null: less to shuffle
+    named = groups.select("doc_id", "group", F.when(F.col("unit") != F.col("group"), F.col("unit")).alias("unit"))
+    entries = signed.where("n > 0").select("doc_id", "prefix").join(named.hint("merge"), "doc_id").select(
         "group", "unit", F.explode("prefix").alias("token"))
-    # a shingle that one unit has only cannot join two
-    kept = stored(entries.groupBy("token").agg(F.min("unit").alias("u0"), F.max("unit").alias("u1")).where(
-        "u0 <> u1").select("token"), "matrix-shingles")
+    # a shingle that one unit has only cannot join two; one shuffle by
+    # shingle finds and keeps the others
+    unit, of = F.coalesce("unit", "group"), Window.partitionBy("token")
+    shared_by = entries.select("token", "group", F.min(unit).over(of).alias("u0"), F.max(unit).over(of).alias("u1")).where("u0 <> u1")
     sizes = stored(groups.select("group", "unit", "lo", "hi", "size").distinct(), "group-sizes")
-    matrix = stored(entries.join(kept, "token", "left_semi").distinct().join(sizes.select("group", "lo", "hi"), "group"), "matrix")
+    matrix = stored(shared_by.select("token", "group").distinct(), "matrix")
+    matrix = stored(matrix.join(sizes.select("group", "unit", "lo", "hi"), "group"), "matrix")
     side = lambda i: matrix.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("group", "unit", "lo", "hi")])
     met = side(1).join(side(2), "token").where(
         "group1 < group2 and unit1 <> unit2"
