@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import paths
 from . import files as fo
+from .joins import salted_join
 
 
 # --- sources --------------------------------------------------------------------
@@ -129,13 +130,18 @@ def read_repo(table: DataFrame, sources: list[str] | None = None, repo_ids: list
     stored partitioned by ``repo_id``) or a DataFrame of ids computed by
     another job (a left-semi join; AQE broadcasts it when it is small)."""
     if isinstance(repo_ids, DataFrame):
-        out = table.join(repo_ids.select("repo_id").distinct(), "repo_id", "left_semi")
+        out = salted_join(table, repo_ids.select("repo_id").distinct(), ["repo_id"], "left_semi", _row_key(table))
     else:
         ids = list(repo_ids or []) + [_repo_id_str(s) for s in (sources or [])]
         out = table.where(F.col("repo_id").isin(*ids)) if ids else table.limit(0)
     return out.orderBy(order) if order else out
 
 
+def _row_key(table: DataFrame) -> list[str]:
+    """Columns that tell a table's rows apart, as far as it has them."""
+    return [c for c in ("chunk_id", "doc_id", "rel_path") if c in table.columns] or table.columns[:1]
+
+
 def read_table(spark, path: str, repo_ids: list[str] | None = None, order: str | None = None) -> DataFrame:
     """A stored table (parquet partitioned by ``repo_id``); with ``repo_ids``
     only those partitions are listed and read (partition pruning)."""
@@ -257,8 +263,8 @@ def delete_repos(tables: dict[str, DataFrame], repo_ids: DataFrame) -> tuple[dic
     for name, t in tables.items():
         col = "id" if name == "repositories" else "repo_id"
         k = keys.withColumnRenamed("repo_id", col)
-        kept[name] = t.join(k, col, "left_anti")
-        n = t.join(k, col, "left_semi").agg(F.count(F.lit(1)).alias("n_deleted")) \
+        kept[name] = salted_join(t, k, [col], "left_anti", _row_key(t)).select(*t.columns)
+        n = salted_join(t, k, [col], "left_semi", _row_key(t)).agg(F.count(F.lit(1)).alias("n_deleted")) \
             .select(F.lit(name).alias("table_name"), "n_deleted")
         counts = n if counts is None else counts.unionByName(n)
     return kept, counts
@@ -269,12 +275,19 @@ def fk_orphans(documents: DataFrame, chunks: DataFrame, repositories: DataFrame)
     repos = repositories.select(F.col("id").alias("repo_id")).distinct()
     docs = documents.select("doc_id").distinct()
 
-    def count(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("n_orphans")).select(F.lit(name).alias("check"), "n_orphans")
-
-    return count(documents.join(repos, "repo_id", "left_anti"), "documents.repo_id") \
-        .unionByName(count(chunks.join(docs, "doc_id", "left_anti"), "chunks.doc_id")) \
-        .unionByName(count(chunks.join(repos, "repo_id", "left_anti"), "chunks.repo_id"))
+    def missing(table: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+        # rows of one parent are counted before the join, so a parent moves
+        # one row for each task however many rows name it
+        named = table.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        return named.join(parents, key, "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_orphans"))
+
+    checks = [(documents, repos, "repo_id", "documents.repo_id"), (chunks, docs, "doc_id", "chunks.doc_id"),
+              (chunks, repos, "repo_id", "chunks.repo_id")]
+    out = None
+    for table, parents, key, name in checks:
+        n = missing(table, parents, key).select(F.lit(name).alias("check"), "n_orphans")
+        out = n if out is None else out.unionByName(n)
+    return out
 
 
 # --- statistics ---------------------------------------------------------------------------

@@ -19,21 +19,23 @@ from .. import constants as K
 from ..functions import paths, text
 from . import analysis as an
 
+#: Size up to which a template is taken as configuration, by default.
 MAX_TEMPLATE_BYTES = 1 << 20
 
 
 # --- templates ------------------------------------------------------------------
 
-def load_template(path_or_name: str) -> str:
+def load_template(path_or_name: str, max_bytes: int | None = MAX_TEMPLATE_BYTES) -> str:
     """Template text: a packaged template by name or a file path. Templates
-    are configuration, bounded in size (checked) and inlined as literals."""
+    are configuration, inlined as literals; one above ``max_bytes`` raises
+    (None: no limit)."""
     if "/" not in path_or_name:
         t = resources.files("srcatlas.data").joinpath(path_or_name).read_text("utf-8")
     else:
         with open(path_or_name, encoding="utf-8") as f:
-            t = f.read(MAX_TEMPLATE_BYTES + 1)
-    if len(t.encode("utf-8")) > MAX_TEMPLATE_BYTES:
-        raise ValueError("template larger than 1 MiB")
+            t = f.read() if max_bytes is None else f.read(max_bytes + 1)
+    if max_bytes is not None and len(t.encode("utf-8")) > max_bytes:
+        raise ValueError(f"template larger than {max_bytes} bytes")
     return t
 
 
@@ -227,6 +229,12 @@ def render_docs(ctx: DataFrame) -> DataFrame:
     return ctx.select("repo_id", render_doc(ctx).alias("body"))
 
 
+def output_name(name: str, repo_id: str) -> Column:
+    """File name of a repository's document: its name made safe, which cuts
+    long ones, and its id, so that no two repositories share one."""
+    return F.concat(text.safe_name(name), F.lit("_"), F.col(repo_id), F.lit("_comprehensive_docs.md"))
+
+
 def doc_metadata(ctx: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """repo_id, output file name and the metadata JSON of the generated document."""
     df = ctx if scores is None else ctx.join(scores.select("repo_id", "final_score"), "repo_id", "left")
@@ -239,7 +247,7 @@ def doc_metadata(ctx: DataFrame, scores: DataFrame | None = None) -> DataFrame:
                  F.col("languages").alias("languages"), F.col("frameworks").alias("frameworks")).alias("repository"),
         F.struct(F.col("key_classes_count"), F.col("key_functions_count"), F.col("api_endpoints_count"),
                  F.lit(0).cast("bigint").alias("dependencies_count")).alias("analysis_summary"))
-    return df.select("repo_id", F.concat(text.safe_name("repo_name"), F.lit("_comprehensive_docs.md")).alias("file_name"),
+    return df.select("repo_id", output_name("repo_name", "repo_id").alias("file_name"),
                      F.to_json(meta).alias("metadata_json"))
 
 
@@ -299,6 +307,12 @@ def revise(drafts: DataFrame, values: dict[str, Column] | None = None, target: i
         .withColumnRenamed("_rounds", "rounds").drop("_done")
 
 
+def repo_scores(revised: DataFrame) -> DataFrame:
+    """(repo_id, final_score): the whole part of the mean final score of a
+    repository's revised drafts."""
+    return revised.groupBy("repo_id").agg(F.floor(F.avg("final_score")).cast("int").alias("final_score"))
+
+
 # --- results ---------------------------------------------------------------------------------
 
 def generation_results(repositories: DataFrame, chunks: DataFrame, scores: DataFrame | None = None) -> DataFrame:
@@ -313,7 +327,7 @@ def generation_results(repositories: DataFrame, chunks: DataFrame, scores: DataF
     score = F.coalesce(F.col("final_score"), F.lit(K.DEFAULT_SCORE)) if scores is not None else F.lit(K.DEFAULT_SCORE)
     return df.select(
         "repo_id", "repo_name", ok.alias("success"),
-        F.when(ok, F.concat(text.safe_name("repo_name"), F.lit("_comprehensive_docs.md"))).alias("output_file"),
+        F.when(ok, output_name("repo_name", "repo_id")).alias("output_file"),
         F.when(ok, F.lit(None).cast("string")).otherwise(F.lit("No data found")).alias("error"),
         F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("total_chunks_analyzed"),
         F.when(ok, score.cast("int")).otherwise(F.lit(0)).alias("final_score"))

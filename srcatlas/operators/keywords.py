@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as tx
+from .joins import salted_join
 
 #: Parts that a term's rows are dealt to in the idf join.
 SALTS = 8
@@ -112,9 +113,7 @@ def keywords_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     idf = df_.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
     # A term may be in a third of all texts: its rows are dealt to SALTS
     # parts, and each part gets the term's one idf row.
-    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    tfidf = counts.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(
-        idf.select("*", parts), ["term", "_salt"]).withColumn("w", F.col("n") * F.col("idf"))
+    tfidf = salted_join(counts, idf, ["term"], "inner", "doc_id", SALTS).withColumn("w", F.col("n") * F.col("idf"))
     wd = Window.partitionBy("doc_id")
     scored = tfidf.withColumn("score", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(wd)))
     return _top(scored, top_n).select("doc_id", "term", "score", "rank")
@@ -133,6 +132,4 @@ def memoize_by_text(docs: DataFrame, fn: Callable[[DataFrame], DataFrame], id_co
         first, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
     res = fn(uniq.select(F.col("text_hash").alias("doc_id"), "text")).withColumnRenamed("doc_id", "text_hash")
     # a text may be a third of all rows: its copies are dealt to SALTS parts
-    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    return ids.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(
-        res.select("*", parts), ["text_hash", "_salt"]).drop("text_hash", "_salt")
+    return salted_join(ids, res, ["text_hash"], "inner", "doc_id", SALTS).drop("text_hash")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import paths
+from ..operators.joins import salted_join
 from ..operators import chunking, docs as dc
 from ..sources import fixtures as fx
 from . import duck as D
@@ -191,18 +192,18 @@ def _list_sql(c: str) -> str:
 
 
 @query("doc_metadata_json", lambda: docs_ctes() + f"""
-SELECT repo_id, substring(regexp_replace(repo_name, '[<>:"/\\\\|?*]', '_', 'g'), 1, 50) || '_comprehensive_docs.md' AS file_name,
+SELECT ctx.repo_id, substring(regexp_replace(repo_name, '[<>:"/\\\\|?*]', '_', 'g'), 1, 50) || '_' || ctx.repo_id || '_comprehensive_docs.md' AS file_name,
   CAST(json_object(
     'generation_info', json_object('total_chunks_analyzed', total_chunks, 'total_documents', total_documents,
-                                   'final_quality_score', {K.DEFAULT_SCORE}, 'architecture_type', architecture_type),
-    'repository', json_object('id', repo_id, 'name', repo_name, 'source', repo_source,
+                                   'final_quality_score', coalesce(sc.final_score, {K.DEFAULT_SCORE}), 'architecture_type', architecture_type),
+    'repository', json_object('id', ctx.repo_id, 'name', repo_name, 'source', repo_source,
                               'languages', {_list_sql('languages')}, 'frameworks', {_list_sql('frameworks')}),
     'analysis_summary', json_object('key_classes_count', key_classes_count, 'key_functions_count', key_functions_count,
                                     'api_endpoints_count', api_endpoints_count, 'dependencies_count', 0)) AS VARCHAR) AS metadata_json
-FROM ctx""")
+FROM ctx LEFT JOIN ({_scores_sql()}) sc ON sc.repo_id = ctx.repo_id""")
 def doc_metadata_json(spark, sf):
     ctx, _ = context(spark, sf)
-    return dc.doc_metadata(ctx)
+    return dc.doc_metadata(ctx, dc.repo_scores(revised_drafts(spark, sf)))
 
 
 # --- O116 -----------------------------------------------------------------------------------
@@ -235,14 +236,24 @@ SELECT doc_id,
   md5(d3) AS final_draft_md5
 FROM r5""")
 def revision_rounds(spark, sf):
+    out = revised_drafts(spark, sf)
+    return out.select("doc_id", F.col("rounds").cast("int").alias("rounds"), F.col("final_score").cast("int").alias("final_score"),
+                      F.md5("final_draft").alias("final_draft_md5"))
+
+
+def _scores_sql() -> str:
+    """Final score of each repository: the mean of its drafts' after the rounds."""
+    score = f"CASE WHEN s1 >= {K.TARGET_SCORE} THEN s1 WHEN s2 >= {K.TARGET_SCORE} THEN s2 ELSE s3 END"
+    return f"""SELECT {D.repo_id('repo_source')} AS repo_id, CAST(floor(avg(final)) AS INTEGER) AS final_score
+FROM ({_rounds_sql()} SELECT repo_source, {score} AS final FROM r5) GROUP BY 1"""
+
+
+def revised_drafts(spark, sf):
     """Round one's review is the fixture review; later rounds use the
     default rubric reviewer and the default (clean + fill) writer."""
-    from ..sources import fixtures as fx
     d = draft_context(spark, sf).join(fx.view(spark, sf, "fx_reviews"), "doc_id")
     vals = {k: F.col(k) for k in ["repo_name", "languages", "frameworks", "repo_source", "project_dir"]}
-    out = dc.revise(d, vals, first_review="review")
-    return out.select("doc_id", F.col("rounds").cast("int").alias("rounds"), F.col("final_score").cast("int").alias("final_score"),
-                      F.md5("final_draft").alias("final_draft_md5"))
+    return dc.revise(d, vals, first_review="review")
 
 
 # --- O117, O88, O89 -----------------------------------------------------------------------------
@@ -255,8 +266,9 @@ def _results_sql() -> str:
         ("srcs", "SELECT DISTINCT repo_source AS source FROM classified WHERE kind <> 'rejected'"),
         ("res", f"""SELECT {D.repo_id('s.source')} AS repo_id,
   regexp_replace(regexp_extract(regexp_replace(s.source, '/+$', ''), '([^/]*)$', 1), '\\.git', '', 'g') AS repo_name,
-  coalesce(n.n, 0) > 0 AS success, CAST(coalesce(n.n, 0) AS BIGINT) AS total_chunks_analyzed
-FROM srcs s LEFT JOIN (SELECT repo_id, count(*) AS n FROM cchunks GROUP BY 1) n ON n.repo_id = {D.repo_id('s.source')}"""),
+  coalesce(n.n, 0) > 0 AS success, CAST(coalesce(n.n, 0) AS BIGINT) AS total_chunks_analyzed,
+  CAST(CASE WHEN coalesce(n.n, 0) > 0 THEN coalesce(sc.final_score, {K.DEFAULT_SCORE}) ELSE 0 END AS INTEGER) AS final_score
+FROM srcs s LEFT JOIN ({_scores_sql()}) sc ON sc.repo_id = {D.repo_id('s.source')} LEFT JOIN (SELECT repo_id, count(*) AS n FROM cchunks GROUP BY 1) n ON n.repo_id = {D.repo_id('s.source')}"""),
     ])
     return head.replace("WITH fx_files AS", "WITH fx_sources AS (" + fx.FX_SOURCES.replace("{pages}", "pages").strip() + "),\nfx_files AS", 1)
 
@@ -264,21 +276,21 @@ FROM srcs s LEFT JOIN (SELECT repo_id, count(*) AS n FROM cchunks GROUP BY 1) n
 def results(spark, sf):
     _, _, chunks = corpus(spark, sf)
     repos = sources(spark, sf).select(paths.repo_id("source").alias("id"), "source").distinct()
-    return dc.generation_results(repos, chunks)
+    return dc.generation_results(repos, chunks, dc.repo_scores(revised_drafts(spark, sf)))
 
 
 @query("generation_results", lambda: _results_sql() + f"""
 SELECT repo_id, repo_name, success,
-  CASE WHEN success THEN substring(regexp_replace(repo_name, '[<>:"/\\\\|?*]', '_', 'g'), 1, 50) || '_comprehensive_docs.md' END AS output_file,
+  CASE WHEN success THEN substring(regexp_replace(repo_name, '[<>:"/\\\\|?*]', '_', 'g'), 1, 50) || '_' || repo_id || '_comprehensive_docs.md' END AS output_file,
   CASE WHEN success THEN NULL ELSE 'No data found' END AS error, total_chunks_analyzed,
-  CAST(CASE WHEN success THEN {K.DEFAULT_SCORE} ELSE 0 END AS INTEGER) AS final_score FROM res""")
+  final_score FROM res""")
 def generation_results(spark, sf):
     return results(spark, sf)
 
 
 @query("generation_summary", lambda: _results_sql() + f"""
 SELECT CAST(count_if(success) AS BIGINT) AS successful, count(*) AS total,
-  round(avg(CASE WHEN success THEN {K.DEFAULT_SCORE} END), 2) AS avg_score, CAST(sum(total_chunks_analyzed) AS BIGINT) AS total_chunks
+  round(avg(CASE WHEN success THEN final_score END), 2) AS avg_score, CAST(sum(total_chunks_analyzed) AS BIGINT) AS total_chunks
 FROM res""")
 def generation_summary(spark, sf):
     return dc.generation_summary(results(spark, sf))
@@ -301,5 +313,5 @@ def revision_prompts(spark, sf):
     from ..functions import paths
     drafts = fx.view(spark, sf, "fx_drafts").join(fx.view(spark, sf, "fx_reviews"), "doc_id")
     drafts = drafts.withColumn("repo_id", paths.repo_id(F.concat(F.lit("/data/"), F.col("repo")))).drop("repo")
-    d = drafts.join(report(spark, sf), "repo_id")
+    d = salted_join(drafts, report(spark, sf), ["repo_id"], "inner", "doc_id")
     return dc.revision_prompts(d, key="doc_id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text
+from ..operators.joins import salted_join
 from ..operators import analysis as an
 from ..sources import fixtures as fx
 from . import duck as D
@@ -130,7 +131,9 @@ def draft_context(spark, sf):
     langs = an.repo_languages(I.documents(spark, sf))
     fws = an.repo_frameworks(I.code_chunks(spark, sf))
     unknown = F.array(F.lit("Unknown"))
-    return d.join(langs, "repo_id", "left").join(fws, "repo_id", "left").select(
+    # drafts of one repository may be very many; each join has one row a repository
+    d = salted_join(salted_join(d, langs, ["repo_id"], "left", "doc_id"), fws, ["repo_id"], "left", "doc_id")
+    return d.select(
         "doc_id", "draft", "repo_id", F.col("repo").alias("repo_name"), "repo_source",
         F.array_join(F.coalesce("languages", unknown), ", ").alias("languages"),
         F.array_join(F.coalesce("frameworks", unknown), ", ").alias("frameworks"),

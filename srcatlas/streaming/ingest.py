@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..operators import catalog as cat
 from ..operators import chunking, files as fo
+from ..operators.joins import salted_join
 
 #: Partition column of each stored table.
 TABLES = {"repositories": "id", "documents": "repo_id", "chunks": "repo_id", "vectors": "repo_id"}
@@ -31,13 +32,20 @@ def rebuilt(files: DataFrame, processed_at: Column, chunk_mode: str = "fixed") -
     return {"repositories": repos, "documents": docs, "chunks": chunks}
 
 
+def _of(files: DataFrame, ids: DataFrame) -> DataFrame:
+    """The files of the given repositories; a repository may hold a third of
+    all files, so its rows are dealt out for the join."""
+    f = files.withColumn("repo_id", paths.repo_id("repo_source"))
+    return salted_join(f, ids, ["repo_id"], "left_semi", "rel_path").drop("repo_id")
+
+
 def refresh(tables: dict[str, DataFrame], files: DataFrame, to_rebuild: DataFrame, processed_at: Column,
             chunk_mode: str = "fixed") -> tuple[dict[str, DataFrame], DataFrame]:
     """tables(repositories, documents, chunks) + today's files + repo ids to
     rebuild -> new tables, and the rebuilt repo ids."""
     ids = to_rebuild.select("repo_id").distinct()
     kept, _ = cat.delete_repos(tables, ids)
-    f = files.withColumn("repo_id", paths.repo_id("repo_source")).join(ids, "repo_id", "left_semi").drop("repo_id")
+    f = _of(files, ids)
     new = rebuilt(f, processed_at, chunk_mode)
     out = {name: kept[name].unionByName(new[name].select(*kept[name].columns)) for name in kept}
     return out, ids
@@ -79,9 +87,9 @@ def ingest_batch(batch: DataFrame, events: DataFrame, out_dir: str, chunk_mode:
     far. Running it again, with the same or later events, is harmless."""
     spark = batch.sparkSession
     touched = batch.select(paths.repo_id("repo_source").alias("repo_id")).distinct()
-    mine = events.withColumn("repo_id", paths.repo_id("repo_source")).join(touched, "repo_id", "left_semi")
-    latest = mine.groupBy("repo_id").agg(F.max(order_col).alias("processed"))
-    files = inventory(mine.drop("repo_id"), order_col)
+    mine = _of(events, touched)
+    latest = mine.groupBy(paths.repo_id("repo_source").alias("repo_id")).agg(F.max(order_col).alias("processed"))
+    files = inventory(mine, order_col)
     new = rebuilt(files, F.lit(None).cast("timestamp"), chunk_mode)
     repos = new["repositories"].drop("processed_at").join(
         latest.select(F.col("repo_id").alias("id"), F.col("processed").cast("timestamp").alias("processed_at")), "id")

@@ -62,7 +62,7 @@ def test_hot_terms_and_texts_are_dealt_to_parts(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         for df in (kw.keywords_corpus(docs), kw.memoize_by_text(docs, lambda d: kw.keywords(d))):
-            assert "_salt" in _plan(df)
+            assert "_part" in _plan(df)
             assert df.select("doc_id").distinct().count() == 400
         salted = docs.where("text like '%alpha%'").select(F.pmod(F.xxhash64("doc_id"), F.lit(kw.SALTS)).alias("s")).groupBy("s").count().collect()
         assert len(salted) == kw.SALTS and max(r["count"] for r in salted) < 100
@@ -73,3 +73,19 @@ def test_hot_terms_and_texts_are_dealt_to_parts(spark):
 def test_one_tokenising_pass_over_the_corpus(spark):
     plan = _plan(QUERIES["keywords_corpus"](spark, SF_SMALL))
     assert "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_equals_the_plain_one(spark, how):
+    from srcatlas.operators.joins import salted_join
+    big = spark.createDataFrame([("hot" if i % 2 else f"k{i % 7}", i) for i in range(300)] + [(None, -1)], "k string, i int")
+    small = spark.createDataFrame([("hot", 1), ("k2", 2), ("zz", 3)], "k string, v int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, want = (sorted(map(str, df.collect())) for df in (salted_join(big, small, ["k"], how, "i"), big.join(small, "k", how)))
+        assert got == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    with pytest.raises(ValueError):
+        salted_join(big, small, ["k"], "full", "i")
