@@ -75,7 +75,7 @@ def _encoder(path: str) -> Callable[[list[str]], list]:
     return joined
 
 
-_MARK, _MARK_SYMBOL, _GLUED = "\x01", "\u0101", 500
+_MARK, _MARK_SYMBOL, _GLUED = "\x01", "\u0101", 100
 
 
 def _mark(tok):
