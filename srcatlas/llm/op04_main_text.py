@@ -518,6 +518,10 @@ def dress(blocks: list[tuple[str, str]], pool: list[str], rng: random.Random) ->
                 f"<pre{mark}>{t}</pre>", f"<table><tr><td{mark}>{t}</td></tr></table>", f"<section><p{mark}>{t}</p></section>"]))
         if rng.random() < .06:
             body.append(rng.choice([advert, side, related, form, notice])())
+    if rng.random() < .3:                               # a run of short lines, as verses and lists have
+        line = f"<p{mark}>{words(1, 4)}</p>"
+        at = rng.choice([len(body), len(body), rng.randint(1, len(body))])
+        body[at:at] = [line if rng.random() < .7 else f"<p{mark}>{words(1, 5)}</p>" for _ in range(rng.randint(2, 9))]
     inner = "".join(body)
     if rng.random() < .25:
         inner = f"<header><h1{mark}>{esc(blocks[0][1])}</h1></header>" + "".join(body[1:]) if len(body) > 1 else inner
