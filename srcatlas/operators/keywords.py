@@ -25,8 +25,8 @@ from .. import constants as K
 from ..functions import text as tx
 from .joins import salted_join
 
-#: Parts that a term's rows are dealt to in the idf join.
-SALTS = 8
+#: Parts that a term's rows, and a text's copies, are dealt to in joins.
+TERM_PARTS, SALTS = 256, 8
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -105,15 +105,17 @@ def keywords_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, term, score, rank) with smooth corpus idf and L2 norm."""
     sw = K.default_stop_words() if stop_words is None else stop_words
     counts = term_counts(docs, id_col, text_col, sw)
-    # n is kept on both sides, so both read one and the same exchange
-    df_ = counts.groupBy("term").agg(F.count_if(F.col("n") > 0).alias("df"))
     # The document count is a scalar subquery: computed once, inlined as a
     # value, no join.
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    idf = df_.select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
-    # A term may be in a third of all texts: its rows are dealt to SALTS
-    # parts, and each part gets the term's one idf row.
-    tfidf = salted_join(counts, idf, ["term"], "inner", "doc_id", SALTS).withColumn("w", F.col("n") * F.col("idf"))
+    # A term may be in a third of all texts: its rows are dealt to TERM_PARTS
+    # parts by text. Parts are counted, summed over a term's few parts, and
+    # each part that exists gets the term's idf (a rare term has one or two).
+    dealt = counts.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(TERM_PARTS)).cast("int"))
+    parts = dealt.groupBy("term", "_part").agg(F.count_if(F.col("n") > 0).alias("_in_part"))
+    df_ = F.sum("_in_part").over(Window.partitionBy("term"))
+    idf = parts.select("term", "_part", (F.log((1 + n_docs) / (1 + df_)) + 1).alias("idf"))
+    tfidf = dealt.join(idf, ["term", "_part"]).withColumn("w", F.col("n") * F.col("idf"))
     wd = Window.partitionBy("doc_id")
     scored = tfidf.withColumn("score", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(wd)))
     return _top(scored, top_n).select("doc_id", "term", "score", "rank")

@@ -95,12 +95,12 @@ def _fill(sql: str, slots: dict[str, str]) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. A file of one row group is a single split, so it is
-    dealt out here, at the scan; a table in enough splits is left alone.
-    (The number of splits of a bare scan is known without any job.)"""
+    """A driver table. A file of one row group is one task's work, so a table
+    of fewer splits than cores is dealt out here, at the scan; a larger one is
+    left alone. (The splits of a bare scan are known without any job.)"""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= min(cores, 4) else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
