@@ -5,16 +5,19 @@ the answer's words.
 The index is built by Spark: term counts, document frequencies and impacts
 over all items. An item's impacts are divided by their sum, so a passage's
 score is the share of an item's BM25 weight that it holds, whatever the item.
-Items are dealt to shards of bounded size; only one shard at a time is
-collected and broadcast, and every document is asked against every shard.
+Items of like length (up to 32 words, 64, 128 ...) are dealt to shards of
+bounded size; small shards are collected and broadcast together, up to the
+size of one, and every document is asked against every shard.
 
 A document's passages are all its half-overlapping windows, wide enough to
-hold any item whole. The passages of a batch are evaluated together. Terms
+hold a span of any item of the shard whole; a long item does not widen the
+passages of a short one. The passages of a batch are evaluated together. Terms
 with short lists are scored first; WAND's bound (what is scored plus all that
 an item's long-list terms could add) drops most pairs of passage and item,
 the block maxima of the long lists drop most of the rest, and the others get
 their full score. Every pair at or above the threshold is verified: the words
-of the item's question and of its answer must stand in the passage in order.
+of the item's question and of its answer must stand in order within one span
+of the passage, one and a half times as long as the item.
 
 Defined results: null or empty texts and items lead to no match; items of
 fewer than ``SHORT_WORDS`` words must stand in the text word by word; equal
@@ -25,6 +28,7 @@ only ``doc_id``/``item_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,6 +49,10 @@ THRESHOLD = 0.5
 #: Shares of the question's and the answer's words that must stand in order.
 QUESTION_SHARE, ANSWER_SHARE = 0.8, 0.6
 SHORT_WORDS = 8
+#: Words of the span, in item lengths, within which an item must stand.
+SPAN = 1.5
+#: Words of the shortest length class of items.
+CLASS_WORDS = 32
 #: Items, and bytes of their texts, of one shard of the index on average.
 SHARD_ITEMS, SHARD_BYTES = 20_000, 8 << 20
 #: Items of one block of a posting list.
@@ -98,15 +106,28 @@ def item_table(items: DataFrame) -> DataFrame:
                               "item long, item_id long, words array<long>, n_question int, n_bytes long", run), "items")
 
 
+def span_words(n: int) -> int:
+    """Words of the span of an item of ``n`` words."""
+    return int(SPAN * n)
+
+
 def build_index(items: DataFrame) -> Iterator[Shard]:
-    """The shards of the index, one at a time."""
-    t = item_table(items)
-    total = t.agg(F.count("*").alias("n"), F.sum("n_bytes").alias("b"), F.avg(F.size("words")).alias("avg"),
-                  F.max(F.size("words")).alias("longest")).first()
+    """The shards of the index, one at a time; those of the shortest length
+    class come first."""
+    t = item_table(items).withColumn("class", F.greatest(F.lit(0), F.ceil(F.log2(F.size("words") / CLASS_WORDS))).cast("int"))
+    total = t.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avg")).first()
     if not total["n"]:
         return
-    shards = max(-(-total["n"] // SHARD_ITEMS), -(-total["b"] // SHARD_BYTES))
-    shard = F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int").alias("shard")
+    # bounded: one row for each doubling of an item's length
+    classes = t.groupBy("class").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("b"),
+                                     F.max(F.size("words")).alias("longest")).orderBy("class").collect()
+    first, longest, shard = 0, [], F.lit(None).cast("int")
+    for c in classes:
+        shards = max(-(-c["n"] // SHARD_ITEMS), -(-c["b"] // SHARD_BYTES))
+        shard = F.when(F.col("class") == c["class"], F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int") + first).otherwise(shard)
+        first += shards
+        longest += [c["longest"]] * shards
+    shard = shard.alias("shard")
     terms = t.select("item", shard, F.size("words").alias("n"), F.explode("words").alias("term")).groupBy(
         "item", "shard", "n", "term").agg(F.count("*").alias("tf"))
     terms = stored(terms, "item-terms")
@@ -116,11 +137,24 @@ def build_index(items: DataFrame) -> Iterator[Shard]:
     postings = terms.join(df, "term").select("shard", "item", "term", impact.alias("impact"))
     postings = stored(postings, "postings")
     t = stored(t.withColumn("shard", shard), "items")
-    for s in range(shards):
+    for s in range(first):
         # bounded: one shard's items and their postings
         rows = t.where(F.col("shard") == s).orderBy("item").toPandas()
         if len(rows):
-            yield Shard.of(rows, postings.where(F.col("shard") == s).toPandas(), int(total["longest"]))
+            yield Shard.of(rows, postings.where(F.col("shard") == s).toPandas(), int(longest[s]))
+
+
+def shard_groups(shards: Iterator[Shard]) -> Iterator[list[Shard]]:
+    """Lists of shards that together are no larger than one may be."""
+    group: list[Shard] = []
+    for s in shards:
+        both = [*group, s]
+        if group and (sum(len(x.words) for x in both) > SHARD_ITEMS or sum(w.nbytes for x in both for w in x.words) > SHARD_BYTES):
+            yield group
+            both = [s]
+        group = both
+    if group:
+        yield group
 
 
 @dataclass
@@ -164,7 +198,7 @@ class Shard:
         own = [by_item[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
         ids = [None if pd.isna(i) else int(i) for i in rows["item_id"]]
         return cls(ids, [np.asarray(w, np.int64).view(np.uint64) for w in rows["words"]], rows["n_question"].tolist(),
-                   max(32, longest), terms, np.append(at, len(item)), item, impact, short,
+                   max(CLASS_WORDS, span_words(longest)), terms, np.append(at, len(item)), item, impact, short,
                    np.bincount(item[long_post], impact[long_post], n), long_row, block_max,
                    [number[o] for o in own], [impact[o] for o in own])
 
@@ -232,13 +266,36 @@ class Shard:
 
     @staticmethod
     def _shares(item: np.ndarray, cut: int, near: np.ndarray) -> tuple[float, float]:
+        """Shares of the question's and the answer's words in order within
+        one span, the one with the most words of those that pass, or zeros."""
         if len(item) < SHORT_WORDS:
             n = len(near) - len(item) + 1
             same = n > 0 and np.logical_and.reduce([near[j:j + n] == x for j, x in enumerate(item)]).any()
             return (1.0, 1.0) if same else (0.0, 0.0)
-        near = near[np.isin(near, item)].tolist()
-        parts = (item[:cut].tolist(), item[cut:].tolist())
-        return tuple(in_order(p, near) / len(p) if p else 1.0 for p in parts)
+        at = np.flatnonzero(np.isin(near, item))
+        parts = [item[:cut].tolist(), item[cut:].tolist()]
+        least = [s * len(p) - 1e-9 for s, p in zip((QUESTION_SHARE, ANSWER_SHARE), parts)]
+        hits = near[at].tolist()
+        found = best_span(parts, least, hits, np.searchsorted(at, at + span_words(len(item))))
+        return tuple(n / len(p) if p else 1.0 for n, p in zip(found, parts)) if found else (0.0, 0.0)
+
+
+def best_span(parts: list[list[int]], least: list[float], text: list[int], ends: np.ndarray) -> tuple[int, int] | None:
+    """Words of each of ``parts`` that stand in order in one of the spans
+    ``text[i:ends[i]]``: of the span with the most among those that reach
+    ``least``. Spans that cannot do better than the ones seen are left out: a
+    word that enters a span adds one word to each part at most."""
+    if any(in_order(p, text) < n for p, n in zip(parts, least)):
+        return None
+    best, most = None, -1
+    i, everything = 0, sum(map(len, parts))
+    while i < len(text) and most < everything:
+        got = tuple(in_order(p, text[i:ends[i]]) for p in parts)
+        if all(g >= n for g, n in zip(got, least)) and sum(got) > most:
+            best, most = got, sum(got)
+        lacks = max(1, *(math.ceil(n - g) for g, n in zip(got, least)), -(-(most + 1 - sum(got)) // 2))
+        i = max(i + 1, int(np.searchsorted(ends, ends[i] + lacks)))
+    return best
 
 
 def in_order(words: list[int], text: list[int]) -> int:
@@ -262,27 +319,27 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long"), "text")
     out = spark.createDataFrame([], MATCHES)
-    for shard in build_index(items):
-        shared = spark.sparkContext.broadcast(shard)
+    for shards in shard_groups(build_index(items)):
+        shared = spark.sparkContext.broadcast(shards)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[list]:
-            shard = shared.value
             for b in batches:
-                ids = b.column(0).to_pylist()
-                got = shard.matches(word_hashes(b.column(1)))
-                yield transposed([(ids[d], shard.item_ids[i], *v) for (d, i), v in got.items()], 6)
+                ids, docs = b.column(0).to_pylist(), word_hashes(b.column(1))
+                yield transposed([(ids[d], shard.item_ids[i], *v) for shard in shared.value
+                                  for (d, i), v in shard.matches(docs).items()], 6)
 
         out = out.unionByName(map_batches(text, MATCHES, run))
     return out
 
 
 def _leaks(shared: Broadcast):
-    """A pandas UDF from texts to whether they hold an item of the shard."""
+    """A pandas UDF from texts to whether they hold an item of the shards."""
     @F.pandas_udf("boolean")
     def leaks(texts: pd.Series) -> pd.Series:
-        got = shared.value.matches(word_hashes(pa.array(texts, pa.string(), from_pandas=True)))
+        docs = word_hashes(pa.array(texts, pa.string(), from_pandas=True))
         bad = np.zeros(len(texts), bool)
-        bad[[d for d, _ in got]] = True
+        for shard in shared.value:
+            bad[[d for d, _ in shard.matches(docs)]] = True
         return pd.Series(bad)
 
     return leaks
@@ -290,6 +347,6 @@ def _leaks(shared: Broadcast):
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no test item; no shuffle."""
-    for shard in build_index(items):
-        docs = docs.where(~_leaks(docs.sparkSession.sparkContext.broadcast(shard))(F.col("text")))
+    for shards in shard_groups(build_index(items)):
+        docs = docs.where(~_leaks(docs.sparkSession.sparkContext.broadcast(shards))(F.col("text")))
     return docs

@@ -229,6 +229,38 @@ def test_common_subsequence():
     assert leak.in_order([], [1]) == 0
 
 
+def test_scattered_words_are_no_leak(spark):
+    """A long item does not loosen the check of a short one."""
+    rng = np.random.default_rng(4)
+    long_item = " ".join(f"w{i}" for i in rng.integers(0, 10**6, 3000))
+    items = spark.createDataFrame([(1, ITEMS[0][1]), (2, long_item)], "item_id long, text string")
+    filler = lambda n: " ".join(f"f{i}" for i in rng.integers(0, 10**6, n))
+    scattered = " ".join(f"{w} {filler(60)}" for w in ITEMS[0][1].split())
+    loose = " ".join(f"{w} {filler(3)}" for w in ITEMS[0][1].split())
+    near = ITEMS[0][1].replace("Answer", "some words between them Answer")
+    docs = cases.docs_table(spark, [(1, scattered), (2, loose), (3, f"{filler(900)} {near} {filler(50)}"), (4, f"{filler(2000)} {long_item}"),
+                                    (5, f"{scattered} {filler(7)} {near} {scattered}")])
+    got = sorted((r.doc_id, r.item_id) for r in leak.contaminated_pairs(docs, items).collect())
+    assert got == [(3, 1), (4, 2), (5, 1)]
+    assert sorted(r.doc_id for r in leak.clean_documents(docs, items).collect()) == [1, 2]
+
+
+def test_best_span_against_every_span():
+    rng = np.random.default_rng(5)
+    n = 0
+    for _ in range(300):
+        parts = [rng.integers(0, 6, rng.integers(1, 8)).tolist(), rng.integers(0, 6, rng.integers(1, 5)).tolist()]
+        text, at = rng.integers(0, 6, 40).tolist(), np.cumsum(rng.integers(1, 4, 40))
+        ends = np.searchsorted(at, at + 12)
+        least = [.8 * len(parts[0]), .6 * len(parts[1])]
+        every = [tuple(leak.in_order(p, text[i:e]) for p in parts) for i, e in enumerate(ends)]
+        ok = [g for g in every if all(x >= y for x, y in zip(g, least))]
+        got = leak.best_span(parts, least, text, ends)
+        assert (got is None) == (not ok) and (not ok or sum(got) == max(map(sum, ok)))
+        n += bool(ok)
+    assert 20 < n < 280
+
+
 # --- pipeline
 
 def test_stages_against_brute_force(spark):
