@@ -17,7 +17,9 @@ an item's long-list terms could add) drops most pairs of passage and item,
 the block maxima of the long lists drop most of the rest, and the others get
 their full score. Every pair at or above the threshold is verified: the words
 of the item's question and of its answer must stand in order within one span
-of the passage, one and a half times as long as the item.
+of the passage, one and a half times as long as the item. An item without an
+answer mark also counts where that share of all its words stands there that is
+asked of a question: its last sentence need not be an answer.
 
 Defined results: null or empty texts and items lead to no match; items of
 fewer than ``SHORT_WORDS`` words must stand in the text word by word; equal
@@ -75,14 +77,17 @@ def word_hashes(texts) -> list[np.ndarray]:
     return [words[a:b] for a, b in zip(first[:-1], first[1:])]
 
 
-def question_words(text: str, n_words) -> int:
-    """Words of the item that belong to the question; the rest are the
-    answer: from an answer mark on, else the last sentence, else the last
-    quarter."""
-    marks = list(_ANSWER.finditer(text)) or list(_SENTENCE.finditer(text))
-    cut = n_words(text[:marks[-1].end()]) if marks else 0
+def question_words(text: str, n_words) -> tuple[int, bool]:
+    """Words of the item that belong to the question, and whether an answer
+    mark says so; the rest are the answer: from an answer mark on, else the
+    last sentence, else the last quarter."""
     total = n_words(text)
-    return cut if 0 < cut < total else total - total // 4
+    for mark in (_ANSWER, _SENTENCE):
+        marks = list(mark.finditer(text))
+        cut = n_words(text[:marks[-1].end()]) if marks else 0
+        if 0 < cut < total:
+            return cut, mark is _ANSWER
+    return total - total // 4, False
 
 
 def _count_words(text: str) -> int:
@@ -90,7 +95,7 @@ def _count_words(text: str) -> int:
 
 
 def item_table(items: DataFrame) -> DataFrame:
-    """(item, item_id, words, n_question, n_bytes) of the items with words."""
+    """(item, item_id, words, n_question, marked, n_bytes) of the items with words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         from pyspark import TaskContext
         row = TaskContext.get().partitionId() << 33
@@ -99,11 +104,11 @@ def item_table(items: DataFrame) -> DataFrame:
             for i, text, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), word_hashes(b.column(1))):
                 row += 1
                 if len(words):
-                    out.append((row, i, words.view(np.int64), question_words(text, _count_words), len(words) * 8))
-            yield transposed(out, 5)
+                    out.append((row, i, words.view(np.int64), *question_words(text, _count_words), len(words) * 8))
+            yield transposed(out, 6)
 
     return stored(map_batches(items.select(F.col("item_id").cast("long"), "text"),
-                              "item long, item_id long, words array<long>, n_question int, n_bytes long", run), "items")
+                              "item long, item_id long, words array<long>, n_question int, marked boolean, n_bytes long", run), "items")
 
 
 def span_words(n: int) -> int:
@@ -164,6 +169,7 @@ class Shard:
     item_ids: list
     words: list[np.ndarray]
     n_question: list[int]
+    marked: list[bool]          # does an answer mark part question and answer?
     stride: int
     terms: np.ndarray           # sorted term hashes
     at: np.ndarray              # first posting of a term
@@ -197,7 +203,7 @@ class Shard:
         cuts = np.searchsorted(item[by_item], np.arange(n + 1))
         own = [by_item[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
         ids = [None if pd.isna(i) else int(i) for i in rows["item_id"]]
-        return cls(ids, [np.asarray(w, np.int64).view(np.uint64) for w in rows["words"]], rows["n_question"].tolist(),
+        return cls(ids, [np.asarray(w, np.int64).view(np.uint64) for w in rows["words"]], rows["n_question"].tolist(), rows["marked"].tolist(),
                    max(CLASS_WORDS, span_words(longest)), terms, np.append(at, len(item)), item, impact, short,
                    np.bincount(item[long_post], impact[long_post], n), long_row, block_max,
                    [number[o] for o in own], [impact[o] for o in own])
@@ -259,7 +265,10 @@ class Shard:
             lo = max(0, window * self.stride - len(item))
             near = docs[d][lo:min(n, (window + 2) * self.stride + len(item))]
             q, a = self._shares(item, self.n_question[i], near)
-            if q >= QUESTION_SHARE and a >= ANSWER_SHARE:
+            ok = q >= QUESTION_SHARE and a >= ANSWER_SHARE
+            if not ok and not self.marked[i]:
+                ok, q, a = self._whole(item, self.n_question[i], near)
+            if ok:
                 s, q0, a0, k = found.get((d, i), (0.0, 0.0, 0.0, 0))
                 found[d, i] = (max(s, score), max(q, q0), max(a, a0), k + 1)
         return found
@@ -280,6 +289,23 @@ class Shard:
         return tuple(n / len(p) if p else 1.0 for n, p in zip(found, parts)) if found else (0.0, 0.0)
 
 
+    @staticmethod
+    def _whole(item: np.ndarray, cut: int, near: np.ndarray) -> tuple[bool, float, float]:
+        """Whether a question's share of all words stands in order within one
+        span, and the shares of both parts there."""
+        if len(item) < SHORT_WORDS:
+            return False, 0.0, 0.0
+        at = np.flatnonzero(np.isin(near, item))
+        words, hits = item.tolist(), near[at].tolist()
+        ends = np.searchsorted(at, at + span_words(len(item)))
+        got = best_span([words], [QUESTION_SHARE * len(words) - 1e-9], hits, ends)
+        if got is None:
+            return False, 0.0, 0.0
+        # the first span with the most words
+        i = next(i for i, e in enumerate(ends) if e - i >= got[0] and in_order(words, hits[i:e]) == got[0])
+        return True, *(in_order(p, hits[i:ends[i]]) / len(p) if p else 1.0 for p in (words[:cut], words[cut:]))
+
+
 def best_span(parts: list[list[int]], least: list[float], text: list[int], ends: np.ndarray) -> tuple[int, int] | None:
     """Words of each of ``parts`` that stand in order in one of the spans
     ``text[i:ends[i]]``: of the span with the most among those that reach

@@ -245,6 +245,20 @@ def test_scattered_words_are_no_leak(spark):
     assert sorted(r.doc_id for r in leak.clean_documents(docs, items).collect()) == [1, 2]
 
 
+def test_short_last_sentence_is_no_answer(spark):
+    """A word or two after the last full stop may differ or be missing; after
+    an answer mark the answer must stand there."""
+    head = "Otters play among the tall reeds by the slow river and dive for cold fish until night falls on every quiet village"
+    items = spark.createDataFrame([(1, f"{head}. Indeed."), (2, f"{head}. So they.")], "item_id long, text string")
+    marked = spark.createDataFrame([(3, f"{head}? Answer: twelve wolves"), (4, f"Answer: {head}. Indeed.")], "item_id long, text string")
+    docs = cases.docs_table(spark, [(1, f"before {head}. Never. And after"), (2, f"before {head}"), (3, head.replace(" ", " x y ")),
+                                    (4, f"{head}? Answer: twelve wolves")])
+    pairs = lambda i: sorted((r.doc_id, r.item_id) for r in leak.contaminated_pairs(docs, i).collect())
+    assert pairs(items) == [(d, i) for d in (1, 2, 4) for i in (1, 2)]
+    assert [p for p in pairs(marked) if p[1] == 3] == [(4, 3)]
+    assert [r.doc_id for r in leak.clean_documents(docs, items).collect()] == [3]
+
+
 def test_best_span_against_every_span():
     rng = np.random.default_rng(5)
     n = 0
