@@ -119,16 +119,21 @@ def find_notices(norm: str, notices=NOTICES, chars_per_edit: int = CHARS_PER_EDI
             if spans and lo <= spans[-1][1]:
                 spans[-1][1] = max(hi, spans[-1][1])
                 spans[-1][0] = min(lo, spans[-1][0])
+                while len(spans) > 1 and spans[-1][0] <= spans[-2][1]:
+                    last = spans.pop()
+                    spans[-1] = [min(spans[-1][0], last[0]), max(spans[-1][1], last[1])]
             else:
                 spans.append([lo, hi])
     found = []
     for i, spans in windows.items():
-        for lo, hi in spans:
-            at = lo
-            while (m := patterns[i].search(norm, at, hi)) is not None:
+        # the best match of a stretch parts it: others may stand on both sides
+        least = max(1, len(made[i].text) - made[i].edits)
+        while spans:
+            lo, hi = spans.pop()
+            if hi - lo >= least and (m := patterns[i].search(norm, lo, hi)) is not None:
                 s, e = m.span()
                 found.append((made[i].label, s, e, sum(m.fuzzy_counts)))
-                at = max(e, at + 1)
+                spans += [[lo, s], [max(e, lo + 1), hi]]
     return sorted(found, key=lambda f: (f[1], f[2], f[0]))
 
 

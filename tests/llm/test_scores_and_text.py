@@ -329,6 +329,16 @@ def test_far_texts_are_not_notices():
     assert (base, labels) == ("", "mit") and 0 < score < 1 and spans[0][3] >= 2
 
 
+def test_worse_matches_beside_the_best_are_found():
+    text = "abcdefghijklmnopqrstuvwxyz"
+    find = lambda norm: lic.find_notices(norm, notices=((text, "x"),), chars_per_edit=13)
+    one, two = text.replace("m", "?"), text.replace("d", "?").replace("t", "?")
+    assert find(f" {one} {text} ") == [("x", 1, 27, 1), ("x", 28, 54, 0)]
+    many = [one, two, text, two, one, text, one, one, two] * 6
+    got = find(f" {' '.join(many)} ")
+    assert [(s, e, n) for _, s, e, n in got] == [(1 + 27 * i, 27 + 27 * i, t.count("?")) for i, t in enumerate(many)]
+
+
 def test_op10_query_and_cases(spark):
     for df, rows in ((cases.given(spark, "documents"), [(r.doc_id, r.text) for r in cases.given(spark, "documents").collect()]),
                      (cases.docs_table(spark), cases.DOCS)):
