@@ -2,8 +2,9 @@
 ordered Spark conditional expressions.
 
 Measures of a text are DataFrame expressions only. Rules are learned on the
-labelled rows: each measure is cut at its quantiles over all of them, and
-every step of the search is one grouped count of good and bad rows for each
+labelled rows: each measure is cut at its exact quantiles over all of them,
+found by counts of value bins that are narrowed where a quantile lies, and every
+step of the search is one grouped count of good and bad rows for each
 cut, so only (measures x cuts) totals reach the driver. A rule is a
 conjunction of thresholds, grown for the best gain over the rows that no
 earlier rule covers, then pruned on rows kept out of growing. Rules are
@@ -34,6 +35,9 @@ WINDOW = 8
 
 #: Cuts of each measure (at equal shares of the labelled rows).
 CUTS = 40
+#: Value bins of each measure in the first count, and of each bin that is
+#: narrowed; values that are fetched rather than counted again.
+CUT_BINS, NARROW_BINS, FEW_VALUES = 4096, 64, 1 << 16
 #: Most thresholds of one rule, and most rules of a list.
 MAX_CONDITIONS = 3
 MAX_RULES = 12
@@ -208,12 +212,67 @@ def labelled(measures_of: DataFrame, labels: DataFrame, label: str = "quality")
         (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 0).alias("grow")), "quality-labelled")
 
 
+def _quantiles(rows: DataFrame, shares: list[float]) -> dict[str, list[float]]:
+    """What ``percentile`` gives for each measure, in bounded state: values
+    are counted in bins, and only the bins that hold a wanted rank are counted
+    again in finer ones, until a bin has one value or few values are left."""
+    stack = ", ".join(f"'{m}', {m}" for m in RULE_MEASURES)
+    # kept as they are: a null, NaN or infinite value is no value
+    values = rows.select(F.expr(f"stack({len(RULE_MEASURES)}, {stack}) as (measure, v)")).where(F.abs("v") < float("inf"))
+    whole = values.groupBy("measure").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    ranks = {r["measure"]: sorted({k for p in shares for k in (math.floor((r["n"] - 1) * p), math.ceil((r["n"] - 1) * p))})
+             for r in whole}
+    at: dict[tuple[str, int], float] = {}       # value of each wanted rank
+    # (measure, lo, hi) -> values below lo, values from lo to hi
+    open_ = {(r["measure"], r["lo"], r["hi"]): (0, r["n"]) for r in whole}
+    bins = CUT_BINS
+    while True:
+        for (m, lo, hi), (below, n) in list(open_.items()):
+            if lo == hi:
+                at.update({(m, k): lo for k in ranks[m] if below <= k < below + n})
+                del open_[m, lo, hi]
+        if not open_:
+            break
+        # bounded: one row for each open bin, at most two for each quantile
+        listed = ", ".join(f"('{m}', double('{lo!r}'), double('{hi!r}'))" for m, lo, hi in open_)
+        spans = rows.sparkSession.sql(f"select * from values {listed} as t(m, lo, hi)")
+        inside = values.join(F.broadcast(spans), F.expr("measure = m and v >= lo and v <= hi"))
+        if sum(n for _, n in open_.values()) <= FEW_VALUES:
+            got: dict[tuple[str, float, float], list[float]] = {}
+            for r in inside.select("m", "lo", "hi", "v").collect():
+                got.setdefault((r["m"], r["lo"], r["hi"]), []).append(r["v"])
+            for key, (below, n) in open_.items():
+                held = sorted(got[key])
+                at.update({(key[0], k): held[k - below] for k in ranks[key[0]] if below <= k < below + n})
+            break
+        number = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+        counts = inside.groupBy("m", "lo", "hi", number.alias("bin")).agg(
+            F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).collect()
+        narrowed = {}
+        below, before = 0, None
+        for r in sorted(counts, key=lambda r: (r["m"], r["lo"], r["hi"], r["bin"])):
+            if before != (key := (r["m"], r["lo"], r["hi"])):
+                below, before = open_[key][0], key
+            if any(below <= k < below + r["n"] for k in ranks[r["m"]]):
+                narrowed[r["m"], r["least"], r["most"]] = (below, r["n"])
+            below += r["n"]
+        open_, bins = narrowed, NARROW_BINS
+    out = {}
+    for r in whole:
+        m, out[r["measure"]] = r["measure"], []
+        for p in shares:
+            place = (r["n"] - 1) * p
+            a, b = math.floor(place), math.ceil(place)
+            x, y = at[m, a], at[m, b]
+            out[m].append(x if a == b or x == y else (b - place) * x + (place - a) * y)
+    return out
+
+
 def _cuts(rows: DataFrame) -> dict[str, list[float]]:
-    shares = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-    got = rows.agg(*[F.percentile(m, shares).alias(m) for m in RULE_MEASURES]).first()
+    got = _quantiles(rows, [i / CUTS for i in range(1, CUTS)])
     out = {}
     for m in RULE_MEASURES:
-        values = sorted({float(v) for v in (got[m] or []) if v is not None and not math.isnan(v)})
+        values = sorted({float(v) for v in got.get(m, ())})
         # also halfway between two quantiles that lie far apart
         out[m] = sorted({*values, *((a + b) / 2 for a, b in zip(values, values[1:]))})
     return out

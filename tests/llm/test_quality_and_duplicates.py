@@ -80,6 +80,24 @@ def test_a_conjunction_is_learned_in_order(spark):
         assert r.rule == (covers[0] if covers else 0)
 
 
+@pytest.mark.parametrize("few, bins, narrow", [(1 << 16, 4096, 64), (0, 16, 2), (40, 3, 5)])
+def test_cuts_are_exact_quantiles_in_bounded_state(spark, monkeypatch, few, bins, narrow):
+    """No aggregate that holds every distinct value."""
+    rng = np.random.default_rng(2)
+    make = [lambda: float(rng.random()), lambda: float(rng.integers(0, 5)), lambda: float(rng.normal() ** 9), lambda: -1.5, lambda: None]
+    rows = [tuple(make[i % 5]() for i in range(len(rules.RULE_MEASURES))) for _ in range(701)]
+    df = spark.createDataFrame(rows, ", ".join(f"{m} double" for m in rules.RULE_MEASURES))
+    shares = [i / rules.CUTS for i in range(1, rules.CUTS)]
+    want = df.agg(*[F.percentile(m, F.array(*map(F.lit, shares))).alias(m) for m in rules.RULE_MEASURES]).first().asDict()
+    monkeypatch.setattr(F, "percentile", None)
+    for name, value in (("FEW_VALUES", few), ("CUT_BINS", bins), ("NARROW_BINS", narrow)):
+        monkeypatch.setattr(rules, name, value, raising=False)
+    cuts = rules._cuts(df)
+    assert {m: v for m, v in rules._quantiles(df, shares).items()} == {m: v for m, v in want.items() if v}
+    assert all(set(want[m] or []) <= set(cuts[m]) for m in rules.RULE_MEASURES)
+    assert not any(rules._cuts(df.limit(0)).values())
+
+
 # --- 7: token groups
 
 def brute_components(docs):
