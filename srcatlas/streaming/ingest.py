@@ -74,6 +74,27 @@ def delete_stored(spark: SparkSession, out_dir: str, repo_ids: DataFrame, tables
         drop_partitions(spark, f"{out_dir}/{name}", TABLES[name], ids)
 
 
+def drop_stale_vectors(spark: SparkSession, out_dir: str, repo_ids: DataFrame) -> None:
+    """Remove the stored vectors of the given repositories whose chunk is no
+    longer stored; nothing to do where no vectors are stored."""
+    path, ids = f"{out_dir}/vectors", repo_ids.select("repo_id").distinct()
+    any_of = spark._jvm.org.apache.hadoop.fs.Path(path, f"{TABLES['vectors']}=*")
+    if not any_of.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(any_of):
+        return
+    of = lambda t, ids: salted_join(t, ids, ["repo_id"], "left_semi", "chunk_id")
+    chunks = of(spark.read.parquet(f"{out_dir}/chunks"), ids).select("repo_id", "chunk_id").distinct()
+
+    def stale() -> DataFrame:
+        vectors = of(spark.read.parquet(path), ids)
+        return vectors.join(chunks, ["repo_id", "chunk_id"], "left_anti").select("repo_id").distinct()
+
+    vectors = spark.read.parquet(path)
+    kept = of(vectors, stale()).join(chunks, ["repo_id", "chunk_id"], "left_semi")
+    write_table(kept.select(*vectors.columns), path)
+    # what is stale now is of repositories that keep no vector
+    drop_partitions(spark, path, TABLES["vectors"], stale())
+
+
 def inventory(events: DataFrame, order_col: str = "modified") -> DataFrame:
     """Files as they are now: the latest event of each (repo_source,
     rel_path); an event without content and size is a removal."""
@@ -99,6 +120,7 @@ def ingest_batch(batch: DataFrame, events: DataFrame, out_dir: str, chunk_mode:
     empty = touched.join(spark.read.parquet(f"{out_dir}/repositories").select(F.col("id").alias("repo_id")), "repo_id", "left_anti")
     gone = touched.join(new["documents"].select("repo_id").distinct(), "repo_id", "left_anti").unionByName(empty).distinct()
     delete_stored(spark, out_dir, gone, ["repositories", "documents", "chunks"])
+    drop_stale_vectors(spark, out_dir, touched)
 
 
 def ingest_stream(spark: SparkSession, in_dir: str, schema, out_dir: str, checkpoint: str,

@@ -82,6 +82,25 @@ def test_stream_split_replayed_and_removed(spark, tmp_path):
     assert _stored(spark, out) == _expected(spark, now)
 
 
+def test_stream_clears_vectors_of_chunks_that_are_gone(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    first = _events(spark, "2025-01-01 00:00:00")
+    _write(first, src, "a")
+    _stream(spark, src, out, str(tmp_path / "ck"), first.schema)
+    vectors = spark.read.parquet(f"{out}/chunks").select("chunk_id", "repo_id", F.array(F.lit(1.0)).alias("vector")).distinct()
+    write_table(vectors, f"{out}/vectors")
+    ids = lambda name: {(r.repo_id, r.chunk_id) for r in spark.read.parquet(f"{out}/{name}").collect()}
+    before = ids("vectors")
+    later = _events(spark, "2025-02-01 00:00:00")
+    removed = later.where("repo = 'src2'").withColumn("content", F.lit(None).cast("string")).withColumn("size_bytes", F.lit(None).cast("long"))
+    changed = later.where("repo = 'src3' and doc_id % 40 = 3").withColumn("content", F.concat("content", F.lit(" and some more")))
+    _write(removed.unionByName(changed), src, "b")
+    _stream(spark, src, out, str(tmp_path / "ck"), first.schema)
+    after = ids("vectors")
+    assert after == before & ids("chunks") and after < before
+    assert len({r for r, _ in before} - {r for r, _ in after}) == 1
+
+
 def test_stored_tables_upsert_and_delete(spark, tmp_path):
     out = str(tmp_path)
     t = stored_tables(spark, SF_SMALL)
