@@ -84,8 +84,36 @@ def op2_ctw_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return score_documents(table(spark, sf, "documents"))
 
 
+@_query
+def op11_dual_tree(spark: SparkSession, sf: str) -> DataFrame:
+    from .op11_dual_tree import ranked
+    return ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@_query
+def op12_nn_descent(spark: SparkSession, sf: str) -> DataFrame:
+    from .op12_nn_descent import linked
+    return linked(table(spark, sf, "embeddings"))
+
+
+@_query
+def op13_radix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    from .op13_radix_trie import trie_nodes
+    return trie_nodes(table(spark, sf, "conversations"))
+
+
 @_query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after the other."""
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf)
+
+
+def _oracles() -> dict[str, str]:
+    from . import op11_dual_tree as op11
+    from . import op12_nn_descent as op12
+    from . import op13_radix_trie as op13
+    return {"op11_dual_tree": op11.SQL, "op12_nn_descent": op12.SQL, "op13_radix_trie": op13.SQL}
+
+
+ORACLES.update(_oracles())
