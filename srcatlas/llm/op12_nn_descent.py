@@ -150,9 +150,12 @@ def _celled(points: DataFrame, trees: list[int]) -> DataFrame:
     celled = points.mapInArrow(run, schema).join(sizes.select("label", "dim", depth.alias("__depth")), ["label", "dim"]).withColumn(
         "cell", F.expr(f"shiftright(code, {BITS} - least(__depth, {BITS}))")).drop("__depth", "code")
     celled = stored(celled, "celled")
-    full = celled.groupBy(*CELL_KEYS[:-1]).agg(F.ceil(F.count("*") / F.lit(CELL * 2)).alias("__parts")).where("__parts > 1")
+    full = stored(celled.groupBy(*CELL_KEYS[:-1]).agg(
+        F.ceil(F.count("*") / F.lit(CELL * 2)).alias("__parts")).where("__parts > 1"), "full-cells")
+    # one key of all: grouping by columns could keep the join's dealing, which has a full cell in one place
     return celled.join(full, CELL_KEYS[:-1], "left").withColumn(
-        "part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("node", "tree"), F.col("__parts"))))
+        "part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("node", "tree"), F.col("__parts")))).withColumn(
+        "key", F.struct(*CELL_KEYS))
 
 
 # --- balls ------------------------------------------------------------------
@@ -186,7 +189,7 @@ def _balls(nodes: DataFrame, half: float) -> DataFrame:
         weight = where.groupBy("pivot").agg(F.count("*").alias("weight")).withColumnRenamed("pivot", "node")
         live = nodes.select("node", "label", "dim", "vec").join(weight, "node")
         cells = _celled(live, [BALL_TREES + r])
-        moved = stored(cells.groupBy(*CELL_KEYS).applyInArrow(run, "node long, pivot long"), "moved")
+        moved = stored(cells.groupBy("key").applyInArrow(run, "node long, pivot long"), "moved")
         full = not cells.where("__parts > 1").isEmpty()
         if r and moved.isEmpty():
             break
@@ -269,7 +272,7 @@ def _from_cells(points: DataFrame, trees: list[int], threshold: float) -> DataFr
         return pa.table({"u": nodes[i], "v": nodes[j], "sim": sims[i, j], "hit": hit[i, j]})
 
     cells = _celled(points.select("node", "label", "dim", "vec", "radius"), trees)
-    return stored(cells.groupBy(*CELL_KEYS).applyInArrow(run, LIST), "from-cells")
+    return stored(cells.groupBy("key").applyInArrow(run, LIST), "from-cells")
 
 
 def _ranked(found: DataFrame, places: DataFrame, times: int = 1) -> DataFrame:
