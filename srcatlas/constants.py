@@ -195,3 +195,28 @@ def default_stop_words() -> list[str]:
     """English stop words shipped with the package (Spark ML's default list)."""
     text = resources.files("srcatlas.data").joinpath("stopwords_en.txt").read_text("utf-8")
     return [w for w in text.splitlines() if w]
+
+# --- context and report ------------------------------------------------------------
+#: Lists that a context declares and nothing fills.
+UNFILLED_CONTEXT = ["dependencies", "main_modules", "entry_points", "database_models"]
+#: First lines of the analysis report; ``{slot}`` is filled in.
+REPORT_HEAD = [
+    "REPOSITORY INFORMATION:",
+    "- Name: {repo_name}",
+    "- Source: {repo_source}",
+    "- Architecture Type: {architecture_type}",
+    "- Total Files Analyzed: {total_documents}",
+    "- Total Code Chunks: {total_chunks}",
+    "",
+    "TECHNOLOGY STACK:",
+    "- Languages: {languages}",
+    "- Frameworks: {frameworks}",
+    "- Key Dependencies: {dependencies}",
+    "",
+    "CODE STRUCTURE ANALYSIS:",
+    "- Key Classes: {key_classes}",
+    "- Key Functions: {key_functions}",
+    "- API Endpoints: {api_endpoints} found",
+    "- Configuration Files: {config_files} found",
+    "",
+]

@@ -5,6 +5,8 @@ Each returns an array for the chunk; operators aggregate them per repository.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,10 +61,19 @@ def frameworks(text, patterns: dict[str, str] = K.FRAMEWORKS) -> Column:
     return F.array_compact(F.array(*[F.when(lc.contains(p), F.lit(label)) for p, label in patterns.items()]))
 
 
-def framework_flags(lower_text: Column, patterns: dict[str, str] = K.FRAMEWORKS) -> list[Column]:
+def framework_flags(lower_text: Column, patterns: dict[str, str] = K.FRAMEWORKS, word_boundary: bool = False) -> list[Column]:
     """One 0/1 column per framework pattern over already lower-cased text
-    (no arrays, no lambdas: stays in generated code)."""
-    return [lower_text.contains(p).cast("int").alias(f"fw_{i}") for i, p in enumerate(patterns)]
+    (no arrays, no lambdas: stays in generated code). With ``word_boundary``
+    no letter, digit or underscore may stand beside the pattern."""
+    def found(p: str) -> Column:
+        whole = lower_text.rlike(whole_word(p))
+        return lower_text.contains(p) & whole if word_boundary else lower_text.contains(p)
+
+    return [found(p).cast("int").alias(f"fw_{i}") for i, p in enumerate(patterns)]
+
+
+def whole_word(pattern: str) -> str:
+    return f"(^|[^a-z0-9_]){re.escape(pattern)}($|[^a-z0-9_])"
 
 
 def endpoint_count(text) -> Column:

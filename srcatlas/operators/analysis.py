@@ -51,10 +51,12 @@ def repo_languages(documents: DataFrame, table: dict[str, str] = K.LANGUAGES) ->
     return flags.select("repo_id", _sorted_set(labels).alias("languages"))
 
 
-def repo_frameworks(chunks: DataFrame, patterns: dict[str, str] = K.FRAMEWORKS) -> DataFrame:
+def repo_frameworks(chunks: DataFrame, patterns: dict[str, str] = K.FRAMEWORKS, word_boundary: bool = False) -> DataFrame:
+    """repo_id -> sorted framework labels; with ``word_boundary`` a pattern
+    counts as a whole word only ("reaction" is not React)."""
     labels = list(patterns.values())
     lc = chunks.select("repo_id", F.lower("content").alias("_lc"))
-    flags = lc.select("repo_id", *cf.framework_flags(F.col("_lc"), patterns)) \
+    flags = lc.select("repo_id", *cf.framework_flags(F.col("_lc"), patterns, word_boundary)) \
         .groupBy("repo_id").agg(*[F.max(f"fw_{i}").alias(f"has_{i}") for i in range(len(labels))])
     return flags.select("repo_id", _sorted_set(labels).alias("frameworks"))
 
@@ -142,19 +144,32 @@ def repo_facts(chunks: DataFrame, documents: DataFrame | None = None) -> DataFra
     return out
 
 
-def analysis_summary(chunks: DataFrame) -> DataFrame:
+def document_counts(documents: DataFrame) -> DataFrame:
+    """Per-repo counts of classes, functions and endpoints found in whole
+    documents: names once a document, and nothing twice because chunks
+    overlap."""
+    names = lambda found: F.size(F.array_distinct(found)).cast("bigint")
+    return documents.groupBy("repo_id").agg(
+        F.sum(names(cf.classes("content"))).alias("document_classes_count"),
+        F.sum(names(cf.functions("content"))).alias("document_functions_count"),
+        F.sum(cf.endpoint_count("content")).cast("bigint").alias("document_endpoints_count"))
+
+
+def analysis_summary(chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """Per-repo counts of classes, functions, endpoints (with repeats, as
-    found per chunk) and distinct imports; dependencies are never filled."""
+    found per chunk) and distinct imports; dependencies are never filled. With
+    ``documents`` also the counts per document (``document_counts``)."""
     facts = chunk_facts(chunks)
     counts = facts.groupBy("repo_id").agg(
         F.sum(F.size("classes")).cast("bigint").alias("key_classes_count"),
         F.sum(F.size("functions")).cast("bigint").alias("key_functions_count"),
         F.sum("n_endpoints").cast("bigint").alias("api_endpoints_count"))
     imps = repo_imports(chunks).groupBy("repo_id").agg(F.count(F.lit(1)).alias("imports_count"))
-    return counts.join(imps, "repo_id", "left").select(
+    out = counts.join(imps, "repo_id", "left").select(
         "repo_id", "key_classes_count", "key_functions_count", "api_endpoints_count",
         F.coalesce("imports_count", F.lit(0)).cast("bigint").alias("imports_count"),
         F.lit(0).cast("bigint").alias("dependencies_count"))
+    return out if documents is None else out.join(document_counts(documents), "repo_id", "left")
 
 
 def categorize(chunks: DataFrame) -> DataFrame:

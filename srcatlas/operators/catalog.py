@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import paths
 from . import files as fo
-from .joins import salted_join
+from ..session import scratch_table
+from .joins import pruned_semi_join, salted_join
 
 
 # --- sources --------------------------------------------------------------------
@@ -128,7 +129,8 @@ def read_repo(table: DataFrame, sources: list[str] | None = None, repo_ids: list
 
     ``repo_ids`` may be a short literal list (a partition filter on a table
     stored partitioned by ``repo_id``) or a DataFrame of ids computed by
-    another job (a left-semi join; AQE broadcasts it when it is small)."""
+    another job: a left-semi join whose rows are dealt out. For a stored table
+    see ``read_table``, which reads the partitions of the ids only."""
     if isinstance(repo_ids, DataFrame):
         out = salted_join(table, repo_ids.select("repo_id").distinct(), ["repo_id"], "left_semi", _row_key(table))
     else:
@@ -142,15 +144,37 @@ def _row_key(table: DataFrame) -> list[str]:
     return [c for c in ("chunk_id", "doc_id", "rel_path") if c in table.columns] or table.columns[:1]
 
 
-def read_table(spark, path: str, repo_ids: list[str] | None = None, order: str | None = None) -> DataFrame:
+def read_table(spark, path: str, repo_ids: list[str] | DataFrame | None = None, order: str | None = None,
+               schema=None) -> DataFrame:
     """A stored table (parquet partitioned by ``repo_id``); with ``repo_ids``
-    only those partitions are listed and read (partition pruning)."""
-    t = spark.read.parquet(path)
-    if repo_ids:
+    only those partitions are read: a literal list prunes when the query is
+    planned, a stored DataFrame of ids when it runs. ``schema`` saves reading
+    a file's footer for it."""
+    t = (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
+    if isinstance(repo_ids, DataFrame):
+        t = pruned_semi_join(t, repo_ids)
+    elif repo_ids:
         t = t.where(F.col("repo_id").isin(*repo_ids))
     return t.orderBy(order) if order else t
 
 
+def repos_by_recency(repositories: DataFrame) -> DataFrame:
+    """(position, id, source, processed_at) of every repository, the latest
+    processed first, ties by id.
+
+    Positions come in two steps, so no task sorts the whole table: rows are
+    ranged by time, each range is counted, and a row's position is the count
+    of the ranges before its own and its place within it."""
+    by = [F.desc_nulls_last("processed_at"), F.asc("id")]
+    ranged = repositories.select("id", "source", "processed_at").repartitionByRange(*by).withColumn("_r", F.spark_partition_id())
+    fixed, _ = scratch_table(ranged, "recency")
+    counts = fixed.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_r").orderBy(*by))
+    return fixed.withColumn("_at", place).join(before, "_r").select(
+        (F.col("_before") + F.col("_at")).cast("bigint").alias("position"), "id", "source", "processed_at")
+
+
 def _repo_id_str(source: str) -> str:
     import hashlib
     return "repo_" + hashlib.md5(source.encode("utf-8")).hexdigest()[:12]

@@ -62,10 +62,36 @@ def fixed_pieces(content: Column, size: int = K.CHUNK_SIZE, overlap: int = K.CHU
     return _let(cut, windows) if overlap else F.slice(cut, F.lit(1), n)
 
 
-def chunk_fixed(documents: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
-    raw = documents.select(
-        "doc_id", "repo_id", "repo", F.col("file_path").alias("source_file"),
-        F.posexplode(fixed_pieces(F.col("content"), size, overlap)).alias("chunk_num", "content"))
+def fixed_count(content: Column, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> Column:
+    """How many windows ``fixed_pieces`` cuts, from the length alone."""
+    n = F.length(content)
+    return F.when(n > 0, F.greatest(F.lit(1), F.ceil((n - size) / F.lit(size - overlap)).cast("int") + 1)).otherwise(0)
+
+
+def last_of_equal(pieces: Column) -> Column:
+    """``pieces`` as (chunk_num, content), of equal ones the last only. Equal
+    pieces stand together once (hash, number) are sorted, so the work is that
+    of the sort, and nothing leaves the row."""
+    marks = F.array_sort(F.transform(pieces, lambda p, i: F.struct(F.md5(p).alias("h"), i.alias("i"))))
+
+    def kept(m: Column) -> Column:
+        ends = F.transform(m, lambda x, i: F.struct(x["i"].alias("i"), F.get(m, i + 1)["h"].eqNullSafe(x["h"]).alias("again")))
+        return F.filter(ends, lambda x: ~x["again"])
+
+    numbers = F.transform(_let(marks, kept), lambda x: x["i"])
+    return F.transform(numbers, lambda i: F.struct(i.alias("chunk_num"), F.get(pieces, i).alias("content")))
+
+
+def chunk_fixed(documents: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP, dedup: bool = False) -> DataFrame:
+    """Windows of every document; with ``dedup`` identical text within a
+    document is a chunk once, its last occurrence, settled within the row."""
+    of = ["doc_id", "repo_id", "repo", F.col("file_path").alias("source_file")]
+    pieces = fixed_pieces(F.col("content"), size, overlap)
+    if dedup:
+        raw = documents.select(*of, F.explode(_let(pieces, last_of_equal)).alias("c")).select(
+            "doc_id", "repo_id", "repo", "source_file", "c.chunk_num", "c.content")
+    else:
+        raw = documents.select(*of, F.posexplode(pieces).alias("chunk_num", "content"))
     return _finish(raw)
 
 
@@ -186,7 +212,8 @@ def chunk(documents: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK
 
 def dedup_chunks(chunks: DataFrame) -> DataFrame:
     """Identical text within a document is stored once, keeping the last
-    occurrence (highest ``chunk_num``).
+    occurrence (highest ``chunk_num``). For chunks that are rows already;
+    ``chunk_fixed(dedup=True)`` does it while the document is one row.
 
     The last numbers are found on (doc_id, chunk_hash, chunk_num) alone, a
     hash aggregate that collapses map-side; the rows themselves are then kept

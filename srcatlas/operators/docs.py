@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import paths, text
 from . import analysis as an
+from . import chunking
 
+#: Parts in which a group's samples are ranked first.
+SAMPLE_PARTS = 32
 #: Size up to which a template is taken as configuration, by default.
 MAX_TEMPLATE_BYTES = 1 << 20
 
@@ -63,14 +66,23 @@ def repo_info(repositories: DataFrame) -> DataFrame:
 
 def top_samples(chunks: DataFrame, limits: dict[str, int] = K.SAMPLE_LIMITS) -> DataFrame:
     """Longest chunks per (repository, category), ``limits[category]`` of
-    each, ties in chunk-id order. The constant cap (largest limit) lets
-    Spark cut every map task's rows per group before the shuffle."""
+    each, ties in chunk-id order.
+
+    Ranking sees sizes and ids only, in two steps: the best of each of
+    ``SAMPLE_PARTS`` parts of a group, then the best of those, so a group that
+    holds a third of all chunks is ranked by many tasks. The constant cap lets
+    Spark cut every map task's rows before either shuffle. The texts of the
+    chosen chunks are fetched at the end."""
     cap = max(limits.values())
     lim = F.create_map(*[x for kv in limits.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    c = an.categorize(chunks)
-    w = Window.partitionBy("repo_id", "category").orderBy(F.desc("size"), F.asc("chunk_id"))
-    ranked = c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
-    return ranked.where(F.col("rank") <= F.element_at(lim, F.col("category")))
+    group, order = ["repo_id", "category"], [F.desc("size"), F.asc("chunk_id"), F.asc("chunk_num")]
+    light = an.categorize(chunks).select(*group, "size", "chunk_id", "chunk_num").withColumn(
+        "_part", F.pmod(F.xxhash64("chunk_id", "chunk_num"), F.lit(SAMPLE_PARTS)))
+    best = light.withColumn("_rank", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))).where(F.col("_rank") <= cap)
+    ranked = best.drop("_part", "_rank").withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(
+        F.col("rank") <= cap)
+    chosen = ranked.where(F.col("rank") <= F.element_at(lim, F.col("category")))
+    return chunks.join(chosen.select("category", "chunk_id", "chunk_num", "rank"), ["chunk_id", "chunk_num"])
 
 
 def first_items(chunks: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
@@ -113,10 +125,12 @@ def repo_context(repositories: DataFrame, documents: DataFrame, chunks: DataFram
         *[F.max((lang == F.lit(l)).cast("int")).alias(f"has_{i}") for i, l in enumerate(lang_labels)])
     dinfo = dagg.select("repo_id", "total_documents", an._sorted_set(lang_labels).alias("languages"))
     facts = an.chunk_facts(chunks).withColumn(
-        "_cfg", F.when(cf.category("source_file") == "config", F.col("source_file")))
+        "_cfg", F.when(cf.category("source_file") == "config", F.col("source_file"))).withColumn(
+        "_test", F.when(cf.category("source_file") == "tests", F.col("source_file")))
     cagg = facts.groupBy("repo_id").agg(*an._facts_aggs(fw_labels),
-                                        F.count_distinct("_cfg").cast("bigint").alias("n_config_files"))
-    cinfo = an._facts_select(cagg, fw_labels, ["n_config_files"])
+                                        F.count_distinct("_cfg").cast("bigint").alias("n_config_files"),
+                                        F.count_distinct("_test").cast("bigint").alias("n_test_files"))
+    cinfo = an._facts_select(cagg, fw_labels, ["n_config_files", "n_test_files"])
     names = first_items(chunks)
     ctx = info.join(cinfo, "repo_id").join(dinfo, "repo_id", "left").join(names, "repo_id", "left")
     return ctx.select(
@@ -127,8 +141,11 @@ def repo_context(repositories: DataFrame, documents: DataFrame, chunks: DataFram
         F.col("n_classes").alias("key_classes_count"), F.col("n_functions").alias("key_functions_count"),
         F.col("n_endpoints").alias("api_endpoints_count"),
         F.coalesce("n_config_files", F.lit(0)).cast("bigint").alias("n_config_files"),
+        F.coalesce("n_test_files", F.lit(0)).cast("bigint").alias("n_test_files"),
         F.coalesce("key_classes", F.lit("")).alias("key_classes"),
-        F.coalesce("key_functions", F.lit("")).alias("key_functions"))
+        F.coalesce("key_functions", F.lit("")).alias("key_functions"),
+        # declared by the original's context and never filled there
+        *[F.array().cast("array<string>").alias(c) for c in K.UNFILLED_CONTEXT])
 
 
 def _sample_lines(samples: DataFrame, n: int = K.REPORT_SAMPLES, chars: int = K.REPORT_SAMPLE_CHARS) -> DataFrame:
@@ -147,25 +164,13 @@ def _sample_lines(samples: DataFrame, n: int = K.REPORT_SAMPLES, chars: int = K.
 
 def context_report(ctx: DataFrame, samples: DataFrame) -> DataFrame:
     """repo_id -> the plain-text analysis report fed to the writer."""
-    head = F.array(
-        F.lit("REPOSITORY INFORMATION:"),
-        F.concat(F.lit("- Name: "), F.col("repo_name")),
-        F.concat(F.lit("- Source: "), F.coalesce(F.col("repo_source"), F.lit(""))),
-        F.concat(F.lit("- Architecture Type: "), F.col("architecture_type")),
-        F.concat(F.lit("- Total Files Analyzed: "), F.col("total_documents").cast("string")),
-        F.concat(F.lit("- Total Code Chunks: "), F.col("total_chunks").cast("string")),
-        F.lit(""),
-        F.lit("TECHNOLOGY STACK:"),
-        F.concat(F.lit("- Languages: "), F.array_join("languages", ", ")),
-        F.concat(F.lit("- Frameworks: "), F.array_join("frameworks", ", ")),
-        F.lit("- Key Dependencies: "),
-        F.lit(""),
-        F.lit("CODE STRUCTURE ANALYSIS:"),
-        F.concat(F.lit("- Key Classes: "), F.col("key_classes")),
-        F.concat(F.lit("- Key Functions: "), F.col("key_functions")),
-        F.concat(F.lit("- API Endpoints: "), F.col("api_endpoints_count").cast("string"), F.lit(" found")),
-        F.concat(F.lit("- Configuration Files: "), F.col("n_config_files").cast("string"), F.lit(" found")),
-        F.lit(""))
+    shown = {
+        "repo_name": F.col("repo_name"), "repo_source": F.col("repo_source"), "architecture_type": F.col("architecture_type"),
+        "total_documents": F.col("total_documents").cast("string"), "total_chunks": F.col("total_chunks").cast("string"),
+        "languages": F.array_join("languages", ", "), "frameworks": F.array_join("frameworks", ", "), "dependencies": F.lit(""),
+        "key_classes": F.col("key_classes"), "key_functions": F.col("key_functions"),
+        "api_endpoints": F.col("api_endpoints_count").cast("string"), "config_files": F.col("n_config_files").cast("string")}
+    head = F.array(*[fill_template(line, shown) for line in K.REPORT_HEAD])
     lines = _sample_lines(samples)
     j = ctx.join(lines, "repo_id", "left")
     all_lines = F.concat(head, F.coalesce(F.col("sample_lines"), F.array().cast("array<string>")))
@@ -252,11 +257,23 @@ def doc_metadata(ctx: DataFrame, scores: DataFrame | None = None) -> DataFrame:
 
 
 def write_docs(docs: DataFrame, path: str) -> None:
-    """Document sink: ``docs(repo_id, file_name, body, metadata_json)`` as
-    parquet partitioned by repository (dynamic overwrite: re-runs replace
-    only the repositories present)."""
-    (docs.select("repo_id", "file_name", "body", "metadata_json").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(path))
+    """Document sink: of each row of ``docs(file_name, body, metadata_json)``
+    the document and, beside it, its metadata, as files in ``path``."""
+    from ..sources.export import write_files
+    meta = F.regexp_replace("file_name", r"\.md$", ".metadata.json")
+    files = docs.select(F.explode(F.array(
+        F.struct(F.col("file_name"), F.col("body").alias("content")),
+        F.struct(meta.alias("file_name"), F.col("metadata_json").alias("content")))).alias("f")).select("f.file_name", "f.content")
+    write_files(files, path)
+
+
+def document_repositories(repositories: DataFrame, documents: DataFrame, chunks: DataFrame, path: str,
+                          scores: DataFrame | None = None) -> DataFrame:
+    """Write one document and metadata file a repository to ``path`` with the
+    deterministic writer. Returns the results, a row for each repository."""
+    ctx = repo_context(repositories, documents, chunks)
+    write_docs(render_docs(ctx).join(doc_metadata(ctx, scores), "repo_id"), path)
+    return generation_results(repositories, chunks, scores)
 
 
 # --- review rounds -------------------------------------------------------------------------
@@ -269,7 +286,7 @@ def rubric_review(draft: Column) -> Column:
     for phrase, _ in K.PLACEHOLDER_ISSUES[1:3]:
         instr = instr + draft.contains(phrase).cast("int")
     heading = F.exists(F.split(draft, "\n", -1), lambda x: x.startswith("#")).cast("int")
-    score = F.greatest(F.lit(0), F.lit(100) - F.least(n_ph, F.lit(4)) * 15 - instr * 10 - (1 - heading) * 20)
+    score = F.greatest(F.lit(0), F.lit(100) - n_ph * 15 - instr * 10 - (1 - heading) * 20)
     return F.concat(F.lit("SCORE: "), score.cast("string"), F.lit("\n"), text.placeholder_report(draft))
 
 
@@ -315,11 +332,18 @@ def repo_scores(revised: DataFrame) -> DataFrame:
 
 # --- results ---------------------------------------------------------------------------------
 
-def generation_results(repositories: DataFrame, chunks: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+def chunk_counts(documents: DataFrame) -> DataFrame:
+    """(repo_id, n): how many windows the fixed chunker cuts of a repository's
+    documents, from their lengths; nothing is cut."""
+    return documents.groupBy("repo_id").agg(F.sum(chunking.fixed_count(F.col("content"))).cast("bigint").alias("n"))
+
+
+def generation_results(repositories: DataFrame, chunks: DataFrame | None, scores: DataFrame | None = None,
+                       counts: DataFrame | None = None) -> DataFrame:
     """One result per repository; repositories without chunks fail with
-    'No data found'."""
+    'No data found'. ``counts(repo_id, n)`` may stand for ``chunks``."""
     info = repo_info(repositories)
-    n = chunks.groupBy("repo_id").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    n = counts if counts is not None else chunks.groupBy("repo_id").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     df = info.join(n, "repo_id", "left")
     if scores is not None:
         df = df.join(scores.select("repo_id", "final_score"), "repo_id", "left")

@@ -116,6 +116,12 @@ def classify_sizes(files: DataFrame, size_col: str = "size_bytes") -> DataFrame:
     )
 
 
+def of_size_classes(files: DataFrame, classes: tuple[str, ...] = ("small", "medium"), size_col: str = "size_bytes") -> DataFrame:
+    """The files of several size classes together: by default those that are
+    read at once, the others being those that are read in buffers."""
+    return classify_sizes(files, size_col).where(F.col("size_class").isin(*classes))
+
+
 def size_summary(files: DataFrame, size_col: str = "size_bytes") -> DataFrame:
     """Files and MB per size class; classes with no file do not appear."""
     c = classify_sizes(files, size_col)

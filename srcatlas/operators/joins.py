@@ -24,3 +24,14 @@ def salted_join(big: DataFrame, small: DataFrame, key: list[str], how: str, deal
     dealt = big.withColumn("_part", F.pmod(F.xxhash64(*cols), F.lit(parts)).cast("int"))
     copies = small.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
     return dealt.join(copies, [*key, "_part"], how).drop("_part")
+
+
+def pruned_semi_join(table: DataFrame, ids: DataFrame, key: str = "repo_id", prefix: str = "repo_") -> DataFrame:
+    """The rows of ``table`` (stored, partitioned by ``key``) whose key is in
+    ``ids``, reading only those partitions: with ``ids`` small enough to be
+    broadcast, Spark prunes by what the broadcast holds (dynamic partition
+    pruning). It does so only for a side that is filtered, so the ids' fixed
+    ``prefix`` is stated as a filter. ``ids`` should be a stored table, whose
+    size Spark knows; beyond the broadcast limit the join is a shuffle."""
+    wanted = ids.where(F.col(key).startswith(prefix)).select(key).distinct()
+    return table.join(wanted, key, "left_semi")

@@ -45,12 +45,13 @@ def pair_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -
 
 
 def embedding_points(matched: DataFrame, model: str, repo_source_col: str = "repo_source") -> DataFrame:
-    """Vector store rows: point id, vector, payload."""
+    """Vector store rows: point id, the repository and chunk it is of, vector
+    and payload."""
     dim = F.size("vector").cast("int")
     src = F.col(repo_source_col) if repo_source_col in matched.columns else F.lit("")
     return matched.select(
         paths.point_id(F.col("repo_id"), F.col("chunk_id")).alias("point_id"),
-        F.col("vector"),
+        "repo_id", "chunk_id", F.col("vector"),
         F.struct(F.col("chunk_id"), F.col("repo_id"), src.alias("repo_source"), F.lit(model).alias("model"),
                  dim.alias("dim"), dim.alias("chunk_size")).alias("payload"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import codefacts as cf
 from ..operators import analysis as an
 from . import duck as D
 from . import inputs as I
@@ -97,6 +98,15 @@ def repo_frameworks(spark, sf):
     return an.repo_frameworks(I.code_chunks(spark, sf)).select("repo_id", F.array_join("frameworks", ", ").alias("frameworks"))
 
 
+@query("repo_frameworks_words", lambda: analysis_ctes([("fww", "SELECT repo_id, " + ", ".join(
+    f"bool_or(regexp_matches(lower(content), {R(cf.whole_word(p))})) AS fw_{i}" for i, p in enumerate(K.FRAMEWORKS))
+    + " FROM code_chunks GROUP BY repo_id")]) + f"SELECT repo_id, {_fw_set_sql()} AS frameworks FROM fww")
+def repo_frameworks_words(spark, sf):
+    """Frameworks whose pattern stands as a whole word."""
+    return an.repo_frameworks(I.code_chunks(spark, sf), word_boundary=True).select(
+        "repo_id", F.array_join("frameworks", ", ").alias("frameworks"))
+
+
 # --- O36-O39 ---------------------------------------------------------------------------------
 
 @query("key_functions", lambda: analysis_ctes() + """
@@ -153,12 +163,18 @@ def repo_analysis(spark, sf):
 
 @query("analysis_summary", lambda: analysis_ctes([("imps", _imports_sql()), ("eps", _endpoints_sql())]) + """
 SELECT x.repo_id, x.key_classes_count, x.key_functions_count, coalesce(e.n, 0) AS api_endpoints_count,
-  coalesce(i.n, 0) AS imports_count, CAST(0 AS BIGINT) AS dependencies_count
+  coalesce(i.n, 0) AS imports_count, CAST(0 AS BIGINT) AS dependencies_count,
+  w.document_classes_count, w.document_functions_count, w.document_endpoints_count
 FROM (SELECT repo_id, CAST(sum(len(cls)) AS BIGINT) AS key_classes_count, CAST(sum(len(fns)) AS BIGINT) AS key_functions_count FROM fc GROUP BY 1) x
 LEFT JOIN (SELECT repo_id, count(*) AS n FROM eps GROUP BY 1) e ON e.repo_id = x.repo_id
-LEFT JOIN (SELECT repo_id, count(*) AS n FROM imps GROUP BY 1) i ON i.repo_id = x.repo_id""")
+LEFT JOIN (SELECT repo_id, count(*) AS n FROM imps GROUP BY 1) i ON i.repo_id = x.repo_id
+LEFT JOIN (SELECT repo_id, CAST(sum(len(list_distinct(regexp_extract_all(content, """ + R(K.CLASS_RE) + """, 1)))) AS BIGINT) AS document_classes_count,
+  CAST(sum(len(list_distinct(regexp_extract_all(content, """ + R(K.FUNCTION_RE) + """, 1)))) AS BIGINT) AS document_functions_count,
+  CAST(sum(len(regexp_extract_all(content, """ + R(K.ROUTE_RE) + """, 1)) + len(regexp_extract_all(content, """ + R(K.ROUTER_RE) + """, 1))
+    + len(regexp_extract_all(content, """ + R(K.APP_METHOD_RE) + """, 1))) AS BIGINT) AS document_endpoints_count
+  FROM code_docs GROUP BY 1) w ON w.repo_id = x.repo_id""")
 def analysis_summary(spark, sf):
-    return an.analysis_summary(I.code_chunks(spark, sf))
+    return an.analysis_summary(I.code_chunks(spark, sf), I.code_documents(spark, sf))
 
 
 # --- O41, O87 ----------------------------------------------------------------------------------

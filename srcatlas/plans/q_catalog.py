@@ -290,6 +290,15 @@ def corpus_stats_q(spark, sf):
     return cat.corpus_stats(t["repositories"], t["documents"], t["chunks"], vectors)
 
 
+@query("repos_by_recency", lambda: _ctes() + """
+SELECT row_number() OVER (ORDER BY processed_at DESC NULLS LAST, id) AS position, id, source,
+  strftime(processed_at, '%Y-%m-%d %H:%M:%S') AS processed_at FROM cur_repos""")
+def repos_by_recency_q(spark, sf):
+    """Every repository with its place by time of processing."""
+    r = cat.repos_by_recency(current_tables(spark, sf)["repositories"])
+    return r.select("position", "id", "source", F.date_format("processed_at", "yyyy-MM-dd HH:mm:ss").alias("processed_at"))
+
+
 @query("recent_repos", lambda: _ctes() + """
 SELECT id, source, total_chunks, strftime(processed_at, '%Y-%m-%d %H:%M:%S') AS processed_at
 FROM cur_repos ORDER BY processed_at DESC, id LIMIT 5""")

@@ -50,7 +50,7 @@ def report(spark, sf):
 def _str_ctx(ctx):
     return ctx.select("repo_id", "repo_name", "repo_source", "total_documents", "total_chunks",
                       F.array_join("languages", ", ").alias("languages"), F.array_join("frameworks", ", ").alias("frameworks"),
-                      "architecture_type", "key_classes", "key_functions", "api_endpoints_count", "n_config_files")
+                      "architecture_type", "key_classes", "key_functions", "api_endpoints_count", "n_config_files", "n_test_files")
 
 
 # --- DuckDB CTEs ----------------------------------------------------------------------
@@ -86,16 +86,18 @@ def docs_ctes(extra=None) -> str:
                 + R(K.ROUTER_RE) + ", 1)) + len(regexp_extract_all(content, " + R(K.APP_METHOD_RE) + ", 1))) AS n FROM cchunks GROUP BY 1"),
         ("cat", f"SELECT *, {_category_sql()} AS category FROM cchunks"),
         ("cfg", "SELECT repo_id, count(DISTINCT source_file) AS n FROM cat WHERE category = 'config' GROUP BY 1"),
+        ("tst", "SELECT repo_id, count(DISTINCT source_file) AS n FROM cat WHERE category = 'tests' GROUP BY 1"),
         ("ctx", f"""SELECT i.repo_id, regexp_replace(regexp_extract(regexp_replace(i.repo_source, '/+$', ''), '([^/]*)$', 1), '\\.git', '', 'g') AS repo_name,
   i.repo_source, i.total_documents, x.total_chunks, coalesce(l.languages, 'Unknown') AS languages, {_fw_set_sql()} AS frameworks,
   a.architecture_type, a.n_classes AS key_classes_count, a.n_functions AS key_functions_count,
   CAST(coalesce(e.n, 0) AS BIGINT) AS api_endpoints_count, CAST(coalesce(g.n, 0) AS BIGINT) AS n_config_files,
+  CAST(coalesce(u.n, 0) AS BIGINT) AS n_test_files,
   coalesce(kc.key_classes, '') AS key_classes, coalesce(kf.key_functions, '') AS key_functions
 FROM (SELECT repo_id, any_value(repo_source) AS repo_source, count(*) AS total_documents FROM cdocs GROUP BY 1) i
 JOIN (SELECT repo_id, count(*) AS total_chunks FROM cchunks GROUP BY 1) x ON x.repo_id = i.repo_id
 JOIN arch a ON a.repo_id = i.repo_id JOIN fw ON fw.repo_id = i.repo_id
 LEFT JOIN langs l ON l.repo_id = i.repo_id LEFT JOIN eps e ON e.repo_id = i.repo_id LEFT JOIN cfg g ON g.repo_id = i.repo_id
-LEFT JOIN kc ON kc.repo_id = i.repo_id LEFT JOIN kf ON kf.repo_id = i.repo_id"""),
+LEFT JOIN tst u ON u.repo_id = i.repo_id LEFT JOIN kc ON kc.repo_id = i.repo_id LEFT JOIN kf ON kf.repo_id = i.repo_id"""),
         ("samp", f"""SELECT * FROM (SELECT repo_id, category, chunk_id, size, content, source_file,
   row_number() OVER (PARTITION BY repo_id, category ORDER BY size DESC, chunk_id) AS rank FROM cat)
 WHERE rank <= {_limit_case()}"""),
@@ -142,7 +144,7 @@ def top_samples(spark, sf):
 
 @query("repo_context", lambda: docs_ctes() + """
 SELECT repo_id, repo_name, repo_source, total_documents, total_chunks, languages, frameworks, architecture_type,
-  key_classes, key_functions, api_endpoints_count, n_config_files FROM ctx""")
+  key_classes, key_functions, api_endpoints_count, n_config_files, n_test_files FROM ctx""")
 def repo_context(spark, sf):
     ctx, _ = context(spark, sf)
     return _str_ctx(ctx)
@@ -212,7 +214,7 @@ def _rubric_sql(d: str) -> str:
     n_ph = f"len(regexp_extract_all({d}, '\\{{\\{{(.*?)\\}}\\}}', 1))"
     instr = " + ".join(f"CAST(contains({d}, {R(p)}) AS INTEGER)" for p, _ in K.PLACEHOLDER_ISSUES[1:3])
     heading = f"CAST(len(list_filter(string_split({d}, {NL}), lambda x: starts_with(x, '#'))) > 0 AS INTEGER)"
-    return f"CAST(greatest(0, 100 - least({n_ph}, 4) * 15 - ({instr}) * 10 - (1 - {heading}) * 20) AS INTEGER)"
+    return f"CAST(greatest(0, 100 - {n_ph} * 15 - ({instr}) * 10 - (1 - {heading}) * 20) AS INTEGER)"
 
 
 def _rounds_sql() -> str:
@@ -273,10 +275,10 @@ FROM srcs s LEFT JOIN ({_scores_sql()}) sc ON sc.repo_id = {D.repo_id('s.source'
     return head.replace("WITH fx_files AS", "WITH fx_sources AS (" + fx.FX_SOURCES.replace("{pages}", "pages").strip() + "),\nfx_files AS", 1)
 
 
-def results(spark, sf):
-    _, _, chunks = corpus(spark, sf)
+def results(spark, sf, scored=True):
+    docs = I.documents(spark, sf).unionByName(I.code_documents(spark, sf))
     repos = sources(spark, sf).select(paths.repo_id("source").alias("id"), "source").distinct()
-    return dc.generation_results(repos, chunks, dc.repo_scores(revised_drafts(spark, sf)))
+    return dc.generation_results(repos, None, dc.repo_scores(revised_drafts(spark, sf)) if scored else None, dc.chunk_counts(docs))
 
 
 @query("generation_results", lambda: _results_sql() + f"""
@@ -299,7 +301,7 @@ def generation_summary(spark, sf):
 @query("run_outcomes", lambda: _results_sql() + """
 SELECT CASE WHEN success THEN 'ok' ELSE 'failed' END AS status, count(*) AS n FROM res GROUP BY 1""")
 def run_outcomes(spark, sf):
-    return dc.run_outcomes(results(spark, sf))
+    return dc.run_outcomes(results(spark, sf, scored=False))
 
 
 @query("revision_prompts", lambda: docs_ctes([

@@ -63,6 +63,15 @@ def size_classes(spark, sf):
     return c.select("doc_id", "size_class", "estimated_chunks", F.round("memory_mb", 6).alias("memory_mb"))
 
 
+@query("size_class_union", lambda: D.with_ctes(["fx_files"], []) + f"""
+SELECT doc_id, size_class, size_bytes FROM (SELECT *, {_size_class_sql()} AS size_class FROM fx_files) WHERE size_class = 'small'
+UNION ALL
+SELECT doc_id, size_class, size_bytes FROM (SELECT *, {_size_class_sql()} AS size_class FROM fx_files) WHERE size_class = 'medium'""")
+def size_class_union(spark, sf):
+    """Files of the classes that one path handles together."""
+    return fo.of_size_classes(I.files(spark, sf)).select("doc_id", "size_class", "size_bytes")
+
+
 @query("size_summary", lambda: D.with_ctes(["fx_files"], []) + f"""
 SELECT {_size_class_sql()} AS size_class, count(*) AS n_files, round(sum(size_bytes) / 1048576.0, 6) AS total_mb
 FROM fx_files GROUP BY 1""")
@@ -112,7 +121,7 @@ def chunks_fixed(spark, sf):
 @query("chunks_dedup", lambda: D.std_ctes() + """
 SELECT chunk_id, doc_id, max(chunk_num) AS chunk_num FROM chunks GROUP BY chunk_id, doc_id""")
 def chunks_dedup(spark, sf):
-    c = chunking.dedup_chunks(I.chunks(spark, sf))
+    c = chunking.chunk_fixed(I.documents(spark, sf), dedup=True)
     return c.select("chunk_id", "doc_id", F.col("chunk_num").cast("bigint").alias("chunk_num"))
 
 
@@ -221,7 +230,19 @@ def _doc_bytes(spark, sf):
     return d.select("doc_id", "text", enc.alias("bytes"))
 
 
-@query("decode_text")
+_BYTES_SQL = """WITH src AS (
+  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN replace(text, chr(10), chr(13) || chr(10)) ELSE text END AS t FROM documents),
+raw AS (
+  SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN unhex(array_to_string(list_transform(regexp_extract_all(t, '(?s).'),
+           lambda c: CASE WHEN unicode(c) < 256 THEN printf('%02X', unicode(c)) ELSE '3F' END), ''))
+         ELSE encode(t) END AS b FROM src)
+"""
+
+
+@query("decode_text", lambda: _BYTES_SQL + """, txt AS (
+  SELECT doc_id, regexp_replace(coalesce(TRY(decode(b)), array_to_string(list_transform(regexp_extract_all(hex(b), '..'),
+           lambda h: chr(CAST('0x' || h AS INTEGER))), '')), '\r\n?', chr(10), 'g') AS content FROM raw)
+SELECT doc_id, length(content) AS n_chars, md5(content) AS content_md5 FROM txt""")
 def decode_text(spark, sf):
     """Bytes decoded as UTF-8, else Latin-1, newlines normalised (never raises)."""
     from ..sources.tree import decode_text as dec
@@ -231,7 +252,12 @@ def decode_text(spark, sf):
                       F.md5("content").alias("content_md5"))
 
 
-@query("sniff_binary")
+@query("sniff_binary", lambda: _BYTES_SQL + f""", heads AS (
+  SELECT doc_id, octet_length(b) AS n_bytes, regexp_extract_all(substring(hex(b), 1, {2 * K.SNIFF_BYTES}), '..') AS head FROM raw)
+SELECT doc_id, CASE WHEN n_bytes > {K.INGEST_MAX_BYTES} THEN 'too_large' WHEN n_bytes = 0 THEN 'empty'
+  WHEN list_contains(head, '00') THEN 'nul_byte'
+  WHEN len(list_filter(head, lambda h: h BETWEEN '20' AND '7E' OR h IN ('09', '0A', '0D'))) / len(head) < 0.9 THEN 'not_text' END AS reason
+FROM heads""")
 def sniff_binary(spark, sf):
     """NUL byte / printable-ASCII share of the first KB, at the stricter 0.9
     share so the multilingual rows exercise the rule."""

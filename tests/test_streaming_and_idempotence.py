@@ -1,11 +1,13 @@
 """Incremental refresh, stream ingest and partition invariance."""
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from srcatlas.operators import catalog as cat
 from srcatlas.plans import inputs as I
 from srcatlas.plans.q_catalog import current_tables, processed_at, stored_tables
-from srcatlas.streaming.ingest import TABLES, delete_stored, ingest_stream, rebuilt, refresh, write_table
+from srcatlas.session import scratch_table
+from srcatlas.streaming.ingest import TABLES, delete_stored, ingest_batch, ingest_stream, rebuilt, refresh, write_table
 
 
 def _digest_rows(df):
@@ -101,11 +103,101 @@ def test_stream_clears_vectors_of_chunks_that_are_gone(spark, tmp_path):
     assert len({r for r, _ in before} - {r for r, _ in after}) == 1
 
 
+def _file_events(spark, rows):
+    """(repo, path, day, text or None for a removal)"""
+    return spark.createDataFrame(
+        [(i, r, f"/data/{r}", p, None if t is None else len(t), t) + (d,) for i, (r, p, d, t) in enumerate(rows)],
+        "doc_id long, repo string, repo_source string, rel_path string, size_bytes long, content string, day int").withColumn(
+        "modified", F.to_timestamp(F.date_add(F.lit("2025-01-01"), F.col("day")))).drop("day")
+
+
+def _texts(spark, out):
+    return {(r.repo, r.file_path): r.content for r in spark.read.parquet(f"{out}/documents").collect()}
+
+
+def test_a_batch_reads_itself_and_its_repositories_only(spark, tmp_path):
+    """Earlier events and other repositories' partitions are overwritten with
+    bytes that no reader could bear; ten batches still end right."""
+    import pathlib
+    src, out, want = tmp_path / "src", str(tmp_path / "out"), {}
+    for batch in range(10):
+        mine, other = f"r{batch % 3}", f"new{batch}"
+        rows = [(mine, f"src/f{batch % 2}.py", batch, f"body of batch {batch} for {mine}"), (other, "a.py", batch, "only file " * 3)]
+        _write(_file_events(spark, rows), str(src), f"b{batch}")
+        # everything that this batch has no need of becomes unreadable
+        spoiled = {}
+        for f in [*src.glob("b*/*.parquet"), *pathlib.Path(out).glob("*/*=*/**/*.parquet")]:
+            repo = next((q.split("=")[1] for q in f.parts if q.startswith(("repo_id=", "id="))), None)
+            needed = f.parent.name == f"b{batch}" or repo == cat._repo_id_str(f"/data/{mine}")
+            if not needed:
+                spoiled[f] = f.read_bytes()
+                f.write_bytes(b"not a table")
+        _stream(spark, str(src), out, str(tmp_path / "ck"), _file_events(spark, rows).schema)
+        for f, data in spoiled.items():
+            f.write_bytes(data)
+        want |= {(r, p): t.strip() for r, p, _, t in rows}
+    assert _texts(spark, out) == want
+    versions = {f.parent.name for f in pathlib.Path(out).glob("inventory/*/version=*/*.parquet")}
+    assert len(list(pathlib.Path(out).glob("inventory/*/version=*"))) == 13 and "version=4" in versions
+
+
+def test_a_late_older_event_changes_nothing(spark, tmp_path):
+    out = str(tmp_path)
+    day = lambda *rows: ingest_batch(_file_events(spark, rows), out)
+    day(("a", "x.py", 5, "the newest text of x"), ("a", "y.py", 1, "text of y, long enough"), ("b", "z.py", 1, "some text of z"))
+    day(("a", "y.py", 7, None), ("a", "x.py", 3, "an older text of x"))
+    assert _texts(spark, out) == {("a", "x.py"): "the newest text of x", ("b", "z.py"): "some text of z"}
+    day(("a", "y.py", 6, "late, but older than its removal"))
+    assert set(_texts(spark, out)) == {("a", "x.py"), ("b", "z.py")}
+    # a repository whose only file is no document any more
+    day(("b", "z.py", 9, "short"))
+    assert set(_texts(spark, out)) == {("a", "x.py")}
+    assert {r.id for r in spark.read.parquet(f"{out}/repositories").collect()} == {cat._repo_id_str("/data/a")}
+    # the same event twice in a batch, and a batch run twice
+    for _ in range(2):
+        day(("b", "z.py", 10, "back with a longer text"), ("b", "z.py", 10, "back with a longer text"))
+    assert _texts(spark, out)[("b", "z.py")] == "back with a longer text"
+    assert spark.read.parquet(f"{out}/chunks").count() == 2
+
+
+def test_a_failed_batch_can_run_again(spark, tmp_path, monkeypatch):
+    from srcatlas.streaming import ingest
+    out = str(tmp_path)
+    ingest_batch(_file_events(spark, [("a", "x.py", 1, "first text of the file")]), out)
+    batch = _file_events(spark, [("a", "x.py", 2, "second text of the file"), ("b", "y.py", 2, "a new repository")])
+    for step in ("load_documents", "chunk", "build_repositories"):
+        owner = {"load_documents": ingest.fo, "chunk": ingest.chunking, "build_repositories": ingest.cat}[step]
+        with monkeypatch.context() as m:
+            m.setattr(owner, step, lambda *a, **k: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                ingest_batch(batch, out)
+    ingest_batch(batch, out)
+    assert _texts(spark, out) == {("a", "x.py"): "second text of the file", ("b", "y.py"): "a new repository"}
+    assert spark.read.parquet(f"{out}/inventory").count() == 2
+
+
+def test_reads_by_computed_ids_prune_partitions(spark, tmp_path):
+    t = stored_tables(spark, SF_SMALL)
+    path = str(tmp_path / "documents")
+    write_table(t["documents"], path)
+    some = t["repositories"].orderBy("id").limit(2).select(F.col("id").alias("repo_id"))
+    ids, _ = scratch_table(some, "ids")
+    got = cat.read_table(spark, path, ids)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruningexpression(repo_id" in plan
+    keep = {r.repo_id for r in some.collect()}
+    assert got.count() == t["documents"].where(F.col("repo_id").isin(*keep)).count()
+    for f in (tmp_path / "documents").glob("repo_id=*/*.parquet"):
+        if f.parent.name.split("=")[1] not in keep:
+            f.write_bytes(b"not a table")
+    assert {r.repo_id for r in cat.read_table(spark, path, ids, schema=t["documents"].schema).collect()} == keep
+
+
 def test_stored_tables_upsert_and_delete(spark, tmp_path):
     out = str(tmp_path)
     t = stored_tables(spark, SF_SMALL)
     vectors = t["chunks"].select("chunk_id", "repo_id", F.array(F.lit(1.0)).alias("vector"))
-    for name, df in (*t.items(), ("vectors", vectors)):
+    for name, df in (*t.items(), ("vectors", vectors), ("inventory", t["documents"].select("repo_id", "file_path"))):
         write_table(df.withColumn("repo_id", F.col("id")) if name == "repositories" else df, f"{out}/{name}", TABLES[name])
     some = t["repositories"].orderBy("id").limit(2).select(F.col("id").alias("repo_id"))
     ids = [r.repo_id for r in some.collect()]
