@@ -15,6 +15,8 @@ stays null.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -104,36 +106,62 @@ def _compiled(notices: tuple[tuple[str, str], ...], chars_per_edit: int):
     return made, automaton, patterns
 
 
-def find_notices(norm: str, notices=NOTICES, chars_per_edit: int = CHARS_PER_EDIT) -> list[tuple[str, int, int, int]]:
-    """(label, start, end, edits) of every place in ``norm`` that is within a
-    notice's edits of it, leftmost first; overlapping candidate windows of one
-    notice are verified once."""
-    made, automaton, patterns = _compiled(tuple(notices), chars_per_edit)
-    windows: dict[int, list[list[int]]] = {}
+def _candidate_windows(norm: str, made: list[Notice], automaton) -> dict[int, list[tuple[int, int]]]:
+    """For each notice the windows that its seeds ask for. The seeds of one
+    copy ask for nearly the same one, so windows that begin within twice the
+    edits of each other are one; none is longer than the notice and a few
+    times its edits, however close copies stand."""
+    begins: dict[int, list[int]] = {}
     for end, (length, places) in automaton.iter(norm):
         for i, at in places:
-            k, n = made[i].edits, len(made[i].text)
-            lo = max(0, end + 1 - length - at - k)
-            hi = min(len(norm), lo + n + 2 * k + (k if lo else 0))
-            spans = windows.setdefault(i, [])
-            if spans and lo <= spans[-1][1]:
-                spans[-1][1] = max(hi, spans[-1][1])
-                spans[-1][0] = min(lo, spans[-1][0])
-                while len(spans) > 1 and spans[-1][0] <= spans[-2][1]:
-                    last = spans.pop()
-                    spans[-1] = [min(spans[-1][0], last[0]), max(spans[-1][1], last[1])]
+            begins.setdefault(i, []).append(max(0, end + 1 - length - at - made[i].edits))
+    out: dict[int, list[tuple[int, int]]] = {}
+    for i, starts in begins.items():
+        k, n, spans = made[i].edits, len(made[i].text), []
+        for lo in sorted(starts):
+            hi = min(len(norm), lo + n + 3 * k)
+            if spans and lo <= spans[-1][0] + 2 * k:
+                spans[-1] = (spans[-1][0], hi)
             else:
-                spans.append([lo, hi])
-    found = []
-    for i, spans in windows.items():
-        # the best match of a stretch parts it: others may stand on both sides
-        least = max(1, len(made[i].text) - made[i].edits)
-        while spans:
-            lo, hi = spans.pop()
-            if hi - lo >= least and (m := patterns[i].search(norm, lo, hi)) is not None:
-                s, e = m.span()
-                found.append((made[i].label, s, e, sum(m.fuzzy_counts)))
-                spans += [[lo, s], [max(e, lo + 1), hi]]
+                spans.append((lo, hi))
+        out[i] = spans
+    return out
+
+
+def _best_apart(pattern, norm: str, windows: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of matches that do not overlap: those with the
+    fewest edits first, then the leftmost. A window whose match overlaps one
+    that is taken is searched again on both sides of that."""
+    todo: list[tuple[int, int, int, int, int]] = []
+
+    def look(lo: int, hi: int) -> None:
+        if hi - lo >= least and (m := pattern.search(norm, lo, hi)) is not None:
+            heapq.heappush(todo, (sum(m.fuzzy_counts), m.start(), m.end(), lo, hi))
+
+    for lo, hi in windows:
+        look(lo, hi)
+    starts: list[int] = []
+    taken: list[tuple[int, int, int]] = []
+    while todo:
+        edits, s, e, lo, hi = heapq.heappop(todo)
+        at = bisect.bisect_left(starts, e)
+        if at and taken[at - 1][1] > s:
+            s, e, _ = taken[at - 1]
+        else:
+            starts.insert(at, s)
+            taken.insert(at, (s, e, edits))
+        look(lo, min(hi, s))
+        look(max(lo, e), hi)
+    return taken
+
+
+def find_notices(norm: str, notices=NOTICES, chars_per_edit: int = CHARS_PER_EDIT) -> list[tuple[str, int, int, int]]:
+    """(label, start, end, edits) of every place in ``norm`` that is within a
+    notice's edits of it, leftmost first. The work grows with the text and the
+    number of candidates, not with how close they stand."""
+    made, automaton, patterns = _compiled(tuple(notices), chars_per_edit)
+    found = [(made[i].label, *span) for i, windows in _candidate_windows(norm, made, automaton).items()
+             for span in _best_apart(patterns[i], norm, windows, max(1, len(made[i].text) - made[i].edits))]
     return sorted(found, key=lambda f: (f[1], f[2], f[0]))
 
 
