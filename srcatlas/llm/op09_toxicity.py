@@ -10,9 +10,10 @@ task is walked once. Each hit gets a context score from the words and marks
 around it (quotation marks, words of reporting, direct address). A logistic
 model over the counts of plain and quoted hits gives the score.
 
-Training reads a sample of at most ``FIT_ROWS`` labelled rows (the lowest by a
-hash of doc_id), never held-out ones; the driver gets only the lexicon and
-this sample's few numbers a row. Scoring is per row, without a shuffle.
+Training reads a sample of about ``FIT_ROWS`` labelled rows at most (the lowest
+by a hash of doc_id), never held-out ones; the driver gets only the lexicon,
+whose terms must each stand in a share of the sample's toxic texts, and this
+sample's few numbers a row. Scoring is per row, without a shuffle.
 
 Defined results: a null or empty text has no hits and gets the score of a text
 without hits; without labels of both kinds the score is the share of toxic
@@ -23,6 +24,7 @@ out; only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -37,10 +39,10 @@ from pyspark.sql import functions as F
 
 from .common import gram_hashes, hash_words, map_batches, stored, text_bytes, word_bounds
 
-#: Labelled rows that the lexicon and the model are fitted on, at most.
-FIT_ROWS = 20_000
-#: Entries of the lexicon, at most: the best by documents they mark.
-LEXICON_TERMS = 2_000
+#: Labelled rows that the lexicon and the model are fitted on, at most. Of
+#: more, those below a bound on a hash of doc_id are taken, so about this many:
+#: the bound aims at FIT_SHARE of them.
+FIT_ROWS, FIT_SHARE = 20_000, 0.96
 #: A term must stand in this many toxic training texts, and in this share of
 #: them; and toxic ones must be this share of the texts that hold it.
 MIN_TEXTS, MIN_SPREAD, MIN_SHARE = 5, 0.01, 0.9
@@ -52,9 +54,10 @@ CONTEXT_WORDS = 5
 
 WORD = re.compile(r"[^\W_]+")
 #: Marks and words that go with a quotation or with address.
-QUOTE_MARKS = "\"“”„«»‘’"
+QUOTES = {'"': '"', "“": "”", "„": "“”", "”": "”", "«": "»", "»": "«", "‘": "’"}
 REPORTING = frozenset("said says say wrote writes called calls quote quoted quotes word term insult reported "
                       "dit appelle mot sagte nannte wort dijo palabra".split())
+_APOSTROPHE = re.compile(r"(?<=[^\W_])[‘’](?=[^\W_])")
 ADDRESS = frozenset("you your youre u du ihr dein tu toi vous tus eres".split())
 
 
@@ -219,13 +222,21 @@ class ToxicityModel:
 def _context(low: str, places: list[re.Match], i: int) -> float:
     """Evidence for quotation (above 0) or abuse (below) around a hit."""
     lo, hi = max(0, i - CONTEXT_WORDS), min(len(places) - 1, i + CONTEXT_WORDS)
-    before = low[places[lo].start():places[i].start()]
-    after = low[places[i].end():places[hi].end() + 1]
-    quoted = any(m in before for m in QUOTE_MARKS) and any(m in after for m in QUOTE_MARKS)
+    before = low[places[lo].start():places[i].start() + 1]
+    after = low[places[i].end() - 1:places[hi].end() + 1]
+    quoted = _quoted(before, after)
     around = [places[j].group() for j in range(lo, hi + 1) if j != i]
     return 2.0 * quoted + 0.75 * any(w in REPORTING for w in around) - 1.0 * any(w in ADDRESS for w in around) - 0.5
 
 
+def _quoted(before: str, after: str) -> bool:
+    """Does a quotation open in ``before`` and close in ``after``? Both begin
+    or end with a letter of the hit, so that an apostrophe within a word (a
+    letter on both sides) is known as one."""
+    before, after = _APOSTROPHE.sub("", before), _APOSTROPHE.sub("", after)
+    return any(m in QUOTES and any(c in after for c in QUOTES[m]) for m in before)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(False))
 
@@ -235,8 +246,12 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     near copies (equal smallest hash of the three-word runs) one row teaches."""
     known = labels.select("doc_id", F.col("toxic").alias("__toxic")).where("__toxic is not null") \
         .where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    rows = docs.select("doc_id", "text").join(sample, "doc_id")
+    # the share with the lowest hashes of all labelled rows of ``docs``; the
+    # filter stands below the join, so only the sample's texts move
+    n = docs.select("doc_id").join(known, "doc_id").count()
+    if n > FIT_ROWS:
+        known = known.where(F.xxhash64("doc_id") < F.lit(int(FIT_SHARE * FIT_ROWS / n * 2 ** 64) - 2 ** 63))
+    rows = docs.select("doc_id", "text").join(known, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for b in batches:
@@ -280,17 +295,25 @@ def learn_lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
     stems = stems.distinct().groupBy("stem").agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("words"), F.max("bad").alias("top"))
     stems = chosen(stems).where(F.col("words") >= STEM_WORDS).where(F.col("top") <= STEM_TOP * F.col("bad"))
-    got = stems.orderBy(F.desc("bad"), F.length("stem"), "stem").limit(LEXICON_TERMS).collect()
-    shorter = {r["stem"]: r["bad"] for r in got}
-    # the longest stem that keeps what a shorter one marks; then none within another
-    best = [s for s in shorter if not any(t != s and t.startswith(s) and shorter[t] >= 0.98 * shorter[s] for t in shorter)]
+    kept = outer_stems({r["stem"]: r["bad"] for r in stems.collect()})
+    words = [r["word"] for r in chosen(by_word).where(F.length("word") >= 3).orderBy(F.desc("bad"), "word").collect()]
+    begun = set(kept)
+    return [w for w in words if not any(w[:n] in begun for n in STEM_LENGTHS)], kept
+
+
+def outer_stems(marked: dict[str, int]) -> list[str]:
+    """Of nested stems the longest one that keeps what a shorter one marks;
+    then none that begins with another."""
+    order, best = sorted(marked), []
+    for i, s in enumerate(order):
+        longer = itertools.takewhile(lambda t: t.startswith(s), itertools.islice(order, i + 1, None))
+        if not any(marked[t] >= 0.98 * marked[s] for t in longer):
+            best.append(s)
     kept: list[str] = []
-    for s in sorted(best, key=lambda s: (len(s), s)):
-        if not any(s.startswith(k) for k in kept):
+    for s in best:  # in order: what begins with a stem follows it
+        if not kept or not s.startswith(kept[-1]):
             kept.append(s)
-    words = [r["word"] for r in chosen(by_word).where(F.length("word") >= 3).orderBy(
-        F.desc("bad"), "word").limit(LEXICON_TERMS).collect()]
-    return [w for w in words if not any(w.startswith(k) for k in kept)], kept
+    return sorted(kept, key=lambda s: (len(s), s))
 
 
 def _checked_edits(rows: DataFrame, words: list[str]) -> dict[str, int]:
