@@ -619,8 +619,13 @@ def extract_all(sources: list[str | None], model: gbt.BoostedTrees | None) -> li
 def fit_pages(pages: DataFrame) -> gbt.BoostedTrees | None:
     """The model, from a bounded sample of ``pages``."""
     marks = F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.octet_length("html") <= FIT_BYTES)
-    sample = pages.select("page_id", "html").where(marks).orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(FIT_PAGES)
-    return train([r["html"] for r in sample.collect()])
+    known = pages.select("page_id", "html").where(marks).withColumn("key", F.xxhash64("page_id", "html"))
+    # numbers are ranked; then the chosen pages alone are fetched
+    by = [F.xxhash64("page_id"), F.col("page_id"), F.col("key")]
+    keys = [r["key"] for r in known.select("page_id", "key").distinct().orderBy(*by).limit(FIT_PAGES).collect()]
+    chosen = known.where(F.col("key").isin(keys)).groupBy("key").agg(F.first("html").alias("html")).collect() if keys else []
+    html = {r["key"]: r["html"] for r in chosen}
+    return train([html[k] for k in keys if k in html])
 
 
 def main_texts(pages: DataFrame, model: gbt.BoostedTrees | None) -> DataFrame:

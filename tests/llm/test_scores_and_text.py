@@ -345,3 +345,87 @@ def test_op10_query_and_cases(spark):
         got = sorted((str(r.doc_id), (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)) for r in lic.scan_licenses(df).collect())
         assert got == sorted(((str(d), brute_phrases(t)) for d, t in rows))
     assert lic.scan_licenses(cases.empty_docs(spark)).count() == 0
+
+
+def test_many_near_notices_take_time_in_proportion():
+    import time
+    rng = random.Random(7)
+    notices = [n for n, _ in lic.NOTICES if len(n) >= 28]
+
+    def seconds(n):
+        norm = " " + " ".join(edited(rng.choice(notices), 2, rng) for _ in range(n)) + " "
+        t = time.perf_counter()
+        found = lic.find_notices(norm)
+        return time.perf_counter() - t, len(found)
+
+    seconds(50)
+    (short, few), (long, many) = seconds(500), seconds(2000)
+    assert few >= 450 and many >= 1800 and long < 8 * short
+
+
+def test_spans_of_one_notice_do_not_overlap():
+    rng = random.Random(8)
+    notice = "licensed under the apache license version 2 0"
+    norm = " " + "".join(edited(notice, rng.randrange(4), rng)[rng.randrange(12):] for _ in range(60)) + " "
+    spans = sorted((s, e) for _, s, e, _ in lic.find_notices(norm, notices=((notice, "x"),)))
+    assert len(spans) > 10 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_apostrophes_are_no_quotation_marks():
+    m = tox.ToxicityModel({"idiot": 1, "loser": 1}, [], tox.PRIOR * 3, -3.0)
+    plain = "Don't you see it, idiot, it's plain that the loser can't"
+    curly = plain.replace("'", "’")
+    assert m.score(curly) == m.score(plain) > .5
+    for a, b in ("“”", "„“", "«»", "‘’", '""'):
+        quote = f"the word {a}idiot{b} is one that they don’t say"
+        assert m.hits(quote)[0][4] > 0, quote
+    # a mark that opens must stand before, and its own closing one after
+    assert not any(h[4] > 0 for h in m.hits("such an idiot” and ‘ that"))
+
+
+def test_nested_stems_and_a_large_lexicon():
+    marked = {"vek": 10, "vekt": 10, "vekto": 9, "zorb": 8, "zor": 30, "zorbi": 8, "ama": 5, "am": 5}
+
+    def slow(marked):
+        best = [s for s in marked if not any(t != s and t.startswith(s) and marked[t] >= .98 * marked[s] for t in marked)]
+        kept = []
+        for s in sorted(best, key=lambda s: (len(s), s)):
+            if not any(s.startswith(k) for k in kept):
+                kept.append(s)
+        return kept
+
+    assert tox.outer_stems(marked) == slow(marked) == ["ama", "zor", "vekt"]
+    rng = random.Random(1)
+    many = {"".join(rng.choices("abcd", k=rng.randrange(3, 8))): rng.randrange(1, 40) for _ in range(400)}
+    assert tox.outer_stems(many) == slow(many)
+    words = sorted({"".join(rng.choices("bcdfghklmnprst", k=8)) for _ in range(5000)})
+    lexicon = tox.FuzzyLexicon({w: 0 for w in words}, [])
+    assert all(lexicon.find(w) == (w, 0) for w in words[::37]) and lexicon.find("aaaaaaaa") is None
+
+
+def test_no_term_of_the_lexicon_is_left_out_for_its_number(spark, monkeypatch):
+    rng = random.Random(3)
+    bad = sorted({"".join(rng.choices("bcdfghklmnprstvz", k=7)) for _ in range(2600)})
+    rows = [(" ".join(bad), 1)] * 6 + [(cases.PROSE, 0)] * 6
+    words, stems = tox.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    held = set(words) | set(stems)
+    assert all(w in held or any(w.startswith(s) for s in stems) for w in bad) and len(held) > 2000
+
+
+def test_the_sample_of_pages_does_not_depend_on_partitions(spark):
+    pages = cases.given(spark, "pages")
+    twice = pages.unionByName(pages.limit(20))  # repeated rows
+    seen = []
+
+
+    def train(html):
+        seen.append(html)
+
+    before = main_text.train
+    main_text.train = train
+    try:
+        for df in (pages.repartition(1), pages.repartition(48), twice.repartition(7), pages.limit(0)):
+            main_text.fit_pages(df)
+    finally:
+        main_text.train = before
+    assert seen[0] == seen[1] == seen[2] and 0 < len(seen[0]) <= main_text.FIT_PAGES and seen[3] == []
