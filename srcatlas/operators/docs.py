@@ -278,16 +278,20 @@ def document_repositories(repositories: DataFrame, documents: DataFrame, chunks:
 
 # --- review rounds -------------------------------------------------------------------------
 
-def rubric_review(draft: Column) -> Column:
-    """Default reviewer: a deterministic rubric that penalises leftover
-    placeholders and instruction phrases and rewards a heading."""
+def rubric_score(draft: Column) -> Column:
+    """A deterministic rubric that penalises leftover placeholders and
+    instruction phrases and rewards a heading."""
     n_ph = F.size(text.placeholders(draft))
     instr = F.lit(0)
     for phrase, _ in K.PLACEHOLDER_ISSUES[1:3]:
         instr = instr + draft.contains(phrase).cast("int")
-    heading = F.exists(F.split(draft, "\n", -1), lambda x: x.startswith("#")).cast("int")
-    score = F.greatest(F.lit(0), F.lit(100) - n_ph * 15 - instr * 10 - (1 - heading) * 20)
-    return F.concat(F.lit("SCORE: "), score.cast("string"), F.lit("\n"), text.placeholder_report(draft))
+    heading = draft.rlike("(^|\n)#").cast("int")
+    return F.greatest(F.lit(0), F.lit(100) - n_ph * 15 - instr * 10 - (1 - heading) * 20)
+
+
+def rubric_review(draft: Column) -> Column:
+    """Default reviewer: the rubric's score and what is left to fill in."""
+    return F.concat(F.lit("SCORE: "), rubric_score(draft).cast("string"), F.lit("\n"), text.placeholder_report(draft))
 
 
 def revise(drafts: DataFrame, values: dict[str, Column] | None = None, target: int = K.TARGET_SCORE,
@@ -306,8 +310,8 @@ def revise(drafts: DataFrame, values: dict[str, Column] | None = None, target: i
     df = drafts.withColumn("_d", F.col("draft")).withColumn("_done", F.lit(False)) \
         .withColumn("_score", F.lit(K.DEFAULT_SCORE)).withColumn("_rounds", F.lit(0))
     for i in range(1, rounds + 1):
-        review = F.col(first_review) if (i == 1 and first_review) else rubric_review(F.col("_d"))
-        score = text.review_score(review)
+        # the rubric's own score needs no review text to be read out of
+        score = text.review_score(F.col(first_review)) if (i == 1 and first_review) else rubric_score(F.col("_d"))
         active = ~F.col("_done")
         df = df.withColumn("_score", F.when(active, score).otherwise(F.col("_score"))) \
             .withColumn("_rounds", F.when(active, F.lit(i)).otherwise(F.col("_rounds")))
