@@ -10,6 +10,7 @@ from ..operators import chunking, files as fo
 from ..operators.catalog import chunk_distribution, repo_totals, read_repo
 from ..sources import fixtures as fx
 from . import duck as D
+from . import duck_chunks
 from . import inputs as I
 from .registry import query
 
@@ -125,15 +126,15 @@ def chunks_dedup(spark, sf):
     return c.select("chunk_id", "doc_id", F.col("chunk_num").cast("bigint").alias("chunk_num"))
 
 
-@query("chunks_recursive")
+@query("chunks_recursive", lambda: duck_chunks.statement())
 def chunks_recursive(spark, sf):
-    """O55: separator-aware chunks (rows-only check; invariants in pytest)."""
+    """O55: separator-aware chunks (DuckDB: one recursive query over offsets)."""
     c = chunking.chunk(I.documents(spark, sf), mode="recursive")
     return c.select("chunk_id", "doc_id", "repo_id", F.col("chunk_num").cast("bigint").alias("chunk_num"),
                     F.col("size").cast("bigint").alias("size"))
 
 
-@query("chunks_buffered")
+@query("chunks_buffered", lambda: duck_chunks.statement(buffered=True))
 def chunks_buffered(spark, sf):
     """O57: buffered chunking of every document, whatever its size."""
     c = chunking.chunk(I.documents(spark, sf), mode="buffered")

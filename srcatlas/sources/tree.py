@@ -10,6 +10,10 @@ cluster. ``size_bytes`` bounds are pushed into the scan
 (no bytes are read for files outside them), and ``content=false`` gives a
 listing pass without bytes: filter the listing, then ``read_contents``.
 
+``list_tree`` lists in rounds instead: each round's folders are a DataFrame
+whose tasks list them and find the next round's, so the driver knows the roots
+only, however many folders or names there are. ``ingest_files`` uses it.
+
 Nothing is skipped unseen: a root that does not exist raises, and what cannot
 be listed or read is a row with ``error``. Roots must be mounted at the same
 path on the driver and all executors.
@@ -24,12 +28,14 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceReader, GreaterThan, GreaterThanOrEqual,
                                     InputPartition, LessThan, LessThanOrEqual)
 
 from .. import constants as K
+from ..session import scratch_table
 
 TREE_SCHEMA = ("repo string, repo_source string, rel_path string, size_bytes bigint, "
                "modified timestamp, content binary, error string")
@@ -170,6 +176,74 @@ def scan_tree(spark: SparkSession, roots: list[str], content: bool = True, shard
             .option("content", str(content).lower()).option("shards", str(shards)).load())
 
 
+LISTING = "repo string, repo_source string, rel_path string, size_bytes bigint, modified timestamp, error string, folder boolean"
+
+
+def _entries(root: str, rel: str) -> Iterator[tuple]:
+    """Rows of LISTING for what stands in one folder; links are not followed,
+    and what is neither a file nor a folder is left out."""
+    repo, top = os.path.basename(root), os.path.join(root, rel) if rel else root
+
+    def failed(path: str, e: OSError) -> tuple:
+        return repo, root, path, None, None, f"{type(e).__name__}: {e.strerror}", False
+
+    try:
+        with os.scandir(top) as entries:
+            for entry in entries:
+                path = f"{rel}/{entry.name}" if rel else entry.name
+                try:
+                    if entry.is_dir(follow_symlinks=False):
+                        yield repo, root, path, None, None, None, True
+                    elif entry.is_file(follow_symlinks=False):
+                        st = entry.stat(follow_symlinks=False)
+                        yield repo, root, path, st.st_size, datetime.fromtimestamp(st.st_mtime, tz=timezone.utc), None, False
+                except OSError as e:
+                    yield failed(path, e)
+    except OSError as e:
+        yield failed(rel or ".", e)
+
+
+def list_tree(spark: SparkSession, roots: list[str], batch_rows: int = 8192) -> DataFrame:
+    """Every regular file below ``roots`` without its bytes (the columns of
+    ``scan_tree`` but ``content``), listed in rounds: one for each level of
+    folders. A round's folders are dealt over the cluster; a task streams a
+    folder's names in batches of ``batch_rows``, so one of a million files is
+    no more than that in memory. What a round found is kept in the checkpoint
+    folder, so a lost executor does not list the levels above again."""
+    roots = [r.rstrip("/") or "/" for r in roots]
+    for root in roots:
+        if not os.path.isdir(root):
+            raise FileNotFoundError(f"no such folder: {root}")
+    names = [c.split()[0] for c in LISTING.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names)
+
+        for b in batches:
+            for root, rel in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for row in _entries(root, rel):
+                    rows.append(row)
+                    if len(rows) >= batch_rows:
+                        yield batch()
+                        rows = []
+        if rows:
+            yield batch()
+
+    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.timestamp("us", tz="UTC"), pa.string(), pa.bool_()]
+    frontier, found = spark.createDataFrame([(r, "") for r in dict.fromkeys(roots)], "repo_source string, rel_path string"), None
+    while True:
+        dealt = frontier.select("repo_source", "rel_path").repartition("repo_source", "rel_path")
+        listed, _ = scratch_table(dealt.mapInArrow(run, LISTING), "listing")
+        files = listed.where("not folder").drop("folder")
+        found = files if found is None else found.unionByName(files)
+        frontier = listed.where("folder")
+        if frontier.isEmpty():
+            return found
+
+
 def readable(listing: DataFrame, on_error: str = "raise") -> DataFrame:
     """The rows without ``error``. With ``on_error`` "raise" (the default) an
     unreadable item fails the job; "skip" leaves it out (see it in the listing)."""
@@ -221,7 +295,7 @@ def ingest_files(spark: SparkSession, roots: list[str], policy: str = "ingest",
     """Listing -> cheap path/size rules -> read bytes -> content sniff ->
     decoded ``content``. Returns the kept files with text content."""
     from ..operators import files as fo
-    listing = readable(scan_tree(spark, roots, content=False), on_error)
+    listing = readable(list_tree(spark, roots), on_error)
     cheap = listing.where(fo.policy_reason(listing, policy, strict_reference=strict_reference, max_bytes=max_bytes).isNull())
     with_bytes = read_contents(cheap).withColumn("head", head(F.col("content")))
     sniffed = fo.keep_files(with_bytes, policy, strict_reference=strict_reference, head_col="head", max_bytes=max_bytes)

@@ -124,3 +124,26 @@ def test_dedup_carries_no_content_through_the_aggregate(spark):
     out = dedup_chunks(df)
     assert sorted((r.chunk_hash, r.chunk_num) for r in out.collect()) == [("g", 1), ("h", 2)]
     assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sql_of_the_splitters_on_random_texts():
+    """The DuckDB statement and the splitter agree on every separator."""
+    import random
+
+    import duckdb
+    from srcatlas.operators.chunking import split_buffered, split_recursive
+    from srcatlas.plans import duck_chunks
+    rng = random.Random(11)
+    texts = ["".join(rng.choices(["ab", "c", " ", "\n", "\n\n", "\n\n\n", "longerword", "x" * 45, "é日"],
+                                 weights=[6, 5, 6, 2, 1, 1, 2, .5, 1], k=rng.randrange(1, 120))).strip() for _ in range(150)]
+    texts += ["x" * 130, "a", "\n\nab".strip(), "word " * 60]
+    texts = [t for t in texts if t]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE docs (doc_id VARCHAR, repo_id VARCHAR, content VARCHAR)")
+    con.executemany("INSERT INTO docs VALUES (?, 'r', ?)", [(str(i), t) for i, t in enumerate(texts)])
+    for buffered, split in ((False, split_recursive), (True, split_buffered)):
+        for size, overlap in ((40, 8), (25, 0), (60, 30)):
+            ctes = ", ".join(f"{n} AS ({body})" for n, body in duck_chunks.chunks_sql(buffered, size, overlap))
+            got = con.execute(f"WITH RECURSIVE {ctes} SELECT doc_id, chunk_num, content FROM split_chunks").fetchall()
+            want = [(str(i), n, c) for i, t in enumerate(texts) for n, c in enumerate(split(t, size, overlap))]
+            assert sorted(got) == sorted(want)

@@ -136,3 +136,37 @@ def test_digest_of_bytes_sees_line_ends(spark):
     assert one.n_files == two.n_files == 2 and one.content_hash != two.content_hash
     assert cat.repo_digest(rows.repartition(7)).first().content_hash == one.content_hash
     assert "collect_list" not in cat.repo_digest(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_listing_in_rounds_equals_the_scan(spark, repo, tmp_path):
+    other = tmp_path / "other"
+    for d in ("a/b/c/d/e", "a/b/x", "empty"):
+        (other / d).mkdir(parents=True)
+    for f in ("top.txt", "a/b/c/d/e/deep.txt", "a/b/x/[odd] name.txt"):
+        (other / f).write_text("some text")
+    (other / "link").symlink_to(other / "a")
+    (other / "link.txt").symlink_to(other / "top.txt")
+    roots = [repo, str(other) + "/", repo]
+    key = lambda df: sorted((r.repo, r.repo_source, r.rel_path, r.size_bytes, r.modified, r.error) for r in df.collect())
+    assert key(tree.list_tree(spark, roots)) == key(tree.scan_tree(spark, [repo, str(other)], content=False))
+    with pytest.raises(FileNotFoundError):
+        tree.list_tree(spark, [str(tmp_path / "none")])
+    (tmp_path / "bare").mkdir()
+    assert tree.list_tree(spark, [str(tmp_path / "bare")]).count() == 0
+
+
+def test_a_flat_folder_is_streamed(spark, tmp_path):
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for i in range(20_000):
+        (flat / f"f{i}.txt").touch()
+    assert tree.list_tree(spark, [str(flat)], batch_rows=500).count() == 20_000
+
+
+def test_what_cannot_be_listed_is_a_row(spark, tmp_path, monkeypatch):
+    rows = list(tree._entries(str(tmp_path), "gone"))
+    assert len(rows) == 1 and rows[0][2] == "gone" and "FileNotFoundError" in rows[0][5] and not rows[0][6]
+    lost = spark.createDataFrame(rows, tree.LISTING).drop("folder")
+    assert tree.readable(lost, "skip").count() == 0
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        tree.readable(lost).collect()
