@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import paths
 from . import files as fo
-from ..session import scratch_table
 from .joins import pruned_semi_join, salted_join
 
 
@@ -162,17 +161,20 @@ def repos_by_recency(repositories: DataFrame) -> DataFrame:
     """(position, id, source, processed_at) of every repository, the latest
     processed first, ties by id.
 
-    Positions come in two steps, so no task sorts the whole table: rows are
-    ranged by time, each range is counted, and a row's position is the count
-    of the ranges before its own and its place within it."""
-    by = [F.desc_nulls_last("processed_at"), F.asc("id")]
-    ranged = repositories.select("id", "source", "processed_at").repartitionByRange(*by).withColumn("_r", F.spark_partition_id())
-    fixed, _ = scratch_table(ranged, "recency")
-    counts = fixed.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_r").orderBy(*by))
-    return fixed.withColumn("_at", place).join(before, "_r").select(
-        (F.col("_before") + F.col("_at")).cast("bigint").alias("position"), "id", "source", "processed_at")
+    No task sorts the whole table: rows are counted by day, within a day by
+    time and beginning of the id, and ordered within those only; a position is
+    the sum of the counts before."""
+    first = F.to_timestamp(F.lit("0001-01-01 00:00:00"))  # without a time: after all others
+    r = repositories.select("id", "source", "processed_at").withColumn("_t", F.coalesce("processed_at", first)).withColumn(
+        "_day", F.to_date("_t")).withColumn("_begin", F.substring("id", 1, len("repo_") + 2))
+    bucket = ["_day", "_t", "_begin"]
+    n = F.count(F.lit(1)).alias("_n")
+    earlier = lambda w: F.sum("_n").over(w) - F.col("_n")
+    in_day = r.groupBy(*bucket).agg(n).select(*bucket, earlier(Window.partitionBy("_day").orderBy(F.desc("_t"), "_begin")).alias("_in_day"))
+    days = r.groupBy("_day").agg(n).select("_day", earlier(Window.orderBy(F.desc("_day"))).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*bucket).orderBy("id"))
+    return r.withColumn("_at", place).join(in_day, bucket).join(days, "_day").select(
+        (F.col("_before") + F.col("_in_day") + F.col("_at")).cast("bigint").alias("position"), "id", "source", "processed_at")
 
 
 def _repo_id_str(source: str) -> str:
