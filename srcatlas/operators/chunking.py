@@ -5,8 +5,9 @@
   the next; linear in the text's length, no Python, no shuffle.
 * ``recursive``: separator-aware splitting (paragraph, line, word,
   character), greedy merge up to ``size`` with up to ``overlap`` characters
-  carried over. Sequential within one document, so it runs as
-  ``mapInPandas`` over document batches: parallel across documents.
+  carried over. Documents are shared out over tasks (``mapInPandas``); a
+  document of more than four blocks of text is itself cut over many tasks
+  (``long_texts``), with the same chunks.
 * ``buffered``: line-aligned buffers of at least ``2 * size`` characters,
   each split recursively, no overlap across buffers, running chunk numbers.
 
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from . import long_texts
 
 CHUNK_COLUMNS = ["chunk_id", "doc_id", "repo_id", "chunk_hash", "content", "size",
                  "chunk_num", "source_file", "repo"]
@@ -147,7 +149,8 @@ def split_recursive(text: str, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_
 
     for a, b in zip(cuts, cuts[1:]):
         if b - a < size:
-            run[:] = run or [a]
+            if not run:
+                run.append(a)
             run.append(b)
             continue
         close()
@@ -199,15 +202,21 @@ def _chunker(size: int, overlap: int, split):
 
 
 def chunk(documents: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP,
-          mode: str = "fixed") -> DataFrame:
-    """documents -> chunks. ``mode``: fixed | recursive | buffered."""
+          mode: str = "fixed", block_chars: int = long_texts.BLOCK_CHARS) -> DataFrame:
+    """documents -> chunks. ``mode``: fixed | recursive | buffered. In
+    recursive mode a document of more than four times ``block_chars``
+    characters is cut by blocks, so it must be the only one of its doc_id."""
     if mode == "fixed":
         return chunk_fixed(documents, size, overlap)
     if mode not in ("recursive", "buffered"):
         raise ValueError(f"unknown chunk mode {mode!r}")
     src = documents.select("doc_id", "repo_id", "repo", "file_path", "content")
-    split = split_recursive if mode == "recursive" else split_buffered
-    return _finish(src.mapInPandas(_chunker(size, overlap, split), _RAW_SCHEMA))
+    if mode == "buffered" or not long_texts.divisible(size, overlap, K.RECURSIVE_SEPARATORS, block_chars):
+        split = split_recursive if mode == "recursive" else split_buffered
+        return _finish(src.mapInPandas(_chunker(size, overlap, split), _RAW_SCHEMA))
+    is_long = F.length("content") > 4 * block_chars
+    short = src.where(~is_long).mapInPandas(_chunker(size, overlap, split_recursive), _RAW_SCHEMA)
+    return _finish(short.unionByName(long_texts.split_long(src.where(is_long), size, overlap, K.RECURSIVE_SEPARATORS, block_chars)))
 
 
 def dedup_chunks(chunks: DataFrame) -> DataFrame:

@@ -147,3 +147,59 @@ def test_sql_of_the_splitters_on_random_texts():
             got = con.execute(f"WITH RECURSIVE {ctes} SELECT doc_id, chunk_num, content FROM split_chunks").fetchall()
             want = [(str(i), n, c) for i, t in enumerate(texts) for n, c in enumerate(split(t, size, overlap))]
             assert sorted(got) == sorted(want)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "c", " ", "\n", "\n\n", "\n\n\n", "longerword", "x" * 45, "é日", "\U0001f600", "\u3000", "\x1c"]),
+                min_size=1, max_size=300).map("".join),
+       st.sampled_from([(5, 0), (25, 6), (40, 39), (60, 15)]), st.integers(min_value=0, max_value=200),
+       st.sampled_from([["\n\n", "\n", " ", ""], ["aba", "c", ""], ["\n", ""]]))
+def test_blocks_of_a_text_give_the_chunks_of_the_whole(text, sizes, more, separators):
+    import pandas as pd
+    from srcatlas.operators import long_texts as lt
+    size, overlap = sizes
+    blocks = list(lt.text_blocks(text, size, separators, size + more))
+    windows = [lt.Windows(part, lo, hi, len(text), last, size, overlap, separators) for _, lo, hi, last, part in blocks]
+    tables = pd.DataFrame([("d", b, lo, hi, *w.table(size)) for (b, lo, hi, _, _), w in zip(blocks, windows)],
+                          columns=["doc_id", "block", "lo", "hi", "entry", "exit", "chunks"])
+    got = []
+    for r in lt.follow(tables.sample(frac=1, random_state=3)).itertuples():
+        assert r.first_num == len(got)
+        got += windows[r.block].chunks(r.start)
+    assert got == split_recursive(text, size, overlap, separators)
+
+
+def test_long_documents_are_cut_by_many_tasks(spark):
+    import random
+
+    import pytest
+    from pyspark.sql import functions as F
+    from srcatlas.operators import long_texts as lt
+    from srcatlas.operators.chunking import chunk
+    rng = random.Random(5)
+    words = ["word ", "line\n", "end.\n\n", "x" * 300, " ", "\n\n\n", "日本 "]
+    texts = {"long": "".join(rng.choices(words, k=20_000)), "chars": "x" * 90_000, "blank": " \n" * 40_000, "lines": "\n" * 70_001 + "a",
+             "short": "some words " * 40, "none": None, "empty": ""}
+    df = spark.createDataFrame([(k, "r", "src", k + ".md", v) for k, v in texts.items()],
+                               "doc_id string, repo_id string, repo string, file_path string, content string")
+    got = {}
+    for r in chunk(df, mode="recursive", block_chars=8192).collect():
+        got.setdefault(r.doc_id, []).append((r.chunk_num, r.content))
+    want = {k: list(enumerate(split_recursive(v))) for k, v in texts.items() if v}
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    # the chunks of one document come from several partitions
+    one = lt.split_long(df.where("doc_id = 'long'"), 2000, 200, ["\n\n", "\n", " ", ""], 8192)
+    assert one.select(F.spark_partition_id().alias("p")).distinct().count() > 2
+    with pytest.raises(ValueError):
+        lt.split_long(df, 2000, 200, ["\n\n", "\n"], 8192)
+
+
+def test_recursive_cost_in_proportion():
+    import time
+
+    def cost(n):
+        t0 = time.perf_counter()
+        split_recursive("word " * n)
+        return time.perf_counter() - t0
+
+    assert cost(80_000) < 8 * cost(20_000) + .5
