@@ -290,7 +290,9 @@ def delete_repos(tables: dict[str, DataFrame], repo_ids: DataFrame) -> tuple[dic
         col = "id" if name == "repositories" else "repo_id"
         k = keys.withColumnRenamed("repo_id", col)
         kept[name] = salted_join(t, k, [col], "left_anti", _row_key(t)).select(*t.columns)
-        n = salted_join(t, k, [col], "left_semi", _row_key(t)).agg(F.count(F.lit(1)).alias("n_deleted")) \
+        # counted by id before the join: a repository moves one row for each task
+        n = t.groupBy(col).agg(F.count(F.lit(1)).alias("_n")).join(k, col, "left_semi") \
+            .agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("n_deleted")) \
             .select(F.lit(name).alias("table_name"), "n_deleted")
         counts = n if counts is None else counts.unionByName(n)
     return kept, counts

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as tx
-from .joins import salted_join
 
 #: Parts that a term's rows, and a text's copies, are dealt to in joins.
 TERM_PARTS, SALTS = 256, 8
@@ -127,11 +126,14 @@ def memoize_by_text(docs: DataFrame, fn: Callable[[DataFrame], DataFrame], id_co
     every copy the result. Copies collapse map-side before the shuffle."""
     h = F.md5(F.col(text_col))
     ids = docs.select(F.col(id_col).alias("doc_id"), h.alias("text_hash"))
-    # the smallest id stands for its copies: only ids are aggregated, and the
-    # text comes from the one row that is kept
-    first = ids.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"))
+    # a text may be a third of all rows: its copies are dealt to SALTS parts by id
+    dealt = ids.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    # the smallest id stands for its copies: only ids and numbers of parts are
+    # aggregated, and the text comes from the one row that is kept
+    seen = dealt.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.collect_set("_part").alias("_parts"))
     uniq = docs.select(F.col(id_col).alias("doc_id"), h.alias("text_hash"), F.col(text_col).alias("text")).join(
-        first, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+        seen.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
     res = fn(uniq.select(F.col("text_hash").alias("doc_id"), "text")).withColumnRenamed("doc_id", "text_hash")
-    # a text may be a third of all rows: its copies are dealt to SALTS parts
-    return salted_join(ids, res, ["text_hash"], "inner", "doc_id", SALTS).drop("text_hash")
+    # a result goes to the parts that hold a copy, one for most texts
+    held = res.join(seen.select("text_hash", F.explode("_parts").alias("_part")), "text_hash")
+    return dealt.join(held, ["text_hash", "_part"]).drop("text_hash", "_part")

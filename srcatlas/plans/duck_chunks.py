@@ -68,8 +68,13 @@ def chunks_sql(buffered: bool = False, size: int = K.CHUNK_SIZE, overlap: int =
     ]
 
 
+def ctes(buffered: bool = False) -> str:
+    """From the files to ``docs`` and ``split_chunks``, ready for a SELECT."""
+    with_docs = D.with_ctes(["fx_files"], [("docs", D.docs_select("fx_files")), *chunks_sql(buffered)])
+    return with_docs.replace("WITH", "WITH RECURSIVE", 1)
+
+
 def statement(buffered: bool = False) -> str:
-    ctes = D.with_ctes(["fx_files"], [("docs", D.docs_select("fx_files")), *chunks_sql(buffered)])
     repo = "" if buffered else "repo_id, "
-    return ctes.replace("WITH", "WITH RECURSIVE", 1) + f"""
+    return ctes(buffered) + f"""
 SELECT doc_id || ':' || md5(content) AS chunk_id, doc_id, {repo}chunk_num, CAST(length(content) AS BIGINT) AS size FROM split_chunks"""

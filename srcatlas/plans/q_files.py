@@ -142,6 +142,37 @@ def chunks_buffered(spark, sf):
                     F.col("size").cast("bigint").alias("size"))
 
 
+# --- O55 followed by O58, O81, O84: the tables as separator-aware chunks fill them ----------
+
+@query("chunks_recursive_dedup", lambda: duck_chunks.ctes() + """
+SELECT doc_id || ':' || md5(content) AS chunk_id, doc_id, max(chunk_num) AS chunk_num FROM split_chunks GROUP BY 1, 2""")
+def chunks_recursive_dedup(spark, sf):
+    """The chunks that stay when equal text of a document is stored once."""
+    c = chunking.dedup_chunks(chunking.chunk(I.documents(spark, sf), mode="recursive"))
+    return c.select("chunk_id", "doc_id", F.col("chunk_num").cast("bigint").alias("chunk_num"))
+
+
+@query("repo_totals_recursive", lambda: duck_chunks.ctes() + """
+SELECT d.repo_id, d.total_files, coalesce(c.total_chunks, 0) AS total_chunks, coalesce(c.chunks_stored, 0) AS chunks_stored
+FROM (SELECT repo_id, count(*) AS total_files FROM docs GROUP BY 1) d
+LEFT JOIN (SELECT repo_id, count(*) AS total_chunks, count(DISTINCT doc_id || md5(content)) AS chunks_stored FROM split_chunks GROUP BY 1) c
+  ON d.repo_id = c.repo_id""")
+def repo_totals_recursive(spark, sf):
+    d = I.documents(spark, sf)
+    return repo_totals(d, chunking.chunk(d, mode="recursive"))
+
+
+@query("chunk_distribution_recursive", lambda: duck_chunks.ctes() + f"""
+SELECT repo_id, source_file, n_chunks, rank FROM (
+  SELECT repo_id, source_file, n_chunks,
+    CAST(row_number() OVER (PARTITION BY repo_id ORDER BY n_chunks DESC, source_file) AS BIGINT) AS rank
+  FROM (SELECT d.repo_id, d.file_path AS source_file, count(*) AS n_chunks FROM split_chunks JOIN docs d USING (doc_id) GROUP BY 1, 2))
+WHERE rank <= {K.CHUNK_DISTRIBUTION_TOP}""")
+def chunk_distribution_recursive(spark, sf):
+    c = chunking.chunk(I.documents(spark, sf), mode="recursive")
+    return chunk_distribution(c, by="source_file", n=K.CHUNK_DISTRIBUTION_TOP)
+
+
 # --- O81, O84 ---------------------------------------------------------------------------
 
 @query("repo_totals", lambda: D.std_ctes() + """
