@@ -204,19 +204,23 @@ def _chunker(size: int, overlap: int, split):
 def chunk(documents: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP,
           mode: str = "fixed", block_chars: int = long_texts.BLOCK_CHARS) -> DataFrame:
     """documents -> chunks. ``mode``: fixed | recursive | buffered. In
-    recursive mode a document of more than four times ``block_chars``
+    the latter two a document of more than four times ``block_chars``
     characters is cut by blocks, so it must be the only one of its doc_id."""
     if mode == "fixed":
         return chunk_fixed(documents, size, overlap)
     if mode not in ("recursive", "buffered"):
         raise ValueError(f"unknown chunk mode {mode!r}")
     src = documents.select("doc_id", "repo_id", "repo", "file_path", "content")
-    if mode == "buffered" or not long_texts.divisible(size, overlap, K.RECURSIVE_SEPARATORS, block_chars):
-        split = split_recursive if mode == "recursive" else split_buffered
-        return _finish(src.mapInPandas(_chunker(size, overlap, split), _RAW_SCHEMA))
+    split = split_recursive if mode == "recursive" else split_buffered
+    whole = lambda d: d.mapInPandas(_chunker(size, overlap, split), _RAW_SCHEMA)
+    if mode == "recursive" and not long_texts.divisible(size, overlap, K.RECURSIVE_SEPARATORS, block_chars):
+        return _finish(whole(src))
     is_long = F.length("content") > 4 * block_chars
-    short = src.where(~is_long).mapInPandas(_chunker(size, overlap, split_recursive), _RAW_SCHEMA)
-    return _finish(short.unionByName(long_texts.split_long(src.where(is_long), size, overlap, K.RECURSIVE_SEPARATORS, block_chars)))
+    if mode == "recursive":
+        by_blocks = long_texts.split_long(src.where(is_long), size, overlap, K.RECURSIVE_SEPARATORS, block_chars)
+    else:
+        by_blocks = long_texts.split_long_buffered(src.where(is_long), size, overlap, split_buffered, block_chars)
+    return _finish(whole(src.where(~is_long)).unionByName(by_blocks))
 
 
 def dedup_chunks(chunks: DataFrame) -> DataFrame:

@@ -10,19 +10,26 @@ PARTS = 64
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: list[str], how: str, deal_by: str | list[str],
-                parts: int = PARTS) -> DataFrame:
+                parts: int = PARTS, wide: bool = False) -> DataFrame:
     """``big`` joined with ``small`` on ``key``; the rows of a key are dealt
     to ``parts`` parts by a hash of ``deal_by`` (columns of ``big``) and each
     part gets the key's rows of ``small``. So one key that holds a third of
     all rows is the work of many tasks, whatever shape the plan has.
 
+    With ``wide`` the rows of ``small`` are copied only to the parts that hold
+    a row of their key (found from the keys alone, in one more pass over
+    them): for sides whose rows are too large to be copied for nothing.
+
     ``how`` is a join that keeps each row of ``big`` at its own part: inner,
     left, left_semi or left_anti."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot deal out a {how} join")
     cols = [deal_by] if isinstance(deal_by, str) else deal_by
     dealt = big.withColumn("_part", F.pmod(F.xxhash64(*cols), F.lit(parts)).cast("int"))
-    copies = small.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    if wide:
+        copies = small.join(dealt.select(*key, "_part").distinct(), key)
+    else:
+        copies = small.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
     return dealt.join(copies, [*key, "_part"], how).drop("_part")
 
 

@@ -1,6 +1,6 @@
-"""Recursive chunking of long documents by many tasks.
+"""Separator-aware chunking of long documents by many tasks.
 
-The result is that of ``chunking.split_recursive``. Three facts make it
+``split_long`` gives the chunks of ``chunking.split_recursive``. Three facts make it
 divisible:
 
 * Where pieces begin depends on the nearest separators only. A block of the
@@ -15,15 +15,21 @@ divisible:
 
 The reading task only looks for separators and copies the text into blocks;
 a block carries ``2 * size`` characters and a separator beyond its end.
+
+``split_long_buffered`` gives those of ``chunking.split_buffered``. Where a
+buffer ends depends on where it began and on the line end after it, so the
+reading task finds the buffers by one search each and sends whole ones to
+blocks; blocks are split by themselves, counted, and numbered by the sum of the
+counts before. One buffer is never divided: a line is one task's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Characters of a block; documents of more than four are cut by blocks.
@@ -35,6 +41,7 @@ _BLOCKS = ("doc_id string, repo_id string, repo string, source_file string, bloc
            "last array<long>, text string")
 _TABLES = "doc_id string, block int, lo long, hi long, entry array<long>, exit array<long>, chunks array<long>"
 _ENTRIES = "doc_id string, block int, start long, first_num long"
+_COLUMNS = ["doc_id", "repo_id", "repo", "file_path", "content"]
 _RAW = "doc_id string, repo_id string, repo string, source_file string, chunk_num int, content string"
 
 
@@ -182,15 +189,56 @@ def _writer(size: int, overlap: int, separators: Sequence[str]):
     return run
 
 
+def _dealt(blocks: DataFrame) -> DataFrame:
+    """Blocks shared out over a stated number of tasks: else Spark merges tasks
+    by bytes, and these have more to do than bytes to read."""
+    return blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), *_KEYS)
+
+
 def split_long(documents: DataFrame, size: int, overlap: int, separators: Sequence[str],
                block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, repo_id, repo, source_file, chunk_num, content) of documents
     (doc_id, repo_id, repo, file_path, content); ``doc_id`` is their key."""
     if not divisible(size, overlap, separators, block_chars):
         raise ValueError("these sizes or separators do not allow cutting by blocks")
-    cut = documents.select("doc_id", "repo_id", "repo", "file_path", "content").mapInPandas(_cutter(size, separators, block_chars), _BLOCKS)
-    # a stated number, as else tasks are merged by bytes, and these have more to do than bytes to read
-    blocks = cut.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), *_KEYS)
+    blocks = _dealt(documents.select(*_COLUMNS).mapInPandas(_cutter(size, separators, block_chars), _BLOCKS))
     tables = blocks.select("doc_id", "block", "lo", "hi", "length", "last", "text").mapInPandas(_tables(size, overlap, separators), _TABLES)
     entries = tables.groupBy("doc_id").applyInPandas(follow, _ENTRIES)
     return blocks.join(entries.hint("shuffle_hash"), _KEYS).mapInPandas(_writer(size, overlap, separators), _RAW)
+
+
+def buffer_blocks(text: str, size: int, block_chars: int = BLOCK_CHARS) -> Iterator[str]:
+    """Runs of whole buffers of at least ``block_chars`` characters (the last
+    may be shorter)."""
+    lo = hi = 0
+    while lo < len(text):
+        while hi < len(text) and hi - lo < block_chars:
+            hi = text.find("\n", hi + 2 * size - 1) + 1 or len(text)
+        yield text[lo:hi]
+        lo = hi
+
+
+def split_long_buffered(documents: DataFrame, size: int, overlap: int, split: Callable[[str, int, int], list[str]],
+                        block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """As ``split_long``, by ``split`` (``chunking.split_buffered``)."""
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for *of, text in pdf.itertuples(index=False):
+                for block, part in enumerate(buffer_blocks(text, size, block_chars)):
+                    yield pd.DataFrame([(*of, block, part)], columns=["doc_id", "repo_id", "repo", "source_file", "block", "text"])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[_KEYS].assign(n=[len(split(t, size, overlap)) for t in pdf["text"]])
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                yield pd.DataFrame([(r.doc_id, r.repo_id, r.repo, r.source_file, r.first_num + i, c) for i, c in enumerate(split(r.text, size, overlap))],
+                                   columns=["doc_id", "repo_id", "repo", "source_file", "chunk_num", "content"])
+
+    blocks = _dealt(documents.select(*_COLUMNS).mapInPandas(cut, "doc_id string, repo_id string, repo string, source_file string, block int, text string"))
+    counts = blocks.select(*_KEYS, "text").mapInPandas(count, "doc_id string, block int, n long")
+    before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("block")) - F.col("n")
+    firsts = counts.select(*_KEYS, before.alias("first_num"))
+    return blocks.join(firsts.hint("shuffle_hash"), _KEYS).mapInPandas(write, _RAW)

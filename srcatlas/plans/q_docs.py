@@ -315,5 +315,5 @@ def revision_prompts(spark, sf):
     from ..functions import paths
     drafts = fx.view(spark, sf, "fx_drafts").join(fx.view(spark, sf, "fx_reviews"), "doc_id")
     drafts = drafts.withColumn("repo_id", paths.repo_id(F.concat(F.lit("/data/"), F.col("repo")))).drop("repo")
-    d = salted_join(drafts, report(spark, sf), ["repo_id"], "inner", "doc_id")
+    d = salted_join(drafts, report(spark, sf), ["repo_id"], "inner", "doc_id", wide=True)
     return dc.revision_prompts(d, key="doc_id")

@@ -187,6 +187,11 @@ def test_long_documents_are_cut_by_many_tasks(spark):
         got.setdefault(r.doc_id, []).append((r.chunk_num, r.content))
     want = {k: list(enumerate(split_recursive(v))) for k, v in texts.items() if v}
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    got = {}
+    for r in chunk(df, mode="buffered", block_chars=8192).collect():
+        got.setdefault(r.doc_id, []).append((r.chunk_num, r.content))
+    want = {k: list(enumerate(split_buffered(v))) for k, v in texts.items() if v}
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
     # the chunks of one document come from several partitions
     one = lt.split_long(df.where("doc_id = 'long'"), 2000, 200, ["\n\n", "\n", " ", ""], 8192)
     assert one.select(F.spark_partition_id().alias("p")).distinct().count() > 2
@@ -203,3 +208,22 @@ def test_recursive_cost_in_proportion():
         return time.perf_counter() - t0
 
     assert cost(80_000) < 8 * cost(20_000) + .5
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["ab ", "word", "\n", "\n\n", "x" * 70, "é"]), min_size=1, max_size=300).map("".join),
+       st.sampled_from([5, 20, 60]), st.integers(min_value=1, max_value=500))
+def test_blocks_of_buffers_give_the_chunks_of_the_whole(text, size, block_chars):
+    from srcatlas.operators.long_texts import buffer_blocks
+    parts = list(buffer_blocks(text, size, block_chars))
+    assert "".join(parts) == text and all(len(p) >= block_chars for p in parts[:-1])
+    assert [c for p in parts for c in split_buffered(p, size, size // 4)] == split_buffered(text, size, size // 4)
+
+
+def test_wide_side_is_copied_to_the_parts_that_hold_a_row(spark):
+    from srcatlas.operators.joins import salted_join
+    big = spark.createDataFrame([(k, i) for k, n in (("a", 40), ("b", 1), ("c", 3), (None, 2)) for i in range(n)], "k string, i int")
+    small = spark.createDataFrame([("a", "x"), ("b", "y"), ("d", "z")], "k string, v string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        rows = [sorted(map(str, salted_join(big, small, ["k"], how, "i", wide=w).collect())) for w in (False, True)]
+        assert rows[0] == rows[1] == sorted(map(str, big.join(small, "k", how).collect()))
