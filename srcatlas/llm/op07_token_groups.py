@@ -22,6 +22,12 @@ Steps (links are exact; the first steps only save work):
    is each group of several components by itself: all overlaps of a block are
    one product of membership matrices.
 5. Components of both kinds of links are the result.
+6. Links lie within components, so ``linked_documents`` counts them there.
+   A component that fits into one group is one block. Of a larger one, each
+   group is stored once, as its union and its documents' places in it; two
+   groups of like sizes meet in a block, the union bounds each query, and the
+   rest is one matrix product. Classes carry their number of documents, so
+   copies are never compared.
 
 Copies never meet pairwise: a hot group of copies is one class, one of near
 copies a few groups of one component.
@@ -29,8 +35,9 @@ copies a few groups of one component.
 Defined results: a null text, or one without words, has no shingles and links
 with nothing; fewer words than a shingle make one shingle; repeated rows are
 one document with equal sets; rows that share a ``doc_id`` are one document
-and share its links; a null ``doc_id`` links with nothing and has a null
-component; ties are broken by the smaller ``doc_id``; an empty table gives an
+and share its component, and each counts its own text's links, with every
+other such row; a null ``doc_id`` links with nothing and has a null component
+and no links; ties are broken by the smaller ``doc_id``; an empty table gives an
 empty result; only ``doc_id`` and ``text`` are read.
 """
 
@@ -52,6 +59,9 @@ SHINGLE_WORDS = 4
 PERCENT = 85
 #: Most documents of a group.
 GROUP = 64
+#: Room of a group of which links are counted, and what a document takes of it
+#: besides its shingles: 512 documents or a million shingles.
+LINK_ROOM, LINK_ROW = 1 << 20, 1 << 11
 #: Buckets of the rarity counts: the only thing broadcast, 4 bytes each.
 BUCKETS = 1 << 22
 #: Min-hash keys of a document (each of two hashes) that propose stars.
@@ -131,8 +141,9 @@ def signatures(docs: DataFrame) -> DataFrame:
             n, f1, f2, bands, prefix = [], [], [], [], []
             for s in shingle_sets(b.column(1)):
                 n.append(len(s))
-                f1.append(_long(mix64(s).sum(keepdims=True))[0] if len(s) else 0)
-                f2.append(_long(np.bitwise_xor.reduce(mix64(s ^ _SEEDS[0]), keepdims=True))[0] if len(s) else 0)
+                one, two = _fingerprint(s)
+                f1.append(one)
+                f2.append(two)
                 if not len(s):
                     bands.append([])
                     prefix.append([])
@@ -150,6 +161,13 @@ def _long(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def _fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit numbers that name a set."""
+    if not len(s):
+        return 0, 0
+    return int(_long(mix64(s).sum(keepdims=True))[0]), int(_long(np.bitwise_xor.reduce(mix64(s ^ _SEEDS[0]), keepdims=True))[0])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component: its smallest node) for every node of ``edges``
     (a, b): smallest neighbour and pointer jumping by turns until nothing
@@ -205,9 +223,7 @@ def block_links(sets: list[np.ndarray], sides: np.ndarray, ids: list[int], units
     # the union of the group bounds each query
     union = np.unique(np.concatenate([sets[i] for i in g]))
     within = np.array([np.isin(sets[i], union, assume_unique=True, kind="sort").sum() for i in q])
-    smallest = np.maximum(ng.min(), -(-percent * nq // 100))
-    least = -(-percent * (nq + smallest) // (100 + percent))
-    reach = np.flatnonzero(within >= least)
+    reach = np.flatnonzero(within >= _least(nq, ng, percent))
     if not len(reach):
         return []
     q, nq = [q[i] for i in reach], nq[reach]
@@ -229,6 +245,12 @@ def block_links(sets: list[np.ndarray], sides: np.ndarray, ids: list[int], units
     return out
 
 
+def _least(nq: np.ndarray, ng: np.ndarray, percent: int) -> np.ndarray:
+    """Overlap that each query needs with the smallest it may link with."""
+    smallest = np.maximum(ng.min(), -(-percent * nq // 100))
+    return -(-percent * (nq + smallest) // (100 + percent))
+
+
 def overlaps(rows: list[np.ndarray], cols: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
     """Sizes of all intersections, as products of membership matrices over
     slices of the shingles that both sides have."""
@@ -349,12 +371,13 @@ def _shared_ids(known: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
 
 
-def linked_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+def _linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every row's set (doc_id, n, f1, f2), and every class of equal sets
+    (n, f1, f2, rep, copies, component_id)."""
     signed = signatures(docs)
     sets = signed.select("doc_id", "n", "f1", "f2")
     known = sets.where("n > 0 and doc_id is not null")
-    classes = stored(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = stored(known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = stored(signed.where("n > 0").select("doc_id", "n", "f1", "f2", "bands").join(
         classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "n", "f1", "f2"]), "reps")
     buckets = _buckets(reps)
@@ -363,12 +386,140 @@ def linked_components(docs: DataFrame) -> DataFrame:
     links = _opened(_group_blocks(groups, _candidate_groups(signed, groups)), docs)
     comp = components(edges.unionByName(links))
     placed = stored(classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "n", "f1", "f2", F.coalesce("component", "rep").alias("component_id")), "class-components")
-    return sets.join(placed, ["n", "f1", "f2"], "left").select(
+        "n", "f1", "f2", "rep", "copies", F.coalesce("component", "rep").alias("component_id")), "class-components")
+    return sets, placed
+
+
+#: Documents of a class: its key and how many they are.
+CLASS = ("n", "f1", "f2", "copies")
+PACKED = "component_id long, code long, tokens binary, places binary, n binary, f1 binary, f2 binary, copies binary"
+COUNTED = "n long, f1 long, f2 long, others long"
+
+
+def _class_rows(table: pa.Table) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
+    """The set of each class of a group of (text, n, f1, f2, copies) rows,
+    once, and its key: a row whose text is another class's is left out."""
+    keys = {c: table.column(c).to_numpy() for c in CLASS}
+    sets, rows, seen = [], [], set()
+    for i, s in enumerate(shingle_sets(table.column("text"))):
+        key = (len(s), *_fingerprint(s))
+        if key == (keys["n"][i], keys["f1"][i], keys["f2"][i]) and key not in seen:
+            seen.add(key)
+            sets.append(s)
+            rows.append(i)
+    return sets, {c: v[rows] for c, v in keys.items()}
+
+
+def linked_with(q: list[np.ndarray], q_copies: np.ndarray, g: list[np.ndarray], g_copies: np.ndarray,
+                same: bool = False, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set of ``q`` the number of documents of ``g`` that it links
+    with, and of each of ``g`` those of ``q``; with ``same``, ``g`` is ``q``
+    and no set links with itself."""
+    to_q, to_g = np.zeros(len(q), np.int64), np.zeros(len(g), np.int64)
+    if not q or not g:
+        return to_q, to_g
+    nq, ng = (np.array([len(s) for s in x]) for x in (q, g))
+    if same:
+        reach = np.arange(len(q))
+    else:
+        union = np.unique(np.concatenate(g))
+        within = np.array([np.isin(s, union, assume_unique=True, kind="sort").sum() for s in q])
+        reach = np.flatnonzero(within >= _least(nq, ng, percent))
+    if len(reach):
+        both = overlaps([q[i] for i in reach], g)
+        linked = 100 * both >= percent * (nq[reach, None] + ng[None, :] - both)
+        if same:
+            np.fill_diagonal(linked, False)
+        to_q[reach] = linked @ g_copies
+        to_g = q_copies[reach] @ linked
+    return to_q, to_g
+
+
+def _counted(keys: dict[str, np.ndarray], others: np.ndarray) -> pa.Table:
+    return pa.table({**{c: pa.array(keys[c], pa.int64()) for c in CLASS[:3]}, "others": pa.array(others, pa.int64())})
+
+
+def _count_whole(table: pa.Table) -> pa.Table:
+    sets, keys = _class_rows(table)
+    return _counted(keys, linked_with(sets, keys["copies"], sets, keys["copies"], same=True)[0])
+
+
+def _pack_group(table: pa.Table) -> pa.Table:
+    """One row for a group: its union and each document's places in it."""
+    sets, keys = _class_rows(table)
+    tokens = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+    places = np.searchsorted(tokens, np.concatenate(sets)) if sets else np.zeros(0, int)
+    binary = {"tokens": pack(tokens.astype("<u8")), "places": pack(places.astype("<u4")),
+              **{c: pack(keys[c].astype("<i8")) for c in CLASS}}
+    row = {c: pa.array(table.column(c)[:1].to_pylist(), pa.int64()) for c in ("component_id", "code")}
+    return pa.table(row | {c: pa.array([binary[c]], pa.binary()) for c in ("tokens", "places", *CLASS)})
+
+
+def _count_block(table: pa.Table) -> pa.Table:
+    sides = []
+    for row in table.to_pylist():
+        keys = {c: unpack(row[c], "<i8") for c in CLASS}
+        ends = np.cumsum(keys["n"])[:-1]
+        sides.append((np.split(unpack(row["tokens"], "<u8")[unpack(row["places"], "<u4")], ends) if len(keys["n"]) else [], keys))
+    (q, a), (g, b) = sides[0], sides[-1]
+    to_q, to_g = linked_with(q, a["copies"], g, b["copies"], same=len(sides) == 1)
+    if len(sides) == 1:
+        return _counted(a, to_q)
+    return pa.concat_tables([_counted(a, to_q), _counted(b, to_g)])
+
+
+def _links_of_classes(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """(n, f1, f2, others): how many documents of other classes a class links
+    with, for the classes of components of several classes."""
+    room = F.sum(F.col("n") + LINK_ROW)
+    whole = stored(placed.groupBy("component_id").agg(F.count("*").alias("classes"), room.alias("room")).where("classes > 1"), "linked-sizes")
+    # sets that may link lie in the same scale or the next; the hair more
+    # keeps rounding from parting sizes of exactly 85 %
+    scale = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(PERCENT / 100) * (1 + 1e-9)))
+    linked = stored(placed.join(whole, "component_id").withColumn(
+        "scale", F.when(F.col("room") > LINK_ROOM, scale)).drop("classes", "room"), "linked")
+    parts = stored(linked.where("scale is not null").groupBy("component_id", "scale").agg(
+        F.ceil(room / LINK_ROOM).alias("parts")), "linked-parts")
+    code = lambda scale, part: F.shiftleft(F.col(scale), 32) + F.col(part)
+    dealt = stored(linked.join(parts, ["component_id", "scale"], "left").withColumn(
+        "part", F.pmod(F.xxhash64("f1"), F.col("parts"))).select(
+        F.col("rep").alias("doc_id"), "component_id", *CLASS, code("scale", "part").alias("code")), "linked-groups")
+    bounded_batches(docs.sparkSession)
+    texts = stored(_texts_of(docs, dealt).join(dealt.hint("merge"), "doc_id").drop("doc_id"), "linked-texts")
+    one = texts.where("code is null").groupBy("component_id").applyInArrow(_count_whole, COUNTED)
+    groups = stored(texts.where("code is not null").groupBy("component_id", "code").applyInArrow(_pack_group, PACKED), "unions")
+    near = parts.select("component_id", F.explode(F.sequence(F.col("scale") - 1, F.col("scale") + 1)).alias("scale"),
+                        F.col("scale").alias("scale2"), "parts")
+    met = groups.withColumn("scale", F.shiftright("code", 32)).join(near, ["component_id", "scale"]).withColumn(
+        "part2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("code2", code("scale2", "part2"))
+    blocks = met.withColumn("k1", F.least("code", "code2")).withColumn("k2", F.greatest("code", "code2")).select(
+        "component_id", "k1", "k2", "tokens", "places", *CLASS)
+    two = blocks.groupBy("component_id", "k1", "k2").applyInArrow(_count_block, COUNTED)
+    return stored(one.unionByName(two).groupBy(*CLASS[:3]).agg(F.sum("others").alias("others")), "linked-counts")
+
+
+def linked_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+    sets, placed = _linked_classes(docs)
+    return sets.join(placed.select("n", "f1", "f2", "component_id"), ["n", "f1", "f2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def linked_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every row of ``docs``;
+    ``n_links`` is the number of other documents it links with directly."""
+    sets, placed = _linked_classes(docs)
+    others = _links_of_classes(docs, placed)
+    of = placed.join(others, ["n", "f1", "f2"], "left").select(
+        "n", "f1", "f2", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    named = F.col("doc_id").isNotNull()
+    return sets.join(stored(of, "class-links"), ["n", "f1", "f2"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(named, F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.coalesce(F.when(named, F.col("links")), F.lit(0)).cast("long").alias("n_links"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those that are linked to a smaller
     ``doc_id``. Documents without shingles or without an id stay."""

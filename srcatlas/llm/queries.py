@@ -61,8 +61,8 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def op7_token_groups(spark: SparkSession, sf: str) -> DataFrame:
-    from .op07_token_groups import linked_components
-    return linked_components(table(spark, sf, "documents"))
+    from .op07_token_groups import linked_documents
+    return linked_documents(table(spark, sf, "documents"))
 
 
 @_query

@@ -161,7 +161,57 @@ def test_components_against_all_pairs(spark, monkeypatch, seed):
 
 def test_op7_query(spark):
     docs = [(r.doc_id, r.text) for r in cases.given(spark, "documents").collect()]
-    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in queries.op7_token_groups(spark, cases.SF).collect()) == brute_components(docs)
+    rows = queries.op7_token_groups(spark, cases.SF).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in rows) == brute_components(docs)
+    assert sorted((str(r.doc_id), r.n_shingles, r.n_links) for r in rows) == brute_links(docs)
+
+
+def brute_links(docs):
+    sets = [{tuple(w[i:i + 4]) for i in range(max(1, len(w) - 3))} if w else set() for w in (cases.words(t) for _, t in docs)]
+    named = [s if d is not None else set() for (d, _), s in zip(docs, sets)]
+    return sorted((str(d), len(s), sum(100 * len(a & b) >= 85 * len(a | b) for j, b in enumerate(named) if j != i and a and b))
+                  for i, ((d, _), s, a) in enumerate(zip(docs, sets, named)))
+
+
+def found_links(df):
+    rows = near.linked_documents(df).collect()
+    return sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in rows), sorted((str(r.doc_id), r.n_shingles, r.n_links) for r in rows)
+
+
+def test_links_of_cases(spark):
+    assert found_links(cases.docs_table(spark).repartition(3)) == (brute_components(cases.DOCS), brute_links(cases.DOCS))
+    assert near.linked_documents(cases.empty_docs(spark)).count() == 0
+
+
+@pytest.mark.parametrize("documents", [4, 40, 512])
+def test_links_against_all_pairs(spark, monkeypatch, documents):
+    """Whether a component is one block or many, every link is counted."""
+    docs = near_copies(150, 3)
+    rng = np.random.default_rng(4)
+    base = [f"t{i}" for i in range(90)]
+    for i in range(120):  # one family of many sizes and distances
+        text = base[:int(rng.integers(55, 90))].copy()
+        for _ in range(int(rng.integers(0, 3))):
+            text[int(rng.integers(0, len(text)))] = f"v{rng.integers(0, 9)}"
+        docs.append((2000 + i, " ".join(text)))
+    docs += [(3000 + i, " ".join(base)) for i in range(20)]
+    monkeypatch.setattr(near, "LINK_ROOM", documents * near.LINK_ROW)
+    assert found_links(cases.docs_table(spark, docs).repartition(4)) == (brute_components(docs), brute_links(docs))
+
+
+def test_union_bound_loses_no_link():
+    rng = np.random.default_rng(5)
+    core = rng.integers(0, 2 ** 63, 80).astype(np.uint64)
+    sets = [np.unique(np.concatenate([core[rng.random(80) < .95], rng.integers(0, 2 ** 63, rng.integers(0, 6)).astype(np.uint64)])) for _ in range(60)]
+    copies = rng.integers(1, 5, 60)
+    links = [[i != j and 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    want = np.array(links) @ copies
+    assert near.linked_with(sets, copies, sets, copies, same=True)[0].tolist() == want.tolist()
+    q, g = slice(0, 25), slice(25, 60)
+    to_q, to_g = near.linked_with(sets[q], copies[q], sets[g], copies[g])
+    assert to_q.tolist() == (np.array(links)[q, g] @ copies[g]).tolist()
+    assert to_g.tolist() == (copies[q] @ np.array(links)[q, g]).tolist()
+    assert near.linked_with([], copies[:0], sets, copies)[1].tolist() == [0] * 60
 
 
 def test_block_products_are_intersections():
