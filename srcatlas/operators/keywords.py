@@ -10,8 +10,10 @@
 
 Tokens are runs of two or more word characters, lower-cased; stop words
 are removed before bigrams are formed. Tokenising uses Spark ML feature
-transformers (JVM), counting and scoring are group-bys and windows; the
-top-``n`` ranking uses a constant limit.
+transformers (JVM). A text that alone has its id is counted, scored and ranked
+within its row, so no exploded term is sorted or moved; the terms of ids that
+several rows share are merged by group-bys. The top-``n`` ranking uses a
+constant limit.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as tx
+from .chunking import _let
 
 #: Parts that a term's rows, and a text's copies, are dealt to in joins.
 TERM_PARTS, SALTS = 256, 8
@@ -40,6 +43,15 @@ def _tokenize(df: DataFrame, text: Column, stop_words: list[str], min_len: int =
     return swr.transform(tok.transform(src)).drop("_text", "_tok")
 
 
+def _terms(docs: DataFrame, stop_words: list[str]) -> DataFrame:
+    """Adds ``_terms``: unigrams and bigrams of ``text`` (bigrams are formed
+    after stop-word removal)."""
+    from pyspark.ml.feature import NGram
+    t = _tokenize(docs, F.col("text"), stop_words)
+    g = NGram(n=2, inputCol="_t", outputCol="_bg").transform(t)
+    return g.withColumn("_terms", F.concat("_t", "_bg")).drop("_t", "_bg")
+
+
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 stop_words: list[str] | None = None) -> DataFrame:
     """(id, term, n): unigram and bigram counts per text (bigrams are formed
@@ -48,26 +60,63 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows are first dealt out by id: one shuffle of the texts then serves the
     counts and every later grouping or window by id, and no exploded term
     moves."""
-    from pyspark.ml.feature import NGram
     sw = K.default_stop_words() if stop_words is None else stop_words
     docs = docs.repartition(id_col)
-    t = _tokenize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), F.col("text"), sw)
-    g = NGram(n=2, inputCol="_t", outputCol="_bg").transform(t)
-    ex = g.select("doc_id", F.explode(F.concat("_t", "_bg")).alias("term"))
+    t = _terms(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), sw)
+    return _grouped_counts(t)
+
+
+def _grouped_counts(t: DataFrame) -> DataFrame:
+    ex = t.select("doc_id", F.explode("_terms").alias("term"))
     return ex.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def counted(terms: Column) -> Column:
+    """The distinct terms of an array as (n, term), within the row: equal
+    terms stand together once sorted, and a run's length is its count."""
+    def runs(s: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.get(s, i + 1).eqNullSafe(F.get(s, i)))
+        return _let(ends, lambda e: F.transform(e, lambda i, k: F.struct(
+            (i - F.coalesce(F.get(e, k - 1), F.lit(-1))).cast("bigint").alias("n"), F.get(s, i).alias("term"))))
+
+    return _let(F.sort_array(terms), runs)
+
+
+def _by_copies(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) of the rows that alone have their id, and of the others.
+    Dealt out by id over a stated number of tasks: else Spark merges tasks by
+    bytes, and these have more to do than bytes to read."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    rows = rows.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    return rows.where("_copies = 1").drop("_copies"), rows.where("_copies > 1").drop("_copies")
+
+
 def candidate_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    stop_words: list[str] | None = None, min_len: int = 3) -> DataFrame:
+                    stop_words: list[str] | None = None, min_len: int = 3, per_id: bool = False) -> DataFrame:
     """(id, term): distinct words of each text's preprocessed form, longer
     than two characters and not stop words (the part-of-speech rule is not
     built). Words are de-duplicated inside each row, so with one row per id
     the pairs are distinct without a shuffle (and a semi join against them
-    does not care about repeats)."""
+    does not care about repeats).
+
+    With ``per_id`` (id, terms): one row per id with its words, for
+    ``keywords`` to join by id alone."""
     sw = K.default_stop_words() if stop_words is None else stop_words
-    t = _tokenize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")),
-                  tx.preprocess(F.col("text")), sw, min_len=min_len)
-    return t.select("doc_id", F.explode(F.array_distinct("_t")).alias("term"))
+
+    def words(rows: DataFrame) -> DataFrame:
+        t = _tokenize(rows, tx.preprocess(F.col("text")), sw, min_len=min_len)
+        return t.select("doc_id", F.array_distinct("_t").alias("terms"))
+
+    if not per_id:
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        return words(rows).select("doc_id", F.explode("terms").alias("term"))
+    once, again = _by_copies(docs, id_col, text_col)
+    return words(once).unionByName(_per_id(words(again).select("doc_id", F.explode("terms").alias("term"))))
+
+
+def _per_id(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
 
 
 def _top(scored: DataFrame, n: int) -> DataFrame:
@@ -75,28 +124,58 @@ def _top(scored: DataFrame, n: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def _ranked(rows: DataFrame, top_n: int, keep: Callable[[Column], Column] | None = None,
+            pick: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(doc_id, term, score, rank) of rows that alone have their id, within
+    the row: ``keep`` is a rule on a term, ``pick`` takes what it wants from
+    the array of (_less, term) in rank order, ``_less`` being minus the count."""
+    def best(f: Column) -> Column:
+        norm = F.sqrt(F.aggregate(f, F.lit(0).cast("bigint"), lambda s, x: s + x["n"] * x["n"]))
+        kept = F.filter(f, lambda x: keep(x["term"])) if keep else f
+        order = F.sort_array(F.transform(kept, lambda x: F.struct((-x["n"]).alias("_less"), x["term"].alias("term"))))
+        return F.struct(norm.alias("norm"), F.slice(_let(order, pick) if pick else order, 1, top_n).alias("top"))
+
+    b = rows.select("doc_id", F.explode(F.array(_let(counted(F.col("_terms")), best))).alias("_b"))
+    t = b.select("doc_id", "_b.norm", F.posexplode("_b.top").alias("_i", "_x"))
+    return t.select("doc_id", F.col("_x.term").alias("term"), (-F.col("_x._less") / F.col("norm")).alias("score"),
+                    (F.col("_i") + 1).alias("rank"))
+
+
 def keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top_n: int = K.KEYWORDS_TOP_N,
              stop_words: list[str] | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """(doc_id, term, score, rank): top terms of each text fitted on its own.
 
     Without ``candidates`` the candidate rule (single word, length > 2, not
-    a stop word) is applied in place; with a candidate frame
-    ``(doc_id, term)`` the features are intersected with it by a join."""
+    a stop word) is applied in place; with a candidate frame, ``(doc_id,
+    term)`` or ``(doc_id, terms)`` with one row per id, the features are
+    intersected with it by a join on the id: texts and candidate words meet
+    there, and the features are counted after it."""
     sw = K.default_stop_words() if stop_words is None else stop_words
-    counts = term_counts(docs, id_col, text_col, sw)
+    once, again = _by_copies(docs, id_col, text_col)
+    counts = _grouped_counts(_terms(again, sw))
     if candidates is None:
+        def rule(term: Column) -> Column:
+            return (~term.contains(" ")) & (F.length(term) > 2)
+        alone = _ranked(_terms(once, sw), top_n, keep=rule)
         # L2 norm over all of a text's terms by a window, then the rule filter.
         w = Window.partitionBy("doc_id")
         scored = counts.withColumn("score", F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(w)))
-        scored = scored.where((~F.col("term").contains(" ")) & (F.length("term") > 2))
+        scored = scored.where(rule(F.col("term")))
     else:
-        # The counts are already partitioned by (doc_id, term), so only the
-        # candidate side moves for the semi join; the norms are a small
-        # per-document aggregate joined to the (fewer) surviving rows.
+        sets = candidates if "terms" in candidates.columns else _per_id(candidates.select("doc_id", "term"))
+
+        def among(order: Column) -> Column:
+            # array_intersect leaves the first array's order; only the top is looked up again
+            def first(names: Column) -> Column:
+                met = F.slice(F.array_intersect(names, F.col("terms")), 1, top_n)
+                return F.transform(met, lambda t: F.get(order, (F.array_position(names, t) - 1).cast("int")))
+            return _let(F.transform(order, lambda x: x["term"]), first)
+        alone = _ranked(_terms(once.join(sets.select("doc_id", "terms"), "doc_id"), sw), top_n, pick=among)
         norms = counts.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("_norm"))
-        kept = counts.join(candidates.select("doc_id", "term"), ["doc_id", "term"], "left_semi")
+        kept = counts.join(sets.select("doc_id", F.explode("terms").alias("term")), ["doc_id", "term"], "left_semi")
         scored = kept.join(norms, "doc_id").select("doc_id", "term", (F.col("n") / F.col("_norm")).alias("score"))
-    return _top(scored, top_n).select("doc_id", "term", "score", "rank")
+    shared = _top(scored, top_n).select("doc_id", "term", "score", "rank")
+    return alone.unionByName(shared)
 
 
 def keywords_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top_n: int = K.KEYWORDS_TOP_N,

@@ -53,7 +53,7 @@ def keywords_tfidf(spark, sf):
 def keywords_candidates(spark, sf):
     """Features intersected with the candidate terms by a join."""
     docs = fx.table(spark, sf, "documents")
-    return _out(kw.keywords(docs, candidates=kw.candidate_terms(docs)))
+    return _out(kw.keywords(docs, candidates=kw.candidate_terms(docs, per_id=True)))
 
 
 @query("keywords_corpus", lambda: D.with_ctes([], counts_ctes() + [
