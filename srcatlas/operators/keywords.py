@@ -180,23 +180,43 @@ def keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
 
 def keywords_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top_n: int = K.KEYWORDS_TOP_N,
                     stop_words: list[str] | None = None) -> DataFrame:
-    """(doc_id, term, score, rank) with smooth corpus idf and L2 norm."""
+    """(doc_id, term, score, rank) with smooth corpus idf and L2 norm.
+
+    Texts are dealt to parts by id, and a part's terms stay in it. Only its
+    distinct terms go out to be counted; back come the document frequencies of
+    terms in two texts or more, the others are in one."""
     sw = K.default_stop_words() if stop_words is None else stop_words
-    counts = term_counts(docs, id_col, text_col, sw)
     # The document count is a scalar subquery: computed once, inlined as a
     # value, no join.
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    # A term may be in a third of all texts: its rows are dealt to TERM_PARTS
-    # parts by text. Parts are counted, summed over a term's few parts, and
-    # each part that exists gets the term's idf (a rare term has one or two).
-    dealt = counts.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(TERM_PARTS)).cast("int"))
-    parts = dealt.groupBy("term", "_part").agg(F.count_if(F.col("n") > 0).alias("_in_part"))
-    df_ = F.sum("_in_part").over(Window.partitionBy("term"))
-    idf = parts.select("term", "_part", (F.log((1 + n_docs) / (1 + df_)) + 1).alias("idf"))
-    tfidf = dealt.join(idf, ["term", "_part"]).withColumn("w", F.col("n") * F.col("idf"))
-    wd = Window.partitionBy("doc_id")
-    scored = tfidf.withColumn("score", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(wd)))
-    return _top(scored, top_n).select("doc_id", "term", "score", "rank")
+    parts = max(TERM_PARTS, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    once, again = _by_copies(docs, id_col, text_col)
+    # One row of text, or of one term: of an id that several rows share (``n``
+    # times), or with its document frequency.
+    shared = _grouped_counts(_terms(again, sw)).select("doc_id", F.lit("").alias("text"), "term", "n")
+    dealt = once.select("doc_id", "text", F.lit(None).cast("string").alias("term"), F.lit(None).cast("bigint").alias("n"))
+    dealt = dealt.unionByName(shared).withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+
+    def pairs(rows: DataFrame, *more: str) -> DataFrame:
+        """Rows of one term each, in their parts. A stated number of parts is
+        not merged by bytes of text, so that a part's terms fit a task."""
+        t = _terms(rows.repartition(parts, "_part"), sw)
+        own = F.array(F.struct("n", "term"))
+        return t.select("_part", "doc_id", *more, F.explode(F.when(F.col("term").isNull(), counted(F.col("_terms"))).otherwise(own)).alias("_x")).select(
+            "_part", "doc_id", *more, "_x.term", "_x.n")
+
+    in_part = pairs(dealt).groupBy("_part", "term").agg(F.count(F.lit(1)).alias("_in_part")).repartition(parts, "term")
+    df_ = in_part.withColumn("_df", F.sum("_in_part").over(Window.partitionBy("term"))).where("_df > 1")
+    known = df_.select(F.lit(None).cast(dealt.schema["doc_id"].dataType).alias("doc_id"), F.lit("").alias("text"), "term",
+                       F.lit(None).cast("bigint").alias("n"), "_part", "_df")
+    both = pairs(dealt.withColumn("_df", F.lit(None).cast("bigint")).unionByName(known), "_df")
+    met = both.withColumn("_df", F.max("_df").over(Window.partitionBy("_part", "term"))).where("n is not null")
+    idf = F.log((1 + n_docs) / (1 + F.coalesce("_df", F.lit(1)))) + 1
+    wd = Window.partitionBy("_part", "doc_id")
+    ranked = met.withColumn("w", F.col("n") * idf).withColumn(
+        "rank", F.row_number().over(wd.orderBy(F.desc("w"), F.asc("term"))))
+    scored = ranked.withColumn("score", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(wd)))
+    return scored.where(F.col("rank") <= top_n).select("doc_id", "term", "score", "rank")
 
 
 def memoize_by_text(docs: DataFrame, fn: Callable[[DataFrame], DataFrame], id_col: str = "doc_id",

@@ -65,6 +65,15 @@ def test_counts_within_the_row(spark):
     assert got == [[(2, "a"), (3, "b"), (1, "c")], []]
 
 
+def test_corpus_terms_stay_in_their_part(spark):
+    df = kw.keywords_corpus(spark.createDataFrame(ROWS, SCHEMA), top_n=3, stop_words=[])
+    counts = _counts()
+    df_ = Counter(t for c in counts.values() for t in c)
+    weights = {i: {t: n * (math.log((1 + len(ROWS)) / (1 + df_[t])) + 1) for t, n in c.items()} for i, c in counts.items()}
+    assert _rows(df) == sorted(_best(weights), key=str)
+    assert "Join" not in _plan(df)          # no pair of text and term is shuffled to its frequency
+
+
 def test_copies_share_one_result(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha beta"), (3, "gamma")], SCHEMA)
     df = kw.memoize_by_text(docs, lambda d: kw.keywords(d, stop_words=[]))
