@@ -63,7 +63,9 @@ def _hashing_embedder(df: DataFrame, dim: int, text_col: str) -> DataFrame:
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim)
     norm = Normalizer(inputCol="_tf", outputCol="_v", p=2.0)
     out = norm.transform(tf.transform(tok.transform(df)))
-    return out.withColumn("vector", vector_to_array("_v", "float32")).drop("_tok", "_tf", "_v")
+    # A generator, through which no filter is pushed: a check on the vector
+    # that moved below it would compute the vector again for each mention.
+    return out.select(*df.columns, F.explode(F.array(vector_to_array("_v", "float32"))).alias("vector"))
 
 
 def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]] | None = None,
