@@ -5,7 +5,7 @@
   the next; linear in the text's length, no Python, no shuffle.
 * ``recursive``: separator-aware splitting (paragraph, line, word,
   character), greedy merge up to ``size`` with up to ``overlap`` characters
-  carried over. Documents are shared out over tasks (``mapInPandas``); a
+  carried over. Documents are split row by row (a Python function); a
   document of more than four blocks of text is itself cut over many tasks
   (``long_texts``), with the same chunks.
 * ``buffered``: line-aligned buffers of at least ``2 * size`` characters,
@@ -18,9 +18,6 @@ Chunk rows: ``chunk_id = doc_id || ':' || md5(content)``, ``size = length``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,25 +177,13 @@ def split_buffered(text: str, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_O
     return out
 
 
-_RAW_SCHEMA = "doc_id string, repo_id string, repo string, source_file string, chunk_num int, content string"
-
-
-def _chunker(size: int, overlap: int, split):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-        for pdf in batches:
-            for doc_id, repo_id, repo, path, content in zip(
-                    pdf["doc_id"], pdf["repo_id"], pdf["repo"], pdf["file_path"], pdf["content"]):
-                if content is None:
-                    continue
-                for i, piece in enumerate(split(content, size, overlap)):
-                    rows.append((doc_id, repo_id, repo, path, i, piece))
-                    if len(rows) >= 1024:
-                        yield pd.DataFrame(rows, columns=["doc_id", "repo_id", "repo", "source_file", "chunk_num", "content"])
-                        rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=["doc_id", "repo_id", "repo", "source_file", "chunk_num", "content"])
-    return run
+def _split_whole(documents: DataFrame, size: int, overlap: int, split) -> DataFrame:
+    """Chunks of documents that are one row's work each. A plain row function:
+    Python holds a hundred documents at a time, however many a partition has
+    (an Arrow batch holds up to 10,000, as text and as objects)."""
+    pieces = F.udf(lambda content: [] if content is None else split(content, size, overlap), "array<string>", useArrow=False)
+    return documents.select("doc_id", "repo_id", "repo", F.col("file_path").alias("source_file"),
+                            F.posexplode(pieces("content")).alias("chunk_num", "content"))
 
 
 def chunk(documents: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP,
@@ -212,7 +197,7 @@ def chunk(documents: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK
         raise ValueError(f"unknown chunk mode {mode!r}")
     src = documents.select("doc_id", "repo_id", "repo", "file_path", "content")
     split = split_recursive if mode == "recursive" else split_buffered
-    whole = lambda d: d.mapInPandas(_chunker(size, overlap, split), _RAW_SCHEMA)
+    whole = lambda d: _split_whole(d, size, overlap, split)
     if mode == "recursive" and not long_texts.divisible(size, overlap, K.RECURSIVE_SEPARATORS, block_chars):
         return _finish(whole(src))
     is_long = F.length("content") > 4 * block_chars
