@@ -82,13 +82,17 @@ def counted(terms: Column) -> Column:
     return _let(F.sort_array(terms), runs)
 
 
-def _by_copies(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text) of the rows that alone have their id, and of the others.
+def _with_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, _copies): with the number of rows that share the id.
     Dealt out by id over a stated number of tasks: else Spark merges tasks by
     bytes, and these have more to do than bytes to read."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    rows = rows.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    return rows.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+
+
+def _by_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that alone have their id, and the others."""
     return rows.where("_copies = 1").drop("_copies"), rows.where("_copies > 1").drop("_copies")
 
 
@@ -111,7 +115,7 @@ def candidate_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not per_id:
         rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         return words(rows).select("doc_id", F.explode("terms").alias("term"))
-    once, again = _by_copies(docs, id_col, text_col)
+    once, again = _by_copies(_with_copies(docs, id_col, text_col))
     return words(once).unionByName(_per_id(words(again).select("doc_id", F.explode("terms").alias("term"))))
 
 
@@ -127,11 +131,11 @@ def _top(scored: DataFrame, n: int) -> DataFrame:
 def _ranked(rows: DataFrame, top_n: int, keep: Callable[[Column], Column] | None = None,
             pick: Callable[[Column], Column] | None = None) -> DataFrame:
     """(doc_id, term, score, rank) of rows that alone have their id, within
-    the row: ``keep`` is a rule on a term, ``pick`` takes what it wants from
+    the row: ``keep`` filters the counts, ``pick`` takes what it wants from
     the array of (_less, term) in rank order, ``_less`` being minus the count."""
     def best(f: Column) -> Column:
         norm = F.sqrt(F.aggregate(f, F.lit(0).cast("bigint"), lambda s, x: s + x["n"] * x["n"]))
-        kept = F.filter(f, lambda x: keep(x["term"])) if keep else f
+        kept = keep(f) if keep else f
         order = F.sort_array(F.transform(kept, lambda x: F.struct((-x["n"]).alias("_less"), x["term"].alias("term"))))
         return F.struct(norm.alias("norm"), F.slice(_let(order, pick) if pick else order, 1, top_n).alias("top"))
 
@@ -151,18 +155,16 @@ def keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     intersected with it by a join on the id: texts and candidate words meet
     there, and the features are counted after it."""
     sw = K.default_stop_words() if stop_words is None else stop_words
-    once, again = _by_copies(docs, id_col, text_col)
-    counts = _grouped_counts(_terms(again, sw))
+    rows = _with_copies(docs, id_col, text_col)
     if candidates is None:
         def rule(term: Column) -> Column:
             return (~term.contains(" ")) & (F.length(term) > 2)
-        alone = _ranked(_terms(once, sw), top_n, keep=rule)
-        # L2 norm over all of a text's terms by a window, then the rule filter.
-        w = Window.partitionBy("doc_id")
-        scored = counts.withColumn("score", F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(w)))
-        scored = scored.where(rule(F.col("term")))
+        once, again = _by_copies(rows)
+        alone = _ranked(_terms(once, sw), top_n, keep=lambda f: F.filter(f, lambda x: rule(x["term"])))
+        counts = _grouped_counts(_terms(again, sw)).withColumn("_met", rule(F.col("term")))
     else:
         sets = candidates if "terms" in candidates.columns else _per_id(candidates.select("doc_id", "term"))
+        once, again = _by_copies(rows.join(sets.select("doc_id", "terms"), "doc_id"))
 
         def among(order: Column) -> Column:
             # array_intersect leaves the first array's order; only the top is looked up again
@@ -170,12 +172,23 @@ def keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
                 met = F.slice(F.array_intersect(names, F.col("terms")), 1, top_n)
                 return F.transform(met, lambda t: F.get(order, (F.array_position(names, t) - 1).cast("int")))
             return _let(F.transform(order, lambda x: x["term"]), first)
-        alone = _ranked(_terms(once.join(sets.select("doc_id", "terms"), "doc_id"), sw), top_n, pick=among)
-        norms = counts.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("_norm"))
-        kept = counts.join(sets.select("doc_id", F.explode("terms").alias("term")), ["doc_id", "term"], "left_semi")
-        scored = kept.join(norms, "doc_id").select("doc_id", "term", (F.col("n") / F.col("_norm")).alias("score"))
-    shared = _top(scored, top_n).select("doc_id", "term", "score", "rank")
-    return alone.unionByName(shared)
+
+        def words(f: Column) -> Column:
+            # bigrams need not be ranked where no candidate has a space
+            spaced = F.exists("terms", lambda t: t.contains(" "))
+            return F.when(spaced, f).otherwise(F.filter(f, lambda x: ~x["term"].contains(" ")))
+
+        def marked(terms: Column | str, met: bool) -> Column:
+            return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(met).alias("met")))
+        alone = _ranked(_terms(once, sw), top_n, words, among)
+        both = F.concat(marked("_terms", False), marked(F.array_intersect("_terms", "terms"), True))
+        counts = _terms(again, sw).select("doc_id", F.explode(both).alias("_x")).groupBy("doc_id", F.col("_x.term").alias("term")).agg(
+            F.count_if(~F.col("_x.met")).alias("n"), F.max("_x.met").alias("_met"))
+    # Of ids that several rows share: L2 norm over all of an id's terms by a
+    # window, then the wanted ones.
+    w = Window.partitionBy("doc_id")
+    scored = counts.withColumn("score", F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(w))).where("_met")
+    return alone.unionByName(_top(scored, top_n).select("doc_id", "term", "score", "rank"))
 
 
 def keywords_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top_n: int = K.KEYWORDS_TOP_N,
@@ -190,7 +203,7 @@ def keywords_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # value, no join.
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     parts = max(TERM_PARTS, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    once, again = _by_copies(docs, id_col, text_col)
+    once, again = _by_copies(_with_copies(docs, id_col, text_col))
     # One row of text, or of one term: of an id that several rows share (``n``
     # times), or with its document frequency.
     shared = _grouped_counts(_terms(again, sw)).select("doc_id", F.lit("").alias("text"), "term", "n")

@@ -59,6 +59,13 @@ def test_candidates_meet_the_texts_by_id(spark, per_id):
     assert got == sorted(expected, key=str)
 
 
+def test_candidates_of_two_words(spark):
+    docs = spark.createDataFrame([(1, "alpha beta alpha beta gamma"), (2, "alpha beta")], SCHEMA)
+    cand = spark.createDataFrame([(1, "alpha beta"), (1, "gamma"), (1, "omega"), (1, "gamma"), (2, "beta")], "doc_id long, term string")
+    got = kw.keywords(docs, stop_words=[], candidates=cand).select("doc_id", "term", "rank").collect()
+    assert sorted(map(tuple, got)) == [(1, "alpha beta", 1), (1, "gamma", 2), (2, "beta", 1)]
+
+
 def test_counts_within_the_row(spark):
     df = spark.createDataFrame([(["b", "a", "b", "c", "b", "a"],), ([],)], "t array<string>")
     got = [[(x.n, x.term) for x in r.c] for r in df.select(kw.counted(F.col("t")).alias("c")).collect()]
