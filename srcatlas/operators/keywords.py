@@ -13,7 +13,8 @@ are removed before bigrams are formed. Tokenising uses Spark ML feature
 transformers (JVM). A text that alone has its id is counted, scored and ranked
 within its row, so no exploded term is sorted or moved; the terms of ids that
 several rows share are merged by group-bys. The top-``n`` ranking uses a
-constant limit.
+constant limit. ``keywords_corpus`` counts and ranks a part of the corpus at a
+time in Python (``corpus_terms``), over the words of the same tokeniser.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as tx
+from . import corpus_terms as ct
 from .chunking import _let
 
-#: Parts that a term's rows, and a text's copies, are dealt to in joins.
+#: Parts that the corpus and its terms are dealt to, at least; parts that a
+#: text's copies are dealt to in joins.
 TERM_PARTS, SALTS = 256, 8
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 
@@ -195,41 +198,25 @@ def keywords_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     stop_words: list[str] | None = None) -> DataFrame:
     """(doc_id, term, score, rank) with smooth corpus idf and L2 norm.
 
-    Texts are dealt to parts by id, and a part's terms stay in it. Only its
-    distinct terms go out to be counted; back come the document frequencies of
-    terms in two texts or more, the others are in one."""
+    Texts are dealt to parts by id, once, as their words without stop words.
+    A part's distinct terms go out to be counted in packed blocks, and the
+    document frequencies come back in their order (``corpus_terms``); terms are
+    scored and ranked in their part. No term is a row, so none is sorted,
+    shuffled or spilled as one. ``TERM_PARTS`` bounds what a task holds: a part's
+    words, or one of as many buckets of terms."""
     sw = K.default_stop_words() if stop_words is None else stop_words
     # The document count is a scalar subquery: computed once, inlined as a
     # value, no join.
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     parts = max(TERM_PARTS, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    once, again = _by_copies(_with_copies(docs, id_col, text_col))
-    # One row of text, or of one term: of an id that several rows share (``n``
-    # times), or with its document frequency.
-    shared = _grouped_counts(_terms(again, sw)).select("doc_id", F.lit("").alias("text"), "term", "n")
-    dealt = once.select("doc_id", "text", F.lit(None).cast("string").alias("term"), F.lit(None).cast("bigint").alias("n"))
-    dealt = dealt.unionByName(shared).withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-
-    def pairs(rows: DataFrame, *more: str) -> DataFrame:
-        """Rows of one term each, in their parts. A stated number of parts is
-        not merged by bytes of text, so that a part's terms fit a task."""
-        t = _terms(rows.repartition(parts, "_part"), sw)
-        own = F.array(F.struct("n", "term"))
-        return t.select("_part", "doc_id", *more, F.explode(F.when(F.col("term").isNull(), counted(F.col("_terms"))).otherwise(own)).alias("_x")).select(
-            "_part", "doc_id", *more, "_x.term", "_x.n")
-
-    in_part = pairs(dealt).groupBy("_part", "term").agg(F.count(F.lit(1)).alias("_in_part")).repartition(parts, "term")
-    df_ = in_part.withColumn("_df", F.sum("_in_part").over(Window.partitionBy("term"))).where("_df > 1")
-    known = df_.select(F.lit(None).cast(dealt.schema["doc_id"].dataType).alias("doc_id"), F.lit("").alias("text"), "term",
-                       F.lit(None).cast("bigint").alias("n"), "_part", "_df")
-    both = pairs(dealt.withColumn("_df", F.lit(None).cast("bigint")).unionByName(known), "_df")
-    met = both.withColumn("_df", F.max("_df").over(Window.partitionBy("_part", "term"))).where("n is not null")
-    idf = F.log((1 + n_docs) / (1 + F.coalesce("_df", F.lit(1)))) + 1
-    wd = Window.partitionBy("_part", "doc_id")
-    ranked = met.withColumn("w", F.col("n") * idf).withColumn(
-        "rank", F.row_number().over(wd.orderBy(F.desc("w"), F.asc("term"))))
-    scored = ranked.withColumn("score", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(wd)))
-    return scored.where(F.col("rank") <= top_n).select("doc_id", "term", "score", "rank")
+    t = _tokenize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), F.col("text"), sw)
+    rows = t.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("_part"), "doc_id",
+                    F.array_join("_t", " ").alias("words")).repartition(parts, "_part").groupBy("_part")
+    blocks = rows.applyInArrow(ct.blocks_of(parts), ct.BLOCKS).repartition(parts, "_bucket")
+    known = blocks.groupBy("_bucket").applyInArrow(ct.frequencies, ct.FREQUENCIES).withColumn("_docs", n_docs)
+    id_type = docs.schema[id_col].dataType.simpleString()
+    return rows.cogroup(known.repartition(parts, "_part").groupBy("_part")).applyInArrow(
+        ct.best_of(parts, top_n), f"doc_id {id_type}, term string, score double, rank int")
 
 
 def memoize_by_text(docs: DataFrame, fn: Callable[[DataFrame], DataFrame], id_col: str = "doc_id",

@@ -3,9 +3,13 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
+from srcatlas.operators import corpus_terms as ct
 from srcatlas.operators import keywords as kw
 
 ROWS = [(1, "alpha beta alpha gamma delta"), (2, "beta beta <b>tag</b> zeta"), (3, "alpha gamma"), (3, "gamma beta alpha"),
@@ -81,6 +85,62 @@ def test_corpus_terms_stay_in_their_part(spark):
     assert "Join" not in _plan(df)          # no pair of text and term is shuffled to its frequency
 
 
+def test_corpus_terms_are_no_rows(spark):
+    # terms go out and their frequencies come back in blocks: nothing is exploded, and no term is sorted as a row
+    plan = _plan(kw.keywords_corpus(spark.createDataFrame(ROWS, SCHEMA)))
+    assert "Generate" not in plan and "Window" not in plan
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "term" in x.split("Exchange")[1]]
+
+
+def _part(number: int, rows: list) -> pa.Table:
+    ids, words = zip(*rows)
+    return pa.table({"_part": pa.array([number] * len(rows), pa.int32()), "doc_id": pa.array(ids, pa.int64()), "words": pa.array(words)})
+
+
+@pytest.mark.parametrize("too_many", [1 << 63, 1])
+def test_blocks_of_terms(monkeypatch, too_many):
+    monkeypatch.setattr(ct, "TOO_MANY", too_many)
+    rows = [(7, "b ab a a ab"), (None, "é b"), (7, "ab a"), (5, ""), (None, "b"), (8, "a_ a0 ab")]
+    part = ct.PartTerms(ct._worded(_part(0, rows)), 5)
+    want = defaultdict(Counter)
+    for i, text in rows:
+        w = text.split()
+        want[i].update(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    names = part.strings(np.arange(len(part.codes))).to_pylist()
+    assert names == sorted({t for c in want.values() for t in c}, key=str.encode)
+    got = sorted(((part.ids[int(d)].as_py(), names[t], int(n)) for d, t, n in zip(part.doc, part.term, part.n)), key=str)
+    assert got == sorted(((i, t, n) for i, c in want.items() for t, n in c.items()), key=str)
+
+    # what comes back for a block is in the order of its terms
+    parts = [_part(k, rows[k:] + [(100 + k, "b ab zz")]) for k in range(3)]
+    blocks = pa.concat_tables([ct.blocks_of(5)(p) for p in parts])
+    back = pa.concat_tables([ct.frequencies(blocks.filter(pc.equal(blocks["_bucket"], b))) for b in set(blocks["_bucket"].to_pylist())])
+    seen = []
+    for k, p in enumerate(parts):
+        part, df = ct.PartTerms(ct._worded(p), 5), {}
+        for x in back.filter(pc.equal(back["_part"], k)).to_pylist():
+            mine = part.order[part.ends[x["_bucket"]]:part.ends[x["_bucket"] + 1]]
+            df |= zip(part.strings(mine).to_pylist(), ct._unpacked(x["df"]).tolist(), strict=True)
+        assert len(df) == len(part.codes)
+        seen.append((part, df))
+    total = Counter(t for part, _ in seen for t in part.strings(part.term).to_pylist())
+    assert all(df[t] == total[t] for _, df in seen for t in df)
+
+
+def test_parts_without_a_word():
+    assert len(ct.blocks_of(4)(_part(1, [(1, ""), (2, "")]))) == 0
+    assert len(ct.best_of(4, 3)(_part(1, [(1, "")]), pa.table({}))) == 0
+
+
+def test_blocks_are_smaller_than_their_terms():
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"{a:x}" for a in rng.integers(4096, 60000, 200))) for i in range(300)]
+    part = _part(0, rows)
+    blocks = ct.blocks_of(16)(part)
+    terms = sum(int.from_bytes(x.as_py()[:8], "little") for x in blocks["terms"])
+    assert blocks["terms"].nbytes + blocks["held"].nbytes < 0.6 * terms
+
+
 def test_copies_share_one_result(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha beta"), (3, "gamma")], SCHEMA)
     df = kw.memoize_by_text(docs, lambda d: kw.keywords(d, stop_words=[]))
